@@ -62,7 +62,11 @@ _STATUS = {"F": "completed", "O": "open", "P": "pending"}
 
 
 def clean_transactions(spark: SparkSession, sf: str, since: str = "1996-01-01") -> DataFrame:
-    o = t(spark, sf, "orders")
+    return clean_orders(t(spark, sf, "orders"), since)
+
+
+def clean_orders(o: DataFrame, since: str = "1996-01-01") -> DataFrame:
+    """Completed, positive, attributed orders since ``since`` as transactions."""
     status = F.lower(F.trim(F.col("o_orderstatus")))
     return (o.filter((F.col("o_totalprice") > 0) & F.col("o_custkey").isNotNull()
                      & (F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
