@@ -82,7 +82,7 @@ def write_table(spark: SparkSession, df: DataFrame, table: str, mode: str = "app
         with _conf(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
             df.select(*cols).write.mode("overwrite").insertInto(table)
     elif mode == "replace":
-        _swap_in(spark, df, table, partition_by)
+        swap_in_version(spark, df, table, partition_by)
     else:
         raise ValueError(f"unsupported mode {mode}")
     spark.catalog.refreshTable(table)
@@ -93,7 +93,7 @@ def _table_location(spark: SparkSession, table: str) -> str:
     return rows.first()["data_type"]
 
 
-def _swap_in(spark: SparkSession, df: DataFrame, table: str,
+def swap_in_version(spark: SparkSession, df: DataFrame, table: str,
              partition_by: Sequence[str] | None = None) -> None:
     """Write ``df`` as a complete new version and point ``table`` at it."""
     base = _table_location(spark, table).rstrip("/")
@@ -105,7 +105,7 @@ def _swap_in(spark: SparkSession, df: DataFrame, table: str,
     spark.catalog.refreshTable(table)
 
 
-def _create_at_new_version(spark: SparkSession, df: DataFrame, table: str, root: str,
+def create_table_version(spark: SparkSession, df: DataFrame, table: str, root: str,
                            partition_by: Sequence[str] | None = None) -> None:
     ensure_namespace(spark, table, root)
     loc = f"{root.rstrip('/')}/{table.replace('.', '/')}/v-{uuid.uuid4().hex[:12]}"
@@ -164,16 +164,16 @@ def materialize(spark: SparkSession, df: DataFrame, table: str, kind: str = "tab
     exists = spark.catalog.tableExists(table)
     if kind == "table":
         if exists:
-            _swap_in(spark, df, table, partition_by)
+            swap_in_version(spark, df, table, partition_by)
         else:
-            _create_at_new_version(spark, df, table, root, partition_by)
+            create_table_version(spark, df, table, root, partition_by)
         return spark.table(table)
     if kind != "incremental":
         raise ValueError(f"unknown materialization {kind}")
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown incremental strategy {strategy}")
     if not exists:
-        _create_at_new_version(spark, df, table, root, partition_by)
+        create_table_version(spark, df, table, root, partition_by)
         return spark.table(table)
     if strategy == "append":
         cols = spark.table(table).columns
@@ -186,7 +186,7 @@ def materialize(spark: SparkSession, df: DataFrame, table: str, kind: str = "tab
         check_unique_keys(df, unique_key)
     current = spark.table(table)
     merged = _anti(current, df, unique_key).unionByName(df.select(*current.columns))
-    _swap_in(spark, merged, table, partition_by)
+    swap_in_version(spark, merged, table, partition_by)
     return spark.table(table)
 
 
