@@ -190,12 +190,20 @@ def materialize(spark: SparkSession, df: DataFrame, table: str, kind: str = "tab
     return spark.table(table)
 
 
-def observed_write(df: DataFrame, transform, path: str, mode: str = "overwrite",
+def observed_write(spark: SparkSession, read, transform, path: str, mode: str = "overwrite",
                    partition_by: Sequence[str] | None = None) -> dict:
-    """Transform + write in one job, counting rows in and out with
-    Observations (no extra count() passes over the data)."""
+    """Read -> transform -> write in one job, counting rows in and out with
+    Observations (no extra count() passes over the data).
+
+    ``read(session)`` builds the input in a child session (``newSession``:
+    same SparkContext and cluster, separate SQL state).  Spark 4.1 keeps a
+    non-serializable observation registry on the session once an
+    Observation is used, which later breaks closures that capture the
+    session (MLlib transforms); the child session keeps that state away
+    from the caller's session."""
+    child = spark.newSession()
     o_in, o_out = Observation("rows_in"), Observation("rows_out")
-    src = df.observe(o_in, F.count(F.lit(1)).alias("rows_in"))
+    src = read(child).observe(o_in, F.count(F.lit(1)).alias("rows_in"))
     out = transform(src).observe(o_out, F.count(F.lit(1)).alias("rows_out"))
     write_parquet(out, path, mode, partition_by)
     return {"rows_in": o_in.get["rows_in"], "rows_out": o_out.get["rows_out"]}

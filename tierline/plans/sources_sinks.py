@@ -178,7 +178,7 @@ SNK_PARTITIONED_SQL = f"SELECT * FROM ({CLEAN_TRANSACTIONS_CHECKED_SQL}) s WHERE
 def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Rows in / out of a silver run, observed during the single write."""
     path = scratch_path(spark, "run_metrics")
-    m = observed_write(t(spark, sf, "orders"), clean_orders, path)
+    m = observed_write(spark, lambda s: t(s, sf, "orders"), clean_orders, path)
     return spark.createDataFrame([(int(m["rows_in"]), int(m["rows_out"]))],
                                  "rows_in bigint, rows_out bigint")
 
