@@ -108,11 +108,12 @@ def point_in_time_join(entity_df: DataFrame, view: FeatureView, entity_ts: str,
     Plan: entity and feature rows are unioned and partitioned by
     (key, time bucket); inside a bucket a running ``last(..., ignoreNulls)``
     over (time, feature-before-entity, created, values) gives every entity
-    row the newest feature row at or before it.  Entity rows whose bucket
-    has no such row take the newest row of an earlier bucket of the same
-    key, computed on a per-(key, bucket) summary (one row per bucket, far
-    smaller than the data).  No row pairs are formed, a hot key is spread
-    over its buckets, and the TTL is applied to the chosen row.
+    row the newest feature row at or before it.  With a TTL the buckets are
+    at least TTL wide and feature rows in the last TTL of a bucket are also
+    placed in the next one, so this single shuffle is exact.  Without a TTL,
+    entity rows whose bucket has no earlier row take the newest row of an
+    earlier bucket of the same key from a per-(key, bucket) summary.  No row
+    pairs are formed and a hot key is spread over its time buckets.
     """
     keys = list(view.entities)
     names = list(features) if features is not None else view.feature_names
@@ -142,44 +143,51 @@ def point_in_time_join(entity_df: DataFrame, view: FeatureView, entity_ts: str,
                            F.struct(epoch_us(view.timestamp_field).alias("t"),
                                     created.alias("c"),
                                     F.struct(*[F.col(n) for n in names]).alias("v")).alias("_f")))
-    ent_rows = entity_df.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+    ent_rows = entity_df.select(*[F.col(k) for k in keys],
                                 epoch_us(entity_ts).alias("_t"),
+                                F.lit(1).alias("_kind"),
                                 F.struct(*[F.col(c) for c in ecols]).alias("_e"))
-    ent_rows = ent_rows.select(*[F.col(f"_k_{k}").alias(k) for k in keys], "_t",
-                               F.lit(1).alias("_kind"), "_e")
-    bucket = F.floor(F.col("_t") / F.lit(bucket_us)).cast("bigint")
-    u = (feat_rows.withColumn("_e", F.lit(None).cast(ent_rows.schema["_e"].dataType))
-                  .unionByName(ent_rows.withColumn("_f", F.lit(None).cast(feat_rows.schema["_f"].dataType)))
-                  .withColumn("_b", bucket))
+    ttl_us = int(view.ttl_seconds) * 1_000_000 if view.ttl_seconds is not None else None
+    width = max(bucket_us, ttl_us) if ttl_us is not None else bucket_us
+    bucket = F.floor(F.col("_t") / F.lit(width)).cast("bigint")
+    feat_b = feat_rows.withColumn("_b", bucket)
+    if ttl_us is not None:
+        # A match must lie within ttl <= width of the entity time, so only the
+        # last ttl of the previous bucket can matter: copy those rows forward.
+        edge = F.col("_t") >= (F.col("_b") + 1) * F.lit(width) - F.lit(ttl_us)
+        feat_b = feat_b.withColumn("_b", F.explode(F.when(edge, F.array(F.col("_b"), F.col("_b") + 1))
+                                                   .otherwise(F.array(F.col("_b")))))
+    ent_b = ent_rows.withColumn("_b", bucket)
+    u = (feat_b.withColumn("_e", F.lit(None).cast(ent_rows.schema["_e"].dataType))
+               .unionByName(ent_b.withColumn("_f", F.lit(None).cast(feat_rows.schema["_f"].dataType))))
 
     w_in = (Window.partitionBy(*keys, "_b").orderBy("_t", "_kind", "_f")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    lvl1 = (u.withColumn("_m", F.last("_f", ignorenulls=True).over(w_in))
-             .filter(F.col("_kind") == 1))
-
-    # newest feature row of each (key, bucket), then carry it to later buckets
-    per_bucket = (feat_rows.withColumn("_b", bucket)
-                  .groupBy(*keys, "_b").agg(F.max("_f").alias("_best"))
-                  .withColumn("_kind", F.lit(1)))
-    ent_buckets = (ent_rows.filter(F.col("_t").isNotNull()).withColumn("_b", bucket)
-                   .select(*keys, "_b").distinct()
-                   .withColumn("_best", F.lit(None).cast(per_bucket.schema["_best"].dataType))
-                   .withColumn("_kind", F.lit(0)))
-    w_carry = (Window.partitionBy(*keys).orderBy("_b", "_kind")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carry = (ent_buckets.unionByName(per_bucket)
-             .withColumn("_carry", F.last("_best", ignorenulls=True).over(w_carry))
-             .filter(F.col("_kind") == 0)
-             .select(*keys, "_b", "_carry"))
-
-    joined = lvl1.join(carry, keys + ["_b"], "left")
-    m = F.coalesce(F.col("_m"), F.col("_carry"))
-    if view.ttl_seconds is not None:
-        fresh = m["t"] >= F.col("_t") - F.lit(int(view.ttl_seconds) * 1_000_000)
-        m = F.when(fresh, m)
-    joined = joined.withColumn("_match", m)
-    return joined.select(*[F.col(f"_e.{c}").alias(c) for c in ecols],
-                         *[F.col(f"_match.v.{n}").alias(o) for n, o in zip(names, outs)])
+    found = (u.withColumn("_m", F.last("_f", ignorenulls=True).over(w_in))
+              .filter(F.col("_kind") == 1))
+
+    if ttl_us is None:
+        # No expiry: an entity whose bucket has no earlier feature row takes
+        # the newest row of any earlier bucket of its key, computed on a
+        # per-(key, bucket) summary (one row per bucket).
+        per_bucket = (feat_b.groupBy(*keys, "_b").agg(F.max("_f").alias("_best"))
+                      .withColumn("_kind", F.lit(1)))
+        ent_buckets = (ent_b.filter(F.col("_t").isNotNull()).select(*keys, "_b").distinct()
+                       .withColumn("_best", F.lit(None).cast(per_bucket.schema["_best"].dataType))
+                       .withColumn("_kind", F.lit(0)))
+        w_carry = (Window.partitionBy(*keys).orderBy("_b", "_kind")
+                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        carry = (ent_buckets.unionByName(per_bucket)
+                 .withColumn("_carry", F.last("_best", ignorenulls=True).over(w_carry))
+                 .filter(F.col("_kind") == 0)
+                 .select(*keys, "_b", "_carry"))
+        found = found.join(carry, keys + ["_b"], "left")
+        m = F.coalesce(F.col("_m"), F.col("_carry"))
+    else:
+        m = F.when(F.col("_m.t") >= F.col("_t") - F.lit(ttl_us), F.col("_m"))
+    found = found.withColumn("_match", m)
+    return found.select(*[F.col(f"_e.{c}").alias(c) for c in ecols],
+                        *[F.col(f"_match.v.{n}").alias(o) for n, o in zip(names, outs)])
 
 
 def get_historical_features(entity_df: DataFrame,
