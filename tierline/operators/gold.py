@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierline.functions import days_between, lit_date, round_double, safe_ratio
@@ -15,11 +15,11 @@ def share_of_total(df: DataFrame, group_cols: Sequence[str | Column],
                    digits: int = 6) -> DataFrame:
     """GROUP BY + COUNT(*) and COUNT(*) * 100 / SUM(COUNT(*)) OVER ().
 
-    The window over the whole result runs on the *aggregated* rows (one per
-    group), so its single partition holds only the group count, never the
-    input rows."""
+    The grand total is a scalar subquery (one-row aggregate evaluated as its
+    own job) instead of an empty-partition window, so the groups are never
+    gathered into a single task however many there are."""
     counted = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(count_name))
-    total = F.sum(count_name).over(Window.partitionBy())
+    total = counted.agg(F.sum(count_name)).scalar()
     return counted.withColumn(pct_name, round_double(F.col(count_name) * 100.0 / total, digits))
 
 

@@ -207,3 +207,20 @@ def observed_write(spark: SparkSession, read, transform, path: str, mode: str =
     out = transform(src).observe(o_out, F.count(F.lit(1)).alias("rows_out"))
     write_parquet(out, path, mode, partition_by)
     return {"rows_in": o_in.get["rows_in"], "rows_out": o_out.get["rows_out"]}
+
+
+def apply_change_feed(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str],
+                      sequence_col: str, op_col: str, delete_ops: Sequence[str] = ("D",)) -> DataFrame:
+    """Apply a CDC feed (insert / update / delete rows with a sequence) to a
+    snapshot: the newest change per key wins; a delete removes the key.
+
+    The newest change per key is a ``max(struct(seq, ...))`` partial
+    aggregate (a hot key is reduced before the shuffle); the snapshot is then
+    anti-joined NULL-safely on the keys and the surviving upserts added."""
+    data_cols = [c for c in changes.columns if c not in (sequence_col, op_col) and c not in keys]
+    newest = (changes.groupBy(*keys)
+              .agg(F.max(F.struct(F.col(sequence_col), F.col(op_col), *[F.col(c) for c in data_cols]))
+                   .alias("_c"))
+              .select(*keys, *[F.col(f"_c.{c}").alias(c) for c in [op_col, *data_cols]]))
+    upserts = newest.filter(~F.col(op_col).isin(*delete_ops)).drop(op_col)
+    return _anti(snapshot, newest, keys).unionByName(upserts.select(*snapshot.columns))

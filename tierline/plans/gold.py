@@ -373,6 +373,23 @@ def sql_passthrough(spark: SparkSession, sf: str) -> DataFrame:
                          {"orders": t(spark, sf, "orders"), "customer": t(spark, sf, "customer")})
 
 
+DEFECT_UNITS = 50
+
+
+def label_defect(spark: SparkSession, sf: str) -> DataFrame:
+    """Defect label per work order: fewer than 50 units produced."""
+    w = quality_flag(spark, sf)
+    return w.select("work_order_id", F.col("quantity").alias("produced_units"),
+                    (F.col("quantity") < DEFECT_UNITS).alias("defect_detected"),
+                    F.col("processed_at").alias("created_at"))
+
+
+LABEL_DEFECT_SQL = f"""
+SELECT work_order_id, quantity AS produced_units, quantity < 50 AS defect_detected, processed_at AS created_at
+FROM ({QUALITY_FLAG_SQL}) w
+"""
+
+
 QUERIES = {
     "customer_metrics": customer_metrics_q,
     "txn_summary": txn_summary,
@@ -388,6 +405,7 @@ QUERIES = {
     "trend_per_group": trend_per_group,
     "seasonality_index": seasonality_index,
     "sql_passthrough": sql_passthrough,
+    "label_defect": label_defect,
 }
 
 ORACLES = {
@@ -405,4 +423,5 @@ ORACLES = {
     "trend_per_group": TREND_PER_GROUP_SQL,
     "seasonality_index": SEASONALITY_INDEX_SQL,
     "sql_passthrough": PASSTHROUGH_SQL.strip().rstrip(";"),
+    "label_defect": LABEL_DEFECT_SQL,
 }

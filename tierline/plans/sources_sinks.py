@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierline.operators.clean import transform_sql
 from tierline.operators.sinks import (
-    materialize, observed_write, write_parquet, write_table,
+    apply_change_feed, materialize, observed_write, write_parquet, write_table,
 )
 from tierline.plans.common import PROCESSED_AT, RUN_ID, t
 from tierline.plans.silver import (
@@ -259,6 +260,54 @@ UNION ALL SELECT * FROM new
 """
 
 
+def bronze_cdc(spark: SparkSession, sf: str) -> DataFrame:
+    """CDC replication into bronze: a snapshot of orders before 2000 plus a
+    change feed (inserts of later orders, status updates, a second later
+    update of some keys, deletes) applied by key and sequence."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                      "o_orderdate", "o_orderpriority")
+    ts = lambda v: F.lit(v).cast("timestamp_ntz")
+    snapshot = o.filter(F.col("o_orderdate") < ts("2000-01-01"))
+    in_1999 = (F.col("o_orderdate") >= ts("1999-01-01")) & (F.col("o_orderdate") < ts("2000-01-01")) \
+        & (F.col("o_orderstatus") == "O")
+    inserts = o.filter(F.col("o_orderdate") >= ts("2000-01-01")) \
+        .withColumns({"_op": F.lit("I"), "_seq": F.lit(1)})
+    updates = o.filter(in_1999).withColumns({"o_orderstatus": F.lit("F"), "_op": F.lit("U"),
+                                             "_seq": F.lit(2)})
+    again = (o.filter(in_1999 & (F.col("o_orderpriority") == "1-URGENT"))
+              .withColumns({"o_orderstatus": F.lit("F"), "o_totalprice": F.col("o_totalprice") + 1.0,
+                            "_op": F.lit("U"), "_seq": F.lit(4)}))
+    deletes = (o.filter((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderdate") >= ts("1998-01-01"))
+                        & (F.col("o_orderdate") < ts("1999-01-01")))
+                .withColumns({"_op": F.lit("D"), "_seq": F.lit(3)}))
+    feed = inserts.unionByName(updates).unionByName(again).unionByName(deletes)
+    return apply_change_feed(snapshot, feed, ["o_orderkey"], "_seq", "_op")
+
+
+BRONZE_CDC_SQL = """
+SELECT o_orderkey, o_custkey,
+       CASE WHEN o_orderdate >= TIMESTAMP '1999-01-01 00:00:00' AND o_orderdate < TIMESTAMP '2000-01-01 00:00:00'
+                 AND o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderdate >= TIMESTAMP '1999-01-01 00:00:00' AND o_orderdate < TIMESTAMP '2000-01-01 00:00:00'
+                 AND o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN o_totalprice + 1.0
+            ELSE o_totalprice END AS o_totalprice,
+       o_orderdate, o_orderpriority
+FROM orders
+WHERE NOT (o_orderpriority = '5-LOW' AND o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'
+           AND o_orderdate < TIMESTAMP '1999-01-01 00:00:00')
+"""
+
+PREVIEW_SQL = """
+SELECT o_orderpriority, COUNT(*) AS n_orders, MAX(o_totalprice) AS max_total
+FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3
+"""
+
+
+def preview_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """ORDER BY ordinal + LIMIT preview of a user query."""
+    return transform_sql(spark, PREVIEW_SQL, {"orders": t(spark, sf, "orders")})
+
+
 QUERIES = {
     "src_union": src_union,
     "src_path_sql": src_path_sql,
@@ -277,6 +326,8 @@ QUERIES = {
     "mat_incr_append": mat_incr_append,
     "mat_incr_merge": mat_incr_merge,
     "mat_incr_delete_insert": mat_incr_delete_insert,
+    "bronze_cdc": bronze_cdc,
+    "preview_sql": preview_sql,
 }
 
 ORACLES = {
@@ -297,4 +348,6 @@ ORACLES = {
     "mat_incr_append": CLEAN_TRANSACTIONS_CHECKED_SQL,
     "mat_incr_merge": MAT_MERGE_SQL,
     "mat_incr_delete_insert": MAT_DELETE_INSERT_SQL,
+    "bronze_cdc": BRONZE_CDC_SQL,
+    "preview_sql": PREVIEW_SQL,
 }
