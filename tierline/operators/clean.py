@@ -59,9 +59,11 @@ def quality_flags(df: DataFrame, rules: Mapping[str, Column],
     rule (NULL counts as passing).  ``failed_rules`` lists broken rule names
     in rule order."""
     names = list(rules)
-    failed = F.filter(
+    # array_except against [NULL] drops the passed rules and keeps order;
+    # unlike a lambda filter it stays inside whole-stage codegen
+    failed = F.array_except(
         F.array(*[F.when(F.coalesce(rules[n], F.lit(False)), F.lit(n)) for n in names]),
-        lambda x: x.isNotNull())
+        F.array(F.lit(None).cast("string")))
     return (df.withColumn(failed_col, failed)
               .withColumn(flag_col, F.when(F.size(F.col(failed_col)) == 0, F.lit("VALID"))
                           .otherwise(F.lit("INVALID"))))
