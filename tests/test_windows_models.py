@@ -12,7 +12,7 @@ from tierline.functions import epoch_us
 from tierline.operators.models import (
     auc, knn_exact, per_group_least_squares, stratified_split, train_test_split,
 )
-from tierline.operators.ranking import exact_quantile, running_total
+from tierline.operators.ranking import exact_quantile, kth_smallest, running_total
 from tierline.operators.windows import rolling
 
 
@@ -61,6 +61,17 @@ def test_running_total_and_quantile(spark):
     assert q == pytest.approx(float(np.quantile([v[1] for v in vals], 0.95)))
 
 
+def test_kth_smallest_refinement(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.lognormal(0, 3, 3000), np.full(500, 7.25), [1e12, -1e9]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    srt = np.sort(x)
+    for k in (1, 2, 700, 1500, 2999, 3501, len(x)):
+        assert kth_smallest(df, "x", k, bins=16, collect_below=10) == srt[k - 1]
+    for q in (0.0, 0.5, 0.95, 1.0):
+        assert exact_quantile(df, "x", q) == pytest.approx(float(np.quantile(x, q)), rel=1e-12)
+
+
 def test_stratified_split_exact_shares(spark):
     df = spark.createDataFrame([(i, "pos" if i % 7 == 0 else "neg") for i in range(2000)],
                                "id long, y string")

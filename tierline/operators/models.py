@@ -131,7 +131,8 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     e = y - F.col(prediction).cast("decimal(18,2)")
     a = df.agg(F.sum(e * e).alias("sse"), F.sum(y * y).alias("syy"), F.sum(y).alias("sy"),
                F.count(F.lit(1)).alias("n"))
-    sst = F.col("syy").cast("double") - F.pow(F.col("sy").cast("double"), 2) / F.col("n")
+    sy = F.col("sy").cast("double")
+    sst = F.col("syy").cast("double") - sy * sy / F.col("n")
     return a.select(F.round(F.col("sse").cast("double") / F.col("n"), 4).alias("mse"),
                     F.round(1.0 - safe_ratio(F.col("sse").cast("double"), sst), 6).alias("r2"),
                     F.col("n").cast("bigint").alias("n"))
@@ -183,8 +184,11 @@ def outlier_scores(df: DataFrame, key: str, cols: Sequence[str], contamination:
         aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
     st = df.agg(*aggs).first()
     zs = [F.abs((F.col(c) - F.lit(st[f"m_{c}"])) / F.lit(st[f"s_{c}"])) for c in cols]
-    scored = df.select(key, F.greatest(*zs).alias("outlier_score"))
-    thr = exact_quantile(scored, "outlier_score", 1.0 - contamination, key)
+    # the (key, score) pairs are read by several passes (count, selection
+    # rounds, final flag); keeping just these two columns cached avoids
+    # recomputing the upstream joins for each pass
+    scored = df.select(key, F.greatest(*zs).alias("outlier_score")).persist()
+    thr = exact_quantile(scored, "outlier_score", 1.0 - contamination)
     return scored.select(key, F.round("outlier_score", 6).alias("outlier_score"),
                          (F.col("outlier_score") > F.lit(thr)).alias("is_outlier"))
 

@@ -41,19 +41,55 @@ def running_total(df: DataFrame, order_cols: Sequence[str | Column], weight: str
                   .drop("_pid", "_local", "_off", "_w"))
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, tiebreak: str) -> float | None:
-    """Linear-interpolated quantile (like ``percentile`` / ``quantile_cont``),
-    computed from global ranks; only the two bracketing values reach the
-    driver."""
-    vals = df.select(col, tiebreak).filter(F.col(col).isNotNull())
-    ranked = running_total(vals, [col, tiebreak], out="_r")
+def kth_smallest(df: DataFrame, col: str, k: int, bins: int = 4096,
+                 collect_below: int = 50_000) -> float:
+    """Exact k-th smallest (1-based) non-null value of ``col``.
+
+    Histogram refinement: count the values per equal-width bin over the
+    current [lo, hi] range (a scan + a small grouped aggregate, at most
+    ``bins`` rows reach the driver), keep only the bin holding rank k, and
+    repeat on it; once the candidates are few (``collect_below``) they are
+    fetched sorted.  Every round is a scan, never a global sort, and ties are
+    handled (a bin of equal values ends the search at once)."""
+    x = F.col(col).cast("double")
+    cand = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    while True:
+        st = cand.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
+                      F.max("_x").alias("hi")).first()
+        n, lo, hi = st["n"], st["lo"], st["hi"]
+        if n == 0 or k < 1 or k > n:
+            raise ValueError(f"rank {k} outside 1..{n}")
+        if lo == hi:
+            return float(lo)
+        if n <= collect_below:
+            vals = [r["_x"] for r in cand.orderBy("_x").collect()]
+            return float(vals[k - 1])
+        width = (hi - lo) / bins
+        b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
+        counts = sorted((r["b"], r["c"]) for r in
+                        cand.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect())
+        before = 0
+        for bucket, c in counts:
+            if before + c >= k:
+                k -= before
+                cand = cand.filter(b == F.lit(bucket))
+                break
+            before += c
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, tiebreak: str | None = None) -> float | None:
+    """Linear-interpolated quantile (like ``percentile`` / ``quantile_cont``)
+    from two exact order statistics; see :func:`kth_smallest`."""
+    vals = df.select(F.col(col).cast("double").alias(col)).filter(F.col(col).isNotNull())
     n = vals.count()
     if n == 0:
         return None
     pos = q * (n - 1)
     lo = int(pos)
-    hi = min(lo + 1, n - 1)
-    got = {r["_r"]: r[col] for r in ranked.filter(F.col("_r").isin(lo + 1, hi + 1))
-           .select("_r", col).collect()}
-    a, b = float(got[lo + 1]), float(got[hi + 1])
+    a = kth_smallest(vals, col, lo + 1)
+    if pos == lo or lo + 1 >= n:
+        return a
+    # the next order statistic: a again if enough ties, else the next value up
+    le = vals.filter(F.col(col) <= F.lit(a)).count()
+    b = a if le >= lo + 2 else vals.filter(F.col(col) > F.lit(a)).agg(F.min(col)).first()[0]
     return a + (b - a) * (pos - lo)
