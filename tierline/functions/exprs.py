@@ -77,3 +77,29 @@ def lit_ts(value: str) -> Column:
 def json_int(col: str | Column, field: str) -> Column:
     """Integer field of a small JSON object string, e.g. '{"k": 5}'."""
     return F.get_json_object(_c(col), f"$.{field}").cast("bigint")
+
+
+def trunc_ntz(col: str | Column, unit: str) -> Column:
+    """Truncate a wall-clock timestamp to month / day / hour as TIMESTAMP_NTZ
+    without passing through the session time zone."""
+    c = _c(col).cast("timestamp_ntz")
+    zero = F.lit(0)
+    if unit == "month":
+        return F.make_timestamp_ntz(F.year(c), F.month(c), F.lit(1), zero, zero, zero)
+    if unit == "day":
+        return c.cast("date").cast("timestamp_ntz")
+    if unit == "hour":
+        return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), zero, zero)
+    raise ValueError(f"unsupported unit {unit}")
+
+
+def wallclock_instant(col: str | Column) -> Column:
+    """TIMESTAMP (instant) whose UTC reading equals the wall-clock value, for
+    APIs that need TIMESTAMP (watermarks, window()).  Zone-free."""
+    return F.timestamp_micros(epoch_us(col))
+
+
+def instant_wallclock(col: str | Column) -> Column:
+    """Inverse of :func:`wallclock_instant`: back to TIMESTAMP_NTZ."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(col)),
+                           F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.functions import lit_ts
+from tierline.functions import lit_ts, trunc_ntz
 from tierline.operators.features import (
     FeatureView, define_feature_view, describe_views, features_for_entities,
     get_historical_features, latest_features, point_in_time_join, resolve_refs,
@@ -46,7 +46,7 @@ def user_last_event(spark: SparkSession, sf: str, ttl: int | None) -> FeatureVie
 
 def user_daily(spark: SparkSession, sf: str, ttl: int | None = 2 * 86400) -> FeatureView:
     e = t(spark, sf, "events")
-    src = (e.groupBy("user_id", F.date_trunc("day", "ts").alias("day"))
+    src = (e.groupBy("user_id", trunc_ntz("ts", "day").alias("day"))
             .agg(F.count(F.lit(1)).alias("n_events"),
                  F.sum(exact_sum("value")).cast("double").alias("total_value"),
                  F.count_if(F.col("event_type") == "purchase").alias("n_purchases"))
@@ -67,7 +67,7 @@ FROM events GROUP BY user_id, date_trunc('day', ts)
 
 def user_hourly_evt(spark: SparkSession, sf: str) -> FeatureView:
     src = (t(spark, sf, "events").filter(F.col("event_type") != "purchase")
-           .select("user_id", F.date_trunc("hour", "ts").alias("event_timestamp"),
+           .select("user_id", trunc_ntz("ts", "hour").alias("event_timestamp"),
                    F.col("ts").alias("created"),
                    F.col("event_type").alias("hour_event_type"),
                    F.col("value").alias("hour_event_value")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.functions import lit_date, lit_ts, round_double, safe_ratio
+from tierline.functions import lit_date, lit_ts, round_double, safe_ratio, trunc_ntz
 from tierline.operators.gold import customer_metrics, operator_profile, share_of_total
 from tierline.plans.common import EVENTS_ASOF, ORDERS_ASOF, t
 from tierline.plans.silver import (
@@ -102,7 +102,7 @@ def monthly_summary(spark: SparkSession, sf: str, months: int = 6) -> DataFrame:
     start = F.add_months(F.trunc(lit_date(ORDERS_ASOF), "month"), -months)
     money = F.col("o_totalprice").cast("decimal(12,2)")
     return (o.filter(F.col("o_orderdate") >= start.cast("timestamp_ntz"))
-             .groupBy(F.date_trunc("month", "o_orderdate").alias("month"))
+             .groupBy(trunc_ntz("o_orderdate", "month").alias("month"))
              .agg(F.count(F.lit(1)).alias("n_orders"), F.sum(money).alias("_sum"),
                   F.count_distinct("o_custkey").alias("n_customers"))
              .select("month", "n_orders", F.col("_sum").cast("double").alias("revenue"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
+from tierline.functions import instant_wallclock, wallclock_instant
 from tierline.operators.sinks import create_table_version, swap_in_version
 
 
@@ -43,8 +44,10 @@ def run_until_caught_up(writer: DataStreamWriter, timeout_s: float | None = None
 
 
 def with_event_time(df: DataFrame, ts: str) -> DataFrame:
-    """Watermarks need TIMESTAMP (the Parquet inputs are TIMESTAMP_NTZ)."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+    """Watermarks need TIMESTAMP (the Parquet inputs are TIMESTAMP_NTZ): the
+    wall-clock value is read as UTC, so windows align to wall-clock hours
+    whatever the session time zone is."""
+    return df.withColumn(ts, wallclock_instant(ts))
 
 
 def stream_to_bronze(stream: DataFrame, out_path: str, checkpoint: str, run_id: str,
@@ -67,8 +70,8 @@ def windowed_aggregates(stream: DataFrame, ts: str, keys: Sequence[str | Column]
     s = with_event_time(stream, ts).withWatermark(ts, delay)
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     out = s.groupBy(w.alias("window"), *keys).agg(*aggs)
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+    return out.select(instant_wallclock("window.start").alias("window_start"),
+                      instant_wallclock("window.end").alias("window_end"),
                       *[c for c in out.columns if c != "window"])
 
 
@@ -78,7 +81,7 @@ def dedup_within_watermark(stream: DataFrame, ts: str, keys: Sequence[str],
     within the watermark delay; state is evicted afterwards."""
     s = with_event_time(stream, ts).withWatermark(ts, delay)
     out = s.dropDuplicatesWithinWatermark(list(keys))
-    return out.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
+    return out.withColumn(ts, instant_wallclock(ts))
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str]) -> DataFrame:
