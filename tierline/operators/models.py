@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -78,8 +79,20 @@ def fit_model(train: DataFrame, features: Sequence[str], label: str, framework:
         feat_col = "_scaled"
     est = ESTIMATORS[(framework, task)](featuresCol=feat_col, labelCol=label, seed=seed, **params)
     stages.append(est)
-    filled = train.fillna(0.0, subset=list(features))
-    return Pipeline(stages=stages).fit(filled)
+    # iterative fits read the input many times (metadata, splits, one pass
+    # per tree level / boosting round): keep only the needed columns cached
+    # for the duration of the fit, spilling to disk when large
+    filled = train.select(*features, label).fillna(0.0, subset=list(features))
+    par = train.sparkSession.sparkContext.defaultParallelism
+    if filled.rdd.getNumPartitions() < par:
+        # AQE may coalesce a small input to a few partitions; tree fits
+        # parallelize over partitions, so spread it over all cores once
+        filled = filled.repartition(par)
+    filled = filled.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=stages).fit(filled)
+    finally:
+        filled.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str],

@@ -212,30 +212,33 @@ FROM ({ORDER_FRAME_SQL}) f GROUP BY o_orderpriority
 # --- MLlib fits (rows-only checks) ---------------------------------------------------
 
 def _fit_and_score(spark: SparkSession, sf: str, framework: str, task: str) -> DataFrame:
+    """Fit on the train split, score both splits, report metrics per split.
+
+    The scored frame is cached while the per-split metric aggregates run
+    (each is a one-row aggregate); the metric rows are then returned as a
+    small frame and the cache released."""
     f = train_test_split(order_frame(spark, sf), ["o_orderkey"], 0.2, 42)
     label = "label" if task == "classification" else "o_totalprice"
     feats = ORDER_FEATURES if task == "classification" else ["n_lines", "total_qty", "avg_discount"]
     params = {"maxIter": 20} if framework == "gbt" else {"numTrees": 20}
     model = fit_model(f.filter(F.col("split") == "train"), feats, label, framework, task,
                       maxDepth=5, **params)
-    scored = predict(model, f, feats, ["o_orderkey", "split", label], probabilities=False)
-    rows = []
-    for split in ("train", "test"):
-        part = scored.filter(F.col("split") == split)
-        if task == "classification":
-            m = classification_metrics(part.select(F.col("label").cast("double").alias("label"),
-                                                   "prediction"))
-            rows.append(m.select(F.lit(split).alias("split"), F.lit("accuracy").alias("metric"),
-                                 F.col("accuracy").alias("value"))
-                         .unionByName(m.select(F.lit(split).alias("split"), F.lit("f1_weighted").alias("metric"),
-                                               F.col("f1_weighted").alias("value"))))
-        else:
-            m = regression_metrics(part, label, "prediction")
-            rows.append(m.select(F.lit(split).alias("split"), F.lit("mse").alias("metric"),
-                                 F.col("mse").alias("value"))
-                         .unionByName(m.select(F.lit(split).alias("split"), F.lit("r2").alias("metric"),
-                                               F.col("r2").alias("value"))))
-    return rows[0].unionByName(rows[1]).withColumn("framework", F.lit(framework))
+    scored = predict(model, f, feats, ["split", label], probabilities=False).persist()
+    try:
+        rows = []
+        for split in ("train", "test"):
+            part = scored.filter(F.col("split") == split)
+            if task == "classification":
+                m = classification_metrics(part.select(F.col("label").cast("double").alias("label"),
+                                                       "prediction")).first()
+                rows += [(split, "accuracy", m["accuracy"]), (split, "f1_weighted", m["f1_weighted"])]
+            else:
+                m = regression_metrics(part, label, "prediction").first()
+                rows += [(split, "mse", m["mse"]), (split, "r2", m["r2"])]
+    finally:
+        scored.unpersist()
+    return spark.createDataFrame([(*r, framework) for r in rows],
+                                 "split string, metric string, value double, framework string")
 
 
 def rf_classify(spark, sf):
