@@ -64,3 +64,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "churned" in df.columns
+
+
+ZONE_SENSITIVE = ["monthly_summary", "daily_summary", "rolling_24h", "latest_features",
+                  "pit_created_tiebreak", "stream_hourly", "customer_metrics"]
+
+
+@pytest.mark.parametrize("key", ZONE_SENSITIVE)
+def test_results_do_not_depend_on_session_zone(spark, duck, key):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        test_matches_oracle(spark, duck, key)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -58,9 +58,6 @@ WHERE TRIM(LOWER(REPLACE(c.c_name, '#', '@') || '.example.com')) IS NOT NULL
 """
 
 
-_STATUS = {"F": "completed", "O": "open", "P": "pending"}
-
-
 def clean_transactions(spark: SparkSession, sf: str, since: str = "1996-01-01") -> DataFrame:
     return clean_orders(t(spark, sf, "orders"), since)
 
