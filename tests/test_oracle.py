@@ -30,6 +30,17 @@ def _norm(v):
     return v
 
 
+_SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT",
+                  "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+                  "timestamp_ntz": "TIMESTAMP"}
+
+
+def _duck_type(t):
+    if t.startswith("array<"):
+        return _duck_type(t[6:-1]) + "[]"
+    return _SPARK_TO_DUCK.get(t, t.upper())
+
+
 def _canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
@@ -50,6 +61,8 @@ def test_matches_oracle(spark, duck, key):
     res = duck.execute(ORACLES[key])
     o_cols, o_rows = [d[0] for d in res.description], res.fetchall()
     assert sorted(s_cols) == sorted(o_cols)
+    o_types = {d[0]: str(d[1]) for d in res.description}
+    assert {c: _duck_type(t) for c, t in df.dtypes} == o_types
     assert len(s_rows) == len(o_rows)
     assert _canon(s_cols, s_rows) == _canon(o_cols, o_rows)
 

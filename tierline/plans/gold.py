@@ -41,8 +41,8 @@ customer_support AS (
 SELECT co.customer_id, co.email, co.total_purchases,
        CAST(co.customer_lifetime_value AS DOUBLE) AS customer_lifetime_value,
        COALESCE(ROUND(CAST(co.s AS DOUBLE) / NULLIF(CAST(co.n AS DOUBLE), 0), 6), 0.0) AS avg_purchase_value,
-       date_diff('day', co.last_purchase_date, DATE '{ORDERS_ASOF}') AS days_since_last_purchase,
-       date_diff('day', co.registration_date, DATE '{ORDERS_ASOF}') AS account_age_days,
+       CAST(date_diff('day', co.last_purchase_date, DATE '{ORDERS_ASOF}') AS INTEGER) AS days_since_last_purchase,
+       CAST(date_diff('day', co.registration_date, DATE '{ORDERS_ASOF}') AS INTEGER) AS account_age_days,
        CASE WHEN co.total_purchases = 0 THEN 0.0
             ELSE ROUND(CAST(co.total_purchases AS DOUBLE) / NULLIF(
                  CAST(date_diff('day', co.first_purchase_date, DATE '{ORDERS_ASOF}') AS DOUBLE) / 30.0, 0), 6)
@@ -348,7 +348,7 @@ SEASONALITY_INDEX_SQL = f"""
 WITH m AS (SELECT *, (month_index % 12) + 1 AS month_of_year FROM ({MONTHLY_REVENUE_SQL}) x),
 b AS (SELECT group_key, month_of_year, AVG(revenue_k) AS moy_avg FROM m GROUP BY 1, 2),
 o AS (SELECT group_key, AVG(revenue_k) AS all_avg FROM m GROUP BY 1)
-SELECT b.group_key, b.month_of_year, ROUND(b.moy_avg / NULLIF(o.all_avg, 0), 4) AS seasonality_index
+SELECT b.group_key, CAST(b.month_of_year AS INTEGER) AS month_of_year, ROUND(b.moy_avg / NULLIF(o.all_avg, 0), 4) AS seasonality_index
 FROM b JOIN o ON b.group_key = o.group_key
 """
 
@@ -360,7 +360,7 @@ WITH spend AS (
   SELECT o_custkey, SUM(CAST(o_totalprice AS DECIMAL(14,2))) AS spend, COUNT(*) AS n
   FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey)
 SELECT c.c_mktsegment AS segment, COUNT(*) AS customers,
-       CAST(SUM(s.spend) AS DOUBLE) AS total_spend, SUM(s.n) AS n_orders,
+       CAST(SUM(s.spend) AS DOUBLE) AS total_spend, CAST(SUM(s.n) AS BIGINT) AS n_orders,
        MAX(s.n) AS max_orders_per_customer
 FROM customer c JOIN spend s ON c.c_custkey = s.o_custkey
 GROUP BY c.c_mktsegment;

@@ -89,9 +89,9 @@ def rolling_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 ROLLING_DISTINCT_SQL = """
 SELECT event_id, user_id, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
-       len(list_distinct(list(CAST(json_extract(props, '$.k') AS BIGINT)) OVER (
+       CAST(len(list_distinct(list(CAST(json_extract(props, '$.k') AS BIGINT)) OVER (
            PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)))
-         AS unique_merchants_24h
+         AS INTEGER) AS unique_merchants_24h
 FROM events
 """
 
@@ -298,7 +298,7 @@ SELECT user_id, ts AS assessed_at,
        CAST(date_diff('day', CAST(first_ts AS DATE), CAST(ts AS DATE)) AS INTEGER) AS account_age_days,
        CAST(f7 AS INTEGER) AS failed_login_attempts_7d, CAST(p30 AS INTEGER) AS password_changes_30d,
        p30 > 0 AS verified_email,
-       LEAST(100.0, f7 * 10.0 + p30 * 5.0 + fl * 20.0) AS risk_score,
+       CAST(LEAST(100.0, f7 * 10.0 + p30 * 5.0 + fl * 20.0) AS DOUBLE) AS risk_score,
        CAST(fl AS INTEGER) AS previous_fraud_flags
 FROM r WHERE event_type = 'error'
 """
