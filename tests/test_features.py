@@ -114,7 +114,7 @@ def _brute(ent, feats, ttl_us):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("ttl_s", [None, 3 * 3600, 2 * 86400])
+@pytest.mark.parametrize("ttl_s", [None, 3 * 3600, 2 * 86400, 90 * 60])
 def test_bucketed_join_equals_brute_force(spark, ttl_s):
     rnd = random.Random(7)
     base = D(2025, 1, 1)
@@ -126,7 +126,7 @@ def test_bucketed_join_equals_brute_force(spark, ttl_s):
     edf = spark.createDataFrame(ent, "k long, at timestamp_ntz")
     v = define_feature_view("v", fdf, ["k"], [("x", "float64")], "ts", "created", ttl_s)
     # 2-hour buckets force the carry / edge-copy paths across many buckets
-    got = point_in_time_join(edf, v, "at", bucket_us=2 * 3600 * 1_000_000)
+    got = point_in_time_join(edf, v, "at", bucket_us=2 * 3600 * 1_000_000, copy_factor=1)
     got_rows = sorted(((r["k"], r["at"], r["x"]) for r in got.collect()), key=repr)
     ttl_us = ttl_s * 1_000_000 if ttl_s is not None else None
     assert got_rows == _brute(ent, feats, ttl_us)

@@ -102,7 +102,7 @@ def _out_names(view: FeatureView, names: Sequence[str], full: bool) -> list[str]
 def point_in_time_join(entity_df: DataFrame, view: FeatureView, entity_ts: str,
                        features: Sequence[str] | None = None,
                        full_feature_names: bool = False,
-                       bucket_us: int = DAY_US) -> DataFrame:
+                       bucket_us: int = DAY_US, copy_factor: int = 4) -> DataFrame:
     """As-of (backward) join of one feature view onto entity rows.
 
     Plan: entity and feature rows are unioned and partitioned by
@@ -148,7 +148,9 @@ def point_in_time_join(entity_df: DataFrame, view: FeatureView, entity_ts: str,
                                 F.lit(1).alias("_kind"),
                                 F.struct(*[F.col(c) for c in ecols]).alias("_e"))
     ttl_us = int(view.ttl_seconds) * 1_000_000 if view.ttl_seconds is not None else None
-    width = max(bucket_us, ttl_us) if ttl_us is not None else bucket_us
+    # buckets >= copy_factor * ttl wide: at most 1/copy_factor of the feature
+    # rows are copied into the following bucket
+    width = max(bucket_us, copy_factor * ttl_us) if ttl_us is not None else bucket_us
     bucket = F.floor(F.col("_t") / F.lit(width)).cast("bigint")
     feat_b = feat_rows.withColumn("_b", bucket)
     if ttl_us is not None:
