@@ -65,3 +65,22 @@ def test_write_table_dynamic_overwrite(spark):
     got = spark.table(table)
     assert got.filter("p = 1").count() == 1
     assert got.filter("p <> 1").count() == 8
+
+
+def test_partitioned_merge_rewrites_only_touched_partitions(spark):
+    table = "gold.t_part_merge"
+    old = spark.createDataFrame([(1, "a", 2020), (2, "b", 2020), (3, "c", 2021), (4, "d", 2022)],
+                                "k long, v string, y int")
+    materialize(spark, old, table, "incremental", "merge", ["y", "k"], partition_by=["y"])
+
+    def files():
+        return {r["y"]: r["f"] for r in spark.table(table).select(
+            "y", F.col("_metadata.file_path").alias("f")).collect()}
+    before = files()
+    new = spark.createDataFrame([(2, "B", 2020), (9, "z", 2023)], "k long, v string, y int")
+    got = materialize(spark, new, table, "incremental", "merge", ["y", "k"])
+    assert rows(got, ["k", "v", "y"]) == [(1, "a", 2020), (2, "B", 2020), (3, "c", 2021),
+                                           (4, "d", 2022), (9, "z", 2023)]
+    after = files()
+    assert after[2021] == before[2021] and after[2022] == before[2022]   # untouched
+    assert after[2020] != before[2020]                                   # rewritten

@@ -184,6 +184,10 @@ def materialize(spark: SparkSession, df: DataFrame, table: str, kind: str = "tab
         raise ValueError(f"{strategy} needs unique_key")
     if strategy == "merge":
         check_unique_keys(df, unique_key)
+    parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    if parts and set(parts) <= set(unique_key):
+        if merge_touched_partitions(spark, df, table, unique_key, parts):
+            return spark.table(table)
     current = spark.table(table)
     merged = _anti(current, df, unique_key).unionByName(df.select(*current.columns))
     swap_in_version(spark, merged, table, partition_by)
@@ -209,6 +213,47 @@ def observed_write(spark: SparkSession, read, transform, path: str, mode: str =
     return {"rows_in": o_in.get["rows_in"], "rows_out": o_out.get["rows_out"]}
 
 
+def _spec_literal(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def merge_touched_partitions(spark: SparkSession, df: DataFrame, table: str,
+                             keys: Sequence[str], partition_by: Sequence[str]) -> bool:
+    """Keyed merge that rewrites only the partitions the batch touches.
+
+    Valid when the partition columns are part of the key (a row never moves
+    between partitions).  Old rows are read only from touched partitions (a
+    LEFT SEMI join on the partition columns, so the scan is pruned), merged
+    with the batch, written as a new version directory, and each touched
+    partition is re-pointed in the catalog; untouched partitions are neither
+    read nor written.  Returns False (caller rewrites the table) when a
+    partition value is NULL."""
+    current = spark.table(table)
+    touched = df.select(*partition_by).distinct()
+    if touched.filter(" OR ".join(f"`{c}` IS NULL" for c in partition_by)).limit(1).count():
+        return False
+    old = current.join(touched, list(partition_by), "left_semi")
+    merged = _anti(old, df, keys).unionByName(df.select(*current.columns))
+    base = _table_location(spark, table).rstrip("/")
+    stage = f"{base.rsplit('/', 1)[0]}/v-{uuid.uuid4().hex[:12]}"
+    write_parquet(merged.select(*current.columns), stage, "overwrite", partition_by)
+    # one row per written partition: its values and one file to locate its directory
+    dirs = (spark.read.parquet(stage)
+            .select(*partition_by, F.col("_metadata.file_path").alias("_f"))
+            .groupBy(*partition_by).agg(F.first("_f").alias("_f")).collect())
+    for r in dirs:
+        spec = ", ".join(f"`{c}`={_spec_literal(r[c])}" for c in partition_by)
+        loc = r["_f"].rsplit("/", 1)[0]
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{loc}'")
+        spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION '{loc}'")
+    spark.catalog.refreshTable(table)
+    return True
+
+
 def apply_change_feed(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str],
                       sequence_col: str, op_col: str, delete_ops: Sequence[str] = ("D",)) -> DataFrame:
     """Apply a CDC feed (insert / update / delete rows with a sequence) to a

@@ -238,6 +238,25 @@ FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01 00:00:00'
 """
 
 
+def mat_incr_merge_partitioned(spark: SparkSession, sf: str) -> DataFrame:
+    """The keyed merge of ``mat_incr_merge`` into a year-partitioned table:
+    only the years present in the change batch are read and rewritten."""
+    o = _orders_snapshot(spark, sf).withColumn("year", F.year("o_orderdate"))
+    old = o.filter(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    changes = (o.filter(F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
+                .withColumns({"o_orderstatus": F.lit("F"),
+                              "o_totalprice": F.col("o_totalprice") + 100.0}))
+    table = f"gold.{_name('orders_merge_part')}"
+    keys = ["year", "o_orderkey"]
+    materialize(spark, old, table, "incremental", "merge", keys, partition_by=["year"])
+    return materialize(spark, changes, table, "incremental", "merge", keys)
+
+
+MAT_MERGE_PART_SQL = f"""
+SELECT *, CAST(year(o_orderdate) AS INTEGER) AS year FROM ({MAT_MERGE_SQL}) m
+"""
+
+
 def mat_incr_delete_insert(spark: SparkSession, sf: str) -> DataFrame:
     """delete+insert on a non-unique key: every old row of a key present in
     the batch goes, all batch rows (duplicates too) come in."""
@@ -326,6 +345,7 @@ QUERIES = {
     "mat_incr_append": mat_incr_append,
     "mat_incr_merge": mat_incr_merge,
     "mat_incr_delete_insert": mat_incr_delete_insert,
+    "mat_incr_merge_partitioned": mat_incr_merge_partitioned,
     "bronze_cdc": bronze_cdc,
     "preview_sql": preview_sql,
 }
@@ -348,6 +368,7 @@ ORACLES = {
     "mat_incr_append": CLEAN_TRANSACTIONS_CHECKED_SQL,
     "mat_incr_merge": MAT_MERGE_SQL,
     "mat_incr_delete_insert": MAT_DELETE_INSERT_SQL,
+    "mat_incr_merge_partitioned": MAT_MERGE_PART_SQL,
     "bronze_cdc": BRONZE_CDC_SQL,
     "preview_sql": PREVIEW_SQL,
 }
