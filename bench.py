@@ -1,7 +1,8 @@
 """Benchmark the headline queries.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_QUERIES (comma list, optional), BENCH_REPEAT (default 1: best of N).
+BENCH_QUERIES (comma list, optional), BENCH_REPEAT (default 1: best of N),
+BENCH_EVENT_LOG (set: write Spark's event log to a fresh /tmp folder).
 Each query is fully executed with the ``noop`` sink (no collect to the
 driver); the time includes any writes the query performs itself.
 Prints one JSON line.
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -32,7 +34,13 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     names = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus))
+    extra = None
+    if os.environ.get("BENCH_EVENT_LOG"):
+        # stage / task times without the UI: Spark's event log in a fresh scratch folder
+        log_dir = tempfile.mkdtemp(prefix="tierline-events-")
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+        print(f"event log: {log_dir}", file=sys.stderr)
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), extra=extra)
     qs = all_queries()
     # JVM / JIT warm-up on the smallest data set next to the measured one (the
     # measured tables are not touched, so no cached pages or results carry over)
