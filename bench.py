@@ -47,7 +47,8 @@ def main() -> None:
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir
-    for w in ("txn_summary", "quality_flag", "customer_metrics", "rolling_24h", "pit_join_ttl"):
+    for w in ("txn_summary", "quality_flag", "customer_metrics", "rolling_24h", "pit_join_ttl",
+              "model_per_group"):   # the last one starts the Python (Arrow) workers
         qs[w](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:

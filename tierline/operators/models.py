@@ -212,14 +212,18 @@ def knn_exact(items: DataFrame, id_col: str, vec_col: str, k: int = 10,
               block_rows: int = 4096, exclude_self: bool = True) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) of every item among all items.
 
-    Items are hashed into B = ceil(n / block_rows) blocks.  Cell (q, i) holds
+    Items are hashed into B = max(ceil(n / block_rows), ceil(sqrt(task slots)))
+    blocks.  Cell (q, i) holds
     query block q and item block i (each row is replicated B times, never
     all pairs as rows); a pandas task per cell computes distances for at
     most block_rows x block_rows pairs and keeps each query's k best; a final
     per-query step keeps the k best of its B * k candidates.  Work is the
     inherent n^2 distance computations, spread over B^2 bounded tasks."""
     n = items.count()
-    blocks = max(1, math.ceil(n / block_rows))
+    # enough blocks that no cell exceeds block_rows per side, and at least
+    # as many cells (blocks^2) as task slots so small inputs still fan out
+    slots = items.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(n / block_rows), math.ceil(math.sqrt(slots)))
     base = items.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"),
                         (F.abs(F.xxhash64(F.col(id_col))) % blocks).alias("_blk"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
