@@ -84,3 +84,24 @@ def test_partitioned_merge_rewrites_only_touched_partitions(spark):
     after = files()
     assert after[2021] == before[2021] and after[2022] == before[2022]   # untouched
     assert after[2020] != before[2020]                                   # rewritten
+
+
+def test_change_feed_newest_wins_delete_and_reinsert(spark):
+    from tierline.operators.sinks import apply_change_feed
+    snap = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "n")], "k long, v string")
+    feed = spark.createDataFrame(
+        [(1, "a1", "U", 1), (1, "a2", "U", 2),          # two updates: newest wins
+         (2, None, "D", 1),                             # delete
+         (3, None, "D", 1), (3, "c2", "I", 2),          # delete then re-insert
+         (4, "d", "I", 1), (4, None, "D", 2),           # insert then delete -> absent
+         (None, "n2", "U", 1)],                          # NULL key matches NULL key
+        "k long, v string, op string, seq int")
+    got = apply_change_feed(snap, feed, ["k"], "seq", "op")
+    assert rows(got) == sorted([(1, "a2"), (3, "c2"), (None, "n2")], key=repr)
+
+
+def test_write_table_replace_swaps_version(spark):
+    table = "silver.t_replace"
+    write_table(spark, _df(spark, [(1, "a")]), table, location=scratch_path(spark, "t_rep"))
+    write_table(spark, _df(spark, [(7, "z"), (8, "y")]), table, "replace")
+    assert rows(spark.table(table)) == [(7, "z"), (8, "y")]
