@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierline.functions import json_int, lit_ts, round_double, safe_ratio
-from tierline.operators.windows import duration_us, exact_sum, rolling
+from tierline.operators.windows import duration_us, exact_sum, rolling, rolling_fine
 from tierline.plans.common import EVENTS_ASOF, t
 
 H24 = duration_us(24, "hour")
@@ -77,6 +77,30 @@ def _multi_sql():
 ROLLING_MULTI_SQL = _multi_sql()
 
 
+def rolling_30d(spark: SparkSession, sf: str) -> DataFrame:
+    """30-day count / sum / avg / min / max per user with daily buckets
+    (``rolling_fine``): a hot user is split into one piece per day."""
+    e = (t(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+         .withColumn("_v", exact_sum("value")))
+    out = rolling_fine(e, ["user_id"], "ts", D30,
+                       [("count", "event_id", "count_30d"), ("sum", "_v", "_s"),
+                        ("min", "value", "min_30d"), ("max", "value", "max_30d")], pieces=30)
+    return out.select("event_id", "user_id", "ts", "value", "count_30d",
+                      F.col("_s").cast("double").alias("sum_30d"),
+                      round_double(safe_ratio(F.col("_s"), F.col("count_30d"))).alias("avg_30d"),
+                      "min_30d", "max_30d")
+
+
+ROLLING_30D_SQL = """
+SELECT event_id, user_id, ts, value, COUNT(event_id) OVER w AS count_30d,
+       CAST(SUM(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS sum_30d,
+       ROUND(CAST(SUM(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) / CAST(COUNT(event_id) OVER w AS DOUBLE), 6) AS avg_30d,
+       MIN(value) OVER w AS min_30d, MAX(value) OVER w AS max_30d
+FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)
+"""
+
+
 def rolling_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct merchants in 24 h: DISTINCT is not allowed in a window, so
     the size of ``collect_set`` over the frame (bounded by the frame)."""
@@ -307,6 +331,7 @@ FROM r WHERE event_type = 'error'
 QUERIES = {
     "rolling_24h": rolling_24h,
     "rolling_multi": rolling_multi,
+    "rolling_30d": rolling_30d,
     "rolling_distinct": rolling_distinct,
     "event_counts_7d": event_counts_7d,
     "velocity": velocity,
@@ -319,6 +344,7 @@ QUERIES = {
 ORACLES = {
     "rolling_24h": ROLLING_24H_SQL,
     "rolling_multi": ROLLING_MULTI_SQL,
+    "rolling_30d": ROLLING_30D_SQL,
     "rolling_distinct": ROLLING_DISTINCT_SQL,
     "event_counts_7d": EVENT_COUNTS_7D_SQL,
     "velocity": VELOCITY_SQL,
