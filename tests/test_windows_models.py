@@ -13,7 +13,7 @@ from tierline.operators.models import (
     auc, knn_exact, per_group_least_squares, stratified_split, train_test_split,
 )
 from tierline.operators.ranking import exact_quantile, kth_smallest, running_total
-from tierline.operators.windows import rolling, rolling_fine
+from tierline.operators.windows import rolling, rolling_fine, rolling_frames
 
 
 def _events(spark, n=600, hot_share=0.4, seed=3):
@@ -141,3 +141,27 @@ def test_rolling_fine_equals_plain_window(spark, pieces):
     a = sorted((r["id"], r["n"], r["s"], r["mx"], r["mn"]) for r in got.collect())
     b = sorted((r["id"], r["n"], r["s"], r["mx"], r["mn"]) for r in ref.collect())
     assert a == b
+
+
+def test_rolling_frames_several_lengths_equal_plain_windows(spark):
+    # 30 min / 5 h / 2 d frames in one call, a hot key, exact time ties and NULL inputs
+    df = _events(spark, n=900).withColumn("v", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("v")))
+    M = 60 * 1_000_000
+    lengths = {"a": 30 * M, "b": 300 * M, "c": 48 * 60 * M}
+    aggs = []
+    for tag, L in lengths.items():
+        aggs += [("count", None, f"n_{tag}", L), ("count", "v", f"nv_{tag}", L),
+                 ("sum", "v", f"s_{tag}", L), ("max", "v", f"mx_{tag}", L), ("min", "v", f"mn_{tag}", L)]
+    got = rolling_frames(df, ["k"], "ts", aggs)
+    ref_cols = []
+    for tag, L in lengths.items():
+        w = Window.partitionBy("k").orderBy(epoch_us("ts")).rangeBetween(-L, 0)
+        ref_cols += [F.count(F.lit(1)).over(w).alias(f"n_{tag}"), F.count("v").over(w).alias(f"nv_{tag}"),
+                     F.sum("v").over(w).alias(f"s_{tag}"), F.max("v").over(w).alias(f"mx_{tag}"),
+                     F.min("v").over(w).alias(f"mn_{tag}")]
+    ref = df.select("id", *ref_cols)
+    names = ["id"] + [c for _, _, c, _ in aggs]
+    a = sorted(tuple(r[c] for c in names) for r in got.select(*names).collect())
+    b = sorted(tuple(r[c] for c in names) for r in ref.select(*names).collect())
+    assert len(a) == df.count()
+    assert a == b

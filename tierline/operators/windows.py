@@ -13,6 +13,7 @@ result is exact; the extra shuffle volume is ``length / bucket`` of the input
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -67,80 +68,149 @@ def exact_sum(col: str | Column, scale: int = 2, precision: int = 18) -> Column:
     return c.cast(f"decimal({precision},{scale})")
 
 
-def rolling_fine(df: DataFrame, keys: Sequence[str], ts: str, length_us: int,
-                 aggs: Sequence[tuple[str, str, str]], pieces: int = 30) -> DataFrame:
-    """Exact ``RANGE [t - length, t]`` count / sum / min / max per key with
-    buckets of ``length / pieces``, for long frames over hot keys.
-
-    With bucket width w = length / pieces, a row at time t = b*w + o sees:
-    rows of its own bucket b with offset <= o, every row of buckets
-    b-pieces+1 .. b-1, and rows of bucket b-pieces with offset >= o.
-    Each row is therefore emitted once more as a *ghost* into bucket
-    b+pieces; one window pass over (key, bucket) yields the own-bucket prefix
-    and the ghost suffix, and the whole buckets in between come from a
-    per-(key, bucket) aggregate (one row per bucket) with a RANGE frame over
-    bucket numbers.  A hot key is spread over span / w tasks at a fixed 2x
-    shuffle volume, however long the frame.
-
-    ``aggs``: (function, input column, output name), function in
-    count / sum / min / max; ``count`` counts non-NULL inputs (use a literal
-    column for COUNT(*)).
+# --- linear-time rolling frames ---------------------------------------------------
+#
+# Spark evaluates ``RANGE BETWEEN n PRECEDING AND CURRENT ROW`` by
+# re-aggregating the whole frame buffer whenever the frame moves, so a key
+# with f rows per frame costs rows x f -- quadratic for a dense hot key.
+# Running frames (UNBOUNDED PRECEDING) are incremental.  ``rolling_frames``
+# builds every ``[t - L, t]`` frame from running frames only.
+
+_PIECE_UNITS = (US["day"], US["hour"])
+
+
+def default_pieces(length_us: int) -> int:
+    """Pieces of the largest whole unit (day, hour) giving at least 4 of
+    them: 30 d -> 30 days, 24 h -> 24 hours; frames under a few hours are one
+    piece.  Few pieces keep the whole-bucket frame short (at most p - 1
+    bucket rows); the piece width bounds how much of one key a task sees."""
+    for u in _PIECE_UNITS:
+        if length_us % u == 0 and length_us // u >= 4:
+            return length_us // u
+    return 1
+
+
+def _floor_div(c: Column, w: int) -> Column:
+    # exact integer floor division, also for times before 1970
+    return ((c - F.pmod(c, F.lit(w))) / F.lit(w)).cast("bigint")
+
+
+_AGG = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+
+
+def rolling_frames(df: DataFrame, keys: Sequence[str], ts: str,
+                   aggs: Sequence[tuple[str, str | None, str, int]],
+                   pieces: dict[int, int] | None = None) -> DataFrame:
+    """Exact ``RANGE [t - L, t]`` count / sum / min / max per key, for any
+    number of frame lengths, in linear time and without single-key tasks.
+
+    ``aggs``: (function, input column or None for COUNT(*), output name,
+    length in microseconds); function in count / sum / min / max, ``count``
+    counts non-NULL inputs.  Ties in ``ts`` are peers (RANGE semantics).
+
+    A frame of length L is cut into p pieces of width w = L / p.  For a row at
+    t = b*w + o (bucket b, offset o) the frame is: rows of bucket b with
+    offset <= o (a running prefix), whole buckets b-p+1 .. b-1, and rows of
+    bucket b-p with offset >= o.  Each row is emitted once more per length
+    as a *ghost* at t + L, so the last part is a running suffix over the
+    ghosts of bucket b.  The whole buckets come from a per-(key, bucket)
+    aggregate and a RANGE frame over at most p-1 bucket rows; their totals
+    are added as tagged rows, so nothing is joined back.  Everything then
+    shares one hash shuffle on (key, coarse bucket), the coarse bucket being a
+    multiple of every w: a hot key is spread over span / coarse-bucket tasks,
+    and no frame is ever re-aggregated row by row.  Shuffle volume is
+    (1 + number of lengths) x input rows.
     """
-    if length_us % pieces:
-        raise ValueError("length must be a multiple of pieces")
-    w = length_us // pieces
-    t = epoch_us(ts)
-    b = F.floor(t / F.lit(w)).cast("bigint")
-    ins = sorted({c for _, c, _ in aggs})
-    base = df.withColumn("_t", t).withColumn("_b", b).withColumn("_o", F.col("_t") - F.col("_b") * F.lit(w))
+    if not aggs:
+        return df
+    for fn, *_ in aggs:
+        if fn not in _AGG:
+            raise ValueError(f"unsupported rolling function {fn}")
+    # a frame's SUM is NULL exactly when it holds no non-NULL input: carry a
+    # hidden non-NULL count next to every sum
+    out_names = [a[2] for a in aggs]
+    aggs = list(aggs) + [("count", c, f"_nn_{name}", ln) for fn, c, name, ln in aggs if fn == "sum"]
+    pieces = dict(pieces or {})
+    lengths = sorted({a[3] for a in aggs})
+    spec = []
+    for j, length in enumerate(lengths):
+        p = pieces.get(length) or default_pieces(length)
+        if length <= 0 or length % p:
+            raise ValueError(f"length {length} must be a positive multiple of its pieces {p}")
+        spec.append((j, length, p, length // p))
+    coarse = math.lcm(*[w for *_, w in spec])
+
+    def inp(c):
+        return "_one" if c is None else c
+
+    base = df.withColumn("_t", epoch_us(ts)).withColumn("_one", F.lit(1))
     real = base.withColumn("_g", F.lit(0))
-    ghost = (base.select(*keys, (F.col("_b") + pieces).alias("_b"), "_o", *ins)
-                 .withColumn("_g", F.lit(1)))
-    u = real.unionByName(ghost, allowMissingColumns=True)
-    part = Window.partitionBy(*keys, "_b")
-    upto = part.orderBy("_o").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = part.orderBy("_o").rangeBetween(Window.unboundedPreceding, -1)
-    from_o = part.orderBy(F.col("_o").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def only(g, c):
-        return F.when(F.col("_g") == g, F.col(c))
+    parts = [real]
+    for j, length, p, w in spec:
+        mine = [a for a in aggs if a[3] == length]
+        ins = sorted({inp(c) for _, c, _, _ in mine})
+        parts.append(base.select(*keys, (F.col("_t") + F.lit(length)).alias("_t"), *ins)
+                         .withColumn("_g", F.lit(j + 1)))
+        if p > 1:
+            b = _floor_div(F.col("_t"), w)
+            per_bucket = base.groupBy(*keys, b.alias("_bk")).agg(
+                *[_AGG[fn](inp(c)).alias(f"_pb_{name}") for fn, c, name, _ in mine])
+            between = Window.partitionBy(*keys).orderBy("_bk").rangeBetween(-(p - 1), -1)
+            merge = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+            parts.append(per_bucket.select(
+                *keys, (F.col("_bk") * F.lit(w)).alias("_t"), F.lit(-(j + 1)).alias("_g"),
+                *[merge[fn](f"_pb_{name}").over(between).alias(f"_mid_{name}")
+                  for fn, _, name, _ in mine]))
+    u = parts[0]
+    for part in parts[1:]:
+        u = u.unionByName(part, allowMissingColumns=True)
+    u = u.withColumn("_B", _floor_div(F.col("_t"), coarse))
+    for j, _, _, w in spec:
+        u = u.withColumn(f"_o{j}", F.pmod(F.col("_t"), F.lit(w))) \
+             .withColumn(f"_b{j}", _floor_div(F.col("_t"), w))
+    # one shuffle: every window below is partitioned by a refinement of it
+    u = u.repartition(*keys, "_B")
 
     cols = {}
-    for fn, c, name in aggs:
-        if fn in ("count", "sum"):
-            f = F.count if fn == "count" else F.sum
-            own = f(only(0, c)).over(upto)
-            ghost_sfx = f(only(1, c)).over(part) - F.coalesce(f(only(1, c)).over(before),
-                                                               F.lit(0))
-            cols[f"_own_{name}"], cols[f"_gh_{name}"] = own, ghost_sfx
-        elif fn in ("min", "max"):
-            f = F.min if fn == "min" else F.max
-            cols[f"_own_{name}"] = f(only(0, c)).over(upto)
-            cols[f"_gh_{name}"] = f(only(1, c)).over(from_o)
-        else:
-            raise ValueError(f"unsupported rolling function {fn}")
-    edges = u.select("*", *[v.alias(k) for k, v in cols.items()]).filter(F.col("_g") == 0)
-
-    # whole buckets strictly between: per-(key, bucket) aggregate, then a RANGE
-    # frame of the previous pieces-1 bucket numbers
-    bucket_aggs = []
-    for fn, c, name in aggs:
-        f = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[fn]
-        bucket_aggs.append(f(c).alias(f"_bk_{name}"))
-    per_bucket = base.groupBy(*keys, "_b").agg(*bucket_aggs)
-    between = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(pieces - 1), -1)
-    mids = per_bucket.select(*keys, "_b", *[
-        {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}[fn](f"_bk_{name}")
-        .over(between).alias(f"_mid_{name}") for fn, _, name in aggs])
-    joined = edges.join(mids, [*keys, "_b"], "left")
-    out = {}
-    for fn, _, name in aggs:
-        parts = [F.col(f"_own_{name}"), F.col(f"_gh_{name}"), F.col(f"_mid_{name}")]
-        if fn == "count":
-            out[name] = sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), parts[0]).cast("bigint")
-        elif fn == "sum":   # NULL only when every part is NULL, like SQL SUM
-            total = sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0)))
-            out[name] = F.when(F.coalesce(*parts).isNull(), F.lit(None)).otherwise(total)
-        else:
-            out[name] = (F.greatest if fn == "max" else F.least)(*parts)
-    return joined.select(*df.columns, *[v.alias(k) for k, v in out.items()])
+    for j, length, p, w in spec:
+        part = Window.partitionBy(*keys, "_B", f"_b{j}")
+        asc = part.orderBy(f"_o{j}")
+        upto = asc.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        before = asc.rangeBetween(Window.unboundedPreceding, -1)
+        whole = asc.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        desc = part.orderBy(F.col(f"_o{j}").desc()).rangeBetween(Window.unboundedPreceding,
+                                                                  Window.currentRow)
+
+        def tagged(g, c):
+            return F.when(F.col("_g") == g, F.col(c))
+
+        for fn, c, name, ln in aggs:
+            if ln != length:
+                continue
+            f, x = _AGG[fn], inp(c)
+            own = f(tagged(0, x)).over(upto)
+            if fn in ("count", "sum"):
+                gh = f(tagged(j + 1, x)).over(whole) - F.coalesce(f(tagged(j + 1, x)).over(before),
+                                                                   F.lit(0))
+            else:
+                gh = f(tagged(j + 1, x)).over(desc)
+            mid = (F.max(tagged(-(j + 1), f"_mid_{name}")).over(whole) if p > 1
+                   else F.lit(None))
+            if fn == "count":
+                cols[name] = (own + gh + F.coalesce(mid, F.lit(0))).cast("bigint")
+            elif fn == "sum":
+                cols[name] = sum((F.coalesce(v, F.lit(0)) for v in (gh, mid)), F.coalesce(own, F.lit(0)))
+            else:
+                cols[name] = (F.greatest if fn == "max" else F.least)(own, gh, mid)
+    for fn, _, name, _ in aggs:
+        if fn == "sum":
+            cols[name] = F.when(cols[f"_nn_{name}"] == 0, F.lit(None)).otherwise(cols[name])
+    out = u.select("*", *[v.alias(k) for k, v in cols.items()]).filter(F.col("_g") == 0)
+    return out.select(*df.columns, *out_names)
+
+
+def rolling_fine(df: DataFrame, keys: Sequence[str], ts: str, length_us: int,
+                 aggs: Sequence[tuple[str, str, str]], pieces: int = 30) -> DataFrame:
+    """Single-length form of :func:`rolling_frames` with ``pieces`` buckets."""
+    return rolling_frames(df, keys, ts, [(fn, c, name, length_us) for fn, c, name in aggs],
+                          {length_us: pieces})

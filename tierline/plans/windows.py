@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierline.functions import json_int, lit_ts, round_double, safe_ratio
-from tierline.operators.windows import duration_us, exact_sum, rolling, rolling_fine
+from tierline.operators.windows import duration_us, exact_sum, rolling, rolling_fine, rolling_frames
 from tierline.plans.common import EVENTS_ASOF, t
 
 H24 = duration_us(24, "hour")
@@ -25,16 +25,17 @@ def events_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rolling_24h(spark: SparkSession, sf: str) -> DataFrame:
-    e = t(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-
-    def cols(frame):
-        w = frame(H24)
-        s = F.sum(exact_sum("value")).over(w)
-        n = F.count(F.lit(1)).over(w)
-        return [n.alias("count_24h"), s.cast("double").alias("sum_24h"),
-                round_double(safe_ratio(s, n)).alias("avg_24h"),
-                F.max("value").over(w).alias("max_24h")]
-    return rolling(e, ["user_id"], "ts", cols, H24)
+    """24 h count / sum / avg / max per user at every event (linear-time
+    frames, hourly pieces)."""
+    e = (t(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+         .withColumn("_v", exact_sum("value")))
+    out = rolling_frames(e, ["user_id"], "ts", [("count", None, "count_24h", H24),
+                                                ("sum", "_v", "_s", H24),
+                                                ("max", "value", "max_24h", H24)])
+    return out.select("event_id", "user_id", "ts", "value", "count_24h",
+                      F.col("_s").cast("double").alias("sum_24h"),
+                      round_double(safe_ratio(F.col("_s"), F.col("count_24h"))).alias("avg_24h"),
+                      "max_24h")
 
 
 ROLLING_24H_SQL = """
@@ -49,18 +50,19 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PR
 
 
 def rolling_multi(spark: SparkSession, sf: str) -> DataFrame:
-    """5 min / 24 h / 30 d frames in one sort (same partition + order)."""
-    e = t(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-
-    def cols(frame):
-        out = []
-        for name, length in (("5m", M5), ("24h", H24), ("30d", D30)):
-            w = frame(length)
-            out += [F.count(F.lit(1)).over(w).alias(f"count_{name}"),
-                    F.sum(exact_sum("value")).over(w).cast("double").alias(f"sum_{name}"),
-                    F.max("value").over(w).alias(f"max_{name}")]
-        return out
-    return rolling(e, ["user_id"], "ts", cols, D30)
+    """5 min / 24 h / 30 d frames behind one shuffle (linear-time frames)."""
+    e = (t(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+         .withColumn("_v", exact_sum("value")))
+    frames = (("5m", M5), ("24h", H24), ("30d", D30))
+    aggs = []
+    for name, length in frames:
+        aggs += [("count", None, f"count_{name}", length), ("sum", "_v", f"_s_{name}", length),
+                 ("max", "value", f"max_{name}", length)]
+    out = rolling_frames(e, ["user_id"], "ts", aggs)
+    cols = []
+    for name, _ in frames:
+        cols += [f"count_{name}", F.col(f"_s_{name}").cast("double").alias(f"sum_{name}"), f"max_{name}"]
+    return out.select("event_id", "user_id", "ts", "value", *cols)
 
 
 def _multi_sql():
@@ -125,18 +127,15 @@ EVENT_TYPES_30D = ("error", "signup")
 
 
 def event_counts_7d(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed event counts over 7 / 30 days (counts of a 1-if-type column)."""
     e = t(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
-
-    def cols(frame):
-        out = []
-        for et in EVENT_TYPES_7D:
-            out.append(F.sum(F.when(F.col("event_type") == et, 1).otherwise(0))
-                       .over(frame(D7)).cast("bigint").alias(f"{et}_count_7d"))
-        for et in EVENT_TYPES_30D:
-            out.append(F.sum(F.when(F.col("event_type") == et, 1).otherwise(0))
-                       .over(frame(D30)).cast("bigint").alias(f"{et}_count_30d"))
-        return out
-    return rolling(e, ["user_id"], "ts", cols, D30)
+    aggs = []
+    for ets, length, suffix in ((EVENT_TYPES_7D, D7, "7d"), (EVENT_TYPES_30D, D30, "30d")):
+        for et in ets:
+            e = e.withColumn(f"_is_{et}", F.when(F.col("event_type") == et, 1))
+            aggs.append(("count", f"_is_{et}", f"{et}_count_{suffix}", length))
+    out = rolling_frames(e, ["user_id"], "ts", aggs)
+    return out.select("event_id", "user_id", "ts", "event_type", *[a[2] for a in aggs])
 
 
 def _counts_sql():
@@ -245,20 +244,24 @@ def txn_pattern_features(spark: SparkSession, sf: str) -> DataFrame:
     e = events_k(spark, sf).filter(F.col("event_type") == "purchase") \
         .select("user_id", "ts", "value", "k")
 
-    def cols(frame):
-        w, w30 = frame(H24), frame(D30)
-        s30, n30 = F.sum(exact_sum("value")).over(w30), F.count("value").over(w30)
-        return [F.count(F.lit(1)).over(w).cast("int").alias("transaction_count_24h"),
-                F.sum(exact_sum("value")).over(w).cast("double").alias("total_amount_24h"),
-                round_double(safe_ratio(s30, n30)).alias("avg_transaction_amount"),
-                F.max("value").over(w).alias("max_single_transaction"),
-                F.size(F.collect_set("k").over(w)).cast("int").alias("unique_merchants_24h"),
-                F.count_if(F.col("k") >= FOREIGN_MERCHANT_MIN).over(w).cast("int")
-                 .alias("foreign_transaction_count"),
-                F.count_if(F.col("k") <= HIGH_RISK_MERCHANT_MAX).over(w).cast("int")
-                 .alias("high_risk_merchant_count")]
-    out = rolling(e, ["user_id"], "ts", cols, D30)
-    return out.withColumnRenamed("ts", "pattern_timestamp").drop("value", "k")
+    e = (e.withColumn("_v", exact_sum("value"))
+          .withColumn("_foreign", F.when(F.col("k") >= FOREIGN_MERCHANT_MIN, 1))
+          .withColumn("_risky", F.when(F.col("k") <= HIGH_RISK_MERCHANT_MAX, 1)))
+    r = rolling_frames(e, ["user_id"], "ts", [
+        ("count", None, "_n24", H24), ("sum", "_v", "_s24", H24), ("max", "value", "_mx24", H24),
+        ("count", "_foreign", "_fo24", H24), ("count", "_risky", "_hr24", H24),
+        ("sum", "_v", "_s30", D30), ("count", "value", "_n30", D30)])
+
+    def distinct(frame):
+        return [F.size(F.collect_set("k").over(frame(H24))).cast("int").alias("unique_merchants_24h")]
+    r = rolling(r, ["user_id"], "ts", distinct, H24)
+    return r.select("user_id", F.col("ts").alias("pattern_timestamp"),
+                    F.col("_n24").cast("int").alias("transaction_count_24h"),
+                    F.col("_s24").cast("double").alias("total_amount_24h"),
+                    round_double(safe_ratio(F.col("_s30"), F.col("_n30"))).alias("avg_transaction_amount"),
+                    F.col("_mx24").alias("max_single_transaction"), "unique_merchants_24h",
+                    F.col("_fo24").cast("int").alias("foreign_transaction_count"),
+                    F.col("_hr24").cast("int").alias("high_risk_merchant_count"))
 
 
 TXN_PATTERN_SQL = """
@@ -285,16 +288,16 @@ def account_risk_features(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events").select("user_id", "ts", "event_type", "value")
     first_seen = e.groupBy("user_id").agg(F.min("ts").alias("_first"))
 
-    def cols(frame):
-        w7, w30 = frame(D7), frame(D30)
-        fails = F.count_if(F.col("event_type") == "error").over(w7)
-        pw = F.count_if(F.col("event_type") == "signup").over(w30)
-        flags = F.count_if((F.col("event_type") == "error")
-                           & (F.col("value") >= FRAUD_VALUE_MIN)).over(w30)
-        return [fails.cast("int").alias("failed_login_attempts_7d"),
-                pw.cast("int").alias("password_changes_30d"),
-                flags.cast("int").alias("previous_fraud_flags")]
-    r = rolling(e, ["user_id"], "ts", cols, D30).filter(F.col("event_type") == "error")
+    is_err = F.col("event_type") == "error"
+    e = (e.withColumn("_err", F.when(is_err, 1))
+          .withColumn("_pw", F.when(F.col("event_type") == "signup", 1))
+          .withColumn("_flag", F.when(is_err & (F.col("value") >= FRAUD_VALUE_MIN), 1)))
+    r = rolling_frames(e, ["user_id"], "ts", [("count", "_err", "_f7", D7), ("count", "_pw", "_p30", D30),
+                                              ("count", "_flag", "_fl", D30)])
+    r = (r.filter(is_err)
+          .select("*", F.col("_f7").cast("int").alias("failed_login_attempts_7d"),
+                  F.col("_p30").cast("int").alias("password_changes_30d"),
+                  F.col("_fl").cast("int").alias("previous_fraud_flags")))
     r = r.join(first_seen, "user_id", "left")
     return r.select(
         "user_id", F.col("ts").alias("assessed_at"),
