@@ -43,9 +43,17 @@ def test_pit_join_with_ttl_is_one_shuffle(spark):
     assert _shuffles(_plan(spark, "pit_join_ttl")) == 1
 
 
-def test_rolling_window_is_one_shuffle(spark):
+def test_rolling_window_shuffles_rows_once_and_never_slides_over_rows(spark):
+    # event rows cross the network once, hashed on (user, coarse bucket); the
+    # two other exchanges carry per-(user, hour) bucket totals only.  The one
+    # offset frame is over bucket numbers (at most 23 bucket rows); frames
+    # over event rows are running ones, so no frame is re-aggregated per row.
     plan = _plan(spark, "rolling_24h")
-    assert _shuffles(plan) == 1
+    ex = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(ex) == 3
+    assert sum("_B#" in e for e in ex) == 1
+    frames = set(re.findall(r"specifiedwindowframe\(RangeFrame, (-?\d+), (-?\d+)\)", plan))
+    assert frames == {("-23", "-1")}
     assert "SinglePartition" not in plan
 
 
