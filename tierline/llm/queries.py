@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tierline.llm import mixing, quality_adaptive
+from tierline.llm import bpe_queue, credential_links, html_density, mixing, quality_adaptive
 
 QUERIES = {
+    "op1_main_text": html_density.pages_main_text,
+    "op3_bpe_round_trip": bpe_queue.bpe_round_trip,
     "op5_mix_sources": mixing.mix_documents,
+    "op7_secret_scan": credential_links.secret_scan,
     "op9_quality_rules": quality_adaptive.quality_rules,
 }
 
