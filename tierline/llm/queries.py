@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tierline.llm import bpe_queue, credential_links, html_density, mixing, quality_adaptive
+from tierline.llm import bpe_queue, chat_events, credential_links, html_density, mixing, quality_adaptive
 
 QUERIES = {
     "op1_main_text": html_density.pages_main_text,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mix_sources": mixing.mix_documents,
     "op7_secret_scan": credential_links.secret_scan,
     "op9_quality_rules": quality_adaptive.quality_rules,
+    "op10_format_chats": chat_events.format_conversations,
 }
 
 ORACLES = {
