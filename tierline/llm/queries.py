@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tierline.llm import bpe_queue, chat_events, credential_links, html_density, mixing, quality_adaptive
+from tierline.llm import bpe_queue, chat_events, credential_links, html_density, mixing, quality_adaptive, warc
 
 QUERIES = {
     "op1_main_text": html_density.pages_main_text,
     "op3_bpe_round_trip": bpe_queue.bpe_round_trip,
     "op5_mix_sources": mixing.mix_documents,
+    "op6_warc_round_trip": warc.warc_round_trip,
     "op7_secret_scan": credential_links.secret_scan,
     "op9_quality_rules": quality_adaptive.quality_rules,
     "op10_format_chats": chat_events.format_conversations,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES = {
     "op5_mix_sources": mixing.ORACLE,
+    "op6_warc_round_trip": warc.ORACLE,
     "op9_quality_rules": quality_adaptive.ORACLE,
 }
