@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tierline.llm import bpe_queue, chat_events, credential_links, html_density, mixing, quality_adaptive, warc
+from tierline.llm import bpe_queue, chat_events, credential_links, embed_dedup, html_density, mixing, quality_adaptive, warc
 
 QUERIES = {
     "op1_main_text": html_density.pages_main_text,
+    "op2_embedding_dedup": embed_dedup.embedding_near_duplicates,
     "op3_bpe_round_trip": bpe_queue.bpe_round_trip,
     "op5_mix_sources": mixing.mix_documents,
     "op6_warc_round_trip": warc.warc_round_trip,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_embedding_dedup": embed_dedup.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op6_warc_round_trip": warc.ORACLE,
     "op9_quality_rules": quality_adaptive.ORACLE,
