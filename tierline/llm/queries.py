@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tierline.llm import bpe_queue, chat_events, credential_links, embed_dedup, html_density, mixing, quality_adaptive, warc
+from tierline.llm import bpe_queue, chat_events, credential_links, embed_dedup, html_density, lang_unigram, mixing, quality_adaptive, warc
 
 QUERIES = {
     "op1_main_text": html_density.pages_main_text,
     "op2_embedding_dedup": embed_dedup.embedding_near_duplicates,
     "op3_bpe_round_trip": bpe_queue.bpe_round_trip,
+    "op4_language_id": lang_unigram.language_id,
     "op5_mix_sources": mixing.mix_documents,
     "op6_warc_round_trip": warc.warc_round_trip,
     "op7_secret_scan": credential_links.secret_scan,
