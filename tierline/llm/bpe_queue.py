@@ -241,6 +241,17 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
     return decode(ids)
 
 
+def encode_checked(text: Column, path: str, pattern: str) -> Column:
+    """struct(token_ids, intact): ids of a text (null: none) and whether they decode to its bytes."""
+    @F.pandas_udf("token_ids array<int>, intact boolean")
+    def encode(texts: pd.Series) -> pd.DataFrame:
+        c = codec(path, pattern)
+        rows = [(ids, c.decode(ids) == (t or "").encode("utf-8", "surrogatepass"))
+                for t, ids in zip(texts, c.encode_all(texts))]
+        return pd.DataFrame(rows, columns=["token_ids", "intact"])
+    return encode(text)
+
+
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.

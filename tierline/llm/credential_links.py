@@ -146,7 +146,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     kept = F.struct(*[F.col(c) for c in names]) if names else F.struct(F.lit(0).alias("none"))
     scanned = docs.select(kept.alias("row"), scan_column(F.col(text_col)).alias("s"))
     scanned = stash(scanned.select(F.monotonically_increasing_id().alias("rid"), "row", "s.*"), "secret-scan")
-    linked = link_parts(scanned)
+    linked = stash(link_parts(scanned), "secret-links")    # few rows: joined by their measured size
     spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(_SPANS))))
     out = scanned.join(linked, "rid", "left")
     return out.select(*[F.col("row")[c].alias(c) for c in names], *added[:-1], spans.alias("all_spans"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tierline.llm import bpe_queue, chat_events, credential_links, embed_dedup, html_density, lang_unigram, mixing, quality_adaptive, warc
+from tierline.llm import bpe_queue, chat_events, credential_links, embed_dedup, html_density, jaccard_join, lang_unigram, mixing, quality_adaptive, warc
 
 QUERIES = {
     "op1_main_text": html_density.pages_main_text,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mix_sources": mixing.mix_documents,
     "op6_warc_round_trip": warc.warc_round_trip,
     "op7_secret_scan": credential_links.secret_scan,
+    "op8_jaccard_join": jaccard_join.jaccard_components,
     "op9_quality_rules": quality_adaptive.quality_rules,
     "op10_format_chats": chat_events.format_conversations,
 }
