@@ -371,16 +371,15 @@ def keep_representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     digest of the set decides, and one row of each component's first set stays.
     """
     linked = stash(linked_documents(docs, k, num, den, id_col, text_col), "linked")
-    unclear = linked.groupBy("doc_id").agg(F.count("*").alias("rows")) \
-        .filter("rows > 1 OR doc_id IS NULL").select("doc_id")
-    unclear = stash(unclear, "unclear-ids")
-    gone = stash(linked.filter("doc_id <> component_id").select("doc_id").distinct()
-                 .join(unclear, "doc_id", "left_anti"), "dropped-ids")
-    key = F.col(id_col)
-    clear = docs.join(_small(gone), key == gone["doc_id"], "left_anti")
+    unclear = stash(linked.groupBy(F.col("doc_id").alias("unclear_id")).agg(F.count("*").alias("rows"))
+                    .filter("rows > 1 OR unclear_id IS NULL").select("unclear_id"), "unclear-ids")
+    gone = stash(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+                 .join(unclear, F.col("gone_id").eqNullSafe(F.col("unclear_id")), "left_anti"), "dropped-ids")
+    clear = docs.join(_small(gone), docs[id_col] == gone["gone_id"], "left_anti")
     if unclear.isEmpty():
         return clear
-    clear = clear.join(_small(unclear), key.eqNullSafe(unclear["doc_id"]), "left_anti")
+    is_unclear = docs[id_col].eqNullSafe(unclear["unclear_id"])
+    clear = clear.join(_small(unclear), is_unclear, "left_anti")
 
     @F.pandas_udf("binary")
     def digest(ts: pd.Series) -> pd.Series:
@@ -391,10 +390,10 @@ def keep_representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     first = linked.filter("root IS NOT NULL").groupBy("root") \
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f"))
     first = first.select("root", F.col("f.doc_id").alias("first_id"), F.col("f.digest").alias("first_digest")) \
-        .join(unclear, F.col("first_id").eqNullSafe(unclear["doc_id"]), "left_semi")
+        .join(unclear, F.col("first_id").eqNullSafe(F.col("unclear_id")), "left_semi")
     names = docs.columns
-    doubtful = docs.join(_small(unclear), key.eqNullSafe(unclear["doc_id"]), "left_semi") \
-        .select(F.struct(*names).alias("row"), key.alias("k_id"), digest(F.col(text_col)).alias("k_digest"))
+    doubtful = docs.join(_small(unclear), is_unclear, "left_semi") \
+        .select(F.struct(*names).alias("row"), docs[id_col].alias("k_id"), digest(F.col(text_col)).alias("k_digest"))
     empty = hashlib.blake2b(b"", digest_size=16).digest()
     wordless = doubtful.filter(F.col("k_digest") == F.lit(empty)).select("row.*")
     chosen = doubtful.join(first, F.col("k_id").eqNullSafe(F.col("first_id")) & (F.col("k_digest") == F.col("first_digest"))) \
