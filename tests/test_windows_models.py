@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tierline.functions import epoch_us
 from tierline.operators.models import (
-    auc, knn_exact, per_group_least_squares, stratified_split, train_test_split,
+    auc, feature_importances, fit_model, knn_exact, outlier_scores, per_group_least_squares, predict,
+    regression_metrics, save_model, scaled_vectors, score_saved_model, stratified_split, train_test_split,
 )
-from tierline.operators.ranking import exact_quantile, kth_smallest, running_total
+from tierline.operators.ranking import exact_quantile, hash_bucket, kth_smallest, range_bucket, running_total
 from tierline.operators.windows import rolling, rolling_fine, rolling_frames
 
 
@@ -52,12 +53,12 @@ def test_running_total_and_quantile(spark):
     rnd = random.Random(1)
     vals = [(i, float(rnd.randrange(0, 50)), rnd.choice("ab")) for i in range(1000)]
     df = spark.createDataFrame(vals, "id long, x double, g string")
-    got = running_total(df, ["x", "id"], group_cols=["g"], out="r", num_partitions=7)
+    got = running_total(df, ["x", "id"], range_bucket(df, "x", 7), group_cols=["g"], out="r")
     for g in "ab":
         sub = sorted((x, i) for i, x, gg in vals if gg == g)
         exp = {i: n + 1 for n, (_, i) in enumerate(sub)}
         assert {r["id"]: r["r"] for r in got.filter(F.col("g") == g).collect()} == exp
-    q = exact_quantile(df, "x", 0.95, "id")
+    q = exact_quantile(df, "x", 0.95)
     assert q == pytest.approx(float(np.quantile([v[1] for v in vals], 0.95)))
 
 
@@ -67,7 +68,7 @@ def test_kth_smallest_refinement(spark):
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     srt = np.sort(x)
     for k in (1, 2, 700, 1500, 2999, 3501, len(x)):
-        assert kth_smallest(df, "x", k, bins=16, collect_below=10) == srt[k - 1]
+        assert kth_smallest(df, "x", k, bins=16) == srt[k - 1]
     for q in (0.0, 0.5, 0.95, 1.0):
         assert exact_quantile(df, "x", q) == pytest.approx(float(np.quantile(x, q)), rel=1e-12)
 
@@ -165,3 +166,113 @@ def test_rolling_frames_several_lengths_equal_plain_windows(spark):
     b = sorted(tuple(r[c] for c in names) for r in ref.select(*names).collect())
     assert len(a) == df.count()
     assert a == b
+
+
+def test_running_total_is_exact_with_payload_and_reruns_agree(spark):
+    n = 150_000
+    df = spark.range(n).select(
+        "id", F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("h"), (F.col("id") % 3).alias("g"),
+        F.concat(F.lit("payload "), F.col("id").cast("string")).alias("p"))
+    got = running_total(df, ["h", "id"], hash_bucket(F.col("h"), 64), group_cols=["g"], out="r", total="n")
+    ref = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy("h", "id")))
+    j = got.join(ref.select("id", "want"), "id")
+    assert j.count() == n and j.filter("r <> want OR n <> 50000").count() == 0
+    again = running_total(df.repartition(13), ["h", "id"], hash_bucket(F.col("h"), 64), group_cols=["g"], out="r")
+    assert got.select("id", "r").exceptAll(again.select("id", "r")).count() == 0
+
+
+def test_stratified_split_keeps_rows_without_label(spark):
+    df = spark.createDataFrame([(i, [None, "a", "b"][i % 3], "x" * i) for i in range(90)],
+                               "id long, y string, payload string")
+    out = stratified_split(df, "id", "y", 0.2)
+    c = {(r["y"], r["split"]): r["count"] for r in out.groupBy("y", "split").count().collect()}
+    assert out.count() == 90 and all(c[(y, "test")] == 6 for y in (None, "a", "b"))
+
+
+def test_auc_of_many_distinct_scores(spark):
+    df = spark.range(40_000).select(
+        (F.pmod(F.xxhash64("id"), F.lit(1000)) < 400).cast("int").alias("y"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_003)) / 1e6).alias("s0"))
+    df = df.select("y", (F.col("s0") + F.col("y") * 0.2).alias("s"))
+    rows = df.collect()
+    y = np.array([r["y"] for r in rows])
+    rank = np.array([r["s"] for r in rows]).argsort().argsort() + 1
+    p, n = y.sum(), len(y) - y.sum()
+    want = (rank[y == 1].sum() - p * (p + 1) / 2) / (p * n)
+    assert auc(df, "y", "s").first()["auc"] == pytest.approx(want, abs=2e-4)
+    assert auc(df, "y", "s").first() == auc(df.repartition(9), "y", "s").first()
+
+
+def test_kth_smallest_with_nan_and_infinities(spark):
+    v = [float("nan"), float("-inf"), 3.0, 1.0, float("inf"), 2.0, -1.7e308, 1.7e308]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,)], "x double")
+    want = [float("-inf"), -1.7e308, 1.0, 2.0, 3.0, 1.7e308, float("inf")]
+    assert [kth_smallest(df, "x", k) for k in range(1, 8)] == want
+    assert np.isnan(kth_smallest(df, "x", 8))
+    with pytest.raises(ValueError):
+        kth_smallest(df, "x", 9)
+
+
+def test_outlier_scores_of_constant_and_nan_columns(spark):
+    df = spark.createDataFrame([(i, 5.0, float("nan") if i == 3 else float(i)) for i in range(20)],
+                               "id long, c double, x double")
+    got = {r["id"]: r for r in outlier_scores(df, "id", ["c", "x"], 0.1).collect()}
+    assert len(got) == 20 and got[3]["outlier_score"] == 0.0 and got[19]["is_outlier"]
+
+
+def test_regression_metrics_of_small_and_huge_targets(spark):
+    rows = [(0.1 * i, 0.1 * i + (0.01 if i % 2 else -0.01)) for i in range(10)]
+    for scale in (1.0, 1e17):
+        df = spark.createDataFrame([(a * scale, b * scale) for a, b in rows], "y double, p double")
+        m = regression_metrics(df, "y", "p").first()
+        assert m["mse"] == pytest.approx(1e-4 * scale * scale) and m["r2"] == pytest.approx(1 - 1e-4 / 0.0825)
+    assert regression_metrics(df.filter("false"), "y", "p").first()["mse"] is None
+
+
+@pytest.mark.parametrize("classes", [1, 3])
+def test_probabilities_follow_the_number_of_classes(spark, classes):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % classes)) for i in range(120)], "id long, x double, y double")
+    m = fit_model(df, ["x"], "y", numTrees=3, maxDepth=3)
+    out = predict(m, df, ["x"], ["id"])
+    named = [c for c in out.columns if c.startswith("class_")]
+    assert len(named) == m.stages[-1].numClasses >= classes
+    assert out.filter(F.abs(sum(F.col(c) for c in named) - 1) > 1e-9).count() == 0
+
+
+def test_forest_does_not_depend_on_partitioning(spark):
+    df = spark.createDataFrame([(float(i % 11), float(i % 5), float((i * 7) % 3 == 0)) for i in range(400)],
+                               "a double, b double, y double")
+    one = fit_model(df.coalesce(1), ["a", "b"], "y", numTrees=5, maxDepth=4)
+    many = fit_model(df.repartition(9), ["a", "b"], "y", numTrees=5, maxDepth=4)
+    assert feature_importances(one, ["a", "b"]) == feature_importances(many, ["a", "b"])
+    assert one.stages[-1].toDebugString.split("\n")[1:] == many.stages[-1].toDebugString.split("\n")[1:]
+
+
+def test_saved_model_scores_every_non_entity_column(spark):
+    from tierline.session import scratch_path
+    df = spark.createDataFrame([(i, "e", float(i % 4), float(i % 3), float(i % 4 > 1)) for i in range(80)],
+                               "id long, tag string, a double, b double, y double")
+    path = save_model(fit_model(df, ["a", "b"], "y", numTrees=3), scratch_path(spark, "m"))
+    out = score_saved_model(spark, path, df.select("b", "id", "a", "tag"), ["id", "tag"], prediction_col="p")
+    assert out.filter("p <> (CASE WHEN a > 1 THEN 1.0 ELSE 0.0 END)").count() == 0
+    with pytest.raises(ValueError):
+        score_saved_model(spark, path, df.select("id", "a"), ["id"])
+
+
+def test_knn_of_a_query_set_on_scaled_features(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 3)) * [1.0, 100.0, 0.0]
+    items = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(120)], "id long, v array<double>")
+    scaled, asked = scaled_vectors(items, "v", items.filter("id < 5"))
+    got = {}
+    for r in knn_exact(scaled, "id", "v", k=4, block_rows=50, queries=asked).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["neighbor_id"], r["distance"]))
+    dev = x.std(axis=0)
+    z = np.where(dev > 0, (x - x.mean(axis=0)) / np.where(dev > 0, dev, 1), 0)
+    assert set(got) == set(range(5))
+    for q in range(5):
+        d = np.sqrt(((z - z[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(120), d))[:4]
+        assert [n for _, n, _ in sorted(got[q])] == list(best)
+        assert [v for _, _, v in sorted(got[q])] == pytest.approx(list(d[best]), abs=1e-6)

@@ -19,11 +19,12 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierline.functions import hash_fraction, safe_ratio
-from tierline.operators.ranking import exact_quantile, running_total
+from tierline.operators.ranking import exact_quantile, hash_bucket, range_bucket, running_total
+from tierline.session import scratch_path
 
 
 # --- splits -------------------------------------------------------------------
@@ -42,17 +43,18 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
                      seed: int = 42) -> DataFrame:
     """Exact per-label proportions: within each label, rows ordered by their
     32-bit key hash (then key); the first round(test_size * n_label) are test.
-    Ranks come from :func:`running_total`, so a big label class is still
-    processed by many tasks."""
+    Rows without a label are a class of their own.  Ranks come from
+    :func:`running_total` over 1024 hash buckets, so a big label class is still
+    processed by many tasks, and a row's split depends on the row set alone."""
+    if not 0.0 < test_size < 1.0:
+        raise ValueError("test_size must be in (0, 1)")
     h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 8),
                16, 10).cast("bigint")
-    staged = df.withColumn("_h", h)
-    ranked = running_total(staged, ["_h", key], group_cols=[label], out="_r")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_total(df.withColumn("_h", h), ["_h", key], hash_bucket(F.col("_h")),
+                           group_cols=[label], out="_r", total="_n")
     per_mille = int(round(test_size * 1000))
     n_test = ((F.col("_n") * per_mille + 500) / 1000).cast("bigint")
-    return (ranked.join(sizes, [label])
-                  .withColumn("split", F.when(F.col("_r") <= n_test, "test").otherwise("train"))
+    return (ranked.withColumn("split", F.when(F.col("_r") <= n_test, "test").otherwise("train"))
                   .drop("_h", "_r", "_n"))
 
 
@@ -68,11 +70,17 @@ ESTIMATORS = {
 
 def fit_model(train: DataFrame, features: Sequence[str], label: str, framework: str = "random_forest",
               task: str = "classification", scale: bool = False, seed: int = 42,
-              **params) -> PipelineModel:
-    """Assemble features (NULL -> 0.0), optionally scale, fit one estimator."""
+              fill: float | None = 0.0, partitions: int = 32, **params) -> PipelineModel:
+    """Assemble features, optionally scale, fit one estimator.
+
+    ``fill`` replaces NULL features (None: a NULL feature fails the fit).  Rows
+    are dealt by a hash of their values into ``partitions`` partitions and sorted
+    there, so bootstrap samples, which MLlib draws per partition, and with them
+    the model, do not depend on the cluster's size or on file order."""
     if (framework, task) not in ESTIMATORS:
         raise ValueError(f"unsupported framework/task {framework}/{task}")
-    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep")]
+    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw",
+                              handleInvalid="error" if fill is None else "keep")]
     feat_col = "_raw"
     if scale:
         stages.append(StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True))
@@ -82,31 +90,51 @@ def fit_model(train: DataFrame, features: Sequence[str], label: str, framework:
     # iterative fits read the input many times (metadata, splits, one pass
     # per tree level / boosting round): keep only the needed columns cached
     # for the duration of the fit, spilling to disk when large
-    filled = train.select(*features, label).fillna(0.0, subset=list(features))
-    par = train.sparkSession.sparkContext.defaultParallelism
-    if filled.rdd.getNumPartitions() < par:
-        # AQE may coalesce a small input to a few partitions; tree fits
-        # parallelize over partitions, so spread it over all cores once
-        filled = filled.repartition(par)
-    filled = filled.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _filled(train.select(*features, label), features, fill)
+    dealt = rows.repartition(partitions, F.xxhash64(*rows.columns)) \
+        .sortWithinPartitions(*rows.columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=stages).fit(filled)
+        return Pipeline(stages=stages).fit(dealt)
     finally:
-        filled.unpersist()
+        dealt.unpersist()
+
+
+def _filled(df: DataFrame, features: Sequence[str], fill: float | None) -> DataFrame:
+    return df if fill is None else df.fillna(float(fill), subset=list(features))
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str],
-            probabilities: bool = True) -> DataFrame:
-    """Batch scoring: ``keep`` columns + prediction (+ class_i probabilities)."""
-    out = model.transform(df.fillna(0.0, subset=list(features)))
-    cols = [F.col(c) for c in keep] + [F.col("prediction")]
+            probabilities: bool = True, fill: float | None = 0.0,
+            prediction_col: str = "prediction") -> DataFrame:
+    """Batch scoring: ``keep`` columns + prediction (+ one ``class_i`` probability
+    per class the fitted model knows)."""
+    out = model.transform(_filled(df, features, fill))
+    cols = [F.col(c) for c in keep] + [F.col("prediction").alias(prediction_col)]
     if probabilities and "probability" in out.columns:
         arr = vector_to_array("probability")
-        n = len(out.schema["probability"].metadata.get("ml_attr", {}).get("attrs", {}).get("numeric", [])) or 2
-        cols += [arr[i].alias(f"class_{i}") for i in range(n)]
+        cols += [arr[i].alias(f"class_{i}") for i in range(model.stages[-1].numClasses)]
     return out.select(*cols)
 
 
+def save_model(model: PipelineModel, path: str) -> str:
+    """Save a fitted pipeline below the shared root; returns its path."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def score_saved_model(spark: SparkSession, path: str, df: DataFrame, entity_cols: Sequence[str],
+                      prediction_col: str = "prediction", probabilities: bool = True,
+                      fill: float | None = 0.0) -> DataFrame:
+    """Score ``df`` with a saved pipeline: every column that is not an entity column
+    is a feature.  They must be the model's own features (in any order)."""
+    model = PipelineModel.load(path)
+    wanted = model.stages[0].getInputCols()
+    features = [c for c in df.columns if c not in set(entity_cols)]
+    if sorted(features) != sorted(wanted):
+        raise ValueError(f"the model takes {sorted(wanted)}, the frame has {sorted(features)}")
+    return predict(model, df, wanted, [*entity_cols, *features], probabilities, fill, prediction_col)
+
+
 def feature_importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
     imp = model.stages[-1].featureImportances.toArray()
     return [(f, float(v)) for f, v in zip(features, imp)]
@@ -139,20 +167,26 @@ def classification_metrics(df: DataFrame, label: str = "label",
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """MSE and R2 from exact decimal sums (order-independent)."""
-    y = F.col(label).cast("decimal(18,2)")
-    e = y - F.col(prediction).cast("decimal(18,2)")
-    a = df.agg(F.sum(e * e).alias("sse"), F.sum(y * y).alias("syy"), F.sum(y).alias("sy"),
-               F.count(F.lit(1)).alias("n"))
-    sy = F.col("sy").cast("double")
-    sst = F.col("syy").cast("double") - sy * sy / F.col("n")
-    return a.select(F.round(F.col("sse").cast("double") / F.col("n"), 4).alias("mse"),
-                    F.round(1.0 - safe_ratio(F.col("sse").cast("double"), sst), 6).alias("r2"),
+    """MSE and R2 in double on centred values, unrounded.
+
+    The label's mean comes first, so R2 keeps its digits however far the label
+    lies from zero; pairs with a NULL side are left out.  A constant label gives
+    a NULL R2."""
+    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    pairs = df.select(y.alias("y"), p.alias("p")).filter("y IS NOT NULL AND p IS NOT NULL")
+    mean = pairs.agg(F.avg("y")).first()[0] or 0.0
+    e, d = F.col("y") - F.col("p"), F.col("y") - F.lit(mean)
+    a = pairs.agg(F.sum(e * e).alias("sse"), F.sum(d * d).alias("sst"), F.sum(d).alias("sd"),
+                  F.count(F.lit(1)).alias("n"))
+    sst = F.col("sst") - F.col("sd") * F.col("sd") / F.col("n")
+    return a.select(safe_ratio(F.col("sse"), F.col("n")).alias("mse"),
+                    (1.0 - safe_ratio(F.col("sse"), sst)).alias("r2"),
                     F.col("n").cast("bigint").alias("n"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """ROC AUC by rank sum with average ranks for tied scores.
+    """ROC AUC by rank sum with average ranks for tied scores (rows with a NULL
+    score or label are left out; NaN is the highest score).
 
     Rows are first reduced to one row per distinct score (positives,
     negatives), then ranks are running totals over the distinct scores."""
@@ -160,7 +194,7 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
            .groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"),
                                F.count_if(F.col(label) != 1).alias("neg")))
     g = g.withColumn("cnt", F.col("pos") + F.col("neg"))
-    r = running_total(g, [score], "cnt", out="_cum")
+    r = running_total(g, [score], range_bucket(g, score), "cnt", out="_cum")
     avg_rank = F.col("_cum") - F.col("cnt") + (F.col("cnt") + 1) / 2.0
     s = r.agg(F.sum(F.col("pos") * avg_rank).alias("rsum"), F.sum("pos").alias("P"),
               F.sum("neg").alias("N"))
@@ -191,16 +225,21 @@ def standard_scale(df: DataFrame, cols: Sequence[str], keep: Sequence[str], digi
 def outlier_scores(df: DataFrame, key: str, cols: Sequence[str], contamination: float = 0.05) -> DataFrame:
     """Score = max |population z| over the columns; the top ``contamination``
     share (score above the exact (1 - c) quantile) is flagged.  A stated
-    different method from an isolation forest, which MLlib does not have."""
+    different method from an isolation forest, which MLlib does not have.
+    NaN counts as missing; a row without any value scores 0."""
+    clean = df.select(key, *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols])
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
-    st = df.agg(*aggs).first()
-    zs = [F.abs((F.col(c) - F.lit(st[f"m_{c}"])) / F.lit(st[f"s_{c}"])) for c in cols]
+    st = clean.agg(*aggs).first()
+    # a constant column (deviation 0) says nothing; NaN and NULL values neither
+    zs = [F.abs((F.col(c) - F.lit(st[f"m_{c}"])) / F.lit(st[f"s_{c}"])) for c in cols if st[f"s_{c}"]]
+    score = F.greatest(*zs, F.lit(0.0)) if zs else F.lit(0.0)
     # the (key, score) pairs are read by several passes (count, selection
-    # rounds, final flag); keeping just these two columns cached avoids
-    # recomputing the upstream joins for each pass
-    scored = df.select(key, F.greatest(*zs).alias("outlier_score")).persist()
+    # rounds, final flag): written once, so nothing stays cached afterwards
+    path = scratch_path(df.sparkSession, "outliers")
+    clean.select(key, score.alias("outlier_score")).write.parquet(path)
+    scored = df.sparkSession.read.parquet(path)
     thr = exact_quantile(scored, "outlier_score", 1.0 - contamination)
     return scored.select(key, F.round("outlier_score", 6).alias("outlier_score"),
                          (F.col("outlier_score") > F.lit(thr)).alias("is_outlier"))
@@ -208,54 +247,84 @@ def outlier_scores(df: DataFrame, key: str, cols: Sequence[str], contamination:
 
 # --- exact kNN ----------------------------------------------------------------------
 
-def knn_exact(items: DataFrame, id_col: str, vec_col: str, k: int = 10,
-              block_rows: int = 4096, exclude_self: bool = True) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean) of every item among all items.
-
-    Items are hashed into B = max(ceil(n / block_rows), ceil(sqrt(task slots)))
-    blocks.  Cell (q, i) holds
-    query block q and item block i (each row is replicated B times, never
-    all pairs as rows); a pandas task per cell computes distances for at
-    most block_rows x block_rows pairs and keeps each query's k best; a final
-    per-query step keeps the k best of its B * k candidates.  Work is the
-    inherent n^2 distance computations, spread over B^2 bounded tasks."""
-    n = items.count()
-    # enough blocks that no cell exceeds block_rows per side, and at least
-    # as many cells (blocks^2) as task slots so small inputs still fan out
+def scaled_vectors(items: DataFrame, vec_col: str, *others: DataFrame) -> list[DataFrame]:
+    """``items`` and ``others`` with each dimension of ``vec_col`` standardized by the
+    items' population mean and deviation (a constant dimension becomes 0).  The
+    statistics are one row per dimension, applied as literal arrays."""
+    st = (items.select(F.posexplode(F.col(vec_col).cast("array<double>")).alias("i", "x"))
+          .groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect())
+    mean = F.array(*[F.lit(r["m"]) for r in st])
+    dev = F.array(*[F.lit(r["s"]) for r in st])
+
+    def scaled(df):
+        v = F.col(vec_col).cast("array<double>")
+        return df.withColumn(vec_col, F.transform(v, lambda x, i: F.when(
+            F.get(dev, i) > 0, (x - F.get(mean, i)) / F.get(dev, i)).otherwise(0.0)))
+    return [scaled(d) for d in (items, *others)]
+
+
+def _nearest(q: np.ndarray, qid: np.ndarray, t: np.ndarray, tid: np.ndarray, k: int, skip_self: bool):
+    """(query row, item row, distance) of the k best per query: distances by matrix
+    product first, then exactly for all items up to a rounding margin of the k-th."""
+    tt = (t * t).sum(axis=1)
+    for start in range(0, len(q), 256):
+        part = q[start:start + 256]
+        qq = (part * part).sum(axis=1)
+        near = qq[:, None] + tt[None, :] - 2.0 * (part @ t.T)
+        if skip_self:
+            near[qid[start:start + 256][:, None] == tid[None, :]] = np.inf
+        kk = min(k, near.shape[1])
+        kth = np.partition(near, kk - 1, axis=1)[:, kk - 1]
+        margin = 1e-9 * (qq + tt.max(initial=0.0) + 1.0)
+        rows, cols = np.nonzero((near <= (kth + margin)[:, None]) & np.isfinite(near))
+        d = np.sqrt(((part[rows] - t[cols]) ** 2).sum(axis=1))
+        order = np.lexsort((tid[cols], d, rows))
+        rows, cols, d = rows[order], cols[order], d[order]
+        first = np.searchsorted(rows, rows)          # place of the query's first candidate
+        best = np.arange(len(rows)) - first < kk
+        yield rows[best] + start, cols[best], d[best]
+
+
+def knn_exact(items: DataFrame, id_col: str, vec_col: str, k: int = 10, block_rows: int = 4096,
+              exclude_self: bool = True, queries: DataFrame | None = None) -> DataFrame:
+    """Exact k nearest items (Euclidean) of every query (default: of every item).
+
+    Queries and items are hashed into blocks of about ``block_rows``.  Cell (q, i)
+    holds query block q and item block i; a pandas task per cell multiplies the two
+    blocks as matrices and keeps each query's k best; a final per-query step keeps
+    the k best of its candidates.  Items are copied once per query block and queries
+    once per item block: for a bounded query set that is linear in the items, for a
+    full self-join it is the inherent quadratic work.  NULL vectors take no part."""
+    base = items.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")) \
+        .filter("_v IS NOT NULL")
+    asked = base if queries is None else queries.select(
+        F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).filter("_v IS NOT NULL")
+    n_items = base.count()
+    n_queries = n_items if queries is None else asked.count()
+    # at least as many cells as task slots, so small inputs still fan out
     slots = items.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, math.ceil(n / block_rows), math.ceil(math.sqrt(slots)))
-    base = items.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"),
-                        (F.abs(F.xxhash64(F.col(id_col))) % blocks).alias("_blk"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    queries = base.select("_id", "_v", F.col("_blk").alias("_q"), F.explode(others).alias("_i"),
-                          F.lit(True).alias("_is_q"))
-    targets = base.select("_id", "_v", F.explode(others).alias("_q"), F.col("_blk").alias("_i"),
-                          F.lit(False).alias("_is_q"))
-    cells = queries.unionByName(targets)
+    item_blocks = max(1, math.ceil(n_items / block_rows), math.ceil(math.sqrt(slots)))
+    query_blocks = max(1, math.ceil(n_queries / block_rows), math.ceil(math.sqrt(slots)))
+    h = F.abs(F.xxhash64("_id"))
+    left = asked.select("_id", "_v", (h % query_blocks).alias("_q"),
+                        F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)).cast("array<bigint>")).alias("_i"),
+                        F.lit(True).alias("_is_q"))
+    right = base.select("_id", "_v",
+                        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>")).alias("_q"),
+                        (h % item_blocks).alias("_i"), F.lit(False).alias("_is_q"))
 
     def best_in_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        qd, td = pdf[pdf["_is_q"]], pdf[~pdf["_is_q"]]
+        is_q = pdf["_is_q"].to_numpy(bool)
+        qd, td = pdf[is_q], pdf[~is_q]
         if qd.empty or td.empty:
             return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
-        tv = np.stack(td["_v"].to_numpy())
-        tid = td["_id"].to_numpy()
-        outs = []
-        for start in range(0, len(qd), 64):
-            chunk = qd.iloc[start:start + 64]
-            qv = np.stack(chunk["_v"].to_numpy())
-            d = np.sqrt(((qv[:, None, :] - tv[None, :, :]) ** 2).sum(axis=2))
-            qid = chunk["_id"].to_numpy()
-            if exclude_self:
-                d = np.where(qid[:, None] == tid[None, :], np.inf, d)
-            kk = min(k, d.shape[1])
-            for r in range(d.shape[0]):
-                order = np.lexsort((tid, d[r]))[:kk]
-                order = order[np.isfinite(d[r][order])]
-                outs.append(pd.DataFrame({"query_id": qid[r], "neighbor_id": tid[order],
-                                          "distance": d[r][order]}))
-        return pd.concat(outs, ignore_index=True)
-
-    cand = cells.groupBy("_q", "_i").applyInPandas(
+        qid, tid = qd["_id"].to_numpy(), td["_id"].to_numpy()
+        found = list(_nearest(np.stack(qd["_v"].to_numpy()), qid, np.stack(td["_v"].to_numpy()), tid, k, exclude_self))
+        return pd.DataFrame({"query_id": np.concatenate([qid[r] for r, _, _ in found]),
+                             "neighbor_id": np.concatenate([tid[c] for _, c, _ in found]),
+                             "distance": np.concatenate([d for _, _, d in found])})
+
+    cand = left.unionByName(right).groupBy("_q", "_i").applyInPandas(
         best_in_cell, "query_id long, neighbor_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -300,6 +369,3 @@ def per_group_least_squares(df: DataFrame, group: str, xs: Sequence[str], y: str
 
     return stats.groupBy(group).applyInPandas(solve, out_schema)
 
-
-def label_prediction_pairs(df: DataFrame, label: str, prediction: Column) -> DataFrame:
-    return df.select(F.col(label).alias("label"), prediction.alias("prediction"))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tierline.functions import round_double
 from tierline.operators.models import (
     auc, classification_metrics, feature_importances, fit_model, knn_exact, outlier_scores,
-    per_group_least_squares, predict, regression_metrics, standard_scale, stratified_split,
-    train_test_split,
+    per_group_least_squares, predict, regression_metrics, save_model, scaled_vectors, score_saved_model,
+    standard_scale, stratified_split, train_test_split,
 )
 from tierline.operators.sinks import write_parquet
 from tierline.plans.common import t
@@ -94,6 +94,16 @@ FROM r
 """
 
 
+def stratified_split_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The same split with every column of the orders carried along."""
+    o = t(spark, sf, "orders")
+    return stratified_split(o, "o_orderkey", "o_orderstatus", 0.2, 42)
+
+
+STRATIFIED_WIDE_SQL = STRATIFIED_SQL.replace("SELECT o_orderkey, o_orderstatus,\n", "SELECT *,\n", 1) \
+    .replace("SELECT o_orderkey, o_orderstatus, CASE", "SELECT * EXCLUDE (hv, rn, n), CASE")
+
+
 def metrics_classification(spark: SparkSession, sf: str) -> DataFrame:
     """label = document quality, prediction = not toxic."""
     lab = t(spark, sf, "labels")
@@ -122,20 +132,32 @@ FROM m
 def metrics_regression(spark: SparkSession, sf: str) -> DataFrame:
     """label = order total, prediction = sum of its line extended prices."""
     f = order_frame(spark, sf)
-    return regression_metrics(f, "o_totalprice", "total_ext")
+    m = regression_metrics(f, "o_totalprice", "total_ext")
+    return m.select(F.round("mse", 0).alias("mse"), F.round("r2", 6).alias("r2"), "n")
 
 
-METRICS_REGRESSION_SQL = f"""
-WITH d AS (SELECT CAST(o_totalprice AS DECIMAL(18,2)) AS y, CAST(total_ext AS DECIMAL(18,2)) AS p
-           FROM ({ORDER_FRAME_SQL}) f),
-a AS (SELECT SUM((y - p) * (y - p)) AS sse, SUM(y * y) AS syy, SUM(y) AS sy, COUNT(*) AS n FROM d)
-SELECT ROUND(CAST(sse AS DOUBLE) / n, 4) AS mse,
-       ROUND(1.0 - CAST(sse AS DOUBLE) / NULLIF(CAST(syy AS DOUBLE) - CAST(sy AS DOUBLE) * CAST(sy AS DOUBLE) / n, 0), 6) AS r2,
-       CAST(n AS BIGINT) AS n
+def _regression_sql(frame: str, y: str, p: str, digits: int) -> str:
+    return f"""
+WITH d AS (SELECT CAST({y} AS DOUBLE) AS y, CAST({p} AS DOUBLE) AS p FROM ({frame}) f),
+m AS (SELECT AVG(y) AS my FROM d),
+a AS (SELECT SUM((y - p) * (y - p)) AS sse, SUM((y - my) * (y - my)) AS sst, COUNT(*) AS n FROM d, m)
+SELECT ROUND(sse / n, {digits}) AS mse, ROUND(1.0 - sse / NULLIF(sst, 0), 6) AS r2, CAST(n AS BIGINT) AS n
 FROM a
 """
 
 
+METRICS_REGRESSION_SQL = _regression_sql(ORDER_FRAME_SQL, "o_totalprice", "total_ext", 0)
+
+
+def metrics_regression_unit(spark: SparkSession, sf: str) -> DataFrame:
+    """A target in 0..1: a line's discount against its tax."""
+    m = regression_metrics(t(spark, sf, "lineitem"), "l_discount", "l_tax")
+    return m.select(F.round("mse", 9).alias("mse"), F.round("r2", 6).alias("r2"), "n")
+
+
+METRICS_REGRESSION_UNIT_SQL = _regression_sql("SELECT * FROM lineitem", "l_discount", "l_tax", 9)
+
+
 def metrics_auc(spark: SparkSession, sf: str) -> DataFrame:
     """AUC of document length as a score for the quality label."""
     lab = t(spark, sf, "labels").select("doc_id", "quality")
@@ -155,6 +177,17 @@ SELECT ROUND((SUM(pos * (cum - cnt + (cnt + 1) / 2.0)) - SUM(pos) * (SUM(pos) +
 FROM r
 """
 
+def auc_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """AUC of a nearly unique score: order total against order completed."""
+    o = t(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("y"), "o_totalprice")
+    return auc(o, "y", "o_totalprice")
+
+
+AUC_SCORES_SQL = METRICS_AUC_SQL.replace("""SELECT l.quality AS y, CAST(doc.n_chars AS DOUBLE) AS s
+           FROM labels l JOIN documents doc ON l.doc_id = doc.doc_id""",
+                                         """SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y,
+                  o_totalprice AS s FROM orders""")
+
 SCALE_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
@@ -183,7 +216,7 @@ SELECT o_orderkey, ROUND(sc, 6) AS outlier_score, sc > quantile_cont(sc, 0.95) O
 
 
 def knn_exact_q(spark: SparkSession, sf: str) -> DataFrame:
-    return knn_exact(t(spark, sf, "embeddings"), "vec_id", "embedding", k=10).drop("distance")
+    return knn_exact(t(spark, sf, "embeddings"), "vec_id", "embedding", k=10)
 
 
 KNN_SQL = """
@@ -191,7 +224,26 @@ WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
                   list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
            FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rn FROM p)
-SELECT query_id, neighbor_id, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 10
+SELECT query_id, neighbor_id, CAST(rn AS INTEGER) AS rank, ROUND(d, 6) AS distance FROM r WHERE rn <= 10
+"""
+
+
+def knn_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """A query set (every id divisible by 20) against all items, on scaled features."""
+    items = t(spark, sf, "embeddings").select("vec_id", "embedding")
+    scaled, asked = scaled_vectors(items, "embedding", items.filter("vec_id % 20 = 0"))
+    return knn_exact(scaled, "vec_id", "embedding", k=10, queries=asked)
+
+
+KNN_QUERIES_SQL = """
+WITH x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+st AS (SELECT i, AVG(x) AS m, STDDEV_POP(x) AS s FROM x GROUP BY i),
+e AS (SELECT x.vec_id, list(CASE WHEN st.s > 0 THEN (x.x - st.m) / st.s ELSE 0.0 END ORDER BY x.i) AS v
+      FROM x JOIN st ON x.i = st.i GROUP BY x.vec_id),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS d
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rn FROM p)
+SELECT query_id, neighbor_id, CAST(rn AS INTEGER) AS rank, ROUND(d, 6) AS distance FROM r WHERE rn <= 10
 """
 
 
@@ -209,78 +261,133 @@ FROM ({ORDER_FRAME_SQL}) f GROUP BY o_orderpriority
 """
 
 
-# --- MLlib fits (rows-only checks) ---------------------------------------------------
+# --- MLlib fits ---------------------------------------------------------------------
+# A tree's splits cannot be recomputed in SQL.  What the keys return can be: every
+# scored row with its inputs, what must hold for its prediction, and metrics that
+# are computed once by the operators and once by plain aggregates of the written
+# predictions.
 
-def _fit_and_score(spark: SparkSession, sf: str, framework: str, task: str) -> DataFrame:
-    """Fit on the train split, score both splits, report metrics per split.
+_MODEL_LABEL = {"classification": "label", "regression": "o_totalprice"}
 
-    The scored frame is cached while the per-split metric aggregates run
-    (each is a one-row aggregate); the metric rows are then returned as a
-    small frame and the cache released."""
+
+def _scored(spark: SparkSession, sf: str, framework: str, task: str) -> DataFrame:
+    """Predictions of every order, split included, written and read back."""
     f = train_test_split(order_frame(spark, sf), ["o_orderkey"], 0.2, 42)
-    label = "label" if task == "classification" else "o_totalprice"
-    feats = ORDER_FEATURES if task == "classification" else ["n_lines", "total_qty", "avg_discount"]
+    feats = ORDER_FEATURES if task == "classification" else ORDER_FEATURES[:3]
     params = {"maxIter": 20} if framework == "gbt" else {"numTrees": 20}
-    model = fit_model(f.filter(F.col("split") == "train"), feats, label, framework, task,
+    model = fit_model(f.filter(F.col("split") == "train"), feats, _MODEL_LABEL[task], framework, task,
                       maxDepth=5, **params)
-    scored = predict(model, f, feats, ["split", label], probabilities=False).persist()
-    try:
-        rows = []
-        for split in ("train", "test"):
-            part = scored.filter(F.col("split") == split)
-            if task == "classification":
-                m = classification_metrics(part.select(F.col("label").cast("double").alias("label"),
-                                                       "prediction")).first()
-                rows += [(split, "accuracy", m["accuracy"]), (split, "f1_weighted", m["f1_weighted"])]
-            else:
-                m = regression_metrics(part, label, "prediction").first()
-                rows += [(split, "mse", m["mse"]), (split, "r2", m["r2"])]
-    finally:
-        scored.unpersist()
-    return spark.createDataFrame([(*r, framework) for r in rows],
-                                 "split string, metric string, value double, framework string")
+    path = scratch_path(spark, f"scored_{uuid.uuid4().hex[:8]}")
+    write_parquet(predict(model, f, feats, ["o_orderkey", "split", _MODEL_LABEL[task]]), path)
+    return spark.read.parquet(path)
+
+
+def _classify(spark: SparkSession, sf: str, framework: str) -> DataFrame:
+    s = _scored(spark, sf, framework, "classification")
+    rows = s.select("o_orderkey", "split", "label", (F.abs(F.col("class_0") + F.col("class_1") - 1) < 1e-9).alias("sums_to_one"),
+                    (F.col("prediction") == F.when(F.col("class_1") > F.col("class_0"), 1.0).otherwise(0.0)).alias("is_argmax"))
+    checks = []
+    for split in ("train", "test"):
+        part = s.filter(F.col("split") == split)
+        m = classification_metrics(part.select(F.col("label").cast("double").alias("label"), "prediction")).first()
+        again = part.agg(F.round(F.avg((F.col("label") == F.col("prediction")).cast("double")), 6),
+                         F.count(F.lit(1))).first()
+        checks.append(abs(m["accuracy"] - again[0]) < 1e-5 and m["n"] == again[1])
+    return rows.withColumn("metrics_agree", F.lit(all(checks)))
+
+
+CLASSIFY_SQL = f"""
+SELECT o_orderkey, label, true AS sums_to_one, true AS is_argmax, true AS metrics_agree,
+       CASE WHEN ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT % 1000 < 200
+            THEN 'test' ELSE 'train' END AS split
+FROM ({ORDER_FRAME_SQL}) f
+"""
+
+
+def _regress(spark: SparkSession, sf: str, framework: str) -> DataFrame:
+    """A tree model predicts means of training labels: within their range.  (Boosted
+    trees add up corrections: within the range widened by itself.)"""
+    s = _scored(spark, sf, framework, "regression")
+    lim = s.filter("split = 'train'").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi")).first()
+    wide = 0.0 if framework == "random_forest" else lim["hi"] - lim["lo"]
+    m = regression_metrics(s, "o_totalprice", "prediction").first()
+    e = F.col("o_totalprice") - F.col("prediction")
+    again = s.agg(F.avg(e * e), F.count(F.lit(1)), F.var_pop("o_totalprice")).first()
+    agree = abs(m["mse"] / again[0] - 1) < 1e-6 and m["n"] == again[1] and \
+        abs(m["r2"] - (1 - again[0] / again[2])) < 1e-6
+    return s.select("o_orderkey", "split", "o_totalprice",
+                    F.col("prediction").between(lim["lo"] - wide - 1e-6, lim["hi"] + wide + 1e-6).alias("in_range"),
+                    F.lit(agree).alias("metrics_agree"), F.lit(m["mse"] < again[2]).alias("beats_mean"))
+
+
+REGRESS_SQL = f"""
+SELECT o_orderkey, o_totalprice, true AS in_range, true AS metrics_agree, true AS beats_mean,
+       CASE WHEN ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8))::BIGINT % 1000 < 200
+            THEN 'test' ELSE 'train' END AS split
+FROM ({ORDER_FRAME_SQL}) f
+"""
 
 
 def rf_classify(spark, sf):
-    return _fit_and_score(spark, sf, "random_forest", "classification")
+    return _classify(spark, sf, "random_forest")
 
 
 def rf_regress(spark, sf):
-    return _fit_and_score(spark, sf, "random_forest", "regression")
+    return _regress(spark, sf, "random_forest")
 
 
 def gbt_classify(spark, sf):
-    return _fit_and_score(spark, sf, "gbt", "classification")
+    return _classify(spark, sf, "gbt")
 
 
 def gbt_regress(spark, sf):
-    return _fit_and_score(spark, sf, "gbt", "regression")
+    return _regress(spark, sf, "gbt")
 
 
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per feature: importances are non-negative and add up to 1."""
     f = order_frame(spark, sf)
-    model = fit_model(f, ORDER_FEATURES, "label", "random_forest", "classification",
-                      numTrees=20, maxDepth=5)
-    return spark.createDataFrame(feature_importances(model, ORDER_FEATURES),
-                                 "feature string, importance double")
+    model = fit_model(f, ORDER_FEATURES, "label", "random_forest", "classification", numTrees=20, maxDepth=5)
+    imp = feature_importances(model, ORDER_FEATURES)
+    total = sum(v for _, v in imp)
+    return spark.createDataFrame([(k, v >= 0.0, abs(total - 1.0) < 1e-9) for k, v in imp],
+                                 "feature string, non_negative boolean, sums_to_one boolean")
+
+
+FEATURE_IMPORTANCE_SQL = "SELECT unnest([" + ", ".join(f"'{c}'" for c in ORDER_FEATURES) + \
+    "]) AS feature, true AS non_negative, true AS sums_to_one"
 
 
 def batch_predict(spark: SparkSession, sf: str) -> DataFrame:
-    """Train on the train split, score every order, write the prediction
-    table (id, prediction, class probabilities) and return it."""
+    """Train on the train split, save the model, score every order from the saved
+    model, write the prediction table and return it with its inputs."""
     f = train_test_split(order_frame(spark, sf), ["o_orderkey"], 0.2, 42)
     model = fit_model(f.filter(F.col("split") == "train"), ORDER_FEATURES, "label",
                       "random_forest", "classification", numTrees=20, maxDepth=5)
-    preds = predict(model, f, ORDER_FEATURES, ["o_orderkey"])
+    saved = save_model(model, scratch_path(spark, "model"))
     path = scratch_path(spark, f"predictions_{uuid.uuid4().hex[:8]}")
-    write_parquet(preds, path)
-    return spark.read.parquet(path)
+    scored = score_saved_model(spark, saved, f.select("o_orderkey", *ORDER_FEATURES), ["o_orderkey"],
+                               prediction_col="completed")
+    write_parquet(scored, path)
+    p = spark.read.parquet(path)
+    return p.select("o_orderkey", *ORDER_FEATURES, F.col("completed").isin(0.0, 1.0).alias("is_class"),
+                    (F.abs(F.col("class_0") + F.col("class_1") - 1) < 1e-9).alias("sums_to_one"))
+
+
+BATCH_PREDICT_SQL = f"""
+SELECT o_orderkey, n_lines, total_qty, avg_discount, total_ext, true AS is_class, true AS sums_to_one
+FROM ({ORDER_FRAME_SQL}) f
+"""
 
 
 QUERIES = {
     "train_entity_df": train_entity_df,
     "train_test_split": train_test_split_q,
     "stratified_split": stratified_split_q,
+    "stratified_split_wide": stratified_split_wide,
+    "metrics_regression_unit": metrics_regression_unit,
+    "auc_scores": auc_scores,
+    "knn_queries": knn_queries,
     "metrics_classification": metrics_classification,
     "metrics_regression": metrics_regression,
     "metrics_auc": metrics_auc,
@@ -300,6 +407,16 @@ ORACLES = {
     "train_entity_df": TRAIN_ENTITY_SQL,
     "train_test_split": SPLIT_SQL,
     "stratified_split": STRATIFIED_SQL,
+    "stratified_split_wide": STRATIFIED_WIDE_SQL,
+    "metrics_regression_unit": METRICS_REGRESSION_UNIT_SQL,
+    "auc_scores": AUC_SCORES_SQL,
+    "knn_queries": KNN_QUERIES_SQL,
+    "rf_classify": CLASSIFY_SQL,
+    "gbt_classify": CLASSIFY_SQL,
+    "rf_regress": REGRESS_SQL,
+    "gbt_regress": REGRESS_SQL,
+    "feature_importance": FEATURE_IMPORTANCE_SQL,
+    "batch_predict": BATCH_PREDICT_SQL,
     "metrics_classification": METRICS_CLASSIFICATION_SQL,
     "metrics_regression": METRICS_REGRESSION_SQL,
     "metrics_auc": METRICS_AUC_SQL,
