@@ -11,11 +11,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tierline.plans import all_oracles, all_queries
 from tierline.sources.tables import TABLES
 from conftest import SF_SMALL
 
-ORACLES = E.oracle_sql()
-ALL = E.queries()
+ORACLES = all_oracles()
+ALL = all_queries()
 
 
 def _norm(v):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tierline.operators.sinks import keyed_upsert, materialize, write_table
+from tierline.operators.sinks import _anti, materialize, materialize_newest, write_table
 from tierline.session import scratch_path
 from conftest import rows
 
@@ -16,22 +16,22 @@ def test_merge_first_run_creates_then_updates(spark):
     table = "gold.t_merge_unit"
     old = _df(spark, [(1, "a"), (2, "b"), (None, "n0")])
     new = _df(spark, [(2, "B"), (3, "c"), (None, "n1")])
-    materialize(spark, old, table, "incremental", "merge", ["k"])
+    materialize(spark, old, table, "incremental", "merge", ["k"], root=scratch_path(spark, "g"))
     got = materialize(spark, new, table, "incremental", "merge", ["k"])
     assert rows(got) == sorted([(1, "a"), (2, "B"), (3, "c"), (None, "n1")], key=repr)
 
 
 def test_merge_rejects_duplicate_source_keys(spark):
     table = "gold.t_merge_dup"
-    materialize(spark, _df(spark, [(1, "a")]), table, "incremental", "merge", ["k"])
+    materialize(spark, _df(spark, [(1, "a")]), table, "incremental", "merge", ["k"], root=scratch_path(spark, "g"))
     with pytest.raises(ValueError):
-        materialize(spark, _df(spark, [(1, "x"), (1, "y")]), table, "incremental", "merge", ["k"])
+        materialize(spark, _df(spark, [(1, "x"), (1, "y")]), table, "incremental", "merge", ["k"], root=scratch_path(spark, "g"))
 
 
 def test_delete_insert_keeps_source_duplicates(spark):
     table = "gold.t_di"
     materialize(spark, _df(spark, [(1, "a"), (1, "a2"), (2, "b")]), table, "incremental",
-                "delete+insert", ["k"])
+                "delete+insert", ["k"], root=scratch_path(spark, "g"))
     got = materialize(spark, _df(spark, [(1, "x"), (1, "y")]), table, "incremental",
                       "delete_insert", ["k"])
     assert rows(got) == [(1, "x"), (1, "y"), (2, "b")]
@@ -39,8 +39,8 @@ def test_delete_insert_keeps_source_duplicates(spark):
 
 def test_append_and_table_replace(spark):
     table = "gold.t_app"
-    materialize(spark, _df(spark, [(1, "a")]), table, "incremental", "append")
-    got = materialize(spark, _df(spark, [(2, "b")]), table, "incremental", "append")
+    materialize(spark, _df(spark, [(1, "a")]), table, "incremental", "append", root=scratch_path(spark, "g"))
+    got = materialize(spark, _df(spark, [(2, "b")]), table, "incremental", "append", root=scratch_path(spark, "g"))
     assert rows(got) == [(1, "a"), (2, "b")]
     got = materialize(spark, _df(spark, [(9, "z")]), table, "table")
     assert rows(got) == [(9, "z")]
@@ -48,13 +48,13 @@ def test_append_and_table_replace(spark):
 
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
-        materialize(spark, _df(spark, [(1, "a")]), "gold.t_x", "incremental", "upsert_magic", ["k"])
+        materialize(spark, _df(spark, [(1, "a")]), "gold.t_x", "incremental", "upsert_magic", ["k"], root=scratch_path(spark, "g"))
 
 
 def test_keyed_upsert_null_safe(spark):
     old = _df(spark, [(None, "old"), (1, "one")])
     new = _df(spark, [(None, "new")])
-    assert rows(keyed_upsert(old, new, ["k"])) == sorted([(None, "new"), (1, "one")], key=repr)
+    assert rows(_anti(old, new, ["k"]).unionByName(new)) == sorted([(None, "new"), (1, "one")], key=repr)
 
 
 def test_write_table_dynamic_overwrite(spark):
@@ -71,7 +71,8 @@ def test_partitioned_merge_rewrites_only_touched_partitions(spark):
     table = "gold.t_part_merge"
     old = spark.createDataFrame([(1, "a", 2020), (2, "b", 2020), (3, "c", 2021), (4, "d", 2022)],
                                 "k long, v string, y int")
-    materialize(spark, old, table, "incremental", "merge", ["y", "k"], partition_by=["y"])
+    materialize(spark, old, table, "incremental", "merge", ["y", "k"], partition_by=["y"],
+                root=scratch_path(spark, "g"))
 
     def files():
         return {r["y"]: r["f"] for r in spark.table(table).select(
@@ -105,3 +106,75 @@ def test_write_table_replace_swaps_version(spark):
     write_table(spark, _df(spark, [(1, "a")]), table, location=scratch_path(spark, "t_rep"))
     write_table(spark, _df(spark, [(7, "z"), (8, "y")]), table, "replace")
     assert rows(spark.table(table)) == [(7, "z"), (8, "y")]
+
+
+def _parted(spark, data):
+    return spark.createDataFrame(data, "k long, v string, p int")
+
+
+def test_refresh_drops_partitions_that_are_no_more(spark):
+    for table, kind in (("gold.t_refresh", "m"), ("silver.t_refresh", "w")):
+        old, new = _parted(spark, [(1, "a", 1), (2, "b", 2)]), _parted(spark, [(3, "c", 1), (4, "d", None)])
+        if kind == "m":
+            materialize(spark, old, table, "table", partition_by=["p"], root=scratch_path(spark, "g"))
+            materialize(spark, new, table, "table")
+        else:
+            write_table(spark, old, table, partition_by=["p"], location=scratch_path(spark, "w") + "/v0")
+            write_table(spark, new, table, "replace")
+        assert rows(spark.table(table), ["k", "v", "p"]) == sorted([(3, "c", 1), (4, "d", None)], key=repr)
+        # and once more, now from the swapped version with its NULL partition
+        materialize(spark, _parted(spark, [(5, "e", 2)]), table, "table")
+        assert rows(spark.table(table), ["k", "v", "p"]) == [(5, "e", 2)]
+
+
+def test_append_into_partitioned_table_is_readable(spark):
+    table = "gold.t_append_part"
+    materialize(spark, _parted(spark, [(1, "a", 1)]), table, "incremental", "append", partition_by=["p"],
+                root=scratch_path(spark, "g"))
+    got = materialize(spark, _parted(spark, [(2, "b", 1), (3, "c", 7)]), table, "incremental", "append")
+    assert rows(got, ["k", "v", "p"]) == [(1, "a", 1), (2, "b", 1), (3, "c", 7)]
+
+
+def test_merge_key_without_partition_column_moves_rows(spark):
+    table = "gold.t_moved"
+    materialize(spark, _parted(spark, [(1, "a", 1), (2, "b", 2)]), table, "incremental", "merge", ["k"],
+                partition_by=["p"], root=scratch_path(spark, "g"))
+    got = materialize(spark, _parted(spark, [(2, "B", 1), (3, "c", 3)]), table, "incremental", "merge", ["k"])
+    assert rows(got, ["k", "v", "p"]) == [(1, "a", 1), (2, "B", 1), (3, "c", 3)]
+    with pytest.raises(ValueError):
+        materialize(spark, _parted(spark, [(9, "z", 1)]), table, "incremental", "append", partition_by=["v"])
+
+
+def test_new_tables_need_a_place(spark):
+    with pytest.raises(ValueError):
+        materialize(spark, _df(spark, [(1, "a")]), "gold.t_nowhere", "table")
+    with pytest.raises(ValueError):
+        write_table(spark, _df(spark, [(1, "a")]), "silver.t_nowhere")
+
+
+def test_change_without_op_is_an_upsert(spark):
+    from tierline.operators.sinks import apply_change_feed
+    snap = _df(spark, [(1, "a"), (2, "b")])
+    feed = spark.createDataFrame([(1, "A", None, 1), (2, None, "D", 1)], "k long, v string, op string, seq int")
+    assert rows(apply_change_feed(snap, feed, ["k"], "seq", "op")) == [(1, "A")]
+
+
+def test_newest_row_survives_a_backfill(spark):
+    table = "online.t_newest"
+    df = lambda data: spark.createDataFrame(data, "k long, t date, x int")
+    import datetime as dt
+    d = lambda n: dt.date(2024, 1, n)
+    materialize_newest(spark, df([(1, d(9), 10), (2, None, 1)]), table, ["k"], "t", scratch_path(spark, "o"))
+    got = materialize_newest(spark, df([(1, d(3), 5), (2, d(1), 2), (3, d(1), 3)]), table, ["k"], "t")
+    assert rows(got, ["k", "x"]) == [(1, 10), (2, 2), (3, 3)]
+
+
+def test_silver_job_counts_and_leaves_no_views(spark):
+    from tierline.operators.jobs import silver_job
+    p1, p2 = scratch_path(spark, "j1"), scratch_path(spark, "j2")
+    _df(spark, [(1, "a"), (2, "b")]).write.parquet(p1)
+    _df(spark, [(3, "c")]).write.parquet(p2)
+    m = silver_job(spark, [p1, p2], ["SELECT * FROM source_data WHERE k > 1", "SELECT k, upper(v) AS v FROM step_0"],
+                   "silver.t_job", location=scratch_path(spark, "job") + "/t")
+    assert m == {"rows_in": 3, "rows_out": 2} and rows(spark.table("silver.t_job")) == [(2, "B"), (3, "C")]
+    assert not any(t.name in ("source_data", "step_0") for t in spark.catalog.listTables())

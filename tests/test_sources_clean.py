@@ -8,7 +8,7 @@ from tierline.operators.clean import (
     check_query, dedup_latest, deidentify, quality_flags, quality_report, transform_sql,
 )
 from tierline.session import scratch_path
-from tierline.sources.files import normalize_path, read_sources, table_name_for
+from tierline.sources.files import normalize_path, path_sql, read_sources, table_name_for
 from conftest import rows
 
 
@@ -81,3 +81,38 @@ def test_deidentify(spark):
     r = deidentify(df, hash_cols=["email"], redact_cols=["text"]).first()
     assert len(r["email"]) == 64
     assert r["text"] == "mail me at [EMAIL] or [PHONE]"
+
+
+def test_path_sql_reads_only_and_keeps_braces(spark):
+    p = scratch_path(spark, "psql")
+    spark.createDataFrame([(1, "{x}"), (2, "y")], "id long, v string").write.parquet(p)
+    assert path_sql(spark, "SELECT id FROM parquet.`{src}` WHERE v = '{x}'", src=p).first()["id"] == 1
+    with pytest.raises((AnalysisException, ParseException)):
+        path_sql(spark, "CREATE TABLE t_evil AS SELECT * FROM parquet.`{src}`", src=p)
+
+
+def test_transform_sql_puts_views_back(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    out = transform_sql(spark, ["SELECT v + 1 AS v FROM mine", "SELECT v * 2 AS v FROM step_0"],
+                        {"mine": spark.createDataFrame([(5,)], "v long")})
+    assert out.first()["v"] == 12
+    assert spark.table("mine").count() == 3
+    assert not any(t.name == "step_0" for t in spark.catalog.listTables())
+    spark.catalog.dropTempView("mine")
+
+
+def test_bad_values_become_null(spark):
+    from tierline.functions import json_int
+    from tierline.operators.features import define_feature_view
+    from tierline.plans.silver import clean_orders
+    import datetime as dt
+    df = spark.createDataFrame([('{"k": 7}',), ('{"k":"abc"}',), ("no",)], "j string")
+    assert [r[0] for r in df.select(json_int("j", "k")).collect()] == [7, None, None]
+    o = spark.createDataFrame([(1, 2, 1e12, dt.datetime(2000, 1, 1), "x", "F")],
+                              "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz, "
+                              "o_orderpriority string, o_orderstatus string")
+    assert clean_orders(o).first()["amount"] is None
+    v = define_feature_view("v", spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "x")],
+                                                       "k long, event_timestamp timestamp_ntz, f string"),
+                            ["k"], [("f", "int64")])
+    assert v.frame().first()["f"] is None

@@ -68,3 +68,18 @@ def test_upsert_latest_over_batches(spark):
     run_until_caught_up(w)
     got = {r["user_id"]: r["value"] for r in spark.table(table).collect()}
     assert got == {7: 1.0, 8: 4.0}
+    # superseded bucket files are gone: what is on disk is what the table holds
+    root = next(iter(spark.table(table).inputFiles())).split("/v-")[0]
+    assert spark.read.option("recursiveFileLookup", "true").parquet(root).count() == 2
+
+
+def test_a_stream_that_is_not_done_in_time_raises(spark):
+    import pytest
+    src, ck = scratch_path(spark, "w_src"), scratch_path(spark, "w_ck")
+    _drop(spark, src, [(1, B, 1, 1.0)])
+    s = file_stream(spark, src, spark.createDataFrame([], SCHEMA).schema)
+
+    def slow(batch, epoch):
+        time.sleep(20)
+    with pytest.raises(TimeoutError):
+        run_until_caught_up(s.writeStream.foreachBatch(slow).option("checkpointLocation", ck), timeout_s=3)

@@ -14,7 +14,7 @@ from tierline.operators.models import (
     regression_metrics, save_model, scaled_vectors, score_saved_model, stratified_split, train_test_split,
 )
 from tierline.operators.ranking import exact_quantile, hash_bucket, kth_smallest, range_bucket, running_total
-from tierline.operators.windows import rolling, rolling_fine, rolling_frames
+from tierline.operators.windows import rolling, rolling_distinct_count, rolling_frames
 
 
 def _events(spark, n=600, hot_share=0.4, seed=3):
@@ -131,11 +131,11 @@ def test_auc_with_ties(spark):
 
 
 @pytest.mark.parametrize("pieces", [1, 4, 24])
-def test_rolling_fine_equals_plain_window(spark, pieces):
+def test_rolling_frames_of_one_length_equal_plain_window(spark, pieces):
     df = _events(spark, n=800).withColumn("one", F.lit(1))
     L = 48 * 3600 * 1_000_000
-    got = rolling_fine(df, ["k"], "ts", L, [("count", "one", "n"), ("sum", "v", "s"),
-                                            ("max", "v", "mx"), ("min", "v", "mn")], pieces)
+    got = rolling_frames(df, ["k"], "ts", [("count", "one", "n", L), ("sum", "v", "s", L),
+                                            ("max", "v", "mx", L), ("min", "v", "mn", L)], {L: pieces})
     w = Window.partitionBy("k").orderBy(epoch_us("ts")).rangeBetween(-L, 0)
     ref = df.select("id", F.count(F.lit(1)).over(w).alias("n"), F.sum("v").over(w).alias("s"),
                     F.max("v").over(w).alias("mx"), F.min("v").over(w).alias("mn"))
@@ -276,3 +276,30 @@ def test_knn_of_a_query_set_on_scaled_features(spark):
         best = np.lexsort((np.arange(120), d))[:4]
         assert [n for _, n, _ in sorted(got[q])] == list(best)
         assert [v for _, _, v in sorted(got[q])] == pytest.approx(list(d[best]), abs=1e-6)
+
+
+def test_rolling_frames_without_a_time_are_their_peers(spark):
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, 0, None, 2.0), (2, 0, None, 3.0), (3, 0, base, 4.0), (4, 1, None, 5.0)],
+                               "id long, k long, ts timestamp_ntz, v double")
+    hour = 3_600_000_000
+    got = {r["id"]: (r["n"], r["s"]) for r in rolling_frames(
+        df, ["k"], "ts", [("count", None, "n", hour), ("sum", "v", "s", 24 * hour)]).collect()}
+    assert got == {1: (2, 5.0), 2: (2, 5.0), 3: (1, 4.0), 4: (1, 5.0)}
+
+
+def test_rolling_distinct_count_equals_brute_force(spark):
+    rnd = random.Random(8)
+    base = dt.datetime(2024, 1, 1)
+    data = [(i, rnd.choice([0, 0, 1, None]),
+             None if rnd.random() < 0.05 else base + dt.timedelta(minutes=rnd.randrange(0, 60 * 24 * 6, 30)),
+             None if rnd.random() < 0.1 else rnd.randrange(6)) for i in range(400)]
+    df = spark.createDataFrame(data, "id long, k long, ts timestamp_ntz, v long")
+    for minutes in (30, 60, 24 * 60):
+        got = {r["id"]: r["n"] for r in rolling_distinct_count(
+            df, ["k"], "ts", "v", minutes * 60_000_000, "n").collect()}
+        length = dt.timedelta(minutes=minutes)
+        for i, k, ts, _ in data:
+            near = {v for _, k2, t2, v in data if k2 == k and v is not None and (
+                t2 is None if ts is None else t2 is not None and ts - length <= t2 <= ts)}
+            assert got[i] == len(near), (i, minutes)

@@ -2,12 +2,12 @@
 
 from tierline.functions.exprs import (
     epoch_us, hours_between, days_between, safe_ratio, hash_fraction,
-    null_safe_keys, round_double, lit_date, lit_ts, json_int, trunc_ntz, wallclock_instant,
+    round_double, lit_date, lit_ts, json_int, trunc_ntz, wallclock_instant,
     instant_wallclock,
 )
 
 __all__ = [
     "epoch_us", "hours_between", "days_between", "safe_ratio", "hash_fraction",
-    "null_safe_keys", "round_double", "lit_date", "lit_ts", "json_int", "trunc_ntz",
+    "round_double", "lit_date", "lit_ts", "json_int", "trunc_ntz",
     "wallclock_instant", "instant_wallclock",
 ]

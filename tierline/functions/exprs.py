@@ -53,15 +53,6 @@ def hash_fraction(keys: Sequence[str | Column], seed: int, buckets: int = 1000)
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(buckets)
 
 
-def null_safe_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition treating NULL = NULL as a match (for keyed merges)."""
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def round_double(col: str | Column, digits: int = 6) -> Column:
     return F.round(_c(col).cast("double"), digits)
 
@@ -75,8 +66,8 @@ def lit_ts(value: str) -> Column:
 
 
 def json_int(col: str | Column, field: str) -> Column:
-    """Integer field of a small JSON object string, e.g. '{"k": 5}'."""
-    return F.get_json_object(_c(col), f"$.{field}").cast("bigint")
+    """Integer field of a small JSON object string, e.g. '{"k": 5}' (NULL if it is none)."""
+    return F.get_json_object(_c(col), f"$.{field}").try_cast("bigint")
 
 
 def trunc_ntz(col: str | Column, unit: str) -> Column:

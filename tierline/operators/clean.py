@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +27,43 @@ def check_query(spark: SparkSession, sql: str) -> str:
 
 def transform_sql(spark: SparkSession, sql: str | Sequence[str],
                   views: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Run user SQL over registered views.
+    """Run user SQL over named frames.
 
-    ``sql`` may be a list of queries: each but the last is registered as a
-    temp view ``step_<i>`` so later ones can refer to it; the last is the
-    result.  Every query passes :func:`check_query` first."""
-    for name, df in (views or {}).items():
-        df.createOrReplaceTempView(name)
+    ``sql`` may be a list of queries: each but the last can be referred to by
+    later ones as ``step_<i>``; the last is the result.  Every query passes
+    :func:`check_query` first.  The names exist as temp views only while the
+    queries are analyzed; views of the caller with these names are put back."""
     stmts = [sql] if isinstance(sql, str) else list(sql)
-    out = None
-    for i, s in enumerate(stmts):
-        out = spark.sql(check_query(spark, s))
-        if i < len(stmts) - 1:
-            out.createOrReplaceTempView(f"step_{i}")
-    return out
+    with _named(spark) as name:
+        for n, df in (views or {}).items():
+            name(n, df)
+        out = None
+        for i, s in enumerate(stmts):
+            out = spark.sql(check_query(spark, s))
+            if i < len(stmts) - 1:
+                name(f"step_{i}", out)
+        return out
+
+
+@contextmanager
+def _named(spark: SparkSession):
+    """Temp views for the time of a block; hidden ones come back afterwards."""
+    before: dict[str, DataFrame | None] = {}
+
+    def name(n: str, df: DataFrame) -> None:
+        if n not in before:
+            known = any(x.isTemporary and x.name == n.lower() for x in spark.catalog.listTables())
+            before[n] = spark.table(n) if known else None
+        df.createOrReplaceTempView(n)
+
+    try:
+        yield name
+    finally:
+        for n, old in before.items():
+            if old is None:
+                spark.catalog.dropTempView(n)
+            else:
+                old.createOrReplaceTempView(n)
 
 
 def standardize(df: DataFrame, upper_trim: Sequence[str] = (),

@@ -50,7 +50,8 @@ class FeatureView:
         return [n for n, _ in self.features]
 
     def frame(self) -> DataFrame:
-        """Keys, timestamps and features cast to the declared types (lazy)."""
+        """Keys, timestamps and features cast to the declared types (lazy); a value
+        that does not fit its type becomes NULL."""
         cols = [F.col(k) for k in self.entities]
         cols.append(F.col(self.timestamp_field).cast("timestamp_ntz").alias(self.timestamp_field))
         if self.created_timestamp_column:
@@ -60,11 +61,11 @@ class FeatureView:
             src = F.col(n)
             if dt == "unix_timestamp":
                 src = F.when(F.col(n).cast("string").rlike(r"^-?\d+$"),
-                             F.timestamp_seconds(F.col(n).cast("bigint")).cast("timestamp_ntz")) \
-                       .otherwise(F.col(n).cast("timestamp_ntz"))
+                             F.timestamp_seconds(F.col(n).try_cast("bigint")).cast("timestamp_ntz")) \
+                       .otherwise(F.col(n).try_cast("timestamp_ntz"))
                 cols.append(src.alias(n))
             else:
-                cols.append(src.cast(DTYPES[dt]).alias(n))
+                cols.append(src.try_cast(DTYPES[dt]).alias(n))
         return self.source.select(*cols)
 
 

@@ -13,12 +13,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tierline.session import scratch_path
-
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
                   partition_by: Sequence[str] | None = None,
@@ -60,29 +59,32 @@ def write_table(spark: SparkSession, df: DataFrame, table: str, mode: str = "app
                 partition_by: Sequence[str] | None = None, location: str | None = None) -> None:
     """Append / create / overwrite-partitions / replace a catalog table.
 
-    * missing table: create it (external at ``location`` when given)
+    * missing table: create it, external at ``location`` (required then)
     * ``append``: add rows (columns matched by name)
     * ``overwrite``: replace only the partitions present in ``df`` (dynamic)
     * ``replace``: create-or-replace via a new directory + location swap
+
+    An existing table keeps its partition columns; they are read from the
+    catalog, and a different ``partition_by`` raises.
     """
-    ensure_namespace(spark, table, (location or scratch_path(spark, "ns")).rsplit("/", 1)[0])
-    exists = spark.catalog.tableExists(table)
-    if not exists:
-        w = df.write.format("parquet")
+    if not spark.catalog.tableExists(table):
+        if not location:
+            raise ValueError(f"a location is needed to create {table}")
+        ensure_namespace(spark, table, location.rsplit("/", 1)[0])
+        w = df.write.format("parquet").option("path", location)
         if partition_by:
             w = w.partitionBy(*partition_by)
-        if location:
-            w = w.option("path", location)
         w.saveAsTable(table)
         return
+    _known_partitions(spark, table, partition_by)
+    cols = spark.table(table).columns
     if mode == "append":
-        df.write.mode("append").format("parquet").saveAsTable(table)
+        df.select(*cols).write.mode("append").insertInto(table)
     elif mode == "overwrite":
-        cols = spark.table(table).columns
         with _conf(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
             df.select(*cols).write.mode("overwrite").insertInto(table)
     elif mode == "replace":
-        swap_in_version(spark, df, table, partition_by)
+        swap_in_version(spark, df, table)
     else:
         raise ValueError(f"unsupported mode {mode}")
     spark.catalog.refreshTable(table)
@@ -93,15 +95,78 @@ def _table_location(spark: SparkSession, table: str) -> str:
     return rows.first()["data_type"]
 
 
-def swap_in_version(spark: SparkSession, df: DataFrame, table: str,
-             partition_by: Sequence[str] | None = None) -> None:
-    """Write ``df`` as a complete new version and point ``table`` at it."""
+def partition_columns(spark: SparkSession, table: str) -> list[str]:
+    """The table's partition columns, from the catalog."""
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
+def _known_partitions(spark: SparkSession, table: str, asked: Sequence[str] | None) -> list[str]:
+    parts = partition_columns(spark, table)
+    if asked and list(asked) != parts:
+        raise ValueError(f"{table} is partitioned by {parts}, not by {list(asked)}")
+    return parts
+
+
+#: Partitions named in one DDL statement.
+_DDL_PARTITIONS = 500
+
+
+def _drop_partitions(spark: SparkSession, table: str, specs: Sequence[str]) -> None:
+    """Forget partitions, many per statement (external tables keep their files)."""
+    for at in range(0, len(specs), _DDL_PARTITIONS):
+        part = ", ".join(f"PARTITION ({x})" for x in specs[at:at + _DDL_PARTITIONS])
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {part}")
+
+
+def _point_partitions(spark: SparkSession, table: str, located: Sequence[tuple[str, str]]) -> None:
+    """Register partitions (spec, directory), many per statement."""
+    _drop_partitions(spark, table, [spec for spec, _ in located])
+    for at in range(0, len(located), _DDL_PARTITIONS):
+        part = " ".join(f"PARTITION ({spec}) LOCATION '{loc}'" for spec, loc in located[at:at + _DDL_PARTITIONS])
+        spark.sql(f"ALTER TABLE {table} ADD {part}")
+
+
+def _partition_dirs(spark: SparkSession, path: str, parts: Sequence[str]) -> list[tuple[str, str]]:
+    """(spec, directory) of every partition written below ``path``: one row per
+    partition, which is what the catalog holds, too."""
+    rows = (spark.read.parquet(path)
+            .select(*parts, F.col("_metadata.file_path").alias("_f"))
+            .groupBy(*parts).agg(F.first("_f").alias("_f")).collect())
+    return [(_spec(r, parts), r["_f"].rsplit("/", 1)[0]) for r in rows]
+
+
+def _known_specs(spark: SparkSession, table: str) -> list[str]:
+    """Specs of the partitions that the catalog knows (also of empty ones)."""
+    specs = []
+    for r in spark.sql(f"SHOW PARTITIONS {table}").collect():
+        pairs = [p.partition("=") for p in r["partition"].split("/")]
+        specs.append(", ".join(
+            f"`{k}`=" + ("null" if v == "__HIVE_DEFAULT_PARTITION__" else _spec_literal(unquote(v)))
+            for k, _, v in pairs))
+    return specs
+
+
+def _spec(row, parts: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`={_spec_literal(row[c])}" for c in parts)
+
+
+def swap_in_version(spark: SparkSession, df: DataFrame, table: str) -> None:
+    """Write ``df`` as a complete new version and point ``table`` at it; of a
+    partitioned table, partitions that are no more are dropped and all others
+    point into the new version."""
+    parts = partition_columns(spark, table)
+    cols = spark.table(table).columns
     base = _table_location(spark, table).rstrip("/")
     new_loc = f"{base.rsplit('/', 1)[0]}/v-{uuid.uuid4().hex[:12]}"
-    write_parquet(df, new_loc, "overwrite", partition_by)
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{new_loc}'")
-    if partition_by:
-        spark.sql(f"MSCK REPAIR TABLE {table}")
+    write_parquet(df.select(*cols), new_loc, "overwrite", parts)
+    if parts:
+        known = _known_specs(spark, table)
+        fresh = _partition_dirs(spark, new_loc, parts)
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{new_loc}'")
+        _drop_partitions(spark, table, known)
+        _point_partitions(spark, table, fresh)
+    else:
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{new_loc}'")
     spark.catalog.refreshTable(table)
 
 
@@ -126,14 +191,6 @@ def check_unique_keys(df: DataFrame, keys: Sequence[str]) -> None:
         raise ValueError(f"merge source has duplicate keys on {list(keys)}")
 
 
-def keyed_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """old rows whose key is not in new (NULL-safe), plus all new rows.
-
-    The anti join shuffles both sides on the key once; AQE splits a skewed
-    key partition.  Column sets are aligned by name."""
-    return _anti(old, new, keys).unionByName(new, allowMissingColumns=True)
-
-
 def _anti(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     nk = new.select(*[F.col(k).alias(f"_nk_{k}") for k in keys])
     cond = None
@@ -154,46 +211,60 @@ def materialize(spark: SparkSession, df: DataFrame, table: str, kind: str = "tab
 
     incremental strategies: ``append``; ``merge`` on ``unique_key`` (source
     keys must be unique); ``delete_insert`` / ``delete+insert`` (source
-    duplicates kept).  The first incremental run creates the table.
+    duplicates kept).  The first run creates the table below ``root`` (the
+    gold layer's own folder, required then).  Later runs keep the table's
+    partition columns, read from the catalog.
     Returns the materialized relation read back from the catalog.
     """
     if kind == "view":
         df.createOrReplaceTempView(table.replace(".", "_"))
         return spark.table(table.replace(".", "_"))
-    root = root or scratch_path(spark, "warehouse")
-    exists = spark.catalog.tableExists(table)
-    if kind == "table":
-        if exists:
-            swap_in_version(spark, df, table, partition_by)
-        else:
-            create_table_version(spark, df, table, root, partition_by)
-        return spark.table(table)
-    if kind != "incremental":
+    if kind not in ("table", "incremental"):
         raise ValueError(f"unknown materialization {kind}")
-    if strategy not in STRATEGIES:
+    if kind == "incremental" and strategy not in STRATEGIES:
         raise ValueError(f"unknown incremental strategy {strategy}")
-    if not exists:
+    if not spark.catalog.tableExists(table):
+        if not root:
+            raise ValueError(f"a root folder is needed to create {table}")
         create_table_version(spark, df, table, root, partition_by)
         return spark.table(table)
+    parts = _known_partitions(spark, table, partition_by)
+    current = spark.table(table)
+    if kind == "table":
+        swap_in_version(spark, df, table)
+        return spark.table(table)
     if strategy == "append":
-        cols = spark.table(table).columns
-        df.select(*cols).write.mode("append").parquet(_table_location(spark, table))
+        df.select(*current.columns).write.mode("append").insertInto(table)
         spark.catalog.refreshTable(table)
         return spark.table(table)
     if not unique_key:
         raise ValueError(f"{strategy} needs unique_key")
     if strategy == "merge":
         check_unique_keys(df, unique_key)
-    parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
     if parts and set(parts) <= set(unique_key):
         if merge_touched_partitions(spark, df, table, unique_key, parts):
             return spark.table(table)
-    current = spark.table(table)
     merged = _anti(current, df, unique_key).unionByName(df.select(*current.columns))
-    swap_in_version(spark, merged, table, partition_by)
+    swap_in_version(spark, merged, table)
     return spark.table(table)
 
 
+def materialize_newest(spark: SparkSession, df: DataFrame, table: str, keys: Sequence[str], time_col: str,
+                       root: str | None = None) -> DataFrame:
+    """Merge rows into ``table`` keeping, per key, the row of the newest ``time_col``
+    (NULL is oldest; of equal times, the batch's): an older range that is
+    materialized again or late never replaces a newer row."""
+    check_unique_keys(df, keys)
+    if spark.catalog.tableExists(table):
+        have = spark.table(table).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(time_col).alias("_h_t"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & df[k].eqNullSafe(have[f"_h_{k}"])
+        newer = F.col("_h_t") > F.coalesce(df[time_col], F.lit("0001-01-01").cast(df.schema[time_col].dataType))
+        df = df.join(have, same & newer, "left_anti")
+    return materialize(spark, df, table, "incremental", "merge", keys, root=root)
+
+
 def observed_write(spark: SparkSession, read, transform, path: str, mode: str = "overwrite",
                    partition_by: Sequence[str] | None = None) -> dict:
     """Read -> transform -> write in one job, counting rows in and out with
@@ -214,6 +285,8 @@ def observed_write(spark: SparkSession, read, transform, path: str, mode: str =
 
 
 def _spec_literal(v) -> str:
+    if v is None:
+        return "null"
     if isinstance(v, bool):
         return "true" if v else "false"
     if isinstance(v, (int, float)):
@@ -226,32 +299,55 @@ def merge_touched_partitions(spark: SparkSession, df: DataFrame, table: str,
     """Keyed merge that rewrites only the partitions the batch touches.
 
     Valid when the partition columns are part of the key (a row never moves
-    between partitions).  Old rows are read only from touched partitions (a
-    LEFT SEMI join on the partition columns, so the scan is pruned), merged
-    with the batch, written as a new version directory, and each touched
-    partition is re-pointed in the catalog; untouched partitions are neither
-    read nor written.  Returns False (caller rewrites the table) when a
-    partition value is NULL."""
+    between partitions).  Old rows are read only from touched partitions: the
+    batch's least and greatest partition values are scalar-subquery filters on
+    the partition columns, which prune the scan at run time, and a LEFT SEMI
+    join leaves out what lies between.  They are merged with the batch, written
+    as a new version directory, and the touched partitions re-pointed in the
+    catalog, many per statement.  Returns False (caller rewrites the table) when
+    a partition value is NULL."""
     current = spark.table(table)
     touched = df.select(*partition_by).distinct()
     if touched.filter(" OR ".join(f"`{c}` IS NULL" for c in partition_by)).limit(1).count():
         return False
-    old = current.join(touched, list(partition_by), "left_semi")
+    old = touched_rows(current, df, partition_by)
     merged = _anti(old, df, keys).unionByName(df.select(*current.columns))
+    replace_partitions(spark, merged, table, partition_by)
+    return True
+
+
+def replace_partitions(spark: SparkSession, df: DataFrame, table: str, partition_by: Sequence[str],
+                       remove_old: bool = False) -> None:
+    """Write ``df`` as new directories and point its partitions at them; all other
+    partitions stay.  ``remove_old`` deletes the directories they stood in (only
+    for tables without readers of older snapshots)."""
     base = _table_location(spark, table).rstrip("/")
     stage = f"{base.rsplit('/', 1)[0]}/v-{uuid.uuid4().hex[:12]}"
-    write_parquet(merged.select(*current.columns), stage, "overwrite", partition_by)
-    # one row per written partition: its values and one file to locate its directory
-    dirs = (spark.read.parquet(stage)
-            .select(*partition_by, F.col("_metadata.file_path").alias("_f"))
-            .groupBy(*partition_by).agg(F.first("_f").alias("_f")).collect())
-    for r in dirs:
-        spec = ", ".join(f"`{c}`={_spec_literal(r[c])}" for c in partition_by)
-        loc = r["_f"].rsplit("/", 1)[0]
-        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{loc}'")
-        spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION '{loc}'")
+    write_parquet(df.select(*spark.table(table).columns), stage, "overwrite", partition_by)
+    fresh = _partition_dirs(spark, stage, partition_by)
+    old = []
+    if remove_old:
+        renewed = {spec for spec, _ in fresh}
+        old = [d for spec, d in _live_dirs(spark, table, partition_by) if spec in renewed]
+    _point_partitions(spark, table, fresh)
     spark.catalog.refreshTable(table)
-    return True
+    for d in old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(d)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _live_dirs(spark: SparkSession, table: str, parts: Sequence[str]) -> list[tuple[str, str]]:
+    rows = (spark.table(table).select(*parts, F.col("_metadata.file_path").alias("_f"))
+            .groupBy(*parts).agg(F.first("_f").alias("_f")).collect())
+    return [(_spec(r, parts), r["_f"].rsplit("/", 1)[0]) for r in rows]
+
+
+def touched_rows(current: DataFrame, batch: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of ``current`` in the partitions that ``batch`` has rows of."""
+    old = current
+    for c in partition_by:
+        old = old.filter(F.col(c).between(batch.agg(F.min(c)).scalar(), batch.agg(F.max(c)).scalar()))
+    return old.join(batch.select(*partition_by).distinct(), list(partition_by), "left_semi")
 
 
 def apply_change_feed(snapshot: DataFrame, changes: DataFrame, keys: Sequence[str],
@@ -261,11 +357,13 @@ def apply_change_feed(snapshot: DataFrame, changes: DataFrame, keys: Sequence[st
 
     The newest change per key is a ``max(struct(seq, ...))`` partial
     aggregate (a hot key is reduced before the shuffle); the snapshot is then
-    anti-joined NULL-safely on the keys and the surviving upserts added."""
+    anti-joined NULL-safely on the keys and the surviving upserts added.  A
+    change without an op is an upsert."""
     data_cols = [c for c in changes.columns if c not in (sequence_col, op_col) and c not in keys]
     newest = (changes.groupBy(*keys)
               .agg(F.max(F.struct(F.col(sequence_col), F.col(op_col), *[F.col(c) for c in data_cols]))
                    .alias("_c"))
               .select(*keys, *[F.col(f"_c.{c}").alias(c) for c in [op_col, *data_cols]]))
-    upserts = newest.filter(~F.col(op_col).isin(*delete_ops)).drop(op_col)
+    is_delete = F.coalesce(F.col(op_col).isin(*delete_ops), F.lit(False))
+    upserts = newest.filter(~is_delete).drop(op_col)
     return _anti(snapshot, newest, keys).unionByName(upserts.select(*snapshot.columns))

@@ -144,26 +144,35 @@ def rolling_frames(df: DataFrame, keys: Sequence[str], ts: str,
         return "_one" if c is None else c
 
     base = df.withColumn("_t", epoch_us(ts)).withColumn("_one", F.lit(1))
-    real = base.withColumn("_g", F.lit(0))
-    parts = [real]
-    for j, length, p, w in spec:
-        mine = [a for a in aggs if a[3] == length]
-        ins = sorted({inp(c) for _, c, _, _ in mine})
-        parts.append(base.select(*keys, (F.col("_t") + F.lit(length)).alias("_t"), *ins)
-                         .withColumn("_g", F.lit(j + 1)))
-        if p > 1:
-            b = _floor_div(F.col("_t"), w)
-            per_bucket = base.groupBy(*keys, b.alias("_bk")).agg(
-                *[_AGG[fn](inp(c)).alias(f"_pb_{name}") for fn, c, name, _ in mine])
+    ins = sorted({inp(c) for _, c, _, _ in aggs})
+    # one scan gives the rows and their ghosts (a ghost keeps the inputs only; a row
+    # without a time has none: its frame is its peers)
+    tags = F.array(F.struct(F.lit(0).alias("g"), F.col("_t").alias("t")), *[
+        F.struct(F.lit(j + 1).alias("g"), (F.col("_t") + F.lit(length)).alias("t")) for j, length, _, _ in spec])
+    tags = F.when(F.col("_t").isNull(), F.slice(tags, 1, 1)).otherwise(tags)
+    carried = [c for c in base.columns if c not in ("_t", *keys)]
+    spread = base.withColumn("_tag", F.explode(tags))
+    u = spread.select(*keys, F.col("_tag.t").alias("_t"), F.col("_tag.g").alias("_g"), *[
+        F.col(c) if c in ins else F.when(F.col("_tag.g") == 0, F.col(c)).alias(c) for c in carried])
+    wide = [(j, length, p, w) for j, length, p, w in spec if p > 1]
+    if wide:
+        # the second scan: totals per finest bucket, rolled up to each length's buckets
+        finest = math.gcd(*[w for *_, w in wide])
+        merge = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+        named = {(fn, inp(c)): f"_f{i}" for i, (fn, c) in enumerate(sorted(
+            {(fn, inp(c)) for fn, c, _, ln in aggs if ln in {x[1] for x in wide}}))}
+        fine = base.filter("_t IS NOT NULL").groupBy(*keys, _floor_div(F.col("_t"), finest).alias("_fb")) \
+            .agg(*[_AGG[fn](c).alias(n) for (fn, c), n in named.items()])
+        for j, length, p, w in wide:
+            mine = [(fn, named[fn, inp(c)], name) for fn, c, name, ln in aggs if ln == length]
+            per_bucket = fine.groupBy(*keys, _floor_div(F.col("_fb") * F.lit(finest), w).alias("_bk")) \
+                .agg(*[merge[fn](n).alias(f"_pb_{name}") for fn, n, name in mine])
             between = Window.partitionBy(*keys).orderBy("_bk").rangeBetween(-(p - 1), -1)
-            merge = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
-            parts.append(per_bucket.select(
+            # a bucket's own totals also reach buckets that hold ghosts only
+            u = u.unionByName(per_bucket.select(
                 *keys, (F.col("_bk") * F.lit(w)).alias("_t"), F.lit(-(j + 1)).alias("_g"),
-                *[merge[fn](f"_pb_{name}").over(between).alias(f"_mid_{name}")
-                  for fn, _, name, _ in mine]))
-    u = parts[0]
-    for part in parts[1:]:
-        u = u.unionByName(part, allowMissingColumns=True)
+                *[merge[fn](f"_pb_{name}").over(between).alias(f"_mid_{name}") for fn, _, name in mine]),
+                allowMissingColumns=True)
     u = u.withColumn("_B", _floor_div(F.col("_t"), coarse))
     for j, _, _, w in spec:
         u = u.withColumn(f"_o{j}", F.pmod(F.col("_t"), F.lit(w))) \
@@ -209,8 +218,52 @@ def rolling_frames(df: DataFrame, keys: Sequence[str], ts: str,
     return out.select(*df.columns, *out_names)
 
 
-def rolling_fine(df: DataFrame, keys: Sequence[str], ts: str, length_us: int,
-                 aggs: Sequence[tuple[str, str, str]], pieces: int = 30) -> DataFrame:
-    """Single-length form of :func:`rolling_frames` with ``pieces`` buckets."""
-    return rolling_frames(df, keys, ts, [(fn, c, name, length_us) for fn, c, name in aggs],
-                          {length_us: pieces})
+def rolling_distinct_count(df: DataFrame, keys: Sequence[str], ts: str, value: str, length_us: int,
+                           out: str) -> DataFrame:
+    """Exact number of distinct non-NULL ``value`` in ``RANGE [t - L, t]`` per key, in
+    linear time.
+
+    A value counts at every time from one of its rows until L after it.  Its rows
+    are first reduced to (first, last) per stretch of length L (map-side combine; no
+    gap within one), stretches closer than L are one interval, and an interval is
+    +1 where it starts and -1 just after it ends.  The count at a row is the running
+    sum of these changes: summed per (key, day), offset by the days before, and run
+    within the day, so a hot key is spread over its days and no frame is ever
+    collected.  Rows without a time are one another's peers, as in SQL.
+    """
+    day = US["day"]
+    rows = df.withColumn("_t", epoch_us(ts))
+    timed = rows.filter("_t IS NOT NULL")
+    seen = timed.filter(F.col(value).isNotNull()).groupBy(*keys, value, _floor_div(F.col("_t"), length_us).alias("_s")) \
+        .agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    per_value = Window.partitionBy(*keys, value).orderBy("_s")
+    gap = lambda other: F.coalesce(other, F.lit(False))
+    joined_before = gap(F.col("_lo") - F.lag("_hi").over(per_value) <= length_us)
+    joined_after = gap(F.lead("_lo").over(per_value) - F.col("_hi") <= length_us)
+    # within a stretch of length L no gap exceeds L, so only its two ends can be changes
+    ends = seen.select(*keys, F.when(~joined_before, F.col("_lo")).alias("_up"),
+                       F.when(~joined_after, F.col("_hi") + F.lit(length_us + 1)).alias("_down"))
+    changes = ends.select(*keys, F.explode(F.array(
+        F.struct(F.col("_up").alias("t"), F.lit(1).alias("d")),
+        F.struct(F.col("_down").alias("t"), F.lit(-1).alias("d")))).alias("c")) \
+        .filter("c.t IS NOT NULL").groupBy(*keys, F.col("c.t").alias("_t")).agg(F.sum("c.d").alias("_d"))
+    changes = changes.withColumn("_day", _floor_div(F.col("_t"), day))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = changes.groupBy(*keys, "_day").agg(F.sum("_d").alias("_sum")) \
+        .unionByName(timed.select(*keys, _floor_div(F.col("_t"), day).alias("_day"), F.lit(0).cast("bigint").alias("_sum"))
+                     .distinct())
+    days = days.groupBy(*keys, "_day").agg(F.sum("_sum").alias("_sum"))
+    offsets = days.withColumn("_off", F.coalesce(F.sum("_sum").over(before), F.lit(0))) \
+        .select(*keys, (F.col("_day") * F.lit(day)).alias("_t"), F.col("_off").alias("_d"), "_day")
+    tagged = timed.withColumn("_day", _floor_div(F.col("_t"), day)).withColumn("_row", F.lit(True))
+    u = tagged.unionByName(changes, allowMissingColumns=True).unionByName(offsets, allowMissingColumns=True)
+    run = Window.partitionBy(*keys, "_day").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = u.withColumn(out, F.coalesce(F.sum("_d").over(run), F.lit(0)).cast("int")).filter("_row") \
+        .select(*df.columns, out)
+    peers = rows.filter("_t IS NULL")
+    same = peers.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v")) \
+        .groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.countDistinct("_v").cast("int").alias(out))
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return counted.unionByName(peers.join(same, match).select(*df.columns, out))

@@ -20,9 +20,10 @@ from tierline.operators.features import (
     FeatureView, define_feature_view, describe_views, features_for_entities,
     get_historical_features, latest_features, point_in_time_join, resolve_refs,
 )
-from tierline.operators.sinks import materialize
+from tierline.operators.sinks import materialize_newest
 from tierline.operators.windows import exact_sum
 from tierline.plans.common import EVENTS_ASOF, t
+from tierline.session import scratch_path
 
 
 def entity_frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,12 +187,22 @@ def materialize_latest(spark: SparkSession, sf: str) -> DataFrame:
     mid, end = "2024-01-15 00:00:00", EVENTS_ASOF
     table = f"online.{'user_daily_' + uuid.uuid4().hex[:10]}"
     first = latest_features(view, mid)
-    materialize(spark, first, table, "incremental", "merge", ["user_id"])
+    materialize_newest(spark, first, table, ["user_id"], "event_timestamp", scratch_path(spark, "online"))
     fv = view.frame()
     window = fv.filter((F.col("event_timestamp") > lit_ts(mid)) & (F.col("event_timestamp") <= lit_ts(end)))
     recent = latest_features(FeatureView(view.name, window, view.entities, view.features,
                                          view.timestamp_field, None, None), end)
-    return materialize(spark, recent, table, "incremental", "merge", ["user_id"])
+    return materialize_newest(spark, recent, table, ["user_id"], "event_timestamp")
+
+
+def materialize_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """The newer range first, an older one afterwards: newer rows stay."""
+    view = user_daily(spark, sf, ttl=None)
+    table = f"online.{'user_backfill_' + uuid.uuid4().hex[:10]}"
+    materialize_newest(spark, latest_features(view, EVENTS_ASOF), table, ["user_id"], "event_timestamp",
+                       scratch_path(spark, "online"))
+    older = latest_features(view, "2024-01-15 00:00:00")
+    return materialize_newest(spark, older, table, ["user_id"], "event_timestamp")
 
 
 MATERIALIZE_LATEST_SQL = f"""
@@ -258,6 +269,7 @@ QUERIES = {
     "latest_features": latest_features_q,
     "features_for_entities": features_for_entities_q,
     "materialize_latest": materialize_latest,
+    "materialize_backfill": materialize_backfill,
     "feature_types": feature_types,
     "feature_catalog": feature_catalog,
 }
@@ -270,6 +282,7 @@ ORACLES = {
     "latest_features": LATEST_SQL,
     "features_for_entities": FEATURES_FOR_ENTITIES_SQL,
     "materialize_latest": MATERIALIZE_LATEST_SQL,
+    "materialize_backfill": MATERIALIZE_LATEST_SQL,
     "feature_types": FEATURE_TYPES_SQL,
     "feature_catalog": FEATURE_CATALOG_SQL,
 }

@@ -70,7 +70,7 @@ def clean_orders(o: DataFrame, since: str = "1996-01-01") -> DataFrame:
                      & (status == "f"))
              .select(F.col("o_orderkey").alias("transaction_id"),
                      F.col("o_custkey").alias("customer_id"),
-                     F.col("o_totalprice").cast("decimal(10,2)").alias("amount"),
+                     F.col("o_totalprice").try_cast("decimal(10,2)").alias("amount"),
                      F.col("o_orderdate").cast("date").alias("transaction_date"),
                      F.lower(F.trim("o_orderpriority")).alias("payment_method"),
                      F.lit("completed").alias("status")))
@@ -82,7 +82,7 @@ def clean_transactions_checked(spark: SparkSession, sf: str) -> DataFrame:
 
 CLEAN_TRANSACTIONS_SQL = """
 SELECT o_orderkey AS transaction_id, o_custkey AS customer_id,
-       CAST(o_totalprice AS DECIMAL(10,2)) AS amount,
+       TRY_CAST(o_totalprice AS DECIMAL(10,2)) AS amount,
        CAST(o_orderdate AS DATE) AS transaction_date,
        LOWER(TRIM(o_orderpriority)) AS payment_method,
        'completed' AS status

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierline.operators.clean import transform_sql
+from tierline.operators.jobs import silver_job
 from tierline.operators.sinks import (
     apply_change_feed, materialize, observed_write, write_parquet, write_table,
 )
@@ -23,7 +24,7 @@ from tierline.plans.silver import (
 from tierline.session import scratch_path
 from tierline.sources.catalog import catalog_profile
 from tierline.sources.files import files_of, path_sql, read_json_documents, read_sources
-from tierline.sources.tables import table_path
+from tierline.sources.tables import TABLES, table_path
 
 
 def _name(prefix: str) -> str:
@@ -76,22 +77,29 @@ def src_files(spark: SparkSession, sf: str) -> DataFrame:
 
 SRC_FILES_SQL = "SELECT 'orders.parquet' AS file_name, COUNT(*) AS n_rows FROM orders"
 
-PROFILED = ("nation", "customer", "orders", "lineitem")
-
-
 def catalog_profile_q(spark: SparkSession, sf: str) -> DataFrame:
-    names = []
-    for n in PROFILED:
-        v = f"profile_{n}"
-        t(spark, sf, n).createOrReplaceTempView(v)
-        names.append(v)
-    return catalog_profile(spark, names)
+    """Every driver table as an external table of a fresh namespace, a partitioned
+    table and a view on it; bytes and places are reported as present or not."""
+    ns = _name("profile")
+    spark.sql(f"CREATE DATABASE {ns} LOCATION '{scratch_path(spark, ns)}'")
+    for n in TABLES:
+        spark.sql(f"CREATE TABLE {ns}.{n} USING parquet LOCATION '{table_path(sf, n)}'")
+    write_table(spark, _orders_by_year(spark, sf), f"{ns}.orders_by_year", partition_by=["year"],
+                location=scratch_path(spark, ns) + "/orders_by_year")
+    spark.sql(f"CREATE VIEW {ns}.big_years AS SELECT year, COUNT(*) AS n FROM {ns}.orders_by_year GROUP BY year")
+    return catalog_profile(spark, ns).select(
+        "table_name", "kind", "column_count", F.array_join("partition_columns", ",").alias("partitioned_by"), "row_count",
+        F.col("location").isNotNull().alias("has_location"), F.coalesce(F.col("size_bytes") > 0, F.lit(False)).alias("has_size"))
 
 
 CATALOG_PROFILE_SQL = " UNION ALL ".join(
-    f"SELECT 'profile_{n}' AS table_name, "
-    f"CAST((SELECT COUNT(*) FROM (DESCRIBE {n})) AS BIGINT) AS column_count, COUNT(*) AS row_count FROM {n}"
-    for n in PROFILED)
+    f"SELECT '{n}' AS table_name, 'EXTERNAL' AS kind, "
+    f"CAST((SELECT COUNT(*) FROM (DESCRIBE {n})) AS BIGINT) AS column_count, '' AS partitioned_by, COUNT(*) AS row_count, "
+    f"true AS has_location, true AS has_size FROM {n}"
+    for n in TABLES) + """
+ UNION ALL SELECT 'orders_by_year', 'EXTERNAL', 3, 'year', COUNT(*), true, true FROM orders
+ UNION ALL SELECT 'big_years', 'VIEW', 2, '', COUNT(DISTINCT year(o_orderdate)), false, false FROM orders
+"""
 
 
 def bronze_copy(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,14 +174,30 @@ FROM orders
 
 
 def snk_partitioned(spark: SparkSession, sf: str) -> DataFrame:
-    """Partitioned write; the read filter on the partition column prunes
-    directories (PartitionFilters in the scan)."""
+    """Partitioned write, all partitions read back (pruning by a filter on the
+    partition column is a plan test)."""
     path = scratch_path(spark, "snk_partitioned")
     write_parquet(clean_transactions_checked(spark, sf), path, partition_by=["payment_method"])
-    return spark.read.parquet(path).filter(F.col("payment_method") == "1-urgent")
+    return spark.read.parquet(path)
+
+
+def snk_replace_partitioned(spark: SparkSession, sf: str) -> DataFrame:
+    """Replacing a partitioned table: years missing in the new data are gone."""
+    o = _orders_by_year(spark, sf)
+    table = f"silver.{_name('orders_replaced')}"
+    write_table(spark, o, table, partition_by=["year"], location=scratch_path(spark, "snk_rep") + "/v0")
+    write_table(spark, o.filter("year <> 1997").withColumn("o_totalprice", F.col("o_totalprice") + 1.0), table, "replace")
+    return spark.table(table)
+
+
+SNK_REPLACE_PARTITIONED_SQL = """
+SELECT o_orderkey, o_totalprice + 1.0 AS o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year
+FROM orders WHERE year(o_orderdate) <> 1997
+"""
 
 
-SNK_PARTITIONED_SQL = f"SELECT * FROM ({CLEAN_TRANSACTIONS_CHECKED_SQL}) s WHERE payment_method = '1-urgent'"
+def _orders_by_year(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
 
 
 def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,12 +214,34 @@ SELECT (SELECT COUNT(*) FROM orders) AS rows_in,
 """
 
 
+SILVER_JOB_SQL = """
+SELECT thousand, COUNT(*) AS n, CAST(SUM(CAST(balance AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM (SELECT CAST(FLOOR(COALESCE(c_acctbal, s_acctbal) / 1000) AS INTEGER) AS thousand,
+             COALESCE(c_acctbal, s_acctbal) AS balance FROM source_data) b
+GROUP BY thousand
+"""
+
+
+def silver_job_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Two paths -> user SQL -> table, with the run's counts beside the rows."""
+    table = f"silver.{_name('parties')}"
+    m = silver_job(spark, [table_path(sf, "customer"), table_path(sf, "supplier")], SILVER_JOB_SQL, table,
+                   location=scratch_path(spark, "silver") + "/parties")
+    return spark.table(table).withColumns({k: F.lit(int(m[k])).cast("bigint") for k in ("rows_in", "rows_out")})
+
+
+SILVER_JOB_CHECK_SQL = f"""
+WITH source_data AS ({SRC_UNION_SQL}), r AS ({SILVER_JOB_SQL})
+SELECT r.*, (SELECT COUNT(*) FROM source_data) AS rows_in, (SELECT COUNT(*) FROM r) AS rows_out FROM r
+"""
+
+
 # --- materializations ---------------------------------------------------------
 
 def mat_table(spark: SparkSession, sf: str) -> DataFrame:
     tx = clean_transactions_checked(spark, sf)
     table = f"gold.{_name('transactions')}"
-    materialize(spark, tx.limit(0), table, "table")      # first version (empty)
+    materialize(spark, tx.limit(0), table, "table", root=scratch_path(spark, "gold"))   # first version (empty)
     return materialize(spark, tx, table, "table")        # full refresh swaps in
 
 
@@ -207,10 +253,53 @@ def mat_incr_append(spark: SparkSession, sf: str) -> DataFrame:
     tx = clean_transactions_checked(spark, sf)
     first, second = _split(tx, "transaction_date", "1998-01-01")
     table = f"gold.{_name('tx_incr')}"
-    materialize(spark, first, table, "incremental", "append")
+    materialize(spark, first, table, "incremental", "append", root=scratch_path(spark, "gold"))
     return materialize(spark, second, table, "incremental", "append")
 
 
+def mat_table_partitioned(spark: SparkSession, sf: str) -> DataFrame:
+    """Full refresh of a partitioned table: a year that is no more goes, a year
+    that is new comes, all others are replaced."""
+    o = _orders_by_year(spark, sf)
+    table = f"gold.{_name('orders_by_year')}"
+    materialize(spark, o.filter("year < 2000"), table, "table", partition_by=["year"], root=scratch_path(spark, "gold"))
+    return materialize(spark, o.filter("year <> 1998"), table, "table")
+
+
+MAT_TABLE_PARTITIONED_SQL = """
+SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE year(o_orderdate) <> 1998
+"""
+
+
+def mat_incr_append_partitioned(spark: SparkSession, sf: str) -> DataFrame:
+    """Appends into partitions that exist and into new ones."""
+    o = _orders_by_year(spark, sf)
+    table = f"gold.{_name('orders_appended')}"
+    early = F.col("o_orderkey") % 2 == 0
+    materialize(spark, o.filter(early & (F.col("year") < 2000)), table, "incremental", "append",
+                partition_by=["year"], root=scratch_path(spark, "gold"))
+    return materialize(spark, o.filter(~(early & (F.col("year") < 2000))), table, "incremental", "append")
+
+
+ORDERS_BY_YEAR_SQL = "SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders"
+
+
+def mat_incr_merge_nonkey_partition(spark: SparkSession, sf: str) -> DataFrame:
+    """Merge on a key without the partition column: a row moves to another partition."""
+    o = _orders_by_year(spark, sf)
+    table = f"gold.{_name('orders_moved')}"
+    materialize(spark, o, table, "incremental", "merge", ["o_orderkey"], partition_by=["year"],
+                root=scratch_path(spark, "gold"))
+    moved = o.filter("year >= 1999").withColumn("year", F.col("year") - 1)
+    return materialize(spark, moved, table, "incremental", "merge", ["o_orderkey"])
+
+
+MAT_MERGE_MOVED_SQL = f"""
+SELECT o_orderkey, o_totalprice, CASE WHEN year >= 1999 THEN year - 1 ELSE year END AS year
+FROM ({ORDERS_BY_YEAR_SQL}) o
+"""
+
+
 def _orders_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
                                          "o_totalprice", "o_orderdate")
@@ -225,7 +314,7 @@ def mat_incr_merge(spark: SparkSession, sf: str) -> DataFrame:
                 .withColumns({"o_orderstatus": F.lit("F"),
                               "o_totalprice": F.col("o_totalprice") + 100.0}))
     table = f"gold.{_name('orders_merge')}"
-    materialize(spark, old, table, "incremental", "merge", ["o_orderkey"])
+    materialize(spark, old, table, "incremental", "merge", ["o_orderkey"], root=scratch_path(spark, "gold"))
     return materialize(spark, changes, table, "incremental", "merge", ["o_orderkey"])
 
 
@@ -248,7 +337,8 @@ def mat_incr_merge_partitioned(spark: SparkSession, sf: str) -> DataFrame:
                               "o_totalprice": F.col("o_totalprice") + 100.0}))
     table = f"gold.{_name('orders_merge_part')}"
     keys = ["year", "o_orderkey"]
-    materialize(spark, old, table, "incremental", "merge", keys, partition_by=["year"])
+    materialize(spark, old, table, "incremental", "merge", keys, partition_by=["year"],
+                root=scratch_path(spark, "gold"))
     return materialize(spark, changes, table, "incremental", "merge", keys)
 
 
@@ -265,7 +355,7 @@ def mat_incr_delete_insert(spark: SparkSession, sf: str) -> DataFrame:
     batch = li.filter(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
     table = f"gold.{_name('lineitem_di')}"
     keys = ["l_orderkey", "l_linenumber"]
-    materialize(spark, old, table, "incremental", "delete+insert", keys)
+    materialize(spark, old, table, "incremental", "delete+insert", keys, root=scratch_path(spark, "gold"))
     return materialize(spark, batch, table, "incremental", "delete_insert", keys)
 
 
@@ -296,6 +386,8 @@ def bronze_cdc(spark: SparkSession, sf: str) -> DataFrame:
     again = (o.filter(in_1999 & (F.col("o_orderpriority") == "1-URGENT"))
               .withColumns({"o_orderstatus": F.lit("F"), "o_totalprice": F.col("o_totalprice") + 1.0,
                             "_op": F.lit("U"), "_seq": F.lit(4)}))
+    # a change that lost its op is an upsert
+    updates = updates.withColumn("_op", F.when(F.col("o_orderkey") % 3 == 0, F.lit(None)).otherwise(F.col("_op")))
     deletes = (o.filter((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderdate") >= ts("1998-01-01"))
                         & (F.col("o_orderdate") < ts("1999-01-01")))
                 .withColumns({"_op": F.lit("D"), "_seq": F.lit(3)}))
@@ -340,8 +432,13 @@ QUERIES = {
     "snk_dynamic_partitions": snk_dynamic_partitions,
     "snk_partitioned": snk_partitioned,
     "run_metrics": run_metrics,
+    "silver_job": silver_job_q,
     "mat_table": mat_table,
     "mat_view": mat_view,
+    "snk_replace_partitioned": snk_replace_partitioned,
+    "mat_table_partitioned": mat_table_partitioned,
+    "mat_incr_append_partitioned": mat_incr_append_partitioned,
+    "mat_incr_merge_nonkey_partition": mat_incr_merge_nonkey_partition,
     "mat_incr_append": mat_incr_append,
     "mat_incr_merge": mat_incr_merge,
     "mat_incr_delete_insert": mat_incr_delete_insert,
@@ -361,8 +458,13 @@ ORACLES = {
     "snk_append": CLEAN_TRANSACTIONS_CHECKED_SQL,
     "snk_create_then_append": CLEAN_TRANSACTIONS_CHECKED_SQL,
     "snk_dynamic_partitions": SNK_DYNAMIC_SQL,
-    "snk_partitioned": SNK_PARTITIONED_SQL,
+    "snk_partitioned": CLEAN_TRANSACTIONS_CHECKED_SQL,
+    "snk_replace_partitioned": SNK_REPLACE_PARTITIONED_SQL,
+    "mat_table_partitioned": MAT_TABLE_PARTITIONED_SQL,
+    "mat_incr_append_partitioned": ORDERS_BY_YEAR_SQL,
+    "mat_incr_merge_nonkey_partition": MAT_MERGE_MOVED_SQL,
     "run_metrics": RUN_METRICS_SQL,
+    "silver_job": SILVER_JOB_CHECK_SQL,
     "mat_table": CLEAN_TRANSACTIONS_CHECKED_SQL,
     "mat_view": CLEAN_TRANSACTIONS_CHECKED_SQL,
     "mat_incr_append": CLEAN_TRANSACTIONS_CHECKED_SQL,

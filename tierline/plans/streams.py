@@ -17,7 +17,7 @@ from tierline.operators.windows import exact_sum
 from tierline.plans.common import PROCESSED_AT, RUN_ID, t
 from tierline.session import scratch_path
 from tierline.streaming.jobs import (
-    dedup_within_watermark, file_stream, run_until_caught_up, stream_to_bronze,
+    BUCKET_COLUMN, dedup_within_watermark, file_stream, run_until_caught_up, sliding_from_panes, stream_to_bronze,
     upsert_latest_stream, windowed_aggregates,
 )
 
@@ -70,9 +70,14 @@ HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) FRO
 
 
 def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
-    """24-hour windows sliding by one hour (each event lands in 24 windows)."""
-    agg = windowed_aggregates(_events_stream(spark, sf), "ts", ["event_type"], _agg_cols(),
-                              "24 hours", "1 hour", delay="1 hour")
+    """24-hour windows sliding by one hour, from hourly panes (an event is
+    aggregated once, not 24 times)."""
+    money = F.sum("_sum").alias("_total")
+    agg = sliding_from_panes(
+        _events_stream(spark, sf), "ts", ["event_type"],
+        [F.count(F.lit(1)).alias("_n"), F.sum(exact_sum("value")).alias("_sum"), F.max("value").alias("_max")],
+        [F.sum("_n").alias("n_events"), money, F.max("_max").alias("max_value")], "24 hours", "1 hour", delay="1 hour")
+    agg = agg.withColumn("total_value", F.col("_total").cast("double")).drop("_total")
     w, out = _file_sink(agg, "stream_sliding")
     run_until_caught_up(w)
     return spark.read.parquet(out)
@@ -108,7 +113,7 @@ def stream_upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     w = upsert_latest_stream(s, table, scratch_path(spark, "stream_upsert"), ["user_id"], "ts",
                              ["event_type", "value"], scratch_path(spark, "stream_upsert_ck"))
     run_until_caught_up(w)
-    return spark.table(table)
+    return spark.table(table).drop(BUCKET_COLUMN)
 
 
 STREAM_UPSERT_SQL = """

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierline.functions import json_int, lit_ts, round_double, safe_ratio
-from tierline.operators.windows import duration_us, exact_sum, rolling, rolling_fine, rolling_frames
+from tierline.operators.windows import duration_us, exact_sum, rolling, rolling_distinct_count, rolling_frames
 from tierline.plans.common import EVENTS_ASOF, t
 
 H24 = duration_us(24, "hour")
@@ -80,13 +80,12 @@ ROLLING_MULTI_SQL = _multi_sql()
 
 
 def rolling_30d(spark: SparkSession, sf: str) -> DataFrame:
-    """30-day count / sum / avg / min / max per user with daily buckets
-    (``rolling_fine``): a hot user is split into one piece per day."""
+    """30-day count / sum / avg / min / max per user with daily buckets."""
     e = (t(spark, sf, "events").select("event_id", "user_id", "ts", "value")
          .withColumn("_v", exact_sum("value")))
-    out = rolling_fine(e, ["user_id"], "ts", D30,
-                       [("count", "event_id", "count_30d"), ("sum", "_v", "_s"),
-                        ("min", "value", "min_30d"), ("max", "value", "max_30d")], pieces=30)
+    out = rolling_frames(e, ["user_id"], "ts", [
+        ("count", "event_id", "count_30d", D30), ("sum", "_v", "_s", D30),
+        ("min", "value", "min_30d", D30), ("max", "value", "max_30d", D30)], {D30: 30})
     return out.select("event_id", "user_id", "ts", "value", "count_30d",
                       F.col("_s").cast("double").alias("sum_30d"),
                       round_double(safe_ratio(F.col("_s"), F.col("count_30d"))).alias("avg_30d"),
@@ -104,13 +103,9 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRE
 
 
 def rolling_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct merchants in 24 h: DISTINCT is not allowed in a window, so
-    the size of ``collect_set`` over the frame (bounded by the frame)."""
+    """Distinct merchants in 24 h."""
     e = events_k(spark, sf).select("event_id", "user_id", "ts", "k")
-
-    def cols(frame):
-        return [F.size(F.collect_set("k").over(frame(H24))).alias("unique_merchants_24h")]
-    return rolling(e, ["user_id"], "ts", cols, H24)
+    return rolling_distinct_count(e, ["user_id"], "ts", "k", H24, "unique_merchants_24h")
 
 
 ROLLING_DISTINCT_SQL = """
@@ -251,10 +246,7 @@ def txn_pattern_features(spark: SparkSession, sf: str) -> DataFrame:
         ("count", None, "_n24", H24), ("sum", "_v", "_s24", H24), ("max", "value", "_mx24", H24),
         ("count", "_foreign", "_fo24", H24), ("count", "_risky", "_hr24", H24),
         ("sum", "_v", "_s30", D30), ("count", "value", "_n30", D30)])
-
-    def distinct(frame):
-        return [F.size(F.collect_set("k").over(frame(H24))).cast("int").alias("unique_merchants_24h")]
-    r = rolling(r, ["user_id"], "ts", distinct, H24)
+    r = rolling_distinct_count(r, ["user_id"], "ts", "k", H24, "unique_merchants_24h")
     return r.select("user_id", F.col("ts").alias("pattern_timestamp"),
                     F.col("_n24").cast("int").alias("transaction_count_24h"),
                     F.col("_s24").cast("double").alias("total_amount_24h"),

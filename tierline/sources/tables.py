@@ -17,8 +17,3 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         raise KeyError(name)
     return spark.read.parquet(table_path(sf_dir, name))
 
-
-def register_all(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Temp views named like the tables, for SQL-first operators."""
-    for n in names:
-        load(spark, sf_dir, n).createOrReplaceTempView(n)

@@ -18,7 +18,10 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from tierline.functions import instant_wallclock, wallclock_instant
-from tierline.operators.sinks import create_table_version, swap_in_version
+from tierline.operators.sinks import create_table_version, replace_partitions, touched_rows
+
+#: Hash bucket of the keys in tables kept by :func:`upsert_latest_stream`.
+BUCKET_COLUMN = "_bucket"
 
 
 def file_stream(spark: SparkSession, directory: str, schema: StructType, fmt: str = "parquet",
@@ -35,11 +38,15 @@ def file_stream(spark: SparkSession, directory: str, schema: StructType, fmt: st
 
 def run_until_caught_up(writer: DataStreamWriter, timeout_s: float | None = None) -> StreamingQuery:
     """Process everything available now (in as many micro-batches as the
-    source limits allow), then stop: the batch-style way to run a stream."""
+    source limits allow), then stop: the batch-style way to run a stream.
+    A stream that is not done after ``timeout_s`` is stopped, and this raises."""
     q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
+    done = q.awaitTermination(timeout_s)
     if q.exception():
         raise q.exception()
+    if timeout_s is not None and not done:
+        q.stop()
+        raise TimeoutError(f"the stream had not caught up after {timeout_s} s")
     return q
 
 
@@ -75,6 +82,22 @@ def windowed_aggregates(stream: DataFrame, ts: str, keys: Sequence[str | Column]
                       *[c for c in out.columns if c != "window"])
 
 
+def sliding_from_panes(stream: DataFrame, ts: str, keys: Sequence[str], pane_aggs: Sequence[Column],
+                       window_aggs: Sequence[Column], window: str, slide: str, delay: str = "1 hour") -> DataFrame:
+    """Sliding windows in two steps: tumbling panes as wide as the slide, then
+    windows over panes.
+
+    An event is aggregated once, into its pane; only panes are copied into the
+    ``window / slide`` windows they belong to.  ``window_aggs`` combine the pane
+    columns (a count becomes a sum of counts).  The slide must divide the window."""
+    s = with_event_time(stream, ts).withWatermark(ts, delay)
+    panes = s.groupBy(F.window(ts, slide).alias("pane"), *keys).agg(*pane_aggs)
+    out = panes.groupBy(F.window("pane", window, slide).alias("window"), *keys).agg(*window_aggs)
+    return out.select(instant_wallclock("window.start").alias("window_start"),
+                      instant_wallclock("window.end").alias("window_end"),
+                      *[c for c in out.columns if c != "window"])
+
+
 def dedup_within_watermark(stream: DataFrame, ts: str, keys: Sequence[str],
                            delay: str = "1 hour") -> DataFrame:
     """Drop re-delivered rows: the first row per key wins while the key is
@@ -91,22 +114,25 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence
 
 
 def upsert_latest_stream(stream: DataFrame, table: str, root: str, keys: Sequence[str], ts: str,
-                         values: Sequence[str], checkpoint: str) -> DataStreamWriter:
+                         values: Sequence[str], checkpoint: str, buckets: int = 64) -> DataStreamWriter:
     """Keep ``table`` = newest row per key across all micro-batches.
 
-    Each batch is reduced to its newest row per key, combined with the
-    current table by the same max rule and swapped in as a new version.
-    Replaying a batch after a failure gives the same table (idempotent)."""
+    The table is partitioned by a hash bucket of its keys (column
+    ``BUCKET_COLUMN``).  Each batch is reduced to its newest row per key and
+    combined, by the same max rule, with the buckets it touches; only these are
+    read, rewritten and re-pointed, and their superseded files are removed after
+    the swap.  Replaying a batch after a failure gives the same table."""
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge_batch(batch: DataFrame, epoch_id: int) -> None:
-        latest = latest_per_key(batch, keys, ts, values)
+        latest = latest_per_key(batch, keys, ts, values).withColumn(BUCKET_COLUMN, bucket)
         if not spark.catalog.tableExists(table):
-            create_table_version(spark, latest, table, root)
+            create_table_version(spark, latest, table, root, [BUCKET_COLUMN])
             return
-        current = spark.table(table)
-        merged = latest_per_key(current.unionByName(latest), keys, ts, values)
-        swap_in_version(spark, merged, table)
+        old = touched_rows(spark.table(table), latest, [BUCKET_COLUMN])
+        merged = latest_per_key(old.unionByName(latest), [*keys, BUCKET_COLUMN], ts, values)
+        replace_partitions(spark, merged, table, [BUCKET_COLUMN], remove_old=True)
 
     return (stream.writeStream.foreachBatch(merge_batch)
             .option("checkpointLocation", checkpoint).outputMode("append"))
