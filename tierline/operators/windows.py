@@ -163,16 +163,21 @@ def rolling_frames(df: DataFrame, keys: Sequence[str], ts: str,
             {(fn, inp(c)) for fn, c, _, ln in aggs if ln in {x[1] for x in wide}}))}
         fine = base.filter("_t IS NOT NULL").groupBy(*keys, _floor_div(F.col("_t"), finest).alias("_fb")) \
             .agg(*[_AGG[fn](c).alias(n) for (fn, c), n in named.items()])
+        sizes = F.create_map(*[F.lit(x) for j, _, _, w in wide for x in (j, w)])
+        tagged_by = fine.withColumn("_j", F.explode(F.array(*[F.lit(j) for j, *_ in wide]))) \
+            .withColumn("_w", F.element_at(sizes, F.col("_j")))
+        start = F.col("_fb") * F.lit(finest)
+        per_bucket = tagged_by.groupBy(*keys, "_j", ((start - F.pmod(start, F.col("_w")))).alias("_t")) \
+            .agg(*[merge[fn](n).alias(n) for (fn, _), n in named.items()])
+        along = Window.partitionBy(*keys, "_j").orderBy("_t")
+        mids = []
         for j, length, p, w in wide:
-            mine = [(fn, named[fn, inp(c)], name) for fn, c, name, ln in aggs if ln == length]
-            per_bucket = fine.groupBy(*keys, _floor_div(F.col("_fb") * F.lit(finest), w).alias("_bk")) \
-                .agg(*[merge[fn](n).alias(f"_pb_{name}") for fn, n, name in mine])
-            between = Window.partitionBy(*keys).orderBy("_bk").rangeBetween(-(p - 1), -1)
-            # a bucket's own totals also reach buckets that hold ghosts only
-            u = u.unionByName(per_bucket.select(
-                *keys, (F.col("_bk") * F.lit(w)).alias("_t"), F.lit(-(j + 1)).alias("_g"),
-                *[merge[fn](f"_pb_{name}").over(between).alias(f"_mid_{name}") for fn, _, name in mine]),
-                allowMissingColumns=True)
+            whole_buckets = along.rangeBetween(-(p - 1) * w, -w)
+            mids += [F.when(F.col("_j") == j, merge[fn](named[fn, inp(c)]).over(whole_buckets)).alias(f"_mid_{name}")
+                     for fn, c, name, ln in aggs if ln == length]
+        # a bucket's own totals also reach buckets that hold ghosts only
+        u = u.unionByName(per_bucket.select(*keys, "_t", (-1 - F.col("_j")).alias("_g"), *mids),
+                          allowMissingColumns=True)
     u = u.withColumn("_B", _floor_div(F.col("_t"), coarse))
     for j, _, _, w in spec:
         u = u.withColumn(f"_o{j}", F.pmod(F.col("_t"), F.lit(w))) \
