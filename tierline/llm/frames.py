@@ -22,6 +22,21 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key, build):
+    """What ``build()`` makes, kept by this Python worker from task to task.
+
+    A worker serves all operators of an application one after another, so it keeps
+    the state of the latest only: vocabularies and caches of different operators
+    do not add up in its memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def shielded(df: DataFrame) -> tuple[DataFrame, list[str], str]:
     """``df`` with positional column names, the old names, and the name prefix.
 

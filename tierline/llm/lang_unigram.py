@@ -11,8 +11,9 @@ the words and are then replaced by expected counts from forward and backward
 sums over all segmentations.  Only the piece counts reach the driver: vocabulary
 size times number of languages, whatever the corpus.
 
-Forward sums of many distinct words are computed together: the arcs (piece
-occurrences) that end at one place of any word are one array operation.
+Forward sums of many distinct words are computed together: one pass of an
+automaton over them finds all arcs (piece occurrences), and the arcs that end at
+one place of any word are one array operation.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tierline.llm.frames import stash
+from tierline.llm.frames import held, stash
 
 UND = "und"
 EM_ROUNDS = 1
@@ -33,7 +35,7 @@ SMOOTH = 0.05              # added to each piece count
 UNKNOWN = 1e-8             # probability, in every language, of a character outside the vocabulary
 GAIN = np.exp(6.0)         # factor per character that keeps forward sums near 1
 LONG_WORD = 64             # longer words are summed with rescaling
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 BLOCK_CHARS = 500_000
 COUNT_WORDS = 200_000      # distinct words a task counts before it hands them on
 START = "▁"           # the vocabulary's mark of a word start
@@ -56,6 +58,7 @@ class Pieces:
     """The vocabulary's pieces of letters, with or without the start mark."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -65,35 +68,47 @@ class Pieces:
         self.id = {p: i for i, p in enumerate(own)}
         self.longest = max(map(len, own))
         self.n = len(own)              # also the id of the unknown character
+        self.length = np.array([*map(len, own), 1])
+        self.finder = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p, i in self.id.items():
+            self.finder.add_word(p, i)
+        self.finder.make_automaton()
 
     def arcs(self, words: list[str]):
-        """Arrays (word, start, end, piece) of all piece occurrences, and word lengths."""
-        get, longest, unknown = self.id.get, self.longest, self.n
-        out: list[int] = []
-        lengths = []
-        for w, word in enumerate(words):
-            s = START + word
-            n = len(s)
-            lengths.append(n)
-            for i in range(n):
-                single = False
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = get(s[i:j])
-                    if p is not None:
-                        out += (w, i, j, p)
-                        single = single or j == i + 1
-                if not single:
-                    out += (w, i, i + 1, unknown)
-        return np.array(out, dtype=np.int64).reshape(-1, 4).T, np.array(lengths)
-
-
-_PIECES: dict[str, Pieces] = {}
+        """Arrays (word, start, end, piece) of all piece occurrences, ordered by word
+        and end, and word lengths (start mark included)."""
+        text = "\n".join([START + w for w in words]) + "\n"       # no piece holds a line end
+        lengths = np.array([len(w) + 1 for w in words])
+        begin = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+        found = np.fromiter(chain.from_iterable(self.finder.iter(text)), dtype=np.int64).reshape(-1, 2)
+        stop, piece = found[:, 0] + 1, found[:, 1]
+        alone = np.zeros(len(text), dtype=bool)                    # characters that are pieces themselves
+        alone[stop[self.length[piece] == 1] - 1] = True
+        alone[begin + lengths] = True                              # the line ends
+        other = np.flatnonzero(~alone)
+        if len(other):
+            at = np.searchsorted(stop, other + 1, side="right")
+            stop, piece = np.insert(stop, at, other + 1), np.insert(piece, at, self.n)
+        word = np.repeat(np.arange(len(words)), lengths + 1)[stop - 1]
+        end = stop - begin[word]
+        return (word, end - self.length[piece], end, piece), lengths
 
 
 def pieces(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    """The worker's copy of the vocabulary."""
+    return held(("pieces", path), lambda: Pieces(path))
+
+
+def _by_place(place: np.ndarray):
+    """(place, arcs there in word order) for each place, ascending."""
+    order = np.argsort(place.astype(np.int16), kind="stable")
+    at = np.flatnonzero(np.diff(place[order])) + 1
+    return [(int(place[part[0]]), part) for part in np.split(order, at)]
+
+
+def _sum_per_word(value: np.ndarray, word: np.ndarray):
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    return word[first], np.add.reduceat(value, first, axis=0)
 
 
 def _forward(arcs, lengths, weight: np.ndarray) -> np.ndarray:
@@ -101,12 +116,9 @@ def _forward(arcs, lengths, weight: np.ndarray) -> np.ndarray:
     w, i, j, _ = arcs
     alpha = np.zeros((len(lengths), int(lengths.max()) + 1, weight.shape[1]))
     alpha[:, 0] = 1.0
-    order = np.lexsort((w, j))
-    ends, at = np.unique(j[order], return_index=True)
-    for end, part in zip(ends, np.split(order, at[1:])):
-        value = alpha[w[part], i[part]] * weight[part]
-        words, first = np.unique(w[part], return_index=True)
-        alpha[words, end] = np.add.reduceat(value, first, axis=0)
+    for end, part in _by_place(j):
+        words, total = _sum_per_word(alpha[w[part], i[part]] * weight[part], w[part])
+        alpha[words, end] = total
     return alpha
 
 
@@ -114,28 +126,25 @@ def _backward(arcs, lengths, weight: np.ndarray) -> np.ndarray:
     w, i, j, _ = arcs
     beta = np.zeros((len(lengths), int(lengths.max()) + 1, weight.shape[1]))
     beta[np.arange(len(lengths)), lengths] = 1.0
-    order = np.lexsort((w, i))
-    starts, at = np.unique(i[order], return_index=True)
-    for start, part in reversed(list(zip(starts, np.split(order, at[1:])))):
-        value = beta[w[part], j[part]] * weight[part]
-        words, first = np.unique(w[part], return_index=True)
-        beta[words, start] = np.add.reduceat(value, first, axis=0)
+    for start, part in reversed(_by_place(i)):
+        words, total = _sum_per_word(beta[w[part], j[part]] * weight[part], w[part])
+        beta[words, start] = total
     return beta
 
 
-def _boosted(prob: np.ndarray, arcs) -> np.ndarray:
-    _, i, j, p = arcs
-    return prob[p] * (GAIN ** (j - i))[:, None]
+def boosted(prob: np.ndarray, vocabulary: Pieces) -> np.ndarray:
+    """Piece probabilities times GAIN per character."""
+    return prob * (GAIN ** vocabulary.length)[:, None]
 
 
-def word_log_probs(words: list[str], vocabulary: Pieces, prob: np.ndarray) -> np.ndarray:
+def word_log_probs(words: list[str], vocabulary: Pieces, prob: np.ndarray, boost: np.ndarray) -> np.ndarray:
     """log P(word | language), (words, languages), over all segmentations."""
     out = np.empty((len(words), prob.shape[1]))
     short = [k for k, w in enumerate(words) if len(w) <= LONG_WORD]
     for at in range(0, len(short), 8192):
         part = short[at:at + 8192]
         arcs, lengths = vocabulary.arcs([words[k] for k in part])
-        alpha = _forward(arcs, lengths, _boosted(prob, arcs))
+        alpha = _forward(arcs, lengths, boost[arcs[3]])
         total = alpha[np.arange(len(part)), lengths]
         out[part] = np.log(total) - np.log(GAIN) * lengths[:, None]
     for k, word in enumerate(words):
@@ -193,6 +202,7 @@ def _piece_counts(counted: DataFrame, path: str, model: dict | None) -> pd.DataF
 
     def expect(batches):
         vocabulary, now = pieces(path), shared.value
+        boost = boosted(now["prob"], vocabulary) if now is not None else None
         for pdf in batches:
             for lang, g in pdf.groupby("lang", sort=False):
                 held = np.zeros(vocabulary.n + 1)
@@ -204,7 +214,7 @@ def _piece_counts(counted: DataFrame, path: str, model: dict | None) -> pd.DataF
                     w, i, j, p = arcs
                     share = n[part][w]
                     if now is not None:
-                        weight = _boosted(now["prob"][:, [now["langs"].index(lang)]], arcs)
+                        weight = boost[p, now["langs"].index(lang)][:, None]
                         alpha, beta = _forward(arcs, lengths, weight), _backward(arcs, lengths, weight)
                         whole = alpha[np.arange(len(part)), lengths, 0]
                         share = share * alpha[w, i, 0] * weight[:, 0] * beta[w, j, 0] / whole[w]
@@ -245,7 +255,8 @@ class Scorer:
 
     def __init__(self, model: dict, path: str):
         self.langs, self.prob = model["langs"], model["prob"]
-        self.vocabulary = pieces(path)
+        self.vocabulary = Pieces(path)
+        self.boost = boosted(self.prob, self.vocabulary) if self.langs else None
         self.place: dict[str, int] = {}
         self.table = np.empty((0, len(self.langs)))
 
@@ -256,17 +267,19 @@ class Scorer:
         if new:
             base = len(self.place)
             self.place.update((w, base + k) for k, w in enumerate(new))
-            self.table = np.concatenate([self.table[:base], word_log_probs(new, self.vocabulary, self.prob)])
+            self.table = np.concatenate([
+                self.table[:base], word_log_probs(new, self.vocabulary, self.prob, self.boost)])
 
     def block(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [words_in(t) if t else [] for t in texts]
-        self._learn({w for words in split for w in words})
+        if self.langs:
+            self._learn(set().union(*split))
         out = []
         for words in split:
             if not words or not self.langs:
                 out.append((UND, 0.0))
                 continue
-            total = self.table[[self.place[w] for w in words]].sum(axis=0)
+            total = self.table[list(map(self.place.__getitem__, words))].sum(axis=0)
             posterior = np.exp(total - total.max())
             posterior /= posterior.sum()
             best = int(np.argmax(posterior))
@@ -284,9 +297,6 @@ class Scorer:
         yield from self.block(block)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def predict_column(spark, text: Column, model: dict, path: str) -> Column:
     """struct(lang_pred, score) of a text column."""
     shared = spark.sparkContext.broadcast(model)
@@ -294,12 +304,11 @@ def predict_column(spark, text: Column, model: dict, path: str) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        if name not in _SCORERS:       # a worker keeps the scorer of the latest model from task to task
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(shared.value, path)
-        return pd.DataFrame(list(_SCORERS[name].all(texts)), columns=["lang_pred", "score"])
+        scorer = held(("scorer", name), lambda: Scorer(shared.value, path))
+        return pd.DataFrame(list(scorer.all(texts)), columns=["lang_pred", "score"])
 
-    return predict(text)
+    # a filter on the result must not evaluate it once more
+    return predict.asNondeterministic()(text)
 
 
 def held_out(doc_id: Column) -> Column:
