@@ -20,7 +20,9 @@ from tierline.operators.features import (
     FeatureView, define_feature_view, describe_views, features_for_entities,
     get_historical_features, latest_features, point_in_time_join, resolve_refs,
 )
-from tierline.operators.sinks import materialize_newest
+from tierline.operators.models import score_saved_model
+from tierline.operators.sinks import materialize_newest, write_parquet
+from tierline.operators.training import train_from_views
 from tierline.operators.windows import exact_sum
 from tierline.plans.common import EVENTS_ASOF, t
 from tierline.session import scratch_path
@@ -147,6 +149,53 @@ FROM e JOIN a ON e.event_id = a.event_id JOIN d ON e.event_id = d.event_id
 """
 
 
+def _trained(spark: SparkSession, sf: str) -> dict:
+    """Purchases with a label (a large one) and the buyer's daily features as of then."""
+    purchases = t(spark, sf, "events").filter(F.col("event_type") == "purchase") \
+        .select("event_id", "user_id", F.col("ts").alias("event_timestamp"),
+                F.when(F.col("value") >= REQUEST_MIN_VALUE, 1).otherwise(0).alias("label"))
+    return train_from_views(purchases, [(user_daily(spark, sf), None)], "event_timestamp", "label", ["event_id"],
+                            scratch_path(spark, "view_model"), numTrees=10, maxDepth=4)
+
+
+def train_from_views_q(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored training frame; its metrics agree with plain aggregates of it."""
+    run = _trained(spark, sf)
+    scored = run["scored"]
+    again = scored.groupBy("split").agg(F.round(F.avg((F.col("label") == F.col("prediction")).cast("double")), 6).alias("acc"),
+                                        F.count(F.lit(1)).alias("k"))
+    agree = run["metrics"].join(again, "split").filter("abs(accuracy - acc) < 1e-5 AND n = k").count() == 2
+    return scored.select("event_id", "user_id", "event_timestamp", "label", *run["features"], "split",
+                         F.col("prediction").isin(0.0, 1.0).alias("is_class")).withColumn("metrics_agree", F.lit(agree))
+
+
+TRAIN_FROM_VIEWS_SQL = f"""
+WITH e AS ({ENTITY_SQL}),
+d AS ({_pit_sql("SELECT user_id, event_timestamp AS ft, n_events, total_value, n_purchases FROM (" + USER_DAILY_SQL + ") x",
+                ["n_events", "total_value", "n_purchases"], "INTERVAL 2 DAY")})
+SELECT e.event_id, e.user_id, e.event_timestamp, CAST(v.value >= 45.0 AS INTEGER) AS label,
+       COALESCE(d.n_events, 0) AS n_events, COALESCE(d.total_value, 0.0) AS total_value,
+       CAST(COALESCE(d.n_purchases, 0) AS INTEGER) AS n_purchases,
+       CASE WHEN ('0x' || substr(md5(CAST(e.event_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 1000 < 200
+            THEN 'test' ELSE 'train' END AS split, true AS is_class, true AS metrics_agree
+FROM e JOIN d ON e.event_id = d.event_id JOIN events v ON v.event_id = e.event_id
+"""
+
+
+def score_saved_model_q(spark: SparkSession, sf: str) -> DataFrame:
+    """The saved model on the latest features of every user: all columns but the
+    entity's are features; the prediction column is named by the caller."""
+    run = _trained(spark, sf)
+    latest = latest_features(user_daily(spark, sf, ttl=None), EVENTS_ASOF)
+    out = score_saved_model(spark, run["model"], latest, ["user_id", "event_timestamp"], prediction_col="big_spender")
+    path = scratch_path(spark, "scored_users")
+    write_parquet(out, path)
+    back = spark.read.parquet(path)
+    return back.select("user_id", "event_timestamp", "n_events", "total_value", "n_purchases",
+                       F.col("big_spender").isin(0.0, 1.0).alias("is_class"),
+                       (F.abs(F.col("class_0") + F.col("class_1") - 1) < 1e-9).alias("sums_to_one"))
+
+
 def latest_features_q(spark: SparkSession, sf: str) -> DataFrame:
     return latest_features(user_daily(spark, sf), EVENTS_ASOF)
 
@@ -211,6 +260,12 @@ SELECT user_id, event_timestamp, n_events, total_value, n_purchases FROM (
   FROM ({USER_DAILY_SQL}) d WHERE event_timestamp <= TIMESTAMP '{EVENTS_ASOF}') WHERE rn = 1
 """
 
+SCORE_SAVED_MODEL_SQL = f"""
+SELECT user_id, event_timestamp, n_events, total_value, CAST(n_purchases AS INTEGER) AS n_purchases,
+       true AS is_class, true AS sums_to_one
+FROM ({MATERIALIZE_LATEST_SQL}) m
+"""
+
 
 def _embedding_view(spark: SparkSession, sf: str) -> FeatureView:
     src = t(spark, sf, "embeddings").withColumn("snapshot_time", lit_ts(EVENTS_ASOF))
@@ -266,6 +321,8 @@ QUERIES = {
     "pit_join_ttl": pit_join_ttl,
     "pit_created_tiebreak": pit_created_tiebreak,
     "feature_service": feature_service,
+    "train_from_views": train_from_views_q,
+    "score_saved_model": score_saved_model_q,
     "latest_features": latest_features_q,
     "features_for_entities": features_for_entities_q,
     "materialize_latest": materialize_latest,
@@ -279,6 +336,8 @@ ORACLES = {
     "pit_join_ttl": PIT_JOIN_TTL_SQL,
     "pit_created_tiebreak": PIT_CREATED_SQL,
     "feature_service": FEATURE_SERVICE_SQL,
+    "train_from_views": TRAIN_FROM_VIEWS_SQL,
+    "score_saved_model": SCORE_SAVED_MODEL_SQL,
     "latest_features": LATEST_SQL,
     "features_for_entities": FEATURES_FOR_ENTITIES_SQL,
     "materialize_latest": MATERIALIZE_LATEST_SQL,

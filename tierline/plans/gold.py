@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tierline.functions import lit_date, lit_ts, round_double, safe_ratio, trunc_ntz
 from tierline.operators.gold import customer_metrics, operator_profile, share_of_total
-from tierline.plans.common import EVENTS_ASOF, ORDERS_ASOF, t
+from tierline.plans.common import ORDERS_ASOF, t
 from tierline.plans.silver import (
     CLEAN_CUSTOMERS_SQL, CLEAN_TRANSACTIONS_SQL, QUALITY_FLAG_SQL, clean_customers,
     clean_transactions, quality_flag, support_tickets,

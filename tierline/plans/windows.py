@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierline.functions import json_int, lit_ts, round_double, safe_ratio
-from tierline.operators.windows import duration_us, exact_sum, rolling, rolling_distinct_count, rolling_frames
+from tierline.operators.windows import duration_us, exact_sum, rolling_distinct_count, rolling_frames
 from tierline.plans.common import EVENTS_ASOF, t
 
 H24 = duration_us(24, "hour")
