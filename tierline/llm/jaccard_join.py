@@ -16,9 +16,9 @@ they share at least c(|A|, |B|) = ceil(num (|A| + |B|) / (num + den)) members.
 * The boundary is the one of least cost: subsets enumerated against list entries
   scanned, from the histogram of small sizes and the mean length of a list.
 
-Pairs of a list pass three exact filters (sizes; places in the order; a bitmap of
-parities whose differing bits bound the symmetric difference) before their sets
-are fetched and compared.  To keep groups of copies linear, a first round tries
+Pairs of a list pass exact filters (sizes; places in the order; a bitmap of
+parities whose differing bits bound the symmetric difference, first a short one,
+then one as wide as the set is large) before their sets are fetched and compared.  To keep groups of copies linear, a first round tries
 each list's entries against a few leaders; the second compares only entries whose
 components still differ.  Long lists are dealt into blocks, pairs of blocks being
 groups of bounded size; so are large clusters of candidates when they are compared.
@@ -48,7 +48,7 @@ FREQUENT, MOST_FREQUENT = 32, 1 << 22
 MAX_LIGHT, LIST_BLOCK, LEADERS, CLUSTER_MEMBERS, BITS = 24, 2048, 4, 1_000_000, 512
 #: Rows of an id table up to which it is sent to all tasks instead of shuffling texts.
 SMALL_ROWS = 500_000
-PAIR_SLICE = 1 << 20
+PAIR_SLICE = 1 << 17
 
 _BITMAP = BITS // 8
 
@@ -86,12 +86,27 @@ def choose_boundary(sizes: dict[int, int], scan: float, num: int, den: int) -> i
     return best
 
 
-def parity_bitmap(members: np.ndarray) -> bytes:
-    """BITS parities of the members' hash classes."""
-    odd = np.bincount((members.view(np.uint64) >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+def parity_bitmap(members: np.ndarray, bits: int = BITS) -> bytes:
+    """Parities of the members' hash classes (``bits`` of them, a power of two)."""
+    odd = np.bincount((members.view(np.uint64) >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def wide_bits(n: int) -> int:
+    """Bits that keep the parities of a set of n members telling: 2 n or more."""
+    return max(BITS, 1 << (2 * n - 1).bit_length())
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Differing parities of two bitmaps; the longer one is folded to the shorter."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _ordered(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Rare members first, by hash within."""
     if not len(frequent):
@@ -109,7 +124,7 @@ def _prefix_counts(texts: Column, k: int, num: int, den: int) -> Column:
     return prefixes(texts)
 
 
-_SKETCH = "n int, digest binary, listed array<long>, members array<long>, bitmap binary"
+_SKETCH = "n int, digest binary, listed array<long>, members array<long>, bitmap binary, wide binary"
 
 
 def _sketch(spark, texts: Column, k: int, num: int, den: int, frequent: np.ndarray) -> Column:
@@ -124,8 +139,9 @@ def _sketch(spark, texts: Column, k: int, num: int, den: int, frequent: np.ndarr
             n = len(s)
             rows.append((n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
                          _ordered(s, often)[:prefix_length(n, num, den)] if n else s,
-                         s if 0 < n <= MAX_LIGHT else None, parity_bitmap(s)))
-        return pd.DataFrame(rows, columns=["n", "digest", "listed", "members", "bitmap"])
+                         s if 0 < n <= MAX_LIGHT else None, parity_bitmap(s),
+                         parity_bitmap(s, wide_bits(n)) if wide_bits(n) > BITS else None))
+        return pd.DataFrame(rows, columns=["n", "digest", "listed", "members", "bitmap", "wide"])
 
     return sketch(texts)
 
@@ -242,15 +258,28 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def _narrowed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose wide bitmaps, too, leave a link possible."""
+    @F.pandas_udf("boolean")
+    def possible(na: pd.Series, nb: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.Series:
+        return pd.Series([x is None or y is None or differing_bits(x, y) <= m + n - 2 * overlap(m, n, num, den)
+                          for m, n, x, y in zip(na.tolist(), nb.tolist(), wa, wb)], dtype=bool)
+
+    side = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"w_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b") \
+        .filter(possible.asNondeterministic()("n_a", "n_b", "w_a", "w_b")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs that link, thinned within a task to a spanning forest.
 
     Candidate clusters (components of the pairs) share their sets: small clusters
     are dealt into groups, large ones into pairs of blocks, each of about
-    ``CLUSTER_MEMBERS`` set members, so a set is fetched once and not per pair.
+    ``CLUSTER_MEMBERS`` set members.  A set goes to the groups that have a pair
+    with it, once to each.
     """
-    pairs = stash(pairs, "pairs")
     spark = pairs.sparkSession
+    pairs = stash(_narrowed(stash(pairs, "met"), sets, num, den), "pairs")
     if pairs.isEmpty():
         return spark.createDataFrame([], "a long, b long")
     cluster = connected_components(pairs).withColumnRenamed("node", "sid")
@@ -264,26 +293,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: i
     block = lambda c: F.pmod(F.xxhash64(c), F.col("nb")).cast("int")
     place = wanted.join(sizes, "root").withColumn("block", block("sid"))
 
-    fetched = docs.join(_small(place.select("sid", "rep", "digest", "g", "nb", "block")),
-                        F.col("doc_id").eqNullSafe(F.col("rep")))
+    of_a = place.select(F.col("sid").alias("a"), "g", F.col("block").alias("x"))
+    of_b = place.select(F.col("sid").alias("b"), F.col("block").alias("y"))
+    asked = stash(pairs.join(of_a, "a").join(of_b, "b").select(
+        "g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "asked")
+    needed = stash(asked.select("g", "i", "j", F.col("a").alias("sid"))
+                   .unionByName(asked.select("g", "i", "j", F.col("b").alias("sid"))).distinct(), "needed")
+    asks = needed.groupBy("sid").agg(F.collect_list(F.struct("g", "i", "j")).alias("groups")) \
+        .join(place.select("sid", "rep", "digest"), "sid")
+    if needed.count() <= SMALL_ROWS:
+        asks = F.broadcast(asks)
+    fetched = docs.join(asks, F.col("doc_id").eqNullSafe(F.col("rep")))
 
     @F.pandas_udf("digest binary, members binary")
     def members(ts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes())
                              for s in shingle_sets(ts, k)], columns=["digest", "members"])
 
-    met = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(
-        F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    # not to be evaluated once for the filter and once more for the rows
+    members = members.asNondeterministic()
     sent = fetched.withColumn("s", members("text")).filter(F.col("s.digest") == F.col("digest")) \
-        .select("g", "sid", F.col("s.members").alias("members"), F.explode(met).alias("p")) \
-        .select("g", "p.i", "p.j", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "members")
-    of_a = wanted.select(F.col("sid").alias("a"), "root")
-    asked = pairs.join(of_a, "a").join(sizes, "root").withColumn("x", block("a")).withColumn("y", block("b")) \
-        .select("g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b",
-                F.lit(None).cast("binary").alias("members"))
+        .select("sid", F.col("s.members").alias("members"), F.explode("groups").alias("p")) \
+        .select("p.g", "p.i", "p.j", F.col("sid").alias("a"), F.lit(-1).cast("long").alias("b"), "members")
+    asked = asked.withColumn("members", F.lit(None).cast("binary"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_set = pdf["b"].isna().to_numpy()
+        is_set = (pdf["b"] == -1).to_numpy()
         have = {s: np.frombuffer(m, dtype=np.int64) for s, m in zip(pdf["a"][is_set], pdf["members"][is_set])}
         up: dict[int, int] = {}
 
@@ -295,7 +330,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: i
 
         out = []
         asked_rows = pdf[~is_set]
-        for a, b in zip(asked_rows["a"].astype("int64"), asked_rows["b"].astype("int64")):
+        for a, b in zip(asked_rows["a"].tolist(), asked_rows["b"].tolist()):
             x, y = have[a], have[b]
             ra, rb = top(a), top(b)
             if ra == rb:
@@ -327,7 +362,7 @@ def linked_documents(docs: DataFrame, k: int, num: int, den: int, id_col: str =
                      .select("doc_id", "s.*"), "sketches")
     sets = stash(sketched.filter("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("listed").alias("listed"),
-        F.first("members").alias("members"), F.first("bitmap").alias("bitmap"))
+        F.first("members").alias("members"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
         .withColumn("sid", F.monotonically_increasing_id()), "sets")
 
     small = {r["n"]: r["k"] for r in sets.filter(F.col("n") <= 2 * MAX_LIGHT)
@@ -386,6 +421,7 @@ def keep_representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int =
         return pd.Series([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_sets(ts, k)],
                          dtype=object)
 
+    digest = digest.asNondeterministic()
     # of each component the row of smallest (id, digest) stays, if its id is among the unclear ones
     first = linked.filter("root IS NOT NULL").groupBy("root") \
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f"))
