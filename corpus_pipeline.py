@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tierline.llm.bpe_queue import encode_checked
+from tierline.llm.bpe_queue import encode_documents
 from tierline.llm.credential_links import find_secrets, redacted
 from tierline.llm.frames import SPACE_CLASS, stash, word_count
 from tierline.llm.jaccard_join import keep_representatives
@@ -63,9 +63,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with a check that they decode to its bytes."""
-    coded = encode_checked(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return docs.select("doc_id", "source", coded.alias("t")).select(
-        "doc_id", "source", F.size("t.token_ids").cast("long").alias("n_tokens"), "t.token_ids", "t.intact")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                            keep=["doc_id", "source"])
 
 
 STAGES = [

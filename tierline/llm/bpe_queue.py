@@ -23,13 +23,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tierline.llm.frames import held
+
 #: Ranks per leaf word of the bitmap.
 LEAF_BITS = 256
 #: Pieces per generation of a worker's cache (two generations are held), the
 #: longest piece in characters worth keeping, and characters per block of texts.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 CACHE_CHARS = 64
 BLOCK_CHARS = 500_000
 
@@ -212,15 +215,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec for a rank file (loaded once per worker)."""
-    key = (path, pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(path, pattern)
-    return _CODECS[key]
+    """The worker's codec for a rank file."""
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_column(text: Column, path: str, pattern: str) -> Column:
@@ -241,15 +238,37 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
     return decode(ids)
 
 
-def encode_checked(text: Column, path: str, pattern: str) -> Column:
-    """struct(token_ids, intact): ids of a text (null: none) and whether they decode to its bytes."""
-    @F.pandas_udf("token_ids array<int>, intact boolean")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``docs`` plus ``n_tokens``, ``token_ids`` and ``intact``
+    (whether the ids decode to the text's bytes).
+
+    Ids leave the worker block by block, so what it holds is bounded by a block of
+    texts (or one text).  Null text: no tokens.  Repeated rows give one row each.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+
+    def encode(batches):
         c = codec(path, pattern)
-        rows = [(ids, c.decode(ids) == (t or "").encode("utf-8", "surrogatepass"))
-                for t, ids in zip(texts, c.encode_all(texts))]
-        return pd.DataFrame(rows, columns=["token_ids", "intact"])
-    return encode(text)
+        for batch in batches:
+            texts = batch.column(len(keep))
+            at, n = 0, batch.num_rows
+            while at < n:
+                block, size = [], 0
+                while at + len(block) < n and size < BLOCK_CHARS:
+                    t = texts[at + len(block)].as_py() or ""
+                    block.append(t)
+                    size += len(t)
+                ids = c.encode_block(block)
+                intact = [c.decode(i) == t.encode("utf-8", "surrogatepass") for i, t in zip(ids, block)]
+                arrays = [np.array(i, dtype=np.int32) for i in ids]
+                kept = [batch.column(k).slice(at, len(block)) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array([len(i) for i in arrays], pa.int64()), pa.array(arrays, pa.list_(pa.int32())),
+                     pa.array(intact)], names=[*keep, "n_tokens", "token_ids", "intact"])
+                at += len(block)
+
+    return docs.select(*keep, F.col(text_col)).mapInArrow(
+        encode, f"{fields}, n_tokens long, token_ids array<int>, intact boolean")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
