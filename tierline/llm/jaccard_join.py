@@ -21,7 +21,7 @@ parities whose differing bits bound the symmetric difference, first a short one,
 then one as wide as the set is large) before their sets are fetched and compared.  To keep groups of copies linear, a first round tries
 each list's entries against a few leaders; the second compares only entries whose
 components still differ.  Long lists are dealt into blocks, pairs of blocks being
-groups of bounded size; so are large clusters of candidates when they are compared.
+groups of bounded size; so are the candidates' sets when they are compared.
 Nothing is capped: every pair that can link is compared or already connected.
 """
 
@@ -44,7 +44,7 @@ from tierline.llm.shingles import mix, shingle_sets
 #: tasks (the most frequent ones, 8 bytes each).
 FREQUENT, MOST_FREQUENT = 32, 1 << 22
 #: Largest size that may be light; list entries per block; leaders per list; set
-#: members per block of a cluster; parity bits.
+#: members per block when sets are compared; parity bits.
 MAX_LIGHT, LIST_BLOCK, LEADERS, CLUSTER_MEMBERS, BITS = 24, 2048, 4, 1_000_000, 512
 #: Rows of an id table up to which it is sent to all tasks instead of shuffling texts.
 SMALL_ROWS = 500_000
@@ -273,34 +273,34 @@ def _narrowed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs that link, thinned within a task to a spanning forest.
 
-    Candidate clusters (components of the pairs) share their sets: small clusters
-    are dealt into groups, large ones into pairs of blocks, each of about
-    ``CLUSTER_MEMBERS`` set members.  A set goes to the groups that have a pair
-    with it, once to each.
+    Sets are dealt into blocks of about ``CLUSTER_MEMBERS`` set members, next to
+    their smallest partner (a star of a leader and its list is one block); a
+    partner whose own star is larger than a block is spread over several.  A pair of
+    blocks is a group.  A set goes to the groups that have a pair with it, once to
+    each, and is fetched once.
     """
     spark = pairs.sparkSession
     pairs = stash(_narrowed(stash(pairs, "met"), sets, num, den), "pairs")
     if pairs.isEmpty():
         return spark.createDataFrame([], "a long, b long")
-    cluster = connected_components(pairs).withColumnRenamed("node", "sid")
-    wanted = stash(cluster.join(sets.select("sid", "rep", "digest", "n"), "sid"), "wanted")
-    sizes = wanted.groupBy("root").agg(F.sum("n").alias("members")) \
-        .withColumn("nb", F.ceil(F.col("members") / CLUSTER_MEMBERS).cast("int"))
-    groups = max(1, math.ceil(wanted.agg(F.sum("n")).first()[0] / CLUSTER_MEMBERS))
-    # a large cluster is a group of its own; the others share groups by hash
-    small_group = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("root"), F.lit(groups)))
-    sizes = stash(sizes.select("root", "nb", F.coalesce(small_group, -1 - F.col("root")).alias("g")), "clusters")
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("nb")).cast("int")
-    place = wanted.join(sizes, "root").withColumn("block", block("sid"))
-
-    of_a = place.select(F.col("sid").alias("a"), "g", F.col("block").alias("x"))
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    wanted = stash(ends.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.col("sid")).alias("star"))
+                   .join(sets.select("sid", "rep", "digest", "n"), "sid"), "wanted")
+    total = wanted.agg(F.sum("n")).first()[0]
+    blocks = max(1, math.ceil(total / CLUSTER_MEMBERS))
+    stars = wanted.groupBy("star").agg(F.ceil(F.sum("n") / CLUSTER_MEMBERS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("sid"), F.col("parts"))
+    place = stash(wanted.join(stars, "star").withColumn(
+        "block", F.pmod(F.xxhash64("star", part), F.lit(blocks)).cast("int"))
+        .select("sid", "rep", "digest", "block"), "placed")
+
+    of_a = place.select(F.col("sid").alias("a"), F.col("block").alias("x"))
     of_b = place.select(F.col("sid").alias("b"), F.col("block").alias("y"))
     asked = stash(pairs.join(of_a, "a").join(of_b, "b").select(
-        "g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "asked")
-    needed = stash(asked.select("g", "i", "j", F.col("a").alias("sid"))
-                   .unionByName(asked.select("g", "i", "j", F.col("b").alias("sid"))).distinct(), "needed")
-    asks = needed.groupBy("sid").agg(F.collect_list(F.struct("g", "i", "j")).alias("groups")) \
-        .join(place.select("sid", "rep", "digest"), "sid")
+        F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "asked")
+    needed = stash(asked.select("i", "j", F.col("a").alias("sid"))
+                   .unionByName(asked.select("i", "j", F.col("b").alias("sid"))).distinct(), "needed")
+    asks = needed.groupBy("sid").agg(F.collect_list(F.struct("i", "j")).alias("groups")).join(place, "sid")
     if needed.count() <= SMALL_ROWS:
         asks = F.broadcast(asks)
     fetched = docs.join(asks, F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -314,7 +314,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: i
     members = members.asNondeterministic()
     sent = fetched.withColumn("s", members("text")).filter(F.col("s.digest") == F.col("digest")) \
         .select("sid", F.col("s.members").alias("members"), F.explode("groups").alias("p")) \
-        .select("p.g", "p.i", "p.j", F.col("sid").alias("a"), F.lit(-1).cast("long").alias("b"), "members")
+        .select("p.i", "p.j", F.col("sid").alias("a"), F.lit(-1).cast("long").alias("b"), "members")
     asked = asked.withColumn("members", F.lit(None).cast("binary"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -341,7 +341,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: i
                 out.append((a, b))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return stash(sent.unionByName(asked).groupBy("g", "i", "j").applyInPandas(compare, "a long, b long"), "links")
+    return stash(sent.unionByName(asked).groupBy("i", "j").applyInPandas(compare, "a long, b long"), "links")
 
 
 def linked_documents(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
