@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tierline.llm.components import connected_components
-from tierline.llm.frames import stash
+from tierline.llm.frames import held, stash
 from tierline.llm.shingles import mix, shingle_sets
 
 #: Members listed more often are frequent; at most so many of them are told to all
@@ -119,6 +119,7 @@ def _ordered(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 def _prefix_counts(texts: Column, k: int, num: int, den: int) -> Column:
     @F.pandas_udf("array<long>")
     def prefixes(ts: pd.Series) -> pd.Series:
+        held("shingles", dict)         # lets go of what an earlier operator left in this worker
         return pd.Series([s[:prefix_length(len(s), num, den)] if len(s) else s for s in shingle_sets(ts, k)],
                          dtype=object)
     return prefixes(texts)
@@ -133,6 +134,7 @@ def _sketch(spark, texts: Column, k: int, num: int, den: int, frequent: np.ndarr
 
     @F.pandas_udf(_SKETCH)
     def sketch(ts: pd.Series) -> pd.DataFrame:
+        held("shingles", dict)         # lets go of what an earlier operator left in this worker
         often = shared.value
         rows = []
         for s in shingle_sets(ts, k):
