@@ -56,6 +56,27 @@ def test_main_text_of_odd_pages(page, text):
     assert html_density.main_text(page) == text
 
 
+P1, P2 = "First paragraph with enough words to count.", "Second paragraph that goes on for a while."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><p>{P1}</p><p>See <a href='/wiki/Hidden_Markov_model'>models</a> and <a href=/view?id=comment-5>five</a>.</p>"
+     f"<p data-hidden='false' title=\"a class='ad' id=menu\">{P2}</p></article>",
+     f"{P1}\n\nSee models and five.\n\n{P2}"),
+    (f"<body><div class='layout has-sidebar'><p>{P1}</p><p>{P2}</p></div></body>", f"{P1}\n\n{P2}"),
+    (f"<body><div class='social-page'><h1>T</h1><p>{P1}</p><p>{P2}</p><div class=sidebar><p>{P1}</p></div></div></body>",
+     f"T\n\n{P1}\n\n{P2}"),
+    (f"<article><h1>T</h1><p>{P1}</p><section id='discussion'><h2 id='related-work'>Discussion</h2><p>{P2}</p></section>"
+     f"<section id='related'><p><a href=x>{P1}</a></p></section></article>", f"T\n\n{P1}\n\nDiscussion\n\n{P2}"),
+    (f"<article><h1>T</h1><p>{P1}</p><section class=comments><h2>3 comments</h2><p>{P2}</p><p>{P2}</p></section></article>",
+     f"T\n\n{P1}"),
+    (f"<article><h1>T</h1><p hidden>{P1}</p><p HIDDEN=''>{P1}</p><p class = \"x  ad\">{P1}</p><p>{P2}</p></article>",
+     f"T\n\n{P2}"),
+])
+def test_names_of_attributes_mark_noise_but_values_and_layouts_do_not(page, text):
+    assert html_density.main_text(page) == text
+
+
 def test_deep_and_broken_pages_are_linear():
     assert html_density.main_text("<div>" * 30_000 + "deep") == "deep"
     html_density.main_text("<a <b " * 50_000)

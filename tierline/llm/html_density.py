@@ -47,6 +47,12 @@ NOISE_WORDS = frozenset(
     "overlay pager pagination paywall popup promo promos promoted promotion reactions related recommended "
     "replies reply respond responses share sharing sidebar sidebars signup skip social sponsor sponsored "
     "sponsors subscribe subscription teaser toolbar topbar widget widgets".split())
+#: Names of what readers write, which may outgrow the text.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Names that, as an id, parts of a text have as well.
+TEXT_WORDS = frozenset("commentary discussion related response responses".split())
+#: First words of names that tell of the page around, such as ``has-sidebar``.
+STATE_WORDS = frozenset("has have hide no non with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an element of the key ends when it starts inside them.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
@@ -60,28 +66,40 @@ TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"""|</?([a-zA-Z][^\s/><]*)[^<>]*+>"""
     r"""|<[!?/][^>]*+(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
 
 
-def _attribute_noise(attrs: str, inside_article: bool) -> bool:
-    """Whether class, id, role or hiding marks an element as noise."""
+def _attribute_noise(attrs: str, tag: str, inside_article: bool) -> str:
+    """What role, hiding, class and id make of an element: ``noise`` for certain,
+    ``comments``, ``part`` (of the page) or ``text`` by name, or nothing."""
+    marks = set()
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id"):
-            for w in NAME_WORD.findall(value):
-                w = w.lower()
-                if w in NOISE_WORDS and not (w == "header" and inside_article):
-                    return True
+        if name == "class" or (name == "id" and tag not in HEADINGS):
+            for token in value.split():
+                words = [w.lower() for w in NAME_WORD.findall(token)]
+                if len(words) > 1 and words[0] in STATE_WORDS:
+                    continue
+                for w in words:
+                    if w in COMMENT_WORDS:
+                        marks.add("comments")
+                    elif w in NOISE_WORDS and not (w == "header" and inside_article):
+                        marks.add("text" if name == "id" and w in TEXT_WORDS else "part")
         elif name == "role":
             if value.lower() in NOISE_ROLES:
-                return True
+                return "noise"
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "noise"
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return "noise"
+    return next((m for m in ("comments", "part", "text") if m in marks), "")
+
+
+def _length(text: str) -> int:
+    """Characters other than white space."""
+    return len(text) - sum(map(len, SPACE.findall(text)))
 
 
 class Page:
@@ -89,6 +107,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.noise, self.items = ["#root"], [-1], [False], [[]]
+        self.marks: dict[int, str] = {}       # elements with a name of NOISE_WORDS
         self.body = 0
         open_nodes = [0]
         in_article = 0
@@ -128,7 +147,10 @@ class Page:
             attrs = m[3] or ""
             bad = self.noise[parent] or name in NOISE_TAGS or (name == "header" and not in_article)
             if not bad and attrs and name not in ("body", "main"):
-                bad = _attribute_noise(attrs, in_article > 0)
+                mark = _attribute_noise(attrs, name, in_article > 0)
+                bad = mark == "noise"
+                if mark and not bad:
+                    self.marks[node] = mark
             self.tag.append(name)
             self.parent.append(parent)
             self.noise.append(bad)
@@ -149,6 +171,64 @@ class Page:
             elif name not in VOID and not (m[0].endswith("/>") and name in ("svg", "path")):
                 open_nodes.append(node)
                 in_article += name in ("article", "main")
+        if self.marks:
+            self._settle_marks()
+
+    def _settle_marks(self) -> None:
+        """Makes noise of elements marked by name.
+
+        Not of one that most of the page's text outside links is in, if it is built
+        like a text: it holds the first heading, or an article, or two paragraphs
+        where no article is marked.  Readers' comments may outgrow the text and hold
+        all that: they must hold the first heading, and it must be an h1.  Not of one
+        named like a part of a text, unless half of it or more is links or noise.
+        """
+        n = len(self.tag)
+        in_link = [False] * n
+        for i in range(1, n):
+            in_link[i] = self.tag[i] == "a" or in_link[self.parent[i]]
+
+        def plain():
+            out = [0] * n
+            for i in range(n - 1, -1, -1):
+                if self.noise[i]:
+                    continue
+                if not in_link[i]:
+                    out[i] += sum(_length(x) for x in self.items[i] if isinstance(x, str))
+                if i:
+                    out[self.parent[i]] += out[i]
+            return out
+
+        text = plain()
+        whole, articles, paragraphs = [0] * n, [0] * n, [0] * n
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            if not self.noise[i]:
+                whole[i] += sum(_length(x) for x in self.items[i] if isinstance(x, str))
+                articles[i] += self.tag[i] in ("article", "main") and i not in self.marks
+                paragraphs[i] += self.tag[i] == "p" and text[i] > 0
+                whole[p] += whole[i]
+                articles[p] += articles[i]
+                paragraphs[p] += paragraphs[i]
+        over_heading = set()
+        i = next((i for i in range(1, n) if self.tag[i] in HEADINGS and text[i] and not self.noise[i]), 0)
+        h1 = self.tag[i] == "h1"
+        while i > 0:
+            over_heading.add(i)
+            i = self.parent[i]
+        for i in range(1, n):
+            mark = self.marks.get(i)
+            if self.noise[self.parent[i]]:
+                self.noise[i] = True
+            elif mark in ("comments", "part"):
+                title = i in over_heading and (h1 or mark == "part")
+                self.noise[i] = not (text[i] * 2 > text[0] and (title or (mark == "part" and (
+                    articles[i] > 0 or (not articles[0] and paragraphs[i] >= 2)))))
+        if "text" in self.marks.values():
+            text = plain()
+            for i in range(1, n):
+                self.noise[i] = self.noise[i] or self.noise[self.parent[i]] or (
+                    self.marks.get(i) == "text" and text[i] * 2 <= whole[i])
 
     def _close_implied(self, open_nodes: list[int], name: str) -> None:
         ended = CLOSES.get(name, ())
@@ -172,7 +252,7 @@ class Page:
                 continue
             for x in self.items[i]:
                 if isinstance(x, str):
-                    chars[i] += len(x) - sum(map(len, SPACE.findall(x)))
+                    chars[i] += _length(x)
             is_link = self.tag[i] == "a"
             if is_link:
                 link_chars[i] = chars[i]
