@@ -77,6 +77,38 @@ def test_names_of_attributes_mark_noise_but_values_and_layouts_do_not(page, text
     assert html_density.main_text(page) == text
 
 
+def test_main_text_of_all_small_pages_without_marks(spark):
+    for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect():
+        want = _truth(r["html"])
+        for tag in ("div", "section"):
+            page = r["html"].replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")
+            assert html_density.main_text(page) == want, r["page_id"]
+            page = page.replace("<nav>", "<div class=top><span>Site of all</span>").replace("</nav>", "</div>")
+            assert html_density.main_text(page).endswith(want), r["page_id"]
+
+
+P3 = "A third paragraph, <b>written</b> later, has <a href=x>a link</a> and some words more than the others."
+T3 = "A third paragraph, written later, has a link and some words more than the others."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><h1>A</h1><p>{P1}</p><p>{P3}</p></article><article><h2>B</h2><p>Short.</p></article>",
+     f"A\n\n{P1}\n\n{T3}\n\nB\n\nShort."),
+    (f"<div><div><article><p>{P1}</p></article></div></div><div><div><article><p>{P3}</p><p>{P2}</p></article></div></div>",
+     f"{P1}\n\n{T3}\n\n{P2}"),
+    (f"<main><h1>T</h1><p>Lead.</p>Loose <i>lead</i><br>text.<article><p>{P1}</p><p>{P3}</p><p>{P2}</p></article>"
+     "<div><a href=x>More of it</a></div></main>", f"T\n\nLead.\n\nLoose lead text.\n\n{P1}\n\n{T3}\n\n{P2}"),
+    (f"<div><p>x</p></div><div><h1>T</h1>{P2 * 3}<div><p>{P1 * 2}</p><p>{P2 * 2}</p><p>{P1}</p></div></div>",
+     f"T\n\n{P2 * 3}\n\n{P1 * 2}\n\n{P2 * 2}\n\n{P1}"),
+    # densities decide, not the mark
+    (f"<article><a href=x>Teaser</a> <a href=y>of three</a> words</article><div><p>{P1}</p><p>{P3}</p><p>{P2}</p></div>",
+     f"{P1}\n\n{T3}\n\n{P2}"),
+    (f"<article><p>{P1}</p><p>end</p></article>", f"{P1}\n\nend"),
+])
+def test_main_text_by_densities_with_marks_as_prior(page, text):
+    assert html_density.main_text(page) == text
+
+
 def test_deep_and_broken_pages_are_linear():
     assert html_density.main_text("<div>" * 30_000 + "deep") == "deep"
     html_density.main_text("<a <b " * 50_000)

@@ -6,11 +6,15 @@ Every DOM node gets its link-adjusted characters per tag,
 
 with C characters, T tags, LC characters in links, LT link tags of the subtree
 and Cb, LCb those of the body (zero divisors count 1).  A node's density sum adds
-up its children's densities.  The node of maximum sum is the content, and the
-least density on its path from the body is the threshold: outside it, subtrees at
-or above the threshold give their own maximum-sum node (a heading beside the text,
-say).  Where the page marks articles, the one with the maximum sum in it is taken
-whole; link lists within it go.
+up its children's densities.  The node of maximum sum is the content (its parent,
+where it is but one paragraph), and the least density on its path from the body is
+the threshold: beside the path, headings and whatever is at or above the threshold
+and not mostly links belong to it too, loose text between elements like an element.
+
+Marks (article, main) are a prior to that: the innermost one around the maximum is
+taken whole, and other marked elements, and what lies beside the path in an outer
+one, need no threshold.  A page without marks goes by densities alone.  Link lists
+within it go.
 
 Scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and
 reader comments are left out of tree and densities by element, role and name.
@@ -171,6 +175,8 @@ class Page:
             elif name not in VOID and not (m[0].endswith("/>") and name in ("svg", "path")):
                 open_nodes.append(node)
                 in_article += name in ("article", "main")
+        self.own = [0 if bad else sum(_length(x) for x in items if isinstance(x, str))
+                    for items, bad in zip(self.items, self.noise)]
         if self.marks:
             self._settle_marks()
 
@@ -191,12 +197,11 @@ class Page:
         def plain():
             out = [0] * n
             for i in range(n - 1, -1, -1):
-                if self.noise[i]:
-                    continue
-                if not in_link[i]:
-                    out[i] += sum(_length(x) for x in self.items[i] if isinstance(x, str))
-                if i:
-                    out[self.parent[i]] += out[i]
+                if not self.noise[i]:
+                    if not in_link[i]:
+                        out[i] += self.own[i]
+                    if i:
+                        out[self.parent[i]] += out[i]
             return out
 
         text = plain()
@@ -204,7 +209,7 @@ class Page:
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             if not self.noise[i]:
-                whole[i] += sum(_length(x) for x in self.items[i] if isinstance(x, str))
+                whole[i] += self.own[i]
                 articles[i] += self.tag[i] in ("article", "main") and i not in self.marks
                 paragraphs[i] += self.tag[i] == "p" and text[i] > 0
                 whole[p] += whole[i]
@@ -250,9 +255,7 @@ class Page:
         for i in range(n - 1, -1, -1):
             if self.noise[i]:
                 continue
-            for x in self.items[i]:
-                if isinstance(x, str):
-                    chars[i] += _length(x)
+            chars[i] += self.own[i]
             is_link = self.tag[i] == "a"
             if is_link:
                 link_chars[i] = chars[i]
@@ -264,23 +267,21 @@ class Page:
                 link_chars[p] += link_chars[i]
                 link_tags[p] += link_tags[i]
         body = self.body
-        ratio = link_chars[body] / max(chars[body], 1)
-        density = [0.0] * n
-        for i in range(n):
-            c = chars[i]
-            if c == 0:
-                continue
-            t, lc, lt = max(tags[i], 1), link_chars[i], max(link_tags[i], 1)
-            base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
-            inner = c / max(lc, 1) * (t / lt)
-            density[i] = c / t * (math.log(inner) / math.log(base) if base > 1.0 and inner > 1.0
-                                  else (math.log(inner) if inner > 1.0 else 0.0))
+        self.ratio = link_chars[body] / max(chars[body], 1)
+        density = [self._density(*x) if x[0] else 0.0 for x in zip(chars, tags, link_chars, link_tags)]
         sums = [0.0] * n
         for i in range(1, n):
             sums[self.parent[i]] += density[i]
-        self.chars, self.link_chars, self.link_tags = chars, link_chars, link_tags
+        self.chars, self.tags, self.link_chars, self.link_tags = chars, tags, link_chars, link_tags
         self.density, self.sums = density, sums
 
+    def _density(self, c: int, t: int, lc: int, lt: int) -> float:
+        t, lt = max(t, 1), max(lt, 1)
+        base = math.log(c / max(c - lc, 1) * lc + self.ratio * c + math.e)
+        inner = c / max(lc, 1) * (t / lt)
+        return c / t * (math.log(inner) / math.log(base) if base > 1.0 and inner > 1.0
+                        else (math.log(inner) if inner > 1.0 else 0.0))
+
     def best_below(self):
         """For every node the maximum-sum node of its subtree (first of equals)."""
         n = len(self.tag)
@@ -293,39 +294,74 @@ class Page:
         return best
 
     def content(self) -> set[int]:
-        """Roots of the content subtrees."""
+        """Roots of the content subtrees; ``loose`` has the text runs beside them."""
         self.measure()
+        self.loose: set[tuple[int, int]] = set()
+        self.threshold, self.whole_page = 0.0, False
         if not self.chars[self.body]:
             return set()
-        best = self.best_below()
-        articles = [i for i, t in enumerate(self.tag)
-                    if t in ("article", "main") and not self.noise[i] and self.chars[i]]
-        if articles:
-            # the innermost marked article that holds the maximum sum of them all
-            top = max(articles, key=lambda i: (self.sums[best[i]], self.tag[i] == "article", i))
-            return {top}
-        top = best[self.body]
-        threshold, i = self.density[top], top
-        while i > 0 and i != self.body:
-            i = self.parent[i]
-            threshold = min(threshold, self.density[i])
-        roots, inside = set(), [False] * len(self.tag)
-        roots.add(top)
-        on_path = {top}
+        parent, tag = self.parent, self.tag
+        top = self.best_below()[self.body]
+        # the inline elements of one paragraph are no content of their own
+        while top != self.body and (tag[top] == "p" or tag[top] in HEADINGS or tag[top] not in BLOCK) \
+                and parent[top] >= 0:
+            top = parent[top]
+        # a mark around the maximum says how far the content goes
         i = top
+        while i > 0 and tag[i] not in ("article", "main"):
+            i = parent[i]
+        top = i or top
+        self.whole_page = top in (0, self.body)
+        threshold, path, i = self.density[top], {top}, top
         while i > 0:
-            i = self.parent[i]
-            on_path.add(i)
-        for i in range(1, len(self.tag)):
-            p = self.parent[i]
+            i = parent[i]
+            path.add(i)
+            if i >= self.body:
+                threshold = min(threshold, self.density[i])
+        self.threshold = threshold
+        roots = {top}
+        if self.whole_page and not any(i != top for i in path):
+            return roots
+        n = len(tag)
+        blocky, inside, marked = [False] * n, [False] * n, [False] * n
+        for i in range(n - 1, 0, -1):
+            blocky[parent[i]] |= blocky[i] or tag[i] in BLOCK
+        for i in range(1, n):
+            p = parent[i]
             inside[i] = inside[p] or p in roots
-            if inside[i] or self.noise[i] or i in on_path or p not in on_path:
+            is_marked = tag[i] in ("article", "main")
+            marked[i] = marked[p] or is_marked
+            if inside[i] or self.noise[i] or i in path or not self.chars[i] \
+                    or self.link_chars[i] * 2 >= self.chars[i]:
                 continue
-            if self.chars[i] and (self.tag[i] in HEADINGS or self.density[i] >= threshold > 0) \
-                    and self.link_chars[i] * 2 < self.chars[i]:
+            if is_marked or (p in path and (tag[i] in BLOCK or blocky[i]) and (
+                    marked[p] or tag[i] in HEADINGS or self.density[i] >= threshold > 0)):
                 roots.add(i)
+        for p in path - {top}:
+            run: list[int] = []
+            for at, x in enumerate([*self.items[p], None]):
+                if isinstance(x, str) or (x is not None and x not in path and not blocky[x]
+                                          and (tag[x] not in BLOCK or self.noise[x])):
+                    run.append(at)
+                    continue
+                self._join_run(p, run, marked[p], roots)
+                run = []
         return roots
 
+    def _join_run(self, p: int, run: list[int], marked: bool, roots: set[int]) -> None:
+        """Text and inline elements between two blocks of a node on the path join
+        the content like an element around them."""
+        nodes = [x for at in run if not isinstance(x := self.items[p][at], str) and not self.noise[x]]
+        texts = [at for at in run if isinstance(self.items[p][at], str)]
+        c = sum(_length(self.items[p][at]) for at in texts) + sum(self.chars[x] for x in nodes)
+        lc = sum(self.link_chars[x] for x in nodes)
+        if not c or lc * 2 >= c:
+            return
+        t, lt = sum(self.tags[x] + 1 for x in nodes), sum(self.link_tags[x] for x in nodes)
+        if marked or self._density(c, t, lc, lt) >= self.threshold > 0:
+            roots.update(nodes)
+            self.loose.update((p, at) for at in texts)
+
     def blocks(self, roots: set[int]) -> list[str]:
         """Texts of the blocks below ``roots`` in page order, white space folded."""
         out: list[str] = []
@@ -340,7 +376,7 @@ class Page:
         stack: list = [(0, False)]
         while stack:
             x, live = stack.pop()
-            if x == "end":
+            if x is None:                     # end of a block
                 flush()
                 continue
             if isinstance(x, str):
@@ -353,13 +389,16 @@ class Page:
             if started and x not in roots and self._link_list(x):
                 continue
             if self.tag[x] == "br":
-                if live:
+                if started:
                     part.append(" ")
                 continue
             if self.tag[x] in BLOCK:
                 flush()
-                stack.append(("end", started))
-            stack.extend((y if not isinstance(y, str) else _Text(y), started) for y in reversed(self.items[x]))
+                stack.append((None, started))
+            if started or not self.loose:
+                stack.extend((y, started) for y in reversed(self.items[x]))
+            else:
+                stack.extend((y, started or (x, at) in self.loose) for at, y in reversed([*enumerate(self.items[x])]))
         flush()
         return out
 
@@ -368,10 +407,6 @@ class Page:
         return self.tag[i] in BLOCK and self.link_tags[i] >= 3 and self.link_chars[i] * 10 > self.chars[i] * 8
 
 
-class _Text(str):
-    """A text run (apart from the walk's own marks)."""
-
-
 def main_text(html: str | None) -> str:
     """Main text of a page; empty if there is none."""
     if not html:
