@@ -109,6 +109,26 @@ def test_main_text_by_densities_with_marks_as_prior(page, text):
     assert html_density.main_text(page) == text
 
 
+REFS = "".join(f"<li><a href=r{i}>Author {i}, a title of some words</a></li>" for i in range(4))
+REFS_TEXT = "\n\n".join(f"Author {i}, a title of some words" for i in range(4))
+NAMES = "<p><a href=a>Ann</a>, <a href=b>Bob</a>, <a href=c>Cleo</a></p>"
+PAGER = "<ul><li><a href=1>1</a></li><li><a href=2>2</a></li><li><a href=3>»</a></li></ul>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><h1>T</h1><p>{P1}</p>{NAMES}<p>{P2}</p><h2>References</h2><ol>{REFS}</ol></article>",
+     f"T\n\n{P1}\n\nAnn, Bob, Cleo\n\n{P2}\n\nReferences\n\n{REFS_TEXT}"),
+    (f"<body><nav>{NAMES}</nav><div><h1>T</h1><p>{P1}</p>{NAMES}<p>{P2}</p><ol>{REFS}</ol>{PAGER}</div></body>",
+     f"T\n\n{P1}\n\nAnn, Bob, Cleo\n\n{P2}\n\n{REFS_TEXT}"),
+    (f"<article><p>{P1}</p><ul class=menu>{REFS}</ul>{PAGER}<table><tr><td><a href=x>1999</a><td><a href=y>2000</a>"
+     f"<td><a href=z>2001</a></table><p>{P2}</p></article>", f"{P1}\n\n1999\n\n2000\n\n2001\n\n{P2}"),
+    (f"<body><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>About</a></li></ul><h1>T</h1><p>{P1}</p>"
+     f"<p>{P2}</p><ol>{REFS}</ol></body>", f"T\n\n{P1}\n\n{P2}\n\n{REFS_TEXT}"),
+])
+def test_links_within_the_content_stay(page, text):
+    assert html_density.main_text(page) == text
+
+
 def test_deep_and_broken_pages_are_linear():
     assert html_density.main_text("<div>" * 30_000 + "deep") == "deep"
     html_density.main_text("<a <b " * 50_000)

@@ -13,8 +13,11 @@ and not mostly links belong to it too, loose text between elements like an eleme
 
 Marks (article, main) are a prior to that: the innermost one around the maximum is
 taken whole, and other marked elements, and what lies beside the path in an outer
-one, need no threshold.  A page without marks goes by densities alone.  Link lists
-within it go.
+one, need no threshold.  A page without marks goes by densities alone.
+
+Within the content only lists of page numbers go.  Where nothing is marked and the
+content is the whole page, blocks of links ahead of all other text are its menu if
+they are below the threshold.
 
 Scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and
 reader comments are left out of tree and densities by element, role and name.
@@ -298,6 +301,7 @@ class Page:
         self.measure()
         self.loose: set[tuple[int, int]] = set()
         self.threshold, self.whole_page = 0.0, False
+        self.lettered: list[bool] | None = None      # of every node, once a pager may be there
         if not self.chars[self.body]:
             return set()
         parent, tag = self.parent, self.tag
@@ -311,7 +315,7 @@ class Page:
         while i > 0 and tag[i] not in ("article", "main"):
             i = parent[i]
         top = i or top
-        self.whole_page = top in (0, self.body)
+        self.whole_page = self.chars[top] == self.chars[self.body] and tag[top] not in ("article", "main")
         threshold, path, i = self.density[top], {top}, top
         while i > 0:
             i = parent[i]
@@ -320,8 +324,6 @@ class Page:
                 threshold = min(threshold, self.density[i])
         self.threshold = threshold
         roots = {top}
-        if self.whole_page and not any(i != top for i in path):
-            return roots
         n = len(tag)
         blocky, inside, marked = [False] * n, [False] * n, [False] * n
         for i in range(n - 1, 0, -1):
@@ -386,7 +388,8 @@ class Page:
             if self.noise[x]:
                 continue
             started = live or x in roots
-            if started and x not in roots and self._link_list(x):
+            if started and x not in roots and (self._pager(x) or (
+                    self.whole_page and not out and self._menu(x))):
                 continue
             if self.tag[x] == "br":
                 if started:
@@ -402,9 +405,22 @@ class Page:
         flush()
         return out
 
-    def _link_list(self, i: int) -> bool:
-        """A block of three links or more that is nearly all link text."""
-        return self.tag[i] in BLOCK and self.link_tags[i] >= 3 and self.link_chars[i] * 10 > self.chars[i] * 8
+    def _menu(self, i: int) -> bool:
+        """A block of three links or more, nearly all link text and below the threshold."""
+        return self.tag[i] in BLOCK and self.tag[i] != "p" and self.link_tags[i] >= 3 \
+            and self.link_chars[i] * 10 > self.chars[i] * 8 and self.density[i] < self.threshold
+
+    def _pager(self, i: int) -> bool:
+        """A list of three links or more to numbered pages: no letter, no text beside the links."""
+        if self.tag[i] not in ("ul", "ol") or not 3 <= self.link_tags[i] \
+                or not 0 < self.chars[i] == self.link_chars[i] <= 3 * self.link_tags[i]:
+            return False
+        if self.lettered is None:
+            self.lettered = [not bad and any(any(map(str.isalpha, x)) for x in items if isinstance(x, str))
+                             for items, bad in zip(self.items, self.noise)]
+            for x in range(len(self.tag) - 1, 0, -1):
+                self.lettered[self.parent[x]] |= self.lettered[x]
+        return not self.lettered[i]
 
 
 def main_text(html: str | None) -> str:
