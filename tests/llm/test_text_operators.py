@@ -223,6 +223,43 @@ def every_dp(word, v, prob):
     return a[-1].astype(np.float64)
 
 
+def _runs(script, lengths, seed=7):
+    r = random.Random(seed)
+    return ["".join(r.choice(script) for _ in range(n)) for n in lengths]
+
+
+def test_long_runs_of_unlearned_scripts_do_not_underflow():
+    v = lang_unigram.pieces(lang_unigram.vocabulary_path())
+    outside = [c for c in map(chr, range(0x1200, 0x1300)) if c.isalpha() and c not in v.id][:20]      # Ethiopic
+    single = [p for p in v.id if len(p) == 1 and p > "Ѐ" and p != lang_unigram.START][-200:]
+    assert len(outside) == 20 and len(single) == 200
+    words = _runs(outside, range(38, 67)) + _runs(single, range(38, 67)) \
+        + ["".join(outside)[:20] * 2 + "information" * 2, "then" * 16]
+    for total in (1.5e7, 4e9):
+        prob = np.full((v.n + 1, 2), lang_unigram.SMOOTH)
+        prob[v.id[lang_unigram.START + "the"], 0] += total
+        prob[v.id["then"], 1] += total
+        prob /= prob[:-1].sum(axis=0)
+        prob[-1] = lang_unigram.UNKNOWN
+        got = lang_unigram.word_log_probs(words, v, prob, lang_unigram.boosted(prob, v))
+        want = np.array([lang_unigram._long_log_prob(lang_unigram.START + w, v, prob) for w in words])
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-9)
+        scored = lang_unigram.Scorer({"langs": ["a", "b"], "prob": prob}, lang_unigram.vocabulary_path()).block(words)
+        assert all(0 <= s <= 1 for _, s in scored)
+
+
+def test_training_on_long_runs(spark):
+    v = lang_unigram.pieces(lang_unigram.vocabulary_path())
+    outside = [c for c in map(chr, range(0x1200, 0x1300)) if c.isalpha() and c not in v.id][:20]
+    words = _runs(outside, range(40, 65)) + ["information" * 2 + w for w in _runs(outside, range(20, 40))]
+    rows = [("am", w) for w in words] + [("en", "the information on the matter")] * 3
+    model = lang_unigram.fit(spark.createDataFrame(rows, "lang string, text string"), lang_unigram.vocabulary_path())
+    assert np.isfinite(model["prob"]).all() and (model["prob"] > 0).all()
+    assert model["prob"][v.id["information"], 0] > 0.01          # 40 occurrences, smoothing is 1,500 pieces
+    scored = lang_unigram.Scorer(model, lang_unigram.vocabulary_path()).block(words + ["the matter"])
+    assert all(0 <= s <= 1 for _, s in scored) and scored[-1][0] == "en"
+
+
 def test_held_out_accuracy(spark):
     import zlib
     out = lang_unigram.language_id(spark, "/root/testdata/sf0.01").collect()

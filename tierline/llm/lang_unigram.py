@@ -33,7 +33,8 @@ UND = "und"
 EM_ROUNDS = 1
 SMOOTH = 0.05              # added to each piece count
 UNKNOWN = 1e-8             # probability, in every language, of a character outside the vocabulary
-GAIN = np.exp(6.0)         # factor per character that keeps forward sums near 1
+GAIN = np.exp(6.0)         # factor per character that keeps most words' sums near 1
+LOW = 1e-250               # words with a sum below are summed in logarithms
 LONG_WORD = 64             # longer words are summed with rescaling
 CACHE_WORDS = 400_000
 BLOCK_CHARS = 500_000
@@ -111,24 +112,57 @@ def _sum_per_word(value: np.ndarray, word: np.ndarray):
     return word[first], np.add.reduceat(value, first, axis=0)
 
 
-def _forward(arcs, lengths, weight: np.ndarray) -> np.ndarray:
-    """Forward sums (words, places, columns) from arc weights (arcs, columns)."""
+def _forward(arcs, lengths, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums (words, places, columns) from arc weights (arcs, columns), and
+    the least sum of each word."""
     w, i, j, _ = arcs
     alpha = np.zeros((len(lengths), int(lengths.max()) + 1, weight.shape[1]))
     alpha[:, 0] = 1.0
+    least = np.ones(len(lengths))
     for end, part in _by_place(j):
         words, total = _sum_per_word(alpha[w[part], i[part]] * weight[part], w[part])
         alpha[words, end] = total
-    return alpha
+        least[words] = np.minimum(least[words], total.min(axis=1))
+    return alpha, least
 
 
-def _backward(arcs, lengths, weight: np.ndarray) -> np.ndarray:
+def _backward(arcs, lengths, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w, i, j, _ = arcs
     beta = np.zeros((len(lengths), int(lengths.max()) + 1, weight.shape[1]))
     beta[np.arange(len(lengths)), lengths] = 1.0
+    least = np.ones(len(lengths))
     for start, part in reversed(_by_place(i)):
         words, total = _sum_per_word(beta[w[part], j[part]] * weight[part], w[part])
         beta[words, start] = total
+        least[words] = np.minimum(least[words], total.min(axis=1))
+    return beta, least
+
+
+def _log_sum_per_word(value: np.ndarray, word: np.ndarray):
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    top = np.maximum.reduceat(value, first, axis=0)
+    spread = np.repeat(top, np.diff(np.append(first, len(word))), axis=0)
+    return word[first], top + np.log(np.add.reduceat(np.exp(value - spread), first, axis=0))
+
+
+def _log_forward(arcs, lengths, weight: np.ndarray) -> np.ndarray:
+    """Logarithms of forward sums from those of arc weights: no length underflows."""
+    w, i, j, _ = arcs
+    alpha = np.full((len(lengths), int(lengths.max()) + 1, weight.shape[1]), -np.inf)
+    alpha[:, 0] = 0.0
+    for end, part in _by_place(j):
+        words, total = _log_sum_per_word(alpha[w[part], i[part]] + weight[part], w[part])
+        alpha[words, end] = total
+    return alpha
+
+
+def _log_backward(arcs, lengths, weight: np.ndarray) -> np.ndarray:
+    w, i, j, _ = arcs
+    beta = np.full((len(lengths), int(lengths.max()) + 1, weight.shape[1]), -np.inf)
+    beta[np.arange(len(lengths)), lengths] = 0.0
+    for start, part in reversed(_by_place(i)):
+        words, total = _log_sum_per_word(beta[w[part], j[part]] + weight[part], w[part])
+        beta[words, start] = total
     return beta
 
 
@@ -144,9 +178,13 @@ def word_log_probs(words: list[str], vocabulary: Pieces, prob: np.ndarray, boost
     for at in range(0, len(short), 8192):
         part = short[at:at + 8192]
         arcs, lengths = vocabulary.arcs([words[k] for k in part])
-        alpha = _forward(arcs, lengths, boost[arcs[3]])
-        total = alpha[np.arange(len(part)), lengths]
-        out[part] = np.log(total) - np.log(GAIN) * lengths[:, None]
+        alpha, least = _forward(arcs, lengths, boost[arcs[3]])
+        part, ok = np.array(part), least > LOW
+        total = alpha[np.arange(len(part)), lengths][ok]
+        out[part[ok]] = np.log(total) - np.log(GAIN) * lengths[ok, None]
+        if not ok.all():
+            arcs, lengths = vocabulary.arcs([words[k] for k in part[~ok]])
+            out[part[~ok]] = _log_forward(arcs, lengths, np.log(prob[arcs[3]]))[np.arange(len(lengths)), lengths]
     for k, word in enumerate(words):
         if len(word) > LONG_WORD:
             out[k] = _long_log_prob(START + word, vocabulary, prob)
@@ -203,6 +241,26 @@ def _piece_counts(counted: DataFrame, path: str, model: dict | None) -> pd.DataF
     def expect(batches):
         vocabulary, now = pieces(path), shared.value
         boost = boosted(now["prob"], vocabulary) if now is not None else None
+
+        def shares(words, column):
+            """Arcs of words and each arc's share in its word's segmentations."""
+            arcs, lengths = vocabulary.arcs(words)
+            w, i, j, p = arcs
+            weight = boost[p, column][:, None]
+            (alpha, a), (beta, b) = _forward(arcs, lengths, weight), _backward(arcs, lengths, weight)
+            whole = alpha[np.arange(len(words)), lengths, 0]
+            low = np.minimum(a, b) <= LOW
+            whole[low] = 1.0                   # told below
+            share = alpha[w, i, 0] * weight[:, 0] * beta[w, j, 0] / whole[w]
+            if low.any():
+                arcs, lengths = vocabulary.arcs([words[k] for k in np.flatnonzero(low)])
+                v, i, j, q = arcs
+                weight = np.log(now["prob"][q, column])[:, None]
+                alpha, beta = _log_forward(arcs, lengths, weight), _log_backward(arcs, lengths, weight)
+                whole = alpha[np.arange(len(lengths)), lengths, 0]
+                share[low[w]] = np.exp(alpha[v, i, 0] + weight[:, 0] + beta[v, j, 0] - whole[v])
+            return w, p, share
+
         for pdf in batches:
             for lang, g in pdf.groupby("lang", sort=False):
                 held = np.zeros(vocabulary.n + 1)
@@ -210,15 +268,12 @@ def _piece_counts(counted: DataFrame, path: str, model: dict | None) -> pd.DataF
                 short = [k for k, w in enumerate(words) if len(w) <= LONG_WORD]
                 for at in range(0, len(short), 8192):
                     part = short[at:at + 8192]
-                    arcs, lengths = vocabulary.arcs([words[k] for k in part])
-                    w, i, j, p = arcs
-                    share = n[part][w]
-                    if now is not None:
-                        weight = boost[p, now["langs"].index(lang)][:, None]
-                        alpha, beta = _forward(arcs, lengths, weight), _backward(arcs, lengths, weight)
-                        whole = alpha[np.arange(len(part)), lengths, 0]
-                        share = share * alpha[w, i, 0] * weight[:, 0] * beta[w, j, 0] / whole[w]
-                    held += np.bincount(p, weights=share, minlength=vocabulary.n + 1)
+                    if now is None:
+                        (w, _, _, p), _ = vocabulary.arcs([words[k] for k in part])
+                        share = 1.0
+                    else:
+                        w, p, share = shares([words[k] for k in part], now["langs"].index(lang))
+                    held += np.bincount(p, weights=n[part][w] * share, minlength=vocabulary.n + 1)
                 used = np.flatnonzero(held[:-1])
                 yield pd.DataFrame({"lang": lang, "piece": used, "c": held[used]})
 
