@@ -260,6 +260,37 @@ def test_training_on_long_runs(spark):
     assert all(0 <= s <= 1 for _, s in scored) and scored[-1][0] == "en"
 
 
+def test_expected_counts_of_long_words_equal_the_arrays(spark):
+    v = lang_unigram.pieces(lang_unigram.vocabulary_path())
+    rng = np.random.default_rng(3)
+    prob = rng.random((v.n + 1, 1))
+    prob /= prob[:-1].sum(axis=0)
+    prob[-1] = lang_unigram.UNKNOWN
+    for word in ["information" * 30, "donaudampfschiff" * 20 + "漢字ሀለ" * 30]:
+        arcs, lengths = v.arcs([word])
+        w, i, j, p = arcs
+        weight = np.log(prob[p])
+        a, b = lang_unigram._log_forward(arcs, lengths, weight), lang_unigram._log_backward(arcs, lengths, weight)
+        share = np.exp(a[w, i, 0] + weight[:, 0] + b[w, j, 0] - a[0, lengths[0], 0])
+        got, occurring = np.zeros(v.n + 1), np.zeros(v.n + 1)
+        lang_unigram._long_expected(lang_unigram.START + word, v, np.log(prob[:, 0]).tolist(), got, 2)
+        assert np.allclose(got, np.bincount(p, weights=2 * share, minlength=v.n + 1))
+        assert np.isclose((got * v.length).sum(), 2 * (len(word) + 1))          # all characters are in pieces
+        lang_unigram._long_occurrences(lang_unigram.START + word, v, occurring, 2)
+        assert (occurring[:-1] == 2 * np.bincount(p, minlength=v.n + 1)[:-1]).all()
+
+
+def test_a_language_of_long_runs_is_learned(spark):
+    v = lang_unigram.pieces(lang_unigram.vocabulary_path())
+    runs = ["".join(r) for r in np.random.default_rng(1).choice(["information", "house", "the"], (30, 40))]
+    assert min(map(len, runs)) > lang_unigram.LONG_WORD
+    rows = [("xx", r) for r in runs] + [("en", "matter of fact and other words")] * 3
+    model = lang_unigram.fit(spark.createDataFrame(rows, "lang string, text string"), lang_unigram.vocabulary_path())
+    assert model["prob"][v.id["information"], 1] > 10 * model["prob"][v.id["information"], 0] > 0
+    scored = lang_unigram.Scorer(model, lang_unigram.vocabulary_path()).block([runs[0], "houseinformationhouse", "other matter"])
+    assert [lang for lang, _ in scored] == ["xx", "xx", "en"] and all(0 <= s <= 1 for _, s in scored)
+
+
 def test_held_out_accuracy(spark):
     import zlib
     out = lang_unigram.language_id(spark, "/root/testdata/sf0.01").collect()

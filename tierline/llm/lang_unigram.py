@@ -18,10 +18,12 @@ one place of any word are one array operation.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
+from array import array
 from collections import Counter
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ SMOOTH = 0.05              # added to each piece count
 UNKNOWN = 1e-8             # probability, in every language, of a character outside the vocabulary
 GAIN = np.exp(6.0)         # factor per character that keeps most words' sums near 1
 LOW = 1e-250               # words with a sum below are summed in logarithms
-LONG_WORD = 64             # longer words are summed with rescaling
+LONG_WORD = 64             # longer words are summed one by one, in memory of their length at most
 CACHE_WORDS = 400_000
 BLOCK_CHARS = 500_000
 COUNT_WORDS = 200_000      # distinct words a task counts before it hands them on
@@ -212,6 +214,37 @@ def _long_log_prob(s: str, vocabulary: Pieces, prob: np.ndarray) -> np.ndarray:
     return np.log(ring[len(s) % size]) + scale
 
 
+def _long_occurrences(s: str, vocabulary: Pieces, held: np.ndarray, n: float) -> None:
+    """Adds to ``held`` n for each occurrence of a piece in a long word."""
+    found = (piece for _, piece in vocabulary.finder.iter(s))
+    while len(part := np.fromiter(islice(found, BLOCK_CHARS), dtype=np.int64)):
+        held += n * np.bincount(part, minlength=len(held))
+
+
+def _long_expected(s: str, vocabulary: Pieces, log_prob: list[float], held: np.ndarray, n: float) -> None:
+    """Adds to ``held`` n times the expected piece counts of one long word: forward
+    and backward sums in logarithms, two numbers a place, arcs found anew."""
+    size, longest, find = len(s), vocabulary.longest, vocabulary.id.get
+
+    def arcs(j):
+        """(start, piece) of the arcs that end at place j."""
+        out = [(i, p) for i in range(max(0, j - longest), j) if (p := find(s[i:j])) is not None]
+        return out if out and out[-1][0] == j - 1 else [*out, (j - 1, vocabulary.n)]
+
+    alpha, beta = array("d", [-math.inf]) * (size + 1), array("d", [-math.inf]) * (size + 1)
+    alpha[0] = beta[size] = 0.0
+    for j in range(1, size + 1):
+        terms = [alpha[i] + log_prob[p] for i, p in arcs(j)]
+        top = max(terms)
+        alpha[j] = top + math.log(sum(math.exp(x - top) for x in terms))
+    for j in range(size, 0, -1):             # all arcs that start at j are in beta[j] by now
+        for i, p in arcs(j):
+            x = beta[j] + log_prob[p]
+            held[p] += n * math.exp(alpha[i] + x - alpha[size])
+            low, top = sorted((x, beta[i]))
+            beta[i] = top + math.log1p(math.exp(low - top))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(lang, word, n) of rows (lang, text); partial counts are made in the tasks."""
     def count(batches):
@@ -274,6 +307,13 @@ def _piece_counts(counted: DataFrame, path: str, model: dict | None) -> pd.DataF
                     else:
                         w, p, share = shares([words[k] for k in part], now["langs"].index(lang))
                     held += np.bincount(p, weights=n[part][w] * share, minlength=vocabulary.n + 1)
+                if len(short) < len(words):
+                    log_prob = None if now is None else np.log(now["prob"][:, now["langs"].index(lang)]).tolist()
+                    for word, times in zip(words, n):
+                        if len(word) > LONG_WORD and now is None:
+                            _long_occurrences(START + word, vocabulary, held, times)
+                        elif len(word) > LONG_WORD:
+                            _long_expected(START + word, vocabulary, log_prob, held, times)
                 used = np.flatnonzero(held[:-1])
                 yield pd.DataFrame({"lang": lang, "piece": used, "c": held[used]})
 
@@ -284,9 +324,8 @@ def _piece_counts(counted: DataFrame, path: str, model: dict | None) -> pd.DataF
 def fit(labelled: DataFrame, path: str, rounds: int = EM_ROUNDS) -> dict:
     """Model {langs, prob} from rows (lang, text) with a non-null lang.
 
-    Words longer than ``LONG_WORD`` characters are left out of training (they are
-    scored whole).  A language without any word is learned with equal piece
-    probabilities.  Sums are decimal, so reruns give the same model.
+    Words of any length are learned from.  A language without any word is learned
+    with equal piece probabilities.  Sums are decimal, so reruns give the same model.
     """
     rows = labelled.filter("lang IS NOT NULL")
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
