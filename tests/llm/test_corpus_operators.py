@@ -104,6 +104,17 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, cell, block):
     assert embed_dedup.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_cells_are_fitted_at_every_size(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, x.tolist(), i % 2) for i, x in enumerate(rng.normal(size=(40, 6)))]
+    df = spark.createDataFrame(rows, "node long, v array<double>, label int") \
+        .withColumn("dim", F.size("v")).withColumn("m", F.lit(1).cast("long"))
+    cells = embed_dedup.fit_cells(df)
+    assert len(cells[6]) == 2 and embed_dedup.fit_cells(df.filter("false")) == {}
+    homes = embed_dedup.assign(df, cells).filter("host").groupBy("cell").count().collect()
+    assert sorted(r["cell"] for r in homes) == [0, 1] and sum(r["count"] for r in homes) == 40
+
+
 # --- Jaccard join ------------------------------------------------------------------
 
 def _words(t):

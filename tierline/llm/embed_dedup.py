@@ -58,16 +58,14 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.nd
 def fit_cells(distinct: DataFrame) -> dict[int, np.ndarray]:
     """Centroids per dimension, from at most ``SAMPLE`` vectors in hash order.
 
-    The number of cells follows the largest label (vectors / ``CELL``).
+    The number of cells follows the largest label (vectors / ``CELL``, two at least).
     """
     top = distinct.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("n"))
     sizes = {r["dim"]: r["n"] for r in top.orderBy(F.col("n").desc(), "dim").limit(16).collect()}
-    if not any(n > CELL for n in sizes.values()):
-        return {}
     sample = distinct.select("dim", "v").orderBy(F.xxhash64("v"), "node").limit(SAMPLE).toPandas()
     return {int(d): spherical_kmeans(unit(np.array(g["v"].tolist(), dtype=np.float64)),
-                                     min(MAX_CELLS, math.ceil(sizes[d] / CELL)))
-            for d, g in sample.groupby("dim") if d in sizes and sizes[d] > CELL}
+                                     min(MAX_CELLS, max(2, math.ceil(sizes[d] / CELL))))
+            for d, g in sample.groupby("dim") if d in sizes}
 
 
 def assign(distinct: DataFrame, cells: dict[int, np.ndarray], t: float = COSINE) -> DataFrame:
