@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from array import array
 from dataclasses import dataclass
 
@@ -44,9 +45,12 @@ LINE_PRICE, SHORT_PRICE = 4.0, 8.0
 MAX_PIVOTS, CLOSE = 600, 0.0002
 #: Characters encoded before rows are handed on.
 BLOCK_CHARS = 500_000
+#: A run of white space of this length is split into pre-tokens outside the encoder.
+LONG_SPACE = 100_000
 #: Rows of the table of first ranks (8 kB each at most) up to which it is sent to all tasks.
 SMALL_TASKS = 4096
 _RANK_BITS = 44
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
 
 
 class TokenEncoder:
@@ -57,14 +61,19 @@ class TokenEncoder:
     words met; special tokens' strings in a text are ordinary text."""
 
     def __init__(self, path: str, pattern: str):
+        import regex
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ids = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.coding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.split = regex.compile(pattern).finditer
 
     def encode(self, text: str) -> bytes:
-        return array("I", self.ids(text)).tobytes()
+        if len(text) > LONG_SPACE and _LONG_SPACE.search(text):    # more than the library's own splitting can take
+            single = self.coding._encode_single_piece
+            return b"".join(array("I", single(m.group())).tobytes() for m in self.split(text))
+        return array("I", self.coding.encode_ordinary(text)).tobytes()
 
 
 def encoder(path: str, pattern: str) -> TokenEncoder:
