@@ -7,7 +7,6 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierline.llm.bpe_queue import encode_documents
@@ -20,22 +19,35 @@ from tierline.llm.mixing import mix_sources
 #: A document is rejected below this posterior of its language.
 MIN_LANGUAGE_SCORE = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows that cross to Python at once.  Whole texts are wide rows: with Spark's default of
+#: 10,000 a batch holds tens of MB in the JVM and again in the worker.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no text, no letter, or no language
     more likely than all others together."""
+    _small_batches(spark)
     told = identify_language(docs, vocabulary_path(), keep=COLUMNS)
     return told.filter((F.col("lang_pred") != UND) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by Jaccard 0.8 on five-word shingles."""
+    _small_batches(spark)
     return keep_representatives(docs.select(*COLUMNS), k=5, num=80, den=100)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by ``[kind]``; the documents stay."""
+    _small_batches(spark)
     found = find_secrets(docs, keep=COLUMNS)
     clean = found.withColumn("text", redacted(F.col("text"), F.col("all_spans")))
     changed = F.size("all_spans") > 0
@@ -63,6 +75,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with a check that they decode to its bytes."""
+    _small_batches(spark)
+    import public_tokenizers
+
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
                             keep=["doc_id", "source"])
 

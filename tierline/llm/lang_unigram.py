@@ -38,7 +38,8 @@ UNKNOWN = 1e-8             # probability, in every language, of a character outs
 GAIN = np.exp(6.0)         # factor per character that keeps most words' sums near 1
 LOW = 1e-250               # words with a sum below are summed in logarithms
 LONG_WORD = 64             # longer words are summed one by one, in memory of their length at most
-CACHE_WORDS = 400_000
+WORD_SUMS = 32_768         # words times languages summed together
+CACHE_WORDS = 400_000      # cached words, fewer where they have many languages each
 BLOCK_CHARS = 500_000
 COUNT_WORDS = 200_000      # distinct words a task counts before it hands them on
 START = "▁"           # the vocabulary's mark of a word start
@@ -177,8 +178,9 @@ def word_log_probs(words: list[str], vocabulary: Pieces, prob: np.ndarray, boost
     """log P(word | language), (words, languages), over all segmentations."""
     out = np.empty((len(words), prob.shape[1]))
     short = [k for k, w in enumerate(words) if len(w) <= LONG_WORD]
-    for at in range(0, len(short), 8192):
-        part = short[at:at + 8192]
+    step = max(64, WORD_SUMS // max(1, prob.shape[1]))
+    for at in range(0, len(short), step):
+        part = short[at:at + step]
         arcs, lengths = vocabulary.arcs([words[k] for k in part])
         alpha, least = _forward(arcs, lengths, boost[arcs[3]])
         part, ok = np.array(part), least > LOW
@@ -356,7 +358,7 @@ class Scorer:
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > CACHE_WORDS:
+        if len(self.place) + len(new) > min(CACHE_WORDS, 25 * CACHE_WORDS // max(1, len(self.langs))):
             self.place, self.table, new = {}, self.table[:0], list(words)
         if new:
             base = len(self.place)
