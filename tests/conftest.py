@@ -7,18 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tierline.session import build_session  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session(master="local[4]", shuffle_partitions=8, driver_memory="8g")
     yield s
     s.stop()
-
-
-def rows(df, cols=None):
-    """Sorted list of tuples (column subset optional) for comparisons."""
-    cols = cols or df.columns
-    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)

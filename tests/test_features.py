@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import rows
 from tierline.operators.features import (
     define_feature_view, get_historical_features, latest_features, point_in_time_join,
     resolve_refs,
@@ -139,3 +140,40 @@ def test_latest_features_ttl(spark):
     v = define_feature_view("v", df, ["k"], [("x", "float64")], "ts", ttl_seconds=2 * 86400)
     got = {r["k"]: r["x"] for r in latest_features(v, "2025-01-06 00:00:00").collect()}
     assert got == {1: 2.0, 2: None}   # key 3 only has a future row
+
+
+def _service_frames(spark):
+    ent = spark.createDataFrame(
+        [(1, "2024-01-05 12:00:00", "a"), (1, "2024-01-05 12:00:00", "a"), (2, "2024-01-01 00:00:00", "b"),
+         (None, "2024-01-05 00:00:00", "c"), (1, None, "d"), (3, "2024-02-01 00:00:00", "e")],
+        "k long, at string, tag string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    day = lambda n, v: (n, f"2024-01-0{v} 00:00:00", float(10 * n + v))
+    src = spark.createDataFrame([day(1, 1), day(1, 4), day(1, 6), day(2, 2), day(3, 3), (None, "2024-01-01 00:00:00", 0.5)],
+                                "k long, ts string, x double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    views = [define_feature_view(n, src.withColumnRenamed("x", n + "_x"), ["k"], [(n + "_x", "float64")], "ts", None, ttl)
+             for n, ttl in (("short", 86_400), ("long", 10 * 86_400), ("open", None))]
+    return ent, views
+
+
+def test_service_of_views_with_equal_keys_equals_single_joins(spark):
+    ent, views = _service_frames(spark)
+    got = get_historical_features(ent, [(v, None) for v in views], "at")
+    want = ent
+    for v in views:
+        want = point_in_time_join(want, v, "at")
+    assert got.columns == want.columns == ["k", "at", "tag", "short_x", "long_x", "open_x"]
+    assert rows(got, ["k", "tag", "short_x", "long_x", "open_x"]) == sorted([
+        (1, "a", None, 14.0, 14.0), (1, "a", None, 14.0, 14.0), (2, "b", None, None, None),
+        (None, "c", None, None, None), (1, "d", None, None, None), (3, "e", None, None, 33.0)], key=repr)
+    assert rows(got) == rows(want)
+
+
+def test_service_shuffles_entity_rows_once(spark):
+    ent, views = _service_frames(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = get_historical_features(ent, [(v, None) for v in views[:2]], "at")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "isnotnull(k#" in plan and "Union" in plan          # rows without a key go round the window

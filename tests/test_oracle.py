@@ -13,7 +13,7 @@ import pytest
 import __spark_entry__ as E
 from tierline.plans import all_oracles, all_queries
 from tierline.sources.tables import TABLES
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 ORACLES = all_oracles()
 ALL = all_queries()

@@ -7,7 +7,7 @@ import pytest
 from tierline.operators.sinks import materialize, touched_rows
 from tierline.plans import all_queries
 from tierline.session import scratch_path
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 ALL = all_queries()
 
@@ -96,7 +96,11 @@ def test_merge_prunes_partitions_of_an_unfiltered_batch(spark):
     table = "gold.t_prune"
     materialize(spark, old, table, "incremental", "merge", ["p", "id"], partition_by=["p"], root=scratch_path(spark, "g"))
     batch = spark.createDataFrame([(100, 2), (101, 3)], "id long, p int")
-    plan = touched_rows(spark.table(table), batch, ["p"])._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = touched_rows(spark.table(table), batch, ["p"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     filters = plan[plan.index("PartitionFilters: ["):]
     assert re.match(r"PartitionFilters: \[isnotnull\(p#\d+\), \(p#\d+ >= [Ss]ubquery .*\(p#\d+ <= [Ss]ubquery ", filters)
 

@@ -1,11 +1,14 @@
 """Keyed merge / delete+insert / append materializations and table writes."""
 
+import datetime as dt
+import decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from tierline.operators.sinks import _anti, materialize, materialize_newest, write_table
 from tierline.session import scratch_path
-from conftest import rows
+from helpers import rows
 
 
 def _df(spark, data):
@@ -178,3 +181,81 @@ def test_silver_job_counts_and_leaves_no_views(spark):
                    "silver.t_job", location=scratch_path(spark, "job") + "/t")
     assert m == {"rows_in": 3, "rows_out": 2} and rows(spark.table("silver.t_job")) == [(2, "B"), (3, "C")]
     assert not any(t.name in ("source_data", "step_0") for t in spark.catalog.listTables())
+
+
+VALUES = ["new york", "rome", "a/b", "x=y", "50%", "50%20", "o'hare", "Zürich", "tab\there", "back\\slash", None]
+
+
+def _partitioned(spark, name, value_type="string", values=VALUES):
+    table = f"gold.{name}"
+    old = spark.createDataFrame([(i, v, "old") for i, v in enumerate(values)], f"id long, p {value_type}, v string")
+    materialize(spark, old, table, "table", partition_by=["p"], root=scratch_path(spark, "g"))
+    return table, old
+
+
+def test_special_partition_values_survive_refresh_and_replace(spark):
+    table, old = _partitioned(spark, "t_special")
+    want = rows(old.select("id", "p"))
+    assert rows(spark.table(table).select("id", "p")) == want
+    materialize(spark, old.withColumn("v", F.lit("new")), table, "table")
+    assert rows(spark.table(table).select("id", "p")) == want
+    assert {r["v"] for r in spark.table(table).collect()} == {"new"}
+    write_table(spark, old.filter("id <> 0"), table, "replace")
+    assert rows(spark.table(table).select("id", "p")) == [x for x in want if x[0] != 0]
+
+
+@pytest.mark.parametrize("keys", [["p", "id"], ["id"]])
+def test_special_partition_values_survive_merges(spark, keys):
+    table, old = _partitioned(spark, f"t_special_merge_{len(keys)}", values=VALUES[:-1])
+    batch = spark.createDataFrame([(0, "new york", "new"), (5, "50%20", "new"), (100, "a/b", "new")], "id long, p string, v string")
+    materialize(spark, batch, table, "incremental", "merge", keys)
+    want = {r["id"]: (r["p"], r["v"]) for r in old.collect()} | {0: ("new york", "new"), 5: ("50%20", "new"), 100: ("a/b", "new")}
+    assert {r["id"]: (r["p"], r["v"]) for r in spark.table(table).collect()} == want
+    assert spark.table(table).count() == len(want)
+
+
+@pytest.mark.parametrize("kind,values", [
+    ("date", [dt.date(2024, 1, 1), dt.date(2024, 12, 31)]),
+    ("timestamp_ntz", [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 10, 30, 0, 500000)]),
+    ("decimal(10,2)", [decimal.Decimal("1.50"), decimal.Decimal("-2.00")]),
+    ("boolean", [True, False]), ("double", [0.1, -3.0])])
+def test_typed_partition_values_survive(spark, kind, values):
+    table, old = _partitioned(spark, "t_typed_" + kind[:4], kind, values)
+    materialize(spark, old, table, "table")
+    materialize(spark, old.filter("id = 1").withColumn("v", F.lit("new")), table, "incremental", "merge", ["p", "id"])
+    assert rows(spark.table(table).select("id", "p", "v")) == sorted(
+        [(0, values[0], "old"), (1, values[1], "new")], key=repr)
+
+
+def test_empty_batches_and_refreshes_of_partitioned_tables(spark):
+    table, old = _partitioned(spark, "t_empty_batch")
+    for strategy in ("merge", "delete_insert", "append"):
+        materialize(spark, old.limit(0), table, "incremental", strategy, ["p", "id"])
+        assert spark.table(table).count() == len(VALUES)
+    materialize(spark, old.limit(0), table, "table")
+    assert spark.table(table).count() == 0
+    materialize(spark, old, table, "incremental", "merge", ["p", "id"])
+    assert spark.table(table).count() == len(VALUES)
+
+
+@pytest.mark.parametrize("parts", [None, ["p"]])
+def test_refresh_takes_the_columns_of_its_query(spark, parts):
+    table = f"gold.t_columns_{bool(parts)}"
+    old = spark.createDataFrame([(1, "a b"), (2, "c")], "id int, p string")
+    materialize(spark, old, table, "table", partition_by=parts, root=scratch_path(spark, "g"))
+    new = old.selectExpr("CAST(id AS BIGINT) AS id", "id * 2 AS extra", "p", "named_struct('x y', id) AS s")
+    materialize(spark, new, table, "table")
+    got = spark.table(table)
+    assert set(got.columns) == {"id", "extra", "p", "s"} and dict(got.dtypes)["id"] == "bigint"
+    assert rows(got.select("id", "extra", "p", "s.`x y`")) == [(1, 2, "a b", 1), (2, 4, "c", 2)]
+    if parts:
+        with pytest.raises(ValueError):
+            materialize(spark, new.drop("p"), table, "table")
+
+
+def test_view_given_by_sql_lives_in_the_catalog(spark):
+    materialize(spark, _df(spark, [(1, "a"), (2, "b")]), "gold.t_view_base", "table", root=scratch_path(spark, "g"))
+    got = materialize(spark, None, "gold.v_real", "view", view_sql="SELECT k FROM gold.t_view_base WHERE k > 1")
+    assert rows(got) == [(2,)]
+    assert [t.tableType for t in spark.catalog.listTables("gold") if t.name == "v_real"] == ["VIEW"]
+    assert rows(spark.newSession().table("gold.v_real")) == [(2,)]

@@ -9,7 +9,7 @@ from tierline.operators.clean import (
 )
 from tierline.session import scratch_path
 from tierline.sources.files import normalize_path, path_sql, read_sources, table_name_for
-from conftest import rows
+from helpers import rows
 
 
 def test_normalize_path():

@@ -100,108 +100,122 @@ def _out_names(view: FeatureView, names: Sequence[str], full: bool) -> list[str]
     return [f"{view.name}__{n}" if full else n for n in names]
 
 
+def _chosen(view: FeatureView, features: Sequence[str] | None) -> list[str]:
+    names = list(features) if features is not None else view.feature_names
+    unknown = [n for n in names if n not in view.feature_names]
+    if unknown:
+        raise ValueError(f"{view.name} has no features {unknown}")
+    return names
+
+
 def point_in_time_join(entity_df: DataFrame, view: FeatureView, entity_ts: str,
                        features: Sequence[str] | None = None,
                        full_feature_names: bool = False,
                        bucket_us: int = DAY_US, copy_factor: int = 4) -> DataFrame:
-    """As-of (backward) join of one feature view onto entity rows.
-
-    Plan: entity and feature rows are unioned and partitioned by
-    (key, time bucket); inside a bucket a running ``last(..., ignoreNulls)``
-    over (time, feature-before-entity, created, values) gives every entity
-    row the newest feature row at or before it.  With a TTL the buckets are
-    at least TTL wide and feature rows in the last TTL of a bucket are also
-    placed in the next one, so this single shuffle is exact.  Without a TTL,
-    entity rows whose bucket has no earlier row take the newest row of an
-    earlier bucket of the same key from a per-(key, bucket) summary.  No row
-    pairs are formed and a hot key is spread over its time buckets.
+    """As-of (backward) join of one feature view onto entity rows."""
+    return get_historical_features(entity_df, [(view, features)], entity_ts, full_feature_names, bucket_us, copy_factor)
+
+
+def get_historical_features(entity_df: DataFrame,
+                            refs: Sequence[tuple[FeatureView, Sequence[str] | None]],
+                            entity_ts: str, full_feature_names: bool = False,
+                            bucket_us: int = DAY_US, copy_factor: int = 4) -> DataFrame:
+    """Feature service: the point-in-time values of several views on entity rows.
+
+    Views with the same keys are joined in one pass, so the entity rows cross the
+    network once per distinct set of keys, however many views there are."""
+    groups: dict[tuple, list] = {}
+    columns, taken = [], set(entity_df.columns)
+    for view, feats in refs:
+        names = _chosen(view, feats)
+        outs = _out_names(view, names, full_feature_names)
+        clash = [o for o in outs if o in taken]
+        if clash:
+            raise ValueError(f"feature names clash with entity columns {clash}; use full_feature_names=True")
+        taken.update(outs)
+        columns += outs
+        groups.setdefault(view.entities, []).append((view, names, outs))
+    out = entity_df
+    for keys, views in groups.items():
+        out = _as_of(out, list(keys), views, entity_ts, bucket_us, copy_factor)
+    return out.select(*entity_df.columns, *columns)
+
+
+def _as_of(entity_df: DataFrame, keys: list[str], views: list[tuple[FeatureView, list[str], list[str]]],
+           entity_ts: str, bucket_us: int, copy_factor: int) -> DataFrame:
+    """Entity rows with the values of some views of equal keys.
+
+    Entity rows and the feature rows of all views, each view's in a column of its own,
+    are unioned and partitioned by (key, time bucket); inside a bucket a running
+    ``last(..., ignoreNulls)`` per view over (time, feature-before-entity, created,
+    values) gives every entity row the newest feature row at or before it.  Buckets are
+    several times as wide as the longest TTL, and feature rows in the last TTL of a
+    bucket are also placed in the next one, so this single shuffle is exact.  For views
+    without a TTL, entity rows whose bucket has no earlier row take the newest row of an
+    earlier bucket of the same key from a per-(key, bucket) summary.  No row pairs are
+    formed and a hot key is spread over its time buckets.  Entity rows with a NULL key
+    or time match nothing and go round the window.
     """
-    keys = list(view.entities)
-    names = list(features) if features is not None else view.feature_names
-    unknown = [n for n in names if n not in view.feature_names]
-    if unknown:
-        raise ValueError(f"{view.name} has no features {unknown}")
-    outs = _out_names(view, names, full_feature_names)
-    clash = [o for o in outs if o in entity_df.columns]
-    if clash:
-        raise ValueError(f"feature names clash with entity columns {clash}; "
-                         "use full_feature_names=True")
     missing = [k for k in keys if k not in entity_df.columns]
     if missing:
         raise ValueError(f"entity frame lacks key columns {missing}")
-
-    fv = view.frame()
+    ecols = entity_df.columns
     key_ok = F.lit(True)
     for k in keys:
         key_ok = key_ok & F.col(k).isNotNull()
-    created = (epoch_us(view.created_timestamp_column) if view.created_timestamp_column
-               else F.lit(0).cast("bigint"))
-    ecols = entity_df.columns
-    feat_rows = (fv.filter(key_ok & F.col(view.timestamp_field).isNotNull())
-                   .select(*[F.col(k) for k in keys],
-                           epoch_us(view.timestamp_field).alias("_t"),
-                           F.lit(0).alias("_kind"),
-                           F.struct(epoch_us(view.timestamp_field).alias("t"),
-                                    created.alias("c"),
-                                    F.struct(*[F.col(n) for n in names]).alias("v")).alias("_f")))
-    ent_rows = entity_df.select(*[F.col(k) for k in keys],
-                                epoch_us(entity_ts).alias("_t"),
-                                F.lit(1).alias("_kind"),
-                                F.struct(*[F.col(c) for c in ecols]).alias("_e"))
-    ttl_us = int(view.ttl_seconds) * 1_000_000 if view.ttl_seconds is not None else None
+    ttl = [int(v.ttl_seconds) * 1_000_000 if v.ttl_seconds is not None else None for v, _, _ in views]
     # buckets >= copy_factor * ttl wide: at most 1/copy_factor of the feature
     # rows are copied into the following bucket
-    width = max(bucket_us, copy_factor * ttl_us) if ttl_us is not None else bucket_us
+    width = max([bucket_us, *(copy_factor * x for x in ttl if x is not None)])
     bucket = F.floor(F.col("_t") / F.lit(width)).cast("bigint")
-    feat_b = feat_rows.withColumn("_b", bucket)
-    if ttl_us is not None:
-        # A match must lie within ttl <= width of the entity time, so only the
-        # last ttl of the previous bucket can matter: copy those rows forward.
-        edge = F.col("_t") >= (F.col("_b") + 1) * F.lit(width) - F.lit(ttl_us)
-        feat_b = feat_b.withColumn("_b", F.explode(F.when(edge, F.array(F.col("_b"), F.col("_b") + 1))
+    marks = [f"_f{i}" for i in range(len(views))]
+    usable = key_ok & F.col(entity_ts).isNotNull()
+    ent = entity_df.filter(usable).select(*keys, epoch_us(entity_ts).alias("_t"), F.lit(1).alias("_kind"),
+                                          F.struct(*ecols).alias("_e")).withColumn("_b", bucket)
+    rows, open_rows = ent, None
+    for i, (view, names, _) in enumerate(views):
+        created = epoch_us(view.created_timestamp_column) if view.created_timestamp_column else F.lit(0).cast("bigint")
+        t = epoch_us(view.timestamp_field)
+        feat = view.frame().filter(key_ok & F.col(view.timestamp_field).isNotNull()).select(
+            *keys, t.alias("_t"), F.lit(0).alias("_kind"),
+            F.struct(t.alias("t"), created.alias("c"), F.struct(*names).alias("v")).alias(marks[i])).withColumn("_b", bucket)
+        if ttl[i] is None:
+            open_rows = feat.drop("_kind", "_t") if open_rows is None else \
+                open_rows.unionByName(feat.drop("_kind", "_t"), allowMissingColumns=True)
+        else:
+            # a match lies within ttl <= width of the entity time, so only the last ttl
+            # of the previous bucket can matter: those rows are copied forward
+            edge = F.col("_t") >= (F.col("_b") + 1) * F.lit(width) - F.lit(ttl[i])
+            feat = feat.withColumn("_b", F.explode(F.when(edge, F.array(F.col("_b"), F.col("_b") + 1))
                                                    .otherwise(F.array(F.col("_b")))))
-    ent_b = ent_rows.withColumn("_b", bucket)
-    u = (feat_b.withColumn("_e", F.lit(None).cast(ent_rows.schema["_e"].dataType))
-               .unionByName(ent_b.withColumn("_f", F.lit(None).cast(feat_rows.schema["_f"].dataType))))
-
-    w_in = (Window.partitionBy(*keys, "_b").orderBy("_t", "_kind", "_f")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = (u.withColumn("_m", F.last("_f", ignorenulls=True).over(w_in))
-              .filter(F.col("_kind") == 1))
-
-    if ttl_us is None:
-        # No expiry: an entity whose bucket has no earlier feature row takes
-        # the newest row of any earlier bucket of its key, computed on a
-        # per-(key, bucket) summary (one row per bucket).
-        per_bucket = (feat_b.groupBy(*keys, "_b").agg(F.max("_f").alias("_best"))
-                      .withColumn("_kind", F.lit(1)))
-        ent_buckets = (ent_b.filter(F.col("_t").isNotNull()).select(*keys, "_b").distinct()
-                       .withColumn("_best", F.lit(None).cast(per_bucket.schema["_best"].dataType))
-                       .withColumn("_kind", F.lit(0)))
-        w_carry = (Window.partitionBy(*keys).orderBy("_b", "_kind")
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        carry = (ent_buckets.unionByName(per_bucket)
-                 .withColumn("_carry", F.last("_best", ignorenulls=True).over(w_carry))
-                 .filter(F.col("_kind") == 0)
-                 .select(*keys, "_b", "_carry"))
+        rows = rows.unionByName(feat, allowMissingColumns=True)
+
+    running = Window.partitionBy(*keys, "_b").orderBy("_t", "_kind", *marks) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.select("*", *[F.last(f, ignorenulls=True).over(running).alias(f"_m{f}") for f in marks]) \
+        .filter(F.col("_kind") == 1)
+
+    without = [f for f, x in zip(marks, ttl) if x is None]
+    if without:
+        # the newest row of any earlier bucket of the key, from one row per (key, bucket)
+        per_bucket = open_rows.groupBy(*keys, "_b").agg(*[F.max(f).alias(f) for f in without]).withColumn("_kind", F.lit(1))
+        ent_buckets = ent.select(*keys, "_b").distinct().withColumn("_kind", F.lit(0))
+        w_carry = Window.partitionBy(*keys).orderBy("_b", "_kind") \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        carry = ent_buckets.unionByName(per_bucket, allowMissingColumns=True) \
+            .select(*keys, "_b", "_kind", *[F.last(f, ignorenulls=True).over(w_carry).alias(f"_c{f}") for f in without]) \
+            .filter(F.col("_kind") == 0).drop("_kind")
         found = found.join(carry, keys + ["_b"], "left")
-        m = F.coalesce(F.col("_m"), F.col("_carry"))
-    else:
-        m = F.when(F.col("_m.t") >= F.col("_t") - F.lit(ttl_us), F.col("_m"))
-    found = found.withColumn("_match", m)
-    return found.select(*[F.col(f"_e.{c}").alias(c) for c in ecols],
-                        *[F.col(f"_match.v.{n}").alias(o) for n, o in zip(names, outs)])
-
-
-def get_historical_features(entity_df: DataFrame,
-                            refs: Sequence[tuple[FeatureView, Sequence[str] | None]],
-                            entity_ts: str, full_feature_names: bool = False,
-                            bucket_us: int = DAY_US) -> DataFrame:
-    """Feature service: chain one point-in-time join per view."""
-    out = entity_df
-    for view, feats in refs:
-        out = point_in_time_join(out, view, entity_ts, feats, full_feature_names, bucket_us)
-    return out
+    values = []
+    for f, x, (_, names, outs) in zip(marks, ttl, views):
+        m = F.coalesce(F.col(f"_m{f}"), F.col(f"_c{f}")) if x is None else \
+            F.when(F.col(f"_m{f}.t") >= F.col("_t") - F.lit(x), F.col(f"_m{f}"))
+        values += [m.getField("v").getField(n).alias(o) for n, o in zip(names, outs)]
+    matched = found.select(*[F.col("_e").getField(c).alias(c) for c in ecols], *values)
+    fields = {f.name: f.dataType for f in matched.schema.fields}
+    unmatched = entity_df.filter(~usable).select(*ecols, *[F.lit(None).cast(fields[o]).alias(o)
+                                                           for _, _, outs in views for o in outs])
+    return matched.unionByName(unmatched)
 
 
 def resolve_refs(views: dict[str, FeatureView], refs: Sequence[str]):

@@ -17,6 +17,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
@@ -122,64 +123,97 @@ def _point_partitions(spark: SparkSession, table: str, located: Sequence[tuple[s
     """Register partitions (spec, directory), many per statement."""
     _drop_partitions(spark, table, [spec for spec, _ in located])
     for at in range(0, len(located), _DDL_PARTITIONS):
-        part = " ".join(f"PARTITION ({spec}) LOCATION '{loc}'" for spec, loc in located[at:at + _DDL_PARTITIONS])
+        part = " ".join(f"PARTITION ({spec}) LOCATION {_text_literal(loc)}" for spec, loc in located[at:at + _DDL_PARTITIONS])
         spark.sql(f"ALTER TABLE {table} ADD {part}")
 
 
-def _partition_dirs(spark: SparkSession, path: str, parts: Sequence[str]) -> list[tuple[str, str]]:
-    """(spec, directory) of every partition written below ``path``: one row per
-    partition, which is what the catalog holds, too."""
-    rows = (spark.read.parquet(path)
-            .select(*parts, F.col("_metadata.file_path").alias("_f"))
-            .groupBy(*parts).agg(F.first("_f").alias("_f")).collect())
-    return [(_spec(r, parts), r["_f"].rsplit("/", 1)[0]) for r in rows]
+def _partition_dirs(files: DataFrame, parts: Sequence[str]) -> list[tuple[str, str]]:
+    """(spec, directory) of every partition that ``files``, a scan of Parquet, reads:
+    one row per partition, which is what the catalog holds, too.
 
+    ``_metadata.file_path`` is a URI; decoded once it is the directory's own name, in
+    which values stand escaped.  Specs take the values from there, spelled as Spark
+    spells them (an empty string, like NULL, is the default partition)."""
+    uris = files.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("d")).distinct()
+    return [(_spec_of(d, parts), d) for d in (unquote(r["d"]) for r in uris.collect())]
 
-def _known_specs(spark: SparkSession, table: str) -> list[str]:
-    """Specs of the partitions that the catalog knows (also of empty ones)."""
-    specs = []
-    for r in spark.sql(f"SHOW PARTITIONS {table}").collect():
-        pairs = [p.partition("=") for p in r["partition"].split("/")]
-        specs.append(", ".join(
-            f"`{k}`=" + ("null" if v == "__HIVE_DEFAULT_PARTITION__" else _spec_literal(unquote(v)))
-            for k, _, v in pairs))
-    return specs
+
+def _spec_of(directory: str, parts: Sequence[str]) -> str:
+    """The partition spec that a ``.../a=1/b=x`` directory (or its end) stands for."""
+    pairs = [p.partition("=") for p in directory.rsplit("/", len(parts))[-len(parts):]]
+    return ", ".join(f"`{c}`=" + ("null" if v == "__HIVE_DEFAULT_PARTITION__" else _text_literal(unquote(v)))
+                     for c, (_, _, v) in zip(parts, pairs))
 
 
-def _spec(row, parts: Sequence[str]) -> str:
-    return ", ".join(f"`{c}`={_spec_literal(row[c])}" for c in parts)
+def _text_literal(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _known_specs(spark: SparkSession, table: str) -> list[str]:
+    """Specs of the partitions that the catalog knows (also of empty ones)."""
+    parts = partition_columns(spark, table)
+    return [_spec_of(r["partition"], parts) for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
 
 
 def swap_in_version(spark: SparkSession, df: DataFrame, table: str) -> None:
     """Write ``df`` as a complete new version and point ``table`` at it; of a
     partitioned table, partitions that are no more are dropped and all others
-    point into the new version."""
+    point into the new version.  If ``df`` has other columns or types, the table takes
+    them: it is made anew over the new version, with the same partition columns."""
     parts = partition_columns(spark, table)
-    cols = spark.table(table).columns
+    old = spark.table(table).schema
     base = _table_location(spark, table).rstrip("/")
     new_loc = f"{base.rsplit('/', 1)[0]}/v-{uuid.uuid4().hex[:12]}"
-    write_parquet(df.select(*cols), new_loc, "overwrite", parts)
-    if parts:
-        known = _known_specs(spark, table)
-        fresh = _partition_dirs(spark, new_loc, parts)
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{new_loc}'")
-        _drop_partitions(spark, table, known)
-        _point_partitions(spark, table, fresh)
+    if gone := [c for c in parts if c not in df.columns]:
+        raise ValueError(f"{table} is partitioned by {gone}, which the new rows lack")
+    kinds = {f.name: _ddl_type(f.dataType) for f in df.schema.fields}
+    if kinds != {f.name: _ddl_type(f.dataType) for f in old.fields}:
+        write_parquet(df, new_loc, "overwrite", parts)
+        spark.sql(f"DROP TABLE {table}")               # external: its files stay
+        _create_over(spark, df, table, new_loc, parts)
     else:
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{new_loc}'")
+        write_parquet(df.select(*old.names), new_loc, "overwrite", parts)
+        if parts:
+            known = _known_specs(spark, table)
+            fresh = _partition_dirs(spark.read.schema(old).parquet(new_loc), parts)
+            spark.sql(f"ALTER TABLE {table} SET LOCATION {_text_literal(new_loc)}")
+            _drop_partitions(spark, table, known)
+            _point_partitions(spark, table, fresh)
+        else:
+            spark.sql(f"ALTER TABLE {table} SET LOCATION {_text_literal(new_loc)}")
     spark.catalog.refreshTable(table)
 
 
+def _ddl_type(t) -> str:
+    """A type's DDL with quoted names, nullable throughout."""
+    if isinstance(t, StructType):
+        return "struct<" + ", ".join(f"{_quoted(f.name)}: {_ddl_type(f.dataType)}" for f in t.fields) + ">"
+    if isinstance(t, ArrayType):
+        return f"array<{_ddl_type(t.elementType)}>"
+    if isinstance(t, MapType):
+        return f"map<{_ddl_type(t.keyType)}, {_ddl_type(t.valueType)}>"
+    return t.simpleString()
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _create_over(spark: SparkSession, df: DataFrame, table: str, loc: str, parts: Sequence[str] | None) -> None:
+    """A table of ``df``'s columns over the files at ``loc``."""
+    pcl = f" PARTITIONED BY ({', '.join(map(_quoted, parts))})" if parts else ""
+    cols = ", ".join(f"{_quoted(f.name)} {_ddl_type(f.dataType)}" for f in df.schema.fields)
+    spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet{pcl} LOCATION {_text_literal(loc)}")
+    if parts:
+        _point_partitions(spark, table, _partition_dirs(spark.read.schema(df.schema).parquet(loc), parts))
+
+
 def create_table_version(spark: SparkSession, df: DataFrame, table: str, root: str,
                            partition_by: Sequence[str] | None = None) -> None:
     ensure_namespace(spark, table, root)
     loc = f"{root.rstrip('/')}/{table.replace('.', '/')}/v-{uuid.uuid4().hex[:12]}"
     write_parquet(df, loc, "overwrite", partition_by)
-    pcl = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet{pcl} LOCATION '{loc}'")
-    if partition_by:
-        spark.sql(f"MSCK REPAIR TABLE {table}")
+    _create_over(spark, df, table, loc, partition_by)
 
 
 def check_unique_keys(df: DataFrame, keys: Sequence[str]) -> None:
@@ -206,16 +240,22 @@ STRATEGIES = {"append", "merge", "delete_insert", "delete+insert"}
 def materialize(spark: SparkSession, df: DataFrame, table: str, kind: str = "table",
                 strategy: str = "append", unique_key: Sequence[str] | None = None,
                 partition_by: Sequence[str] | None = None,
-                root: str | None = None) -> DataFrame:
+                root: str | None = None, view_sql: str | None = None) -> DataFrame:
     """Materialize a gold model: ``table`` | ``view`` | ``incremental``.
 
     incremental strategies: ``append``; ``merge`` on ``unique_key`` (source
     keys must be unique); ``delete_insert`` / ``delete+insert`` (source
     duplicates kept).  The first run creates the table below ``root`` (the
     gold layer's own folder, required then).  Later runs keep the table's
-    partition columns, read from the catalog.
+    partition columns, read from the catalog; a batch without rows changes nothing.
+    A ``view`` given by its SQL (``view_sql``, over catalog tables or paths) is a view of
+    the catalog; one given only as a DataFrame can live in the session alone.
     Returns the materialized relation read back from the catalog.
     """
+    if kind == "view" and view_sql:
+        ensure_namespace(spark, table, root)
+        spark.sql(f"CREATE OR REPLACE VIEW {table} AS {view_sql}")
+        return spark.table(table)
     if kind == "view":
         df.createOrReplaceTempView(table.replace(".", "_"))
         return spark.table(table.replace(".", "_"))
@@ -284,16 +324,6 @@ def observed_write(spark: SparkSession, read, transform, path: str, mode: str =
     return {"rows_in": o_in.get["rows_in"], "rows_out": o_out.get["rows_out"]}
 
 
-def _spec_literal(v) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, (int, float)):
-        return repr(v)
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def merge_touched_partitions(spark: SparkSession, df: DataFrame, table: str,
                              keys: Sequence[str], partition_by: Sequence[str]) -> bool:
     """Keyed merge that rewrites only the partitions the batch touches.
@@ -324,22 +354,22 @@ def replace_partitions(spark: SparkSession, df: DataFrame, table: str, partition
     base = _table_location(spark, table).rstrip("/")
     stage = f"{base.rsplit('/', 1)[0]}/v-{uuid.uuid4().hex[:12]}"
     write_parquet(df.select(*spark.table(table).columns), stage, "overwrite", partition_by)
-    fresh = _partition_dirs(spark, stage, partition_by)
-    old = []
-    if remove_old:
-        renewed = {spec for spec, _ in fresh}
-        old = [d for spec, d in _live_dirs(spark, table, partition_by) if spec in renewed]
+    staged = spark.read.schema(spark.table(table).schema).parquet(stage)
+    fresh = _partition_dirs(staged, partition_by)
+    # of the table only the touched partitions' files are listed
+    old = _partition_dirs(_touched_files(spark.table(table), staged, partition_by), partition_by) if remove_old and fresh else []
     _point_partitions(spark, table, fresh)
     spark.catalog.refreshTable(table)
-    for d in old:
+    for _, d in old:
         path = spark._jvm.org.apache.hadoop.fs.Path(d)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _live_dirs(spark: SparkSession, table: str, parts: Sequence[str]) -> list[tuple[str, str]]:
-    rows = (spark.table(table).select(*parts, F.col("_metadata.file_path").alias("_f"))
-            .groupBy(*parts).agg(F.first("_f").alias("_f")).collect())
-    return [(_spec(r, parts), r["_f"].rsplit("/", 1)[0]) for r in rows]
+def _touched_files(current: DataFrame, batch: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of ``current`` in the partitions of ``batch`` with their file's path."""
+    named = current.select(*partition_by, F.col("_metadata.file_path").alias("path"))
+    touched = touched_rows(named, batch, partition_by)
+    return touched.select(F.struct(F.col("path").alias("file_path")).alias("_metadata"))
 
 
 def touched_rows(current: DataFrame, batch: DataFrame, partition_by: Sequence[str]) -> DataFrame:

@@ -18,6 +18,8 @@ def catalog_profile(spark: SparkSession, namespace: str) -> DataFrame:
     distributed count per table, all in a single job."""
     meta, counts = [], []
     for entry in spark.catalog.listTables(namespace):
+        if entry.isTemporary:              # the session's, not the namespace's
+            continue
         name = f"{namespace}.{entry.name}"
         described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
         cols = spark.catalog.listColumns(name)
