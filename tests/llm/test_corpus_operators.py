@@ -18,7 +18,7 @@ from tierline.llm.frames import word_count
 from tierline.llm.shingles import shingle_sets
 from tierline.session import scratch_path
 
-from conftest import SF_SMALL
+from llm_helpers import SF_SMALL
 
 
 class Union:

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tierline.llm.queries import ORACLES, QUERIES
 from tierline.sources.tables import TABLES
 
-from conftest import SF_SMALL
+from llm_helpers import SF_SMALL
 
 
 def _norm(v):
@@ -32,5 +32,5 @@ def test_matches_sql(spark, key):
 
 def test_registered_with_the_entry_module():
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {k[:k.index("_") + 1] for k in names if k.startswith("op") and k[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {k[:k.index("_") + 1] for k in names if k.startswith("op") and k[2].isdigit()}
     assert "pipeline" in names and set(ORACLES) <= set(entry.oracle_sql())

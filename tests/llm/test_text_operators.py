@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tierline.llm import bpe_queue, chat_events, credential_links as cl, html_density, lang_unigram
 
-from conftest import SF_SMALL
+from llm_helpers import SF_SMALL
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
