@@ -1,6 +1,7 @@
 """Bucketed rolling windows, distributed ranks, kNN, splits, regressions."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tierline.functions import epoch_us
+from tierline.operators.gold import price_elasticity
 from tierline.operators.models import (
     auc, feature_importances, fit_model, knn_exact, outlier_scores, per_group_least_squares, predict,
     regression_metrics, save_model, scaled_vectors, score_saved_model, stratified_split, train_test_split,
@@ -303,3 +305,39 @@ def test_rolling_distinct_count_equals_brute_force(spark):
             near = {v for _, k2, t2, v in data if k2 == k and v is not None and (
                 t2 is None if ts is None else t2 is not None and ts - length <= t2 <= ts)}
             assert got[i] == len(near), (i, minutes)
+
+
+def test_knn_leaves_out_vectors_that_are_no_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, [None, 1.0]), (6, None)],
+                                  "i long, v array<double>")
+    got = knn_exact(items, "i", "v", k=3)
+    assert sorted((r["query_id"], r["neighbor_id"]) for r in got.collect()) == [(1, 2), (2, 1)]
+    with pytest.raises(ValueError):
+        knn_exact(items.unionByName(spark.createDataFrame([(7, [1.0])], "i long, v array<double>")), "i", "v")
+
+
+def test_elasticity_shrinks_noisy_groups_to_their_category(spark):
+    r = random.Random(4)
+    rows, kinds = [], []
+    for g in range(30):
+        n = 200 if g < 20 else 4
+        true = -1.0 - 0.05 * (g % 5)
+        kinds.append((g, "x"))
+        for _ in range(n):
+            p = math.exp(r.uniform(0, 1))
+            rows.append((g, p, math.exp(true * math.log(p) + r.gauss(0, 0.3))))
+    rows += [(30, 2.0, 5.0)] * 5 + [(31, 0.0, 1.0), (31, None, 2.0), (32, 1.0, 1.0)]
+    kinds += [(30, "x"), (31, None), (32, "y")]
+    got = {x["g"]: x for x in price_elasticity(
+        spark.createDataFrame(rows, "g long, p double, q double"), "g", "p", "q",
+        spark.createDataFrame(kinds, "g long, c string"), "c").collect()}
+    mean = got[0]["category_mean"]
+    assert -1.3 < mean < -0.9
+    for g in range(30):
+        x = got[g]
+        assert 0 <= x["weight"] <= 1 and min(x["slope"], mean) - 1e-9 <= x["elasticity"] <= max(x["slope"], mean) + 1e-9
+    assert max(got[g]["weight"] for g in range(20, 30)) < min(got[g]["weight"] for g in range(20)) + 0.5
+    assert sum(abs(got[g]["elasticity"] + 1.1) for g in range(20, 30)) < sum(abs(got[g]["slope"] + 1.1) for g in range(20, 30))
+    assert got[30]["elasticity"] == mean and got[30]["weight"] == 0
+    assert got[31]["elasticity"] is None and got[32]["elasticity"] is None and got[31]["n_sales"] == 0

@@ -103,3 +103,44 @@ def operator_profile(work_orders: DataFrame, as_of: str, min_orders: int = 5) ->
                         .alias("quality_score"),
                        F.when((uph > 75) & (rate > 0.9), 1).otherwise(0).alias("is_high_performer"),
                        F.lit(as_of).cast("timestamp_ntz").alias("feature_timestamp")))
+
+
+def price_elasticity(sales: DataFrame, group: str, price: str, quantity: str,
+                     categories: DataFrame, category: str) -> DataFrame:
+    """Price elasticity per group, shrunk to its category.
+
+    The elasticity of a group is the slope of ln(quantity) on ln(price) over its sales of
+    positive price and quantity, with the variance v of that estimate.  Groups of a
+    category scatter around the precision-weighted mean by more than v alone explains;
+    that excess (the method of moments, 0 at least) is the category's variance t, and a
+    group's elasticity becomes mean + t / (t + v) * (slope - mean): a group with few or
+    noisy sales moves to its category, a well-measured one keeps its own slope.
+
+    Sales are reduced to five sums per group with map-side combine before anything is
+    joined; ``categories`` maps ``group`` to ``category``, one row each.  Groups of fewer
+    than three sales, of one price only, or without residual variance have no estimate of
+    their own: ``slope`` as far as it exists, and the category's mean as ``elasticity``
+    (NULL where the category has none).  Columns: group, category, n_sales, slope,
+    category_mean, weight, elasticity."""
+    x = F.when((F.col(price) > 0) & (F.col(quantity) > 0), F.ln(F.col(price)))
+    y = F.when((F.col(price) > 0) & (F.col(quantity) > 0), F.ln(F.col(quantity)))
+    fits = sales.select(F.col(group), x.alias("_x"), y.alias("_y")).groupBy(group).agg(
+        F.regr_count("_y", "_x").alias("n_sales"), F.regr_slope("_y", "_x").alias("slope"),
+        F.regr_sxx("_y", "_x").alias("_sxx"), F.regr_syy("_y", "_x").alias("_syy"))
+    rest = F.col("_syy") - F.col("slope") * F.col("slope") * F.col("_sxx")
+    variance = F.when((F.col("n_sales") > 2) & (F.col("_sxx") > 1e-12) & (rest > 1e-12),
+                      rest / (F.col("n_sales") - 2) / F.col("_sxx"))
+    fits = fits.join(categories.select(group, category), group).withColumn("_v", variance)
+    told = fits.filter("_v IS NOT NULL").withColumn("_w", 1 / F.col("_v"))
+    means = told.groupBy(F.col(category).alias("_c")).agg(
+        (F.sum(F.col("_w") * F.col("slope")) / F.sum("_w")).alias("category_mean"), F.count("*").alias("_k"),
+        F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_w")).alias("_sw2"))
+    spread = told.join(means, told[category].eqNullSafe(means["_c"])).groupBy("_c", "category_mean", "_k", "_sw", "_sw2").agg(
+        F.sum(F.col("_w") * F.pow(F.col("slope") - F.col("category_mean"), 2)).alias("_q"))
+    excess = (F.col("_q") - (F.col("_k") - 1)) / F.nullif(F.col("_sw") - F.col("_sw2") / F.col("_sw"), F.lit(0.0))
+    spread = spread.select("_c", "category_mean", F.when(F.col("_k") > 1, F.greatest(excess, F.lit(0.0))).otherwise(0.0).alias("_t"))
+    weight = F.coalesce(F.col("_t") / (F.col("_t") + F.col("_v")), F.lit(0.0))
+    return fits.join(spread, fits[category].eqNullSafe(spread["_c"]), "left").withColumn("weight", weight) \
+        .withColumn("elasticity", F.when(F.col("weight") > 0, F.col("category_mean") + F.col("weight")
+                                         * (F.col("slope") - F.col("category_mean"))).otherwise(F.col("category_mean"))) \
+        .select(group, category, "n_sales", "slope", "category_mean", "weight", "elasticity")

@@ -19,7 +19,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierline.functions import hash_fraction, safe_ratio
@@ -285,6 +285,12 @@ def _nearest(q: np.ndarray, qid: np.ndarray, t: np.ndarray, tid: np.ndarray, k:
         yield rows[best] + start, cols[best], d[best]
 
 
+def _finite(vec: str) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.col(vec).isNotNull() & ~F.coalesce(bad, F.lit(True))
+
+
 def knn_exact(items: DataFrame, id_col: str, vec_col: str, k: int = 10, block_rows: int = 4096,
               exclude_self: bool = True, queries: DataFrame | None = None) -> DataFrame:
     """Exact k nearest items (Euclidean) of every query (default: of every item).
@@ -294,13 +300,17 @@ def knn_exact(items: DataFrame, id_col: str, vec_col: str, k: int = 10, block_ro
     blocks as matrices and keeps each query's k best; a final per-query step keeps
     the k best of its candidates.  Items are copied once per query block and queries
     once per item block: for a bounded query set that is linear in the items, for a
-    full self-join it is the inherent quadratic work.  NULL vectors take no part."""
+    full self-join it is the inherent quadratic work.  Vectors that are NULL or hold a
+    NULL or non-finite component take no part; vectors of unequal length raise."""
     base = items.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")) \
-        .filter("_v IS NOT NULL")
+        .filter(_finite("_v"))
     asked = base if queries is None else queries.select(
-        F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).filter("_v IS NOT NULL")
-    n_items = base.count()
-    n_queries = n_items if queries is None else asked.count()
+        F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).filter(_finite("_v"))
+    sizes = [df.agg(F.count("*").alias("n"), F.min(F.size("_v")).alias("lo"), F.max(F.size("_v")).alias("hi")).first()
+             for df in ([base] if queries is None else [base, asked])]
+    if len({x for r in sizes for x in (r["lo"], r["hi"]) if x is not None}) > 1:
+        raise ValueError(f"{vec_col} holds vectors of unequal length")
+    n_items, n_queries = sizes[0]["n"], sizes[-1]["n"]
     # at least as many cells as task slots, so small inputs still fan out
     slots = items.sparkSession.sparkContext.defaultParallelism
     item_blocks = max(1, math.ceil(n_items / block_rows), math.ceil(math.sqrt(slots)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierline.functions import lit_date, lit_ts, round_double, safe_ratio, trunc_ntz
-from tierline.operators.gold import customer_metrics, operator_profile, share_of_total
+from tierline.operators.gold import customer_metrics, operator_profile, price_elasticity as group_elasticity, share_of_total
 from tierline.plans.common import ORDERS_ASOF, t
 from tierline.plans.silver import (
     CLEAN_CUSTOMERS_SQL, CLEAN_TRANSACTIONS_SQL, QUALITY_FLAG_SQL, clean_customers,
@@ -347,6 +347,39 @@ FROM b JOIN o ON b.group_key = o.group_key
 """
 
 
+def price_elasticity(spark: SparkSession, sf: str) -> DataFrame:
+    """Elasticity per product, shrunk to its brand: units sold against the unit price
+    after discount."""
+    sales = t(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("units"),
+        (F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)) * (1 - F.col("l_discount"))).alias("unit_price"))
+    products = t(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
+    out = group_elasticity(sales, "product_id", "unit_price", "units", products, "brand")
+    return out.select("product_id", "brand", F.col("n_sales").cast("bigint").alias("n_sales"),
+                      *[round_double(c, 4).alias(c) for c in ("slope", "category_mean", "weight", "elasticity")])
+
+
+PRICE_ELASTICITY_SQL = """
+WITH s AS (SELECT l_partkey, ln(l_extendedprice / NULLIF(l_quantity, 0) * (1 - l_discount)) AS x, ln(l_quantity) AS y
+           FROM lineitem WHERE l_quantity > 0 AND l_extendedprice * (1 - l_discount) > 0),
+f AS (SELECT l_partkey, regr_count(y, x) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy
+      FROM s GROUP BY l_partkey),
+v AS (SELECT f.l_partkey, p_brand, n, b, CASE WHEN n > 2 AND sxx > 1e-12 AND syy - b * b * sxx > 1e-12
+                                      THEN (syy - b * b * sxx) / (n - 2) / sxx END AS v
+      FROM f JOIN part ON p_partkey = f.l_partkey),
+m AS (SELECT p_brand, sum(b / v) / sum(1 / v) AS mean, count(*) AS k, sum(1 / v) AS sw, sum(1 / v / v) AS sw2
+      FROM v WHERE v IS NOT NULL GROUP BY p_brand),
+q AS (SELECT m.p_brand, mean, k, sw, sw2, sum((b - mean) * (b - mean) / v) AS q
+      FROM v JOIN m ON m.p_brand = v.p_brand WHERE v IS NOT NULL GROUP BY ALL),
+c AS (SELECT p_brand, mean, CASE WHEN k > 1 THEN greatest((q - (k - 1)) / nullif(sw - sw2 / sw, 0), 0.0) ELSE 0.0 END AS t FROM q),
+w AS (SELECT v.*, c.mean, coalesce(t / (t + v), 0.0) AS w FROM v LEFT JOIN c ON c.p_brand = v.p_brand)
+SELECT l_partkey AS product_id, p_brand AS brand, CAST(n AS BIGINT) AS n_sales, ROUND(b, 4) AS slope,
+       ROUND(mean, 4) AS category_mean, ROUND(w, 4) AS weight,
+       ROUND(CASE WHEN w > 0 THEN mean + w * (b - mean) ELSE mean END, 4) AS elasticity
+FROM w
+"""
+
+
 # --- user SQL pass-through (PRJ-01) -------------------------------------------
 
 PASSTHROUGH_SQL = """
@@ -398,6 +431,7 @@ QUERIES = {
     "label_churn": label_churn,
     "trend_per_group": trend_per_group,
     "seasonality_index": seasonality_index,
+    "price_elasticity": price_elasticity,
     "sql_passthrough": sql_passthrough,
     "label_defect": label_defect,
 }
@@ -416,6 +450,7 @@ ORACLES = {
     "label_churn": LABEL_CHURN_SQL,
     "trend_per_group": TREND_PER_GROUP_SQL,
     "seasonality_index": SEASONALITY_INDEX_SQL,
+    "price_elasticity": PRICE_ELASTICITY_SQL,
     "sql_passthrough": PASSTHROUGH_SQL.strip().rstrip(";"),
     "label_defect": LABEL_DEFECT_SQL,
 }
