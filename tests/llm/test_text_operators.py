@@ -426,3 +426,31 @@ def test_repeated_and_null_conversation_rows(spark):
         chat_events.log_of_rows(df)))).collect()}
     assert got[1]["n_turns"] == 3 and got[None]["loss_chars"] == 200_000
     assert got[1]["turns_sha256"] == hashlib.sha256(b"\n\nuser\nsame\nuser\nsame\n").hexdigest()
+
+
+@pytest.mark.parametrize("unit", ["<b>x</i>", "<div>x</p>", "<li>x</ul>", "<b>x<div>y</i>"])
+def test_end_tags_without_a_start_cost_nothing(unit):
+    import time
+
+    from tierline.llm.html_density import main_text
+
+    def seconds(n):
+        page = unit * (n // len(unit))
+        t = time.process_time()
+        main_text(page)
+        return time.process_time() - t
+
+    seconds(20_000)
+    assert seconds(400_000) < 10 * max(seconds(100_000), 0.05)
+
+
+def test_many_languages_are_summed_in_smaller_blocks(monkeypatch):
+    from tierline.llm import lang_unigram as lu
+
+    vocabulary = lu.Pieces(lu.vocabulary_path())
+    prob = np.random.default_rng(0).random((vocabulary.n + 1, 50)) + 0.1
+    prob /= prob.sum(axis=0)
+    words = [f"wort{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(100)]
+    whole = lu.word_log_probs(words, vocabulary, prob, lu.boosted(prob, vocabulary))
+    monkeypatch.setattr(lu, "WORD_SUMS", 1)
+    assert np.allclose(whole, lu.word_log_probs(words, vocabulary, prob, lu.boosted(prob, vocabulary)), rtol=1e-12)

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pandas as pd
@@ -117,6 +118,7 @@ class Page:
         self.marks: dict[int, str] = {}       # elements with a name of NOISE_WORDS
         self.body = 0
         open_nodes = [0]
+        opened: Counter = Counter()           # open elements per name: an end tag without one costs nothing
         in_article = 0
         pos = 0
         lowered = None
@@ -135,20 +137,20 @@ class Page:
             name = name.lower()
             closing = m[1] == "/" if m[2] else html.startswith("</", m.start())
             if closing:
-                if name == "p" and not any(self.tag[n] == "p" for n in open_nodes):
+                if not opened[name]:
                     continue
                 for at in range(len(open_nodes) - 1, 0, -1):
                     if self.tag[open_nodes[at]] == name:
                         for n in open_nodes[at:]:
                             in_article -= self.tag[n] in ("article", "main")
-                        del open_nodes[at:]
+                        self._end(open_nodes, at, opened)
                         break
                 continue
             if name in ("html", "body") and (name == "html" or self.body):
                 if name == "html":
                     continue
             if name in BLOCK or name in CLOSES:
-                self._close_implied(open_nodes, name)
+                self._close_implied(open_nodes, name, opened)
             node = len(self.tag)
             parent = open_nodes[-1]
             attrs = m[3] or ""
@@ -177,6 +179,7 @@ class Page:
                     pos = len(html) if gt < 0 else gt + 1
             elif name not in VOID and not (m[0].endswith("/>") and name in ("svg", "path")):
                 open_nodes.append(node)
+                opened[name] += 1
                 in_article += name in ("article", "main")
         self.own = [0 if bad else sum(_length(x) for x in items if isinstance(x, str))
                     for items, bad in zip(self.items, self.noise)]
@@ -238,13 +241,20 @@ class Page:
                 self.noise[i] = self.noise[i] or self.noise[self.parent[i]] or (
                     self.marks.get(i) == "text" and text[i] * 2 <= whole[i])
 
-    def _close_implied(self, open_nodes: list[int], name: str) -> None:
+    def _end(self, open_nodes: list[int], at: int, opened: Counter) -> None:
+        for n in open_nodes[at:]:
+            opened[self.tag[n]] -= 1
+        del open_nodes[at:]
+
+    def _close_implied(self, open_nodes: list[int], name: str, opened: Counter) -> None:
         ended = CLOSES.get(name, ())
+        if not (name in BLOCK and opened["p"]) and not any(opened[t] for t in ended):
+            return                            # nothing that it could end is open
         fence = SCOPE.get(name, ())
         for at in range(len(open_nodes) - 1, 0, -1):
             t = self.tag[open_nodes[at]]
             if t in ended or (t == "p" and name in BLOCK):
-                del open_nodes[at:]
+                self._end(open_nodes, at, opened)
                 if t == "p":
                     continue
                 return
