@@ -1,11 +1,13 @@
 """Streams over several micro-batches: late rows, restart from checkpoint."""
 
 import datetime as dt
+import decimal
 import time
 
 from pyspark.sql import functions as F
 
 from tierline.session import scratch_path
+from tierline.streaming.keyed import current_rows, newest_per_key, rolling_per_event, run_keyed
 from tierline.streaming.jobs import (
     dedup_within_watermark, file_stream, run_until_caught_up, upsert_latest_stream,
     windowed_aggregates,
@@ -83,3 +85,92 @@ def test_a_stream_that_is_not_done_in_time_raises(spark):
         time.sleep(20)
     with pytest.raises(TimeoutError):
         run_until_caught_up(s.writeStream.foreachBatch(slow).option("checkpointLocation", ck), timeout_s=3)
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, kind string, value double"
+
+
+def _files(spark, src, *batches):
+    for data in batches:
+        spark.createDataFrame(data, EVENTS).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+
+
+def _source(spark, src):
+    return file_stream(spark, src, spark.createDataFrame([], EVENTS).schema, max_files_per_trigger=1)
+
+
+def _sink(df, out, ck):
+    return df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append")
+
+
+def test_newest_per_key_state_over_restarts(spark):
+    src, out, ck = (scratch_path(spark, n) for n in ("k_src", "k_out", "k_ck"))
+    h = lambda n, us=0: B + dt.timedelta(hours=n, microseconds=us)
+
+    def run():
+        s = _source(spark, src)
+        run_keyed(_sink(newest_per_key(s, ["user_id"], "ts", "event_id", ["kind", "value"]), out, ck), s)
+        return {r["user_id"]: tuple(r[1:]) for r in current_rows(spark.read.parquet(out), ["user_id"]).collect()}
+
+    _files(spark, src, [(1, h(2), 7, "a", 1.5), (2, h(1), 8, None, None), (3, h(3), None, "x", 1.0), (4, None, 8, "x", 1.0)],
+           [(5, h(1), 7, "late", 9.0), (6, h(5, 1), 8, "b", float("nan")), (7, h(5, 1), 8, "tie", 2.0)])
+    first = run()
+    assert first == {7: (h(2), 1, "a", 1.5), 8: (h(5, 1), 7, "tie", 2.0)}
+    # the restarted query finds its state: a replayed row and a late one add nothing to the log
+    n = spark.read.parquet(out).count()
+    _files(spark, src, [(1, h(2), 7, "a", 1.5), (8, h(0), 8, "late", 1.0), (9, h(9), 9, "new", None)])
+    assert run() == {**first, 9: (h(9), 9, "new", None)}
+    log = spark.read.parquet(out)
+    assert log.count() == n + 1
+    assert max(r["version"] for r in log.filter("user_id = 8").collect()) == 2
+
+
+def test_newest_of_one_key_with_many_rows_keeps_one_state(spark):
+    src, out, ck = (scratch_path(spark, n) for n in ("kh_src", "kh_out", "kh_ck"))
+    _files(spark, src, [(i, B + dt.timedelta(seconds=i * 7919 % 5000), 1, "k", float(i)) for i in range(5000)])
+    s = _source(spark, src)
+    run_keyed(_sink(newest_per_key(s, ["user_id"], "ts", "event_id", ["value"], ttl_ms=3_600_000), out, ck), s)
+    got = spark.read.parquet(out).collect()
+    assert len(got) == 1 and got[0]["ts"] == B + dt.timedelta(seconds=4999)
+
+
+def test_rolling_per_event_out_of_order_restart_and_late_rows(spark):
+    src, out, ck = (scratch_path(spark, n) for n in ("r_src", "r_out", "r_ck"))
+    day = 86_400_000_000
+    frames = {"1h": 3_600_000_000, "1d": day}
+    m = lambda n: B + dt.timedelta(minutes=n)
+    one = [(i, m(i * 37 % 2000), i % 3, "k", None if i % 5 == 0 else i / 4) for i in range(120)]
+    two = [(200 + i, m(1990 + i * 91 % 3000), i % 3, "k", -i / 2) for i in range(100)]
+    # repeated row, equal times, missing key and time
+    two += [two[0], (300, two[1][1], two[1][2], "k", 5.0), (301, m(2000), None, "k", 1.0), (302, None, 1, "k", 1.0)]
+    late = [(900, m(5), 1, "k", 1.0)]                        # far behind the watermark
+    three = [(400 + i, m(5000 + i * 53 % 1500), i % 3, "k", None) for i in range(60)]
+
+    def run():
+        s = _source(spark, src)
+        r = rolling_per_event(s, ["user_id"], "ts", "event_id", "value", frames, delay="1 hour", bucket_us=2 * day)
+        run_keyed(_sink(r, out, ck), s)
+
+    _files(spark, src, one, two)
+    run()
+    _files(spark, src, late + three)
+    run()
+    known = [r for r in one + two + three if r[1] is not None and r[2] is not None]
+    final = max(r[1] for r in known) - dt.timedelta(hours=1)
+    expect = []
+    for e in (r for r in known if r[1] < final):
+        row = [e[2], e[0], e[1]]
+        for us in frames.values():
+            inside = [r for r in known if r[2] == e[2] and e[1] - dt.timedelta(microseconds=us) <= r[1] <= e[1]]
+            values = [r[4] for r in inside if r[4] is not None]
+            row += [len(inside), sum(values) if values else None]
+        expect.append(tuple(row))
+    got = [tuple(float(v) if isinstance(v, decimal.Decimal) else v for v in r) for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=repr) == sorted(expect, key=repr)
+
+
+def test_keyed_streams_scan_no_table(spark):
+    s = _source(spark, scratch_path(spark, "p_src_missing").rsplit("/", 1)[0])
+    plan = newest_per_key(s, ["user_id"], "ts", "event_id", ["value"])._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan and "Join" not in plan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["silver", "gold", "sources_sinks", "windows", "features", "models", "streams"]
+_MODULES = ["silver", "gold", "sources_sinks", "windows", "features", "models", "series", "streams"]
 
 
 def _collect():

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierline.functions import round_double
+from tierline.operators.isolation import isolation_scores
 from tierline.operators.models import (
     auc, classification_metrics, feature_importances, fit_model, knn_exact, outlier_scores,
     per_group_least_squares, predict, regression_metrics, save_model, scaled_vectors, score_saved_model,
@@ -215,6 +216,12 @@ SELECT o_orderkey, ROUND(sc, 6) AS outlier_score, sc > quantile_cont(sc, 0.95) O
 """
 
 
+def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """Isolation forest over the same columns.  Random trees have no SQL form: the
+    tests hold it against a row-by-row walk and planted outliers."""
+    return isolation_scores(order_frame(spark, sf), "o_orderkey", OUTLIER_COLS, 0.05)
+
+
 def knn_exact_q(spark: SparkSession, sf: str) -> DataFrame:
     return knn_exact(t(spark, sf, "embeddings"), "vec_id", "embedding", k=10)
 
@@ -393,6 +400,7 @@ QUERIES = {
     "metrics_auc": metrics_auc,
     "standard_scale": standard_scale_q,
     "outlier_score": outlier_score,
+    "isolation_forest": isolation_forest,
     "knn_exact": knn_exact_q,
     "model_per_group": model_per_group,
     "rf_classify": rf_classify,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tierline.operators.windows import exact_sum
 from tierline.plans.common import PROCESSED_AT, RUN_ID, t
 from tierline.session import scratch_path
+from tierline.streaming.keyed import current_rows, newest_per_key, rolling_per_event, run_keyed
 from tierline.streaming.jobs import (
     BUCKET_COLUMN, dedup_within_watermark, file_stream, run_until_caught_up, sliding_from_panes, stream_to_bronze,
     upsert_latest_stream, windowed_aggregates,
@@ -123,12 +124,56 @@ SELECT user_id, ts, event_type, value FROM (
 """
 
 
+def stream_latest_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest event per user from keyed state: the log of changes, read back."""
+    s = _events_stream(spark, sf)
+    changes = newest_per_key(s, ["user_id"], "ts", "event_id", ["event_type", "value", "props"])
+    w, out = _file_sink(changes, "stream_latest_state")
+    run_keyed(w, s)
+    return current_rows(spark.read.parquet(out), ["user_id"])
+
+
+STREAM_LATEST_STATE_SQL = """
+SELECT user_id, ts, event_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events) WHERE rn = 1
+"""
+
+# Frames of the streamed features, in microseconds.
+STREAM_FRAMES = {"5m": 5 * 60_000_000, "24h": 24 * 3_600_000_000}
+
+
+def stream_event_rolling(spark: SparkSession, sf: str) -> DataFrame:
+    """5-minute and 24-hour counts and sums at every event, from keyed state."""
+    s = _events_stream(spark, sf)
+    rolled = rolling_per_event(s, ["user_id"], "ts", "event_id", "value", STREAM_FRAMES, delay="1 hour")
+    w, out = _file_sink(rolled, "stream_event_rolling")
+    run_keyed(w, s)
+    r = spark.read.parquet(out)
+    return r.select("event_id", "user_id", "ts", "count_5m", F.col("sum_5m").cast("double").alias("sum_5m"),
+                    "count_24h", F.col("sum_24h").cast("double").alias("sum_24h"))
+
+
+STREAM_EVENT_ROLLING_SQL = """
+SELECT * FROM (
+  SELECT event_id, user_id, ts,
+         COUNT(*) OVER m AS count_5m, CAST(SUM(CAST(value AS DECIMAL(18,2))) OVER m AS DOUBLE) AS sum_5m,
+         COUNT(*) OVER d AS count_24h, CAST(SUM(CAST(value AS DECIMAL(18,2))) OVER d AS DOUBLE) AS sum_24h
+  FROM events
+  WINDOW m AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 5 MINUTES PRECEDING AND CURRENT ROW),
+         d AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW))
+WHERE ts < (SELECT date_trunc('milliseconds', MAX(ts)) FROM events) - INTERVAL 1 HOUR
+"""
+
+
 QUERIES = {
     "stream_bronze": stream_bronze,
     "stream_hourly": stream_hourly,
     "stream_sliding": stream_sliding,
     "stream_dedup": stream_dedup,
     "stream_upsert_latest": stream_upsert_latest,
+    "stream_latest_state": stream_latest_state,
+    "stream_event_rolling": stream_event_rolling,
 }
 
 ORACLES = {
@@ -137,4 +182,6 @@ ORACLES = {
     "stream_sliding": STREAM_SLIDING_SQL,
     "stream_dedup": STREAM_DEDUP_SQL,
     "stream_upsert_latest": STREAM_UPSERT_SQL,
+    "stream_latest_state": STREAM_LATEST_STATE_SQL,
+    "stream_event_rolling": STREAM_EVENT_ROLLING_SQL,
 }
