@@ -130,7 +130,7 @@ def test_newest_of_one_key_with_many_rows_keeps_one_state(spark):
     src, out, ck = (scratch_path(spark, n) for n in ("kh_src", "kh_out", "kh_ck"))
     _files(spark, src, [(i, B + dt.timedelta(seconds=i * 7919 % 5000), 1, "k", float(i)) for i in range(5000)])
     s = _source(spark, src)
-    run_keyed(_sink(newest_per_key(s, ["user_id"], "ts", "event_id", ["value"], ttl_ms=3_600_000), out, ck), s)
+    run_keyed(_sink(newest_per_key(s, ["user_id"], "ts", "event_id", ["value"]), out, ck), s)
     got = spark.read.parquet(out).collect()
     assert len(got) == 1 and got[0]["ts"] == B + dt.timedelta(seconds=4999)
 

@@ -44,13 +44,13 @@ def run_keyed(writer: DataStreamWriter, stream: DataFrame, timeout_s: float | No
 # --- newest row per key -----------------------------------------------------------
 
 class _Newest(StatefulProcessor):
-    def __init__(self, keys: list[str], ttl_ms: int | None):
-        self.keys, self.ttl_ms = keys, ttl_ms
+    def __init__(self, keys: list[str]):
+        self.keys = keys
 
     def init(self, handle) -> None:
         schema = StructType([StructField("t", LongType()), StructField("tie", LongType()),
                              StructField("version", LongType())])
-        self.state = handle.getValueState("newest", schema, self.ttl_ms)
+        self.state = handle.getValueState("newest", schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         old = self.state.get() if self.state.exists() else None
@@ -70,15 +70,15 @@ class _Newest(StatefulProcessor):
         pass
 
 
-def newest_per_key(stream: DataFrame, keys: Sequence[str], ts: str, tie: str, values: Sequence[str],
-                   ttl_ms: int | None = None) -> DataFrame:
+def newest_per_key(stream: DataFrame, keys: Sequence[str], ts: str, tie: str, values: Sequence[str]) -> DataFrame:
     """Changes of the newest row per key: keys, ts, tie, values and ``version`` (1, 2, ...
     per key).  Newest is the greatest (``ts``, ``tie``); ``tie`` is a whole number.
 
     An older row that arrives late changes nothing, a replayed one neither.  The state
     holds only times and the version; values cross to Python as one JSON string, so their types and
-    NULLs stay exact.  Rows without a key, ``ts`` or ``tie`` are left out.  With
-    ``ttl_ms`` a key not updated for that long (processing time) is forgotten."""
+    NULLs stay exact.  Rows without a key, ``ts`` or ``tie`` are left out.  State grows with the
+    number of keys: a time to live needs processing time, in which a stream that runs until
+    caught up never ends, so there is none."""
     schema = stream.select(*values).schema
     rows = stream.select(*keys, epoch_us(ts).alias("tl_t"), F.col(tie).cast("long").alias("tl_tie"),
                          F.to_json(F.struct(*values), {**_JSON, "ignoreNullFields": "false"}).alias("tl_payload"))
@@ -87,8 +87,7 @@ def newest_per_key(stream: DataFrame, keys: Sequence[str], ts: str, tie: str, va
     out = StructType([*[rows.schema[k] for k in keys], StructField("tl_t", LongType()), StructField("tl_tie", LongType()),
                       StructField("tl_payload", StringType()), StructField("version", LongType())])
     changes = rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Newest(list(keys), ttl_ms), outputStructType=out, outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None")
+        statefulProcessor=_Newest(list(keys)), outputStructType=out, outputMode="Append", timeMode="None")
     back = F.from_json("tl_payload", schema, _JSON)
     return changes.select(*keys, _wallclock("tl_t").alias(ts), F.col("tl_tie").alias(tie), back.alias("_p"), "version") \
         .select(*keys, ts, *([] if tie in values else [tie]), *[F.col(f"_p.{v}").alias(v) for v in values], "version")
