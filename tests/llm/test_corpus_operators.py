@@ -104,6 +104,21 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, cell, block):
     assert embed_dedup.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_near_vectors_of_extreme_length_and_any_label(spark, monkeypatch):
+    """Finite vectors whose squares under- or overflow link by direction like others."""
+    monkeypatch.setattr(embed_dedup, "SAMPLE", 3)
+    rows = [(0, "a b", [1e-170, 0.0]), (1, "a b", [1e-170, 0.0]), (2, "a b", [1e200, 0.0]), (3, "a b", [0.0, 1.7e308]),
+            (4, "a b", [0.0, 5e-324]), (5, "a b", [3.0, 0.001]), (6, "A", [1.0, 0.0]), (7, str(2 ** 40), [1.0, 1.0]),
+            (8, str(2 ** 40), [2.0, 2.0]), (9, "a b", [0.0, -0.0]), (10, None, [1.0, 0.0]), (11, "a b", [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 5: (3, 0), 3: (1, 3), 4: (1, 3), 6: (0, 6), 7: (1, 7), 8: (1, 7),
+                   9: (0, 9), 10: (0, 10), 11: (0, 11)}
+    longs = spark.createDataFrame([(7, 2 ** 40, [1.0, 1.0]), (8, 2 ** 40, [2.0, 2.0])],
+                                  "vec_id long, label long, embedding array<double>")
+    assert sorted(r["n_links"] for r in embed_dedup.near_duplicates(longs).collect()) == [1, 1]
+
+
 def test_cells_are_fitted_at_every_size(spark):
     rng = np.random.default_rng(4)
     rows = [(i, x.tolist(), i % 2) for i, x in enumerate(rng.normal(size=(40, 6)))]

@@ -58,11 +58,16 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.nd
 def fit_cells(distinct: DataFrame) -> dict[int, np.ndarray]:
     """Centroids per dimension, from at most ``SAMPLE`` vectors in hash order.
 
-    The number of cells follows the largest label (vectors / ``CELL``, two at least).
+    The number of cells follows the largest label (vectors / ``CELL``, two at least).  Only
+    vectors below a cut of the hash, set from their number, leave the executors.
     """
     top = distinct.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("n"))
     sizes = {r["dim"]: r["n"] for r in top.orderBy(F.col("n").desc(), "dim").limit(16).collect()}
-    sample = distinct.select("dim", "v").orderBy(F.xxhash64("v"), "node").limit(SAMPLE).toPandas()
+    hashed = distinct.select("dim", "v", "node", F.xxhash64("label", "v").alias("h"))
+    total = hashed.count()
+    if total > 2 * SAMPLE:
+        hashed = hashed.filter(F.col("h") < F.lit(int(-2 ** 63 + 2 ** 64 * (1.2 * SAMPLE / total))))
+    sample = hashed.toPandas().sort_values(["h", "node"])[:SAMPLE]
     return {int(d): spherical_kmeans(unit(np.array(g["v"].tolist(), dtype=np.float64)),
                                      min(MAX_CELLS, max(2, math.ceil(sizes[d] / CELL))))
             for d, g in sample.groupby("dim") if d in sizes}
@@ -95,7 +100,7 @@ def assign(distinct: DataFrame, cells: dict[int, np.ndarray], t: float = COSINE)
                 if rows:
                     yield g.iloc[np.concatenate(rows)].assign(cell=np.concatenate(cols), host=False)
 
-    schema = "label int, dim int, node long, m long, v array<double>, cell int, host boolean"
+    schema = "label string, dim int, node long, m long, v array<double>, cell int, host boolean"
     return distinct.select("label", "dim", "node", "m", "v").mapInPandas(place, schema)
 
 
@@ -132,22 +137,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """Per row: vec_id, ``n_links``, ``component_id`` and ``kept``.
 
     Vectors link when labels are equal and not null and the cosine is at least
-    ``t``.  Null, empty or zero vectors, vectors with a null or non-finite
+    ``t``; labels of any type are compared as text.  Null, empty or zero vectors, vectors with a null or non-finite
     component and those without a label link with nothing: n_links 0, a component
     of their own.  Vectors of different length do not link.  Repeated rows are
     vectors each (they link).  component_id is the smallest id of the component;
     rows without id take no part in that choice.  Empty input: empty output.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"),
-                          F.col(label_col).cast("int").alias("label"),
+                          F.col(label_col).cast("string").alias("label"),
                           F.col(vector_col).cast("array<double>").alias("v"))
-    # a zero vector, or one whose squares under- or overflow, has no direction in double precision
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     ok = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) \
-        & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (square > 0.0) \
-        & (square < float("inf"))
+        & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) \
+        & F.exists("v", lambda x: x != 0.0)
     rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    valid = rows.filter("ok")
+    # scaled by a power of two: exact, and no square under- or overflows
+    peak = F.array_max(F.transform("v", F.abs))
+    valid = rows.filter("ok").withColumn("scale", F.pow(F.lit(2.0), F.least(F.greatest(
+        F.floor(F.log2(peak)), F.lit(-1074)), F.lit(1023)))) \
+        .withColumn("v", F.transform("v", lambda x: x / F.col("scale"))).drop("scale")
     distinct = stash(
         valid.groupBy("label", "v").agg(F.count("*").alias("m"), F.min("vec_id").alias("first"))
         .withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()), "vectors")
