@@ -152,9 +152,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
     # scaled by a power of two: exact, and no square under- or overflows
     peak = F.array_max(F.transform("v", F.abs))
-    valid = rows.filter("ok").withColumn("scale", F.pow(F.lit(2.0), F.least(F.greatest(
-        F.floor(F.log2(peak)), F.lit(-1074)), F.lit(1023)))) \
-        .withColumn("v", F.transform("v", lambda x: x / F.col("scale"))).drop("scale")
+    scale = F.pow(F.lit(2.0), F.least(F.greatest(F.floor(F.log2(peak)), F.lit(-1074)), F.lit(1023)))
+    # bound as a lambda variable, the scale is computed once per vector, not once per component
+    valid = rows.filter("ok").withColumn("v", F.get(F.transform(
+        F.array(scale), lambda s: F.transform("v", lambda x: x / s)), 0))
     distinct = stash(
         valid.groupBy("label", "v").agg(F.count("*").alias("m"), F.min("vec_id").alias("first"))
         .withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()), "vectors")
