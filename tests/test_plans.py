@@ -70,7 +70,7 @@ def test_no_row_at_a_time_python(spark, key):
 
 # one-row global aggregates (final merge of per-task partials) and the
 # ordered top-k / preview are the only single-partition steps
-SINGLE_OK = {"metrics_regression_unit", "auc_scores", "silver_job",
+SINGLE_OK = {"store_sku_forecast", "metrics_regression_unit", "auc_scores", "silver_job",
              "data_coverage", "quality_report", "run_metrics", "metrics_classification",
              "metrics_regression", "metrics_auc", "label_distribution", "risk_distribution",
              "layer_counts", "catalog_profile", "top_risk", "preview_sql", "feature_catalog",
