@@ -171,6 +171,8 @@ def test_rolling_per_event_out_of_order_restart_and_late_rows(spark):
 
 
 def test_keyed_streams_scan_no_table(spark):
-    s = _source(spark, scratch_path(spark, "p_src_missing").rsplit("/", 1)[0])
+    src = scratch_path(spark, "p_src")
+    _files(spark, src, [(1, B, 1, "k", 1.0)])
+    s = _source(spark, src)
     plan = newest_per_key(s, ["user_id"], "ts", "event_id", ["value"])._jdf.queryExecution().analyzed().toString()
     assert "TransformWithState" in plan and "Join" not in plan
