@@ -5,6 +5,7 @@ import re
 import pytest
 
 from tierline.operators.sinks import materialize, touched_rows
+from tierline.operators.windows import rolling_frames
 from tierline.plans import all_queries
 from tierline.session import scratch_path
 from helpers import SF_SMALL
@@ -82,6 +83,21 @@ def test_rolling_lengths_share_two_scans(spark, key):
     assert _plan(spark, key).count("FileScan") <= 2
 
 
+@pytest.mark.parametrize("key, most", [("rolling_multi", 2), ("rolling_24h", 2), ("event_counts_7d", 1),
+                                       ("account_risk_features", 1)])
+def test_rolling_lengths_share_the_sorts_of_a_task(spark, key, most):
+    # a task's memory is that of its sorts of rows and ghosts: one forward, one backward for a maximum
+    plan = _plan(spark, key)
+    assert 1 <= len(re.findall(r"Sort \[user_id#\d+L? ASC NULLS FIRST, _B#", plan)) <= most
+
+
+def test_rolling_tasks_keep_their_size_as_the_input_grows(spark):
+    rows = spark.range(4000).selectExpr("id % 7 AS k", "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, id) AS ts")
+    plan = rolling_frames(rows, ["k"], "ts", [("count", None, "n", 3_600_000_000)], rows_per_task=200) \
+        ._jdf.queryExecution().toString()
+    assert re.search(r"hashpartitioning\(k#\d+L, _B#\d+L, 40\)", plan)
+
+
 @pytest.mark.parametrize("key", ["rolling_distinct", "txn_pattern_features"])
 def test_distinct_counts_keep_no_sets_per_row(spark, key):
     plan = _plan(spark, key)

@@ -18,6 +18,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 from tierline.functions import epoch_us
 
@@ -74,7 +75,8 @@ def exact_sum(col: str | Column, scale: int = 2, precision: int = 18) -> Column:
 # re-aggregating the whole frame buffer whenever the frame moves, so a key
 # with f rows per frame costs rows x f -- quadratic for a dense hot key.
 # Running frames (UNBOUNDED PRECEDING) are incremental.  ``rolling_frames``
-# builds every ``[t - L, t]`` frame from running frames only.
+# builds every ``[t - L, t]`` frame from running frames only.  A chain of windows holds
+# a sort per ordering in one task, so all lengths share one ordering and its reverse.
 
 _PIECE_UNITS = (US["day"], US["hour"])
 
@@ -98,9 +100,13 @@ def _floor_div(c: Column, w: int) -> Column:
 _AGG = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
+def _exact_type(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, (DecimalType, IntegralType))
+
+
 def rolling_frames(df: DataFrame, keys: Sequence[str], ts: str,
                    aggs: Sequence[tuple[str, str | None, str, int]],
-                   pieces: dict[int, int] | None = None) -> DataFrame:
+                   pieces: dict[int, int] | None = None, rows_per_task: int = 500_000) -> DataFrame:
     """Exact ``RANGE [t - L, t]`` count / sum / min / max per key, for any
     number of frame lengths, in linear time and without single-key tasks.
 
@@ -108,18 +114,26 @@ def rolling_frames(df: DataFrame, keys: Sequence[str], ts: str,
     length in microseconds); function in count / sum / min / max, ``count``
     counts non-NULL inputs.  Ties in ``ts`` are peers (RANGE semantics).
 
-    A frame of length L is cut into p pieces of width w = L / p.  For a row at
-    t = b*w + o (bucket b, offset o) the frame is: rows of bucket b with
-    offset <= o (a running prefix), whole buckets b-p+1 .. b-1, and rows of
-    bucket b-p with offset >= o.  Each row is emitted once more per length
-    as a *ghost* at t + L, so the last part is a running suffix over the
-    ghosts of bucket b.  The whole buckets come from a per-(key, bucket)
-    aggregate and a RANGE frame over at most p-1 bucket rows; their totals
-    are added as tagged rows, so nothing is joined back.  Everything then
-    shares one hash shuffle on (key, coarse bucket), the coarse bucket being a
-    multiple of every w: a hot key is spread over span / coarse-bucket tasks,
-    and no frame is ever re-aggregated row by row.  Shuffle volume is
-    (1 + number of lengths) x input rows.
+    Each row is emitted once more per length as a *ghost* at t + L (not where all
+    inputs of that length are NULL).  Rows and ghosts share one hash shuffle on
+    (key, coarse bucket), so a hot key is spread over span / coarse-bucket tasks.
+
+    Counts and exact sums are a running sum over the bucket: rows up to t, less
+    ghosts before t, plus the frame at the bucket's start.  The latter comes from
+    totals per (key, bucket) of rows and ghosts, summed along the key.
+
+    For min / max a frame is cut into p pieces of width w = L / p, w dividing the
+    coarse bucket: the row's own piece up to t, whole pieces between, and ghosts of
+    its piece from t on.  Prefixes and suffixes of pieces are running maxima of
+    (piece, value), so pieces of all lengths share the bucket's sort; whole pieces
+    come from a RANGE frame over at most p - 1 rows of per-piece totals.  Sums of
+    floating-point columns, where a difference of running sums would lose digits, are
+    cut into pieces too, each length with a sort of its own.
+
+    Totals are added as tagged rows, so nothing is joined back.  The rows are
+    counted first: shuffles have a partition per ``rows_per_task`` rows and ghosts, so
+    that a task's sorts stay as large whatever the input's size.  They are two, one
+    forward and, for min / max, one backward.
     """
     if not aggs:
         return df
@@ -132,95 +146,158 @@ def rolling_frames(df: DataFrame, keys: Sequence[str], ts: str,
     aggs = list(aggs) + [("count", c, f"_nn_{name}", ln) for fn, c, name, ln in aggs if fn == "sum"]
     pieces = dict(pieces or {})
     lengths = sorted({a[3] for a in aggs})
-    spec = []
-    for j, length in enumerate(lengths):
+    widths = []
+    for length in lengths:
         p = pieces.get(length) or default_pieces(length)
         if length <= 0 or length % p:
             raise ValueError(f"length {length} must be a positive multiple of its pieces {p}")
-        spec.append((j, length, p, length // p))
-    coarse = math.lcm(*[w for *_, w in spec])
+        widths.append(length // p)
+    coarse = math.lcm(*widths)
+    # the widest pieces that both the frame and the bucket are made of
+    spec = [(j, length, length // math.gcd(length, coarse), math.gcd(length, coarse)) for j, length in enumerate(lengths)]
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() * (1 + len(spec)) / rows_per_task))
+
+    base = df.withColumn("_t", epoch_us(ts))
+    ins = sorted({c for _, c, _, _ in aggs if c is not None and c not in keys})
+    rest = [c for c in df.columns if c not in ins and c not in keys]
+
+    def value(c):
+        return F.lit(1) if c is None else F.col(c)
+
+    # running sums serve these (function, input) pairs, pieces the others
+    summed = {(fn, c) for fn, c, _, _ in aggs if fn == "count" or fn == "sum" and _exact_type(df, c)}
+    wide = [(j, length, p, w) for j, length, p, w in spec
+            if p > 1 and any(ln == length and (fn, c) not in summed for fn, c, _, ln in aggs)]
+    run = sorted({(fn, c, ln) for fn, c, _, ln in aggs if (fn, c) in summed}, key=str)
+    mid = sorted({(fn, c, ln) for fn, c, _, ln in aggs if (fn, c) not in summed and ln in {x[1] for x in wide}}, key=str)
+    at = {length: j for j, length, *_ in spec}
 
-    def inp(c):
-        return "_one" if c is None else c
-
-    base = df.withColumn("_t", epoch_us(ts)).withColumn("_one", F.lit(1))
-    ins = sorted({inp(c) for _, c, _, _ in aggs})
     # one scan gives the rows and their ghosts (a ghost keeps the inputs only; a row
     # without a time has none: its frame is its peers)
-    tags = F.array(F.struct(F.lit(0).alias("g"), F.col("_t").alias("t")), *[
-        F.struct(F.lit(j + 1).alias("g"), (F.col("_t") + F.lit(length)).alias("t")) for j, length, _, _ in spec])
-    tags = F.when(F.col("_t").isNull(), F.slice(tags, 1, 1)).otherwise(tags)
-    carried = [c for c in base.columns if c not in ("_t", *keys)]
+    def felt(length):
+        cs = {c for _, c, _, ln in aggs if ln == length}
+        return F.lit(True) if None in cs else F.greatest(F.lit(False), *[F.col(c).isNotNull() for c in sorted(cs)])
+
+    tags = F.array_compact(F.array(F.struct(F.lit(0).alias("g"), F.col("_t").alias("t")), *[
+        F.when(F.col("_t").isNotNull() & felt(length),
+               F.struct(F.lit(j + 1).alias("g"), (F.col("_t") + F.lit(length)).alias("t"))) for j, length, _, _ in spec]))
     spread = base.withColumn("_tag", F.explode(tags))
-    u = spread.select(*keys, F.col("_tag.t").alias("_t"), F.col("_tag.g").alias("_g"), *[
-        F.col(c) if c in ins else F.when(F.col("_tag.g") == 0, F.col(c)).alias(c) for c in carried])
-    wide = [(j, length, p, w) for j, length, p, w in spec if p > 1]
-    if wide:
-        # the second scan: totals per finest bucket, rolled up to each length's buckets
-        finest = math.gcd(*[w for *_, w in wide])
-        merge = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
-        named = {(fn, inp(c)): f"_f{i}" for i, (fn, c) in enumerate(sorted(
-            {(fn, inp(c)) for fn, c, _, ln in aggs if ln in {x[1] for x in wide}}))}
-        fine = base.filter("_t IS NOT NULL").groupBy(*keys, _floor_div(F.col("_t"), finest).alias("_fb")) \
-            .agg(*[_AGG[fn](c).alias(n) for (fn, c), n in named.items()])
-        sizes = F.create_map(*[F.lit(x) for j, _, _, w in wide for x in (j, w)])
-        tagged_by = fine.withColumn("_j", F.explode(F.array(*[F.lit(j) for j, *_ in wide]))) \
-            .withColumn("_w", F.element_at(sizes, F.col("_j")))
-        start = F.col("_fb") * F.lit(finest)
-        per_bucket = tagged_by.groupBy(*keys, "_j", ((start - F.pmod(start, F.col("_w")))).alias("_t")) \
-            .agg(*[merge[fn](n).alias(n) for (fn, _), n in named.items()])
-        along = Window.partitionBy(*keys, "_j").orderBy("_t")
-        mids = []
-        for j, length, p, w in wide:
-            whole_buckets = along.rangeBetween(-(p - 1) * w, -w)
-            mids += [F.when(F.col("_j") == j, merge[fn](named[fn, inp(c)]).over(whole_buckets)).alias(f"_mid_{name}")
-                     for fn, c, name, ln in aggs if ln == length]
-        # a bucket's own totals also reach buckets that hold ghosts only
-        u = u.unionByName(per_bucket.select(*keys, "_t", (-1 - F.col("_j")).alias("_g"), *mids),
-                          allowMissingColumns=True)
-    u = u.withColumn("_B", _floor_div(F.col("_t"), coarse))
-    for j, _, _, w in spec:
-        u = u.withColumn(f"_o{j}", F.pmod(F.col("_t"), F.lit(w))) \
-             .withColumn(f"_b{j}", _floor_div(F.col("_t"), w))
+    whole_row = [F.when(F.col("_tag.g") == 0, F.struct(*rest)).alias("_row")] if rest else []
+    u = spread.select(*keys, F.col("_tag.t").alias("_t"), F.col("_tag.g").alias("_g"), *ins, *whole_row)
+
+    # the second scan: totals per key and bucket, their sums along the key
+    merge = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    finest = math.gcd(coarse, *[w for *_, w in wide])
+    named = {(fn, c): f"_f{i}" for i, (fn, c) in enumerate(sorted({(fn, c) for fn, c, _ in run + mid}, key=str))}
+    ends = {j: f"_end{j}" for j in sorted({at[ln] for _, _, ln in run})}
+    fine = base.filter("_t IS NOT NULL") \
+        .groupBy(*keys, _floor_div(F.col("_t"), finest).alias("_fb"),
+                 *[_floor_div(F.col("_t") + F.lit(lengths[j]), coarse).alias(b) for j, b in ends.items()]) \
+        .agg(*[_AGG[fn](value(c)).alias(n) for (fn, c), n in named.items()])
+    start = F.col("_fb") * F.lit(finest)
+    home = _floor_div(start, coarse)
+    # kind 0: bucket totals, where the row (j = -1) or its ghost of length j is; kind j + 1: pieces of length j
+    kinds = [(0, -1, home * F.lit(coarse))] if run else []
+    kinds += [(0, j, F.when(F.col(b) != home, F.col(b) * F.lit(coarse))) for j, b in ends.items()]
+    kinds += [(j + 1, j, start - F.pmod(start, F.lit(w))) for j, _, _, w in wide]
+    tagged_by = fine.withColumn("_tag", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.lit(j).alias("j"), x.alias("t")) for k, j, x in kinds]))) \
+        .filter("_tag.t IS NOT NULL").repartition(parts, *keys)
+    of = F.col("_tag.j")
+    sums = []
+    for i, (fn, c, ln) in enumerate(run):
+        n, b = F.col(named[fn, c]), F.col(ends[at[ln]])
+        sums.append(F.sum(F.when((F.col("_tag.k") == 0) & (of == -1) & (b != home), n)
+                          .when((F.col("_tag.k") == 0) & (of == at[ln]), -n)).alias(f"_d{i}"))
+    sums += [merge[fn](F.when(F.col("_tag.k") > 0, F.col(named[fn, c]))).alias(f"_m_{named[fn, c]}")
+             for fn, c in sorted({(fn, c) for fn, c, _ in mid}, key=str)]
+    per_bucket = tagged_by.groupBy(*keys, F.col("_tag.k").alias("_k"), F.col("_tag.t").alias("_t")).agg(*sums)
+    along = Window.partitionBy(*keys, "_k").orderBy("_t")
+    fields = []
+    for i, (fn, c, ln) in enumerate(run):
+        opened = F.coalesce(F.sum(f"_d{i}").over(along.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        if fn == "sum" and isinstance(df.schema[c].dataType, DecimalType):
+            kind = df.schema[c].dataType
+            opened = opened.cast(DecimalType(min(38, kind.precision + 10), kind.scale))
+        fields.append(F.when(F.col("_k") == 0, opened).alias(f"r{i}"))
+    for i, (fn, c, ln) in enumerate(mid):
+        j, _, p, w = spec[at[ln]]
+        fields.append(F.when(F.col("_k") == j + 1, merge[fn](f"_m_{named[fn, c]}").over(
+            along.rangeBetween(-(p - 1) * w, -w))).alias(f"m{i}"))
+    if fields:
+        totals = per_bucket.select(*keys, "_t", (-1 - F.col("_k")).alias("_g"), F.struct(*fields).alias("_tot"))
+        u = u.unionByName(totals, allowMissingColumns=True)
     # one shuffle: every window below is partitioned by a refinement of it
-    u = u.repartition(*keys, "_B")
-
-    cols = {}
-    for j, length, p, w in spec:
-        part = Window.partitionBy(*keys, "_B", f"_b{j}")
-        asc = part.orderBy(f"_o{j}")
-        upto = asc.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        before = asc.rangeBetween(Window.unboundedPreceding, -1)
-        whole = asc.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        desc = part.orderBy(F.col(f"_o{j}").desc()).rangeBetween(Window.unboundedPreceding,
-                                                                  Window.currentRow)
-
-        def tagged(g, c):
-            return F.when(F.col("_g") == g, F.col(c))
-
-        for fn, c, name, ln in aggs:
-            if ln != length:
-                continue
-            f, x = _AGG[fn], inp(c)
-            own = f(tagged(0, x)).over(upto)
-            if fn in ("count", "sum"):
-                gh = f(tagged(j + 1, x)).over(whole) - F.coalesce(f(tagged(j + 1, x)).over(before),
-                                                                   F.lit(0))
-            else:
-                gh = f(tagged(j + 1, x)).over(desc)
-            mid = (F.max(tagged(-(j + 1), f"_mid_{name}")).over(whole) if p > 1
-                   else F.lit(None))
-            if fn == "count":
-                cols[name] = (own + gh + F.coalesce(mid, F.lit(0))).cast("bigint")
-            elif fn == "sum":
-                cols[name] = sum((F.coalesce(v, F.lit(0)) for v in (gh, mid)), F.coalesce(own, F.lit(0)))
-            else:
-                cols[name] = (F.greatest if fn == "max" else F.least)(own, gh, mid)
+    u = u.withColumn("_B", _floor_div(F.col("_t"), coarse)).repartition(parts, *keys, "_B")
+
+    bucket = Window.partitionBy(*keys, "_B")
+    upto = bucket.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = bucket.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    down = bucket.orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def tagged(g, x):
+        return F.when(F.col("_g") == g, x)
+
+    def piece(w):
+        return _floor_div(F.col("_t"), w)
+
+    def ranked(fn, place, c):
+        # the extreme of these is the best value of the last place; a NULL value loses
+        if fn == "max":
+            return F.struct(place.alias("b"), F.col(c).alias("v"))
+        return F.struct((-place).alias("b"), F.col(c).isNull().alias("n"), F.col(c).alias("v"))
+
+    extremes = sorted({(fn, c, ln) for fn, c, _, ln in aggs if fn in ("min", "max")}, key=str)
+    back, on = {}, {}
+    for i, (fn, c, ln) in enumerate(extremes):
+        j, _, p, w = spec[at[ln]]
+        back[f"_h{i}"] = _AGG[fn](tagged(j + 1, ranked(fn, -piece(w), c))).over(down)
+        on[f"_p{i}"] = _AGG[fn](tagged(0, ranked(fn, piece(w), c))).over(upto)
+    for i, (fn, c) in enumerate(sorted({(fn, c) for fn, c, _ in run}, key=str)):
+        on[f"_r_{named[fn, c]}"] = _AGG[fn](tagged(0, value(c))).over(upto)
+    for i, (fn, c, ln) in enumerate(run):
+        on[f"_g{i}"] = _AGG[fn](tagged(at[ln] + 1, value(c))).over(before)
+        on[f"_o{i}"] = F.max(F.col(f"_tot.r{i}")).over(upto)
+    for i, (fn, c, ln) in enumerate(mid):
+        j, _, p, w = spec[at[ln]]
+        # all of a piece's rows carry the same total, so the greatest (piece, total) is its
+        on[f"_q{i}"] = F.max(tagged(-2 - j, F.struct(piece(w).alias("b"), F.col(f"_tot.m{i}").alias("v")))).over(upto)
+    parted = [(fn, c, ln) for fn, c, _, ln in aggs if fn == "sum" and (fn, c) not in summed]
+    for i, (fn, c, ln) in enumerate(parted):
+        j, _, p, w = spec[at[ln]]
+        own = Window.partitionBy(*keys, "_B", f"_b{j}").orderBy("_t")
+        u = u.withColumn(f"_b{j}", piece(w))
+        ghosts = F.sum(tagged(j + 1, F.col(c)))
+        on[f"_s{i}"] = F.sum(tagged(0, F.col(c))).over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        on[f"_t{i}"] = ghosts.over(own.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)) \
+            - F.coalesce(ghosts.over(own.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if back:
+        u = u.select("*", *[x.alias(n) for n, x in back.items()])
+    u = u.select("*", *[x.alias(n) for n, x in on.items()]).filter(F.col("_g") == 0)
+
+    zero, cols = F.lit(0), {}
+    for fn, c, name, ln in aggs:
+        j, _, p, w = spec[at[ln]]
+        between = F.col(f"_q{mid.index((fn, c, ln))}.v") if (fn, c, ln) in mid else None
+        if (fn, c) in summed:
+            i = run.index((fn, c, ln))
+            got = F.coalesce(F.col(f"_r_{named[fn, c]}"), zero) - F.coalesce(F.col(f"_g{i}"), zero) + F.coalesce(F.col(f"_o{i}"), zero)
+            cols[name] = got.cast("bigint") if fn == "count" else got
+        elif fn == "sum":
+            i = parted.index((fn, c, ln))
+            cols[name] = sum((F.coalesce(v, zero) for v in (F.col(f"_t{i}"), *([between] if between is not None else []))),
+                             F.coalesce(F.col(f"_s{i}"), zero))
+        else:
+            i = extremes.index((fn, c, ln))
+            here = piece(w) if fn == "min" else -piece(w)
+            ahead = F.when(F.col(f"_h{i}.b") == here, F.col(f"_h{i}.v"))
+            cols[name] = (F.greatest if fn == "max" else F.least)(
+                F.col(f"_p{i}.v"), ahead, between if between is not None else F.lit(None))
     for fn, _, name, _ in aggs:
         if fn == "sum":
             cols[name] = F.when(cols[f"_nn_{name}"] == 0, F.lit(None)).otherwise(cols[name])
-    out = u.select("*", *[v.alias(k) for k, v in cols.items()]).filter(F.col("_g") == 0)
-    return out.select(*df.columns, *out_names)
+    return u.select(*[F.col(f"_row.`{c}`").alias(c) if c in rest else F.col(f"`{c}`") for c in df.columns],
+                    *[cols[n].alias(n) for n in out_names])
 
 
 def rolling_distinct_count(df: DataFrame, keys: Sequence[str], ts: str, value: str, length_us: int,
