@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tierline.operators.forecast import seasonal_forecast
+from tierline.operators.forecast import GRID, seasonal_forecast
 from tierline.operators.isolation import fit_isolation_forest, grow_trees, isolation_scores, sample_rows
 from helpers import rows
 
@@ -123,3 +123,23 @@ def test_isolation_missing_constant_and_empty(spark):
     assert len(one) == 1 and not one[0]["is_outlier"]
     flat = grow_trees(np.full((10, 2), 3.0), 3, 8, 1)
     assert (flat.column == -1).all()
+
+
+def test_forecast_folds_series_in_batches(spark):
+    # all weights of a batch of series at once, in one Python step; no lambda per period and weight
+    data = spark.range(600).selectExpr("id % 5 AS g", "CAST(id DIV 5 AS INT) AS month", "CAST(id * 7 % 11 AS DOUBLE) AS u") \
+        .filter("month >= g * 25")
+    got = seasonal_forecast(data, ["g"], "month", "u", season=12, horizon=1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan
+    for r in got.collect():         # 120, 95, 70, 45 and 20 periods, the last too short
+        y = [float((m * 5 + r["g"]) * 7 % 11) for m in range(r["g"] * 25, 120)]
+        fits = [_smooth(y, 12, *w) for w in GRID] if len(y) >= 36 else []
+        if not fits:
+            assert r["forecast"] is None and r["mae"] is None
+            continue
+        k = min(range(len(GRID)), key=lambda i: (fits[i][3], i))
+        level, trend, season, _, sae, _ = fits[k]
+        assert (r["alpha"], r["beta"], r["gamma"]) == GRID[k]
+        assert math.isclose(r["forecast"], level + trend + season[len(y) % 12], rel_tol=1e-9)
+        assert math.isclose(r["mae"], sae / 12, rel_tol=1e-9)

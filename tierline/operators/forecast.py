@@ -1,14 +1,16 @@
 """Forecasts per series by exponential smoothing of level, trend and season.
 
 A series is one bounded array of periods, so the sequential part is a fold over that
-array (``aggregate``), in the JVM and without a window: groups are spread by the one
-shuffle that collects their periods.
+array, without a window: groups are spread by the one shuffle that collects their
+periods.  The fold runs in tasks over Arrow batches of series, all weights at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,36 +29,58 @@ def dense_series(totals: DataFrame, group: Sequence[str], period: str, y: str, l
     return full.select(*group, "first", F.size("y").alias("n"), "y")
 
 
-def _mean(y: Column, start: int, length: int) -> Column:
-    return F.aggregate(F.slice(y, start + 1, length), F.lit(0.0), lambda a, v: a + v) / float(length)
+_FIT = "k int, level double, trend double, season array<double>, sae double, snaive double"
 
 
-def _fold(y: Column, n: Column, w: Column, k: Column, m: int) -> Column:
-    """Smooths one series with weights ``w`` (a, b, g), number ``k`` of the grid: the last state, with
-    the squared errors before the last ``m`` periods and the absolute ones in them.  States
-    are ordered by these squared errors, then by ``k``."""
+def _fold(series: Sequence[np.ndarray], grid: np.ndarray, m: int) -> pd.DataFrame:
+    """Smooths each series (at least three seasons of ``m`` periods) with each row of weights (a, b, g)
+    and keeps the weights with the least squared errors before its last ``m`` periods (ties: the
+    first): their number, the last state and the absolute errors in the last ``m`` periods."""
+    n = np.array([len(y) for y in series])
+    data = np.zeros((n.max(), len(series)))
+    for i, y in enumerate(series):
+        data[:len(y), i] = y
+    a, b, g = (grid[:, [c]] for c in range(3))          # weights by series
     # line through the means of the first two seasons; the first season's offsets are from it
-    mean, half = _mean(y, 0, m), (m - 1) / 2.0
-    slope = (_mean(y, m, m) - mean) / float(m)
-    zero = F.struct(F.lit(0.0).alias("sse"), k.alias("k"), (mean + slope * half).alias("level"), slope.alias("trend"),
-                    F.transform(F.slice(y, 1, m), lambda v, i: v - (mean + slope * (i - half))).alias("season"),
-                    F.lit(0.0).alias("sae"), F.lit(0.0).alias("snaive"))
-
-    def step(s: Column, i: Column) -> Column:
-        v, old = F.get(y, i), F.get(s["season"], i % m)
-        base = s["level"] + s["trend"]
+    mean, second = (sum(data[s * m + i] for i in range(m)) / float(m) for s in range(2))
+    slope, half = (second - mean) / float(m), (m - 1) / 2.0
+    wide = (len(grid), len(series))
+    level, trend = (np.broadcast_to(x, wide).copy() for x in (mean + slope * half, slope))
+    season = np.stack([np.broadcast_to(data[i] - (mean + slope * (i - half)), wide) for i in range(m)])
+    sse, sae, snaive = np.zeros(wide), np.zeros(wide), np.zeros(len(series))
+    for i in range(m, len(data)):
+        v, old = data[i], season[i % m]
+        there, held = i < n, i >= n - m
+        base = level + trend
         error = v - (base + old)
-        new = w["a"] * (v - old) + (1.0 - w["a"]) * base
-        held = i >= n - m
-        return F.struct((s["sse"] + F.when(held, 0.0).otherwise(error * error)).alias("sse"), s["k"].alias("k"),
-                        new.alias("level"),
-                        (w["b"] * (new - s["level"]) + (1.0 - w["b"]) * s["trend"]).alias("trend"),
-                        F.transform(s["season"], lambda x, j: F.when(
-                            j == i % m, w["g"] * (v - new) + (1.0 - w["g"]) * x).otherwise(x)).alias("season"),
-                        (s["sae"] + F.when(held, F.abs(error)).otherwise(0.0)).alias("sae"),
-                        (s["snaive"] + F.when(held, F.abs(v - F.get(y, i - m))).otherwise(0.0)).alias("snaive"))
-
-    return F.aggregate(F.sequence(F.lit(m), n - 1), zero, step)
+        new = a * (v - old) + (1.0 - a) * base
+        season[i % m] = np.where(there, g * (v - new) + (1.0 - g) * old, old)
+        trend = np.where(there, b * (new - level) + (1.0 - b) * trend, trend)
+        level = np.where(there, new, level)
+        sse += np.where(there & ~held, error * error, 0.0)
+        sae += np.where(there & held, np.abs(error), 0.0)
+        snaive += np.where(there & held, np.abs(v - data[i - m]), 0.0)
+    k = np.lexsort((sse, np.isnan(sse)), axis=0)[0]
+    at = np.arange(len(series))
+    return pd.DataFrame({"k": k.astype(np.int32), "level": level[k, at], "trend": trend[k, at],
+                         "season": list(season[:, k, at].T), "sae": sae[k, at], "snaive": snaive})
+
+
+def _fitted(grid: Sequence[tuple[float, float, float]], m: int, block: int = 4096):
+    weights = np.array([[float(x) for x in w] for w in grid])
+
+    @F.pandas_udf(_FIT)
+    def fit(y: pd.Series) -> pd.DataFrame:
+        long = np.flatnonzero(y.map(len).to_numpy() >= 3 * m)
+        out = pd.DataFrame({"k": np.zeros(len(y), np.int32), **{c: np.nan for c in ("level", "trend")},
+                            "season": [[]] * len(y), "sae": np.nan, "snaive": np.nan})
+        parts = [_fold([y.iloc[i] for i in long[s:s + block]], weights, m) for s in range(0, len(long), block)]
+        if parts:
+            done = pd.concat(parts).set_axis(long)
+            out = pd.concat([out.drop(index=long), done]).sort_index()
+        return out
+
+    return fit
 
 
 def seasonal_forecast(totals: DataFrame, group: Sequence[str], period: str, y: str, season: int = 12,
@@ -76,8 +100,7 @@ def seasonal_forecast(totals: DataFrame, group: Sequence[str], period: str, y: s
     weights = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(float(g)).alias("g"))
                         for a, b, g in grid])
 
-    best = F.when(F.col("n") >= 3 * m, F.array_min(F.transform(
-        weights, lambda w, k: _fold(F.col("y"), F.col("n"), w, k, m))))
+    best = F.when(F.col("n") >= 3 * m, _fitted(grid, m)("y"))
     chosen = series.withColumn("_best", best)
     fit, w = F.col("_best"), F.get(weights, F.col("_best.k"))
     ahead = chosen.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
