@@ -176,3 +176,24 @@ def test_keyed_streams_scan_no_table(spark):
     s = _source(spark, src)
     plan = newest_per_key(s, ["user_id"], "ts", "event_id", ["value"])._jdf.queryExecution().analyzed().toString()
     assert "TransformWithState" in plan and "Join" not in plan
+
+
+def test_rolling_per_event_keys_share_pieces_of_state(spark):
+    # 40 keys of two columns in 2 slots: at most 2 pieces of state a bucket, frames still per key
+    src, out, ck = (scratch_path(spark, n) for n in ("q_src", "q_out", "q_ck"))
+    data = [(i, B + dt.timedelta(minutes=i * 17 % 900), i % 20, f'k"{i % 2}', i / 4) for i in range(300)]
+    data += [(1000, B + dt.timedelta(days=1), 0, 'k"0', None)]
+    _files(spark, src, data)
+    s = _source(spark, src)
+    names = s.columns
+    r = rolling_per_event(s, [names[2], names[3]], "ts", "event_id", "value", {"1h": 3_600_000_000}, slots=2)
+    run_keyed(_sink(r, out, ck), s)
+    state = spark.read.format("statestore").option("path", ck).option("stateVarName", "pieces").load()
+    assert state.select("key").distinct().count() <= 2
+    assert r.columns == [names[2], names[3], "event_id", "ts", "count_1h", "sum_1h"]
+    expect = []
+    for i, ts, u, k, v in data[:-1]:
+        near = [x[4] for x in data if x[2:4] == (u, k) and ts - dt.timedelta(hours=1) <= x[1] <= ts]
+        expect.append((u, k, i, ts, len(near), decimal.Decimal(str(sum(near)))))
+    got = [tuple(r) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted(expect)

@@ -8,10 +8,12 @@ moves with its partition when an executor is lost.  Two processors:
   sink is an append-only log of changes, no table is scanned or rewritten.
 * :func:`rolling_per_event` emits, for each event, counts and sums over
   ``[t - L, t]`` once the watermark has passed t, so that rows out of order
-  within the delay are counted.  State is cut into (key, time bucket) pieces and
-  freed by timers: a piece lives no longer than its bucket, its longest frame and
-  the delay.  A hot key is spread over the buckets that are open at a time; the
-  rows of one key and bucket are one piece, so the bucket's length bounds it.
+  within the delay are counted.  State is cut into (hash slot of the keys, time
+  bucket) pieces and freed by timers: a piece lives no longer than its bucket, its
+  longest frame and the delay.  A state call and a timer cost far more than a row, so
+  a piece holds many keys, and their number grows with slots and buckets, not with
+  the keys.  A hot key is spread over the buckets that are open at a time; the
+  rows of one slot and bucket are one piece, so slots and the bucket's length bound it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegralType, LongType, StringType, StructField, StructType
 
 from tierline.functions import epoch_us
 from tierline.operators.sinks import _conf
@@ -107,20 +109,20 @@ def _wallclock(us: str) -> Column:
 # --- rolling counts per event --------------------------------------------------------
 
 # Columns that cross to Python have no leading underscore: the state serializer renames such.
-_PIECE = "t array<bigint>, id array<bigint>, cents array<bigint>, has array<bigint>, own array<boolean>"
+_PIECE = "t array<bigint>, id array<bigint>, cents array<bigint>, has array<bigint>, own array<boolean>, key array<{}>"
 
 
 class _Rolling(StatefulProcessor):
-    """One (key, bucket): rows of the bucket are its own; copies of rows before it are
+    """One (slot, bucket): rows of the bucket are its own; copies of rows before it are
     there for the frames that reach back."""
 
-    def __init__(self, keys: list[str], frames: dict[str, int], width: int):
-        self.keys, self.frames, self.width = keys, frames, width
+    def __init__(self, key_type: str, frames: dict[str, int], width: int):
+        self.piece, self.frames, self.width = _PIECE.format(key_type), frames, width
         self.reach = max(frames.values())
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pieces = handle.getListState("pieces", _PIECE)
+        self.pieces = handle.getListState("pieces", self.piece)
         self.mark = handle.getValueState("emitted_before", StructType([StructField("t", LongType())]))
 
     def _end(self, key) -> int:
@@ -131,7 +133,7 @@ class _Rolling(StatefulProcessor):
         for pdf in rows:
             if pdf.empty:
                 continue
-            self.pieces.appendValue(tuple(pdf[c].tolist() for c in ("tl_t", "tl_id", "tl_cents", "tl_has", "tl_own")))
+            self.pieces.appendValue(tuple(pdf[c].tolist() for c in ("tl_t", "tl_id", "tl_cents", "tl_has", "tl_own", "tl_key")))
             own = pdf.loc[pdf["tl_own"], "tl_t"]
             if len(own):
                 first = int(own.min()) if first is None else min(first, int(own.min()))
@@ -141,21 +143,29 @@ class _Rolling(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.pieces.exists():
             return
-        t, ids, cents, has, own = (np.concatenate([np.asarray(p[i]) for p in pieces])
-                                   for pieces in [list(self.pieces.get())] for i in range(5))
-        order = np.lexsort((ids, t))
-        t, ids, cents, has, own = t[order], ids[order], cents[order], has[order], own[order].astype(bool)
+        t, ids, cents, has, own, name = (np.concatenate([np.asarray(p[i]) for p in pieces])
+                                         for pieces in [list(self.pieces.get())] for i in range(6))
+        names, of = np.unique(name, return_inverse=True)
+        order = np.lexsort((ids, t, of))
+        t, ids, cents, has, own, of = (c[order] for c in (t, ids, cents, has, own.astype(bool), of))
         before = timerValues.getCurrentWatermarkInMs() * 1000
         mark = self.mark.get()[0] if self.mark.exists() else np.iinfo(np.int64).min
         due = np.flatnonzero(own & (t >= mark) & (t < before))
         if len(due):
             sums = np.concatenate([[0], np.cumsum(cents)])
             known = np.concatenate([[0], np.cumsum(has)])
-            hi = np.searchsorted(t, t[due], side="right")
-            out = {k: [v] * len(due) for k, v in zip(self.keys, key)}
-            out.update(tl_t=t[due], tl_id=ids[due])
-            for name, length in self.frames.items():
-                lo = np.searchsorted(t, t[due] - length, side="left")
+            # places in the order by (key, time): times as ranks, so that both fit one whole number
+            starts = [t[due] - length for length in self.frames.values()]
+            ranks = np.unique(np.concatenate([t, *starts]))
+
+            def place(keys, times):
+                return keys * np.int64(len(ranks)) + np.searchsorted(ranks, times)
+
+            at = place(of, t)
+            hi = np.searchsorted(at, at[due], side="right")
+            out = {"tl_key": names[of[due]], "tl_t": t[due], "tl_id": ids[due]}
+            for name, start in zip(self.frames, starts):
+                lo = np.searchsorted(at, place(of[due], start), side="left")
                 out[f"_n_{name}"] = hi - lo
                 out[f"_s_{name}"] = sums[hi] - sums[lo]
                 out[f"_k_{name}"] = known[hi] - known[lo]
@@ -167,19 +177,20 @@ class _Rolling(StatefulProcessor):
             return
         keep = t >= max(before, mark) - self.reach
         if keep.any():
-            self.pieces.put([tuple(c[keep].tolist() for c in (t, ids, cents, has, own))])
+            self.pieces.put([tuple(c[keep].tolist() for c in (t, ids, cents, has, own, names[of]))])
         else:
             self.pieces.clear()
         self.mark.update((int(max(before, mark)),))
         left = t[own & (t >= before)]
-        self.handle.registerTimer(int(left[0] if len(left) else end) // 1000)
+        self.handle.registerTimer(int(left.min() if len(left) else end) // 1000)
 
     def close(self) -> None:
         pass
 
 
 def rolling_per_event(stream: DataFrame, keys: Sequence[str], ts: str, event_id: str, value: str,
-                      frames: Mapping[str, int], delay: str = "1 hour", bucket_us: int | None = None) -> DataFrame:
+                      frames: Mapping[str, int], delay: str = "1 hour", bucket_us: int | None = None,
+                      slots: int = 1024) -> DataFrame:
     """Per event: keys, event_id, ts and for each (name, length in microseconds) of ``frames``
     ``count_<name>`` and ``sum_<name>`` (exact decimal(18,2), NULL without any value) over the
     key's events in [t - length, t], as the batch ``rolling_frames`` has them.
@@ -188,7 +199,8 @@ def rolling_per_event(stream: DataFrame, keys: Sequence[str], ts: str, event_id:
     is beyond it; a row that arrives behind the watermark is dropped as late.  An event near the
     end of its bucket (``bucket_us``, a week or the longest frame) is copied once into the next
     one.  ``event_id`` is a whole number; repeated rows count as often as they come.  Rows
-    without a key, time or id are left out."""
+    without a key, time or id are left out.  Keys share ``slots`` hash slots: a piece of state holds a
+    slot's rows of one bucket, so a stream with more than some 50 million rows a bucket needs more."""
     reach = max(frames.values())
     width = max(bucket_us or 7 * 86_400_000_000, reach)
     timed = with_event_time(stream.filter(F.col(ts).isNotNull()), ts).withWatermark(ts, delay)
@@ -199,15 +211,27 @@ def rolling_per_event(stream: DataFrame, keys: Sequence[str], ts: str, event_id:
         rows = rows.filter(F.col(c).isNotNull())
     home = F.floor(F.col("tl_t") / F.lit(width)).cast("long")
     last = F.floor((F.col("tl_t") + reach) / F.lit(width)).cast("long")
+    # one whole-number key crosses as it is, others as one JSON string
+    plain = len(keys) == 1 and isinstance(rows.schema[keys[0]].dataType, IntegralType)
+    key_type = "bigint" if plain else "string"
+    packed = F.col(keys[0]).cast("long") if plain else F.to_json(F.struct(*keys), _JSON)
+    rows = rows.withColumn("tl_slot", F.pmod(F.xxhash64(*keys), F.lit(slots))).withColumn("tl_key", packed).drop(
+        *[k for k in keys if k != ts])
     spread = rows.withColumn("_home", home).withColumn("_b", F.explode(F.sequence("_home", last))) \
         .withColumn("tl_own", F.col("_b") == F.col("_home")).drop("_home")
-    out = StructType([*[rows.schema[k] for k in keys], StructField("tl_t", LongType()), StructField("tl_id", LongType()),
-                      *[StructField(f"_{p}_{n}", LongType()) for n in frames for p in "nsk"]])
-    told = spread.groupBy(*keys, "_b").transformWithStateInPandas(
-        statefulProcessor=_Rolling(list(keys), dict(frames), width), outputStructType=out, outputMode="Append",
+    key_schema = stream.select(*keys).schema
+    out = StructType([StructField("tl_key", LongType() if plain else StringType()), StructField("tl_t", LongType()),
+                      StructField("tl_id", LongType()), *[StructField(f"_{p}_{n}", LongType()) for n in frames for p in "nsk"]])
+    told = spread.groupBy("tl_slot", "_b").transformWithStateInPandas(
+        statefulProcessor=_Rolling(key_type, dict(frames), width), outputStructType=out, outputMode="Append",
         timeMode="EventTime")
     cols = []
     for n in frames:
         money = F.when(F.col(f"_k_{n}") > 0, (F.col(f"_s_{n}").cast("decimal(20,0)") / 100).cast("decimal(18,2)"))
         cols += [F.col(f"_n_{n}").alias(f"count_{n}"), money.alias(f"sum_{n}")]
-    return told.select(*keys, F.col("tl_id").alias(event_id), _wallclock("tl_t").alias(ts), *cols)
+    if plain:
+        back = [F.col("tl_key").cast(key_schema[0].dataType).alias(keys[0])]
+    else:
+        told = told.withColumn("_key", F.from_json("tl_key", key_schema, _JSON))
+        back = [F.col(f"_key.{k}").alias(k) for k in keys]
+    return told.select(*back, F.col("tl_id").alias(event_id), _wallclock("tl_t").alias(ts), *cols)
