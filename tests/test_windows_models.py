@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tierline.functions import epoch_us
 from tierline.operators.gold import price_elasticity
 from tierline.operators.models import (
-    auc, feature_importances, fit_model, knn_exact, outlier_scores, per_group_least_squares, predict,
+    _nearest, auc, feature_importances, fit_model, knn_exact, outlier_scores, per_group_least_squares, predict,
     regression_metrics, save_model, scaled_vectors, score_saved_model, stratified_split, train_test_split,
 )
 from tierline.operators.ranking import exact_quantile, hash_bucket, kth_smallest, range_bucket, running_total
@@ -341,3 +342,27 @@ def test_elasticity_shrinks_noisy_groups_to_their_category(spark):
     assert sum(abs(got[g]["elasticity"] + 1.1) for g in range(20, 30)) < sum(abs(got[g]["slope"] + 1.1) for g in range(20, 30))
     assert got[30]["elasticity"] == mean and got[30]["weight"] == 0
     assert got[31]["elasticity"] is None and got[32]["elasticity"] is None and got[31]["n_sales"] == 0
+
+
+def test_knn_blocks_are_sized_by_their_bytes(spark):
+    # 30,000 short vectors: copies to a few cells, not one for every 4,096 rows
+    df = spark.range(30_000).selectExpr("id", "array(CAST(id % 97 AS FLOAT)) AS v")
+    plan = knn_exact(df, "id", "v")._jdf.queryExecution().analyzed().toString()
+    blocks = [int(n) for n in re.findall(r"sequence\(0, (\d+)", plan)]
+    assert len(blocks) == 2 and (blocks[0] + 1) * (blocks[1] + 1) <= 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("chunk", [3, 50, 1000])
+def test_nearest_by_chunks_equals_brute_force(chunk):
+    rng = np.random.default_rng(5)
+    t = rng.integers(0, 4, size=(200, 3)).astype(float)          # many ties
+    tid = np.repeat(np.arange(100), 2)                           # ids come twice
+    q, qid = t[:30], tid[:30]
+    got = list(_nearest(q, qid, t, tid, 7, True, chunk))
+    assert len(got) == 1
+    for i in range(30):
+        d = np.sqrt(((t - q[i]) ** 2).sum(axis=1))
+        order = [j for j in np.lexsort((tid, d)) if tid[j] != qid[i]][:7]
+        mine = got[0][0] == i
+        assert [tid[j] for j in got[0][1][mine]] == [tid[j] for j in order]
+        assert list(got[0][2][mine]) == list(d[order])

@@ -263,25 +263,49 @@ def scaled_vectors(items: DataFrame, vec_col: str, *others: DataFrame) -> list[D
     return [scaled(d) for d in (items, *others)]
 
 
-def _nearest(q: np.ndarray, qid: np.ndarray, t: np.ndarray, tid: np.ndarray, k: int, skip_self: bool):
+def _nearest(q: np.ndarray, qid: np.ndarray, t: np.ndarray, tid: np.ndarray, k: int, skip_self: bool, chunk: int = 4096):
     """(query row, item row, distance) of the k best per query: distances by matrix
-    product first, then exactly for all items up to a rounding margin of the k-th."""
+    product first, then exactly for all items up to a rounding margin of the k-th.  Items
+    come in chunks; after the first, only those within the k-th found so far are looked at."""
     tt = (t * t).sum(axis=1)
     for start in range(0, len(q), 256):
-        part = q[start:start + 256]
+        part, pid = q[start:start + 256], qid[start:start + 256]
         qq = (part * part).sum(axis=1)
-        near = qq[:, None] + tt[None, :] - 2.0 * (part @ t.T)
-        if skip_self:
-            near[qid[start:start + 256][:, None] == tid[None, :]] = np.inf
-        kk = min(k, near.shape[1])
-        kth = np.partition(near, kk - 1, axis=1)[:, kk - 1]
         margin = 1e-9 * (qq + tt.max(initial=0.0) + 1.0)
-        rows, cols = np.nonzero((near <= (kth + margin)[:, None]) & np.isfinite(near))
+        bound = np.full(len(part), np.inf)
+        rows, cols, found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for at in range(0, len(t), chunk):
+            near = part @ t[at:at + chunk].T
+            near *= -2.0
+            near += tt[at:at + chunk]
+            near += qq[:, None]
+            if at == 0:
+                if skip_self:
+                    near[pid[:, None] == tid[None, :chunk]] = np.inf
+                kk = min(k, near.shape[1])
+                limit = np.partition(near, kk - 1, axis=1)[:, kk - 1] + margin if kk == k else bound
+            else:
+                limit = bound
+            r, c = np.nonzero(near <= limit[:, None])
+            new = near[r, c]
+            fit = np.isfinite(new)
+            if skip_self:
+                fit &= pid[r] != tid[c + at]
+            if not fit.any():
+                continue
+            rows, cols = np.concatenate([rows, r[fit]]), np.concatenate([cols, c[fit] + at])
+            found = np.concatenate([found, new[fit]])
+            order = np.lexsort((found, rows))
+            rows, cols, found = rows[order], cols[order], found[order]
+            kth = np.flatnonzero(np.arange(len(rows)) - np.searchsorted(rows, rows) == k - 1)
+            bound[rows[kth]] = found[kth] + margin[rows[kth]]
+            keep = found <= bound[rows]
+            rows, cols, found = rows[keep], cols[keep], found[keep]
         d = np.sqrt(((part[rows] - t[cols]) ** 2).sum(axis=1))
         order = np.lexsort((tid[cols], d, rows))
         rows, cols, d = rows[order], cols[order], d[order]
         first = np.searchsorted(rows, rows)          # place of the query's first candidate
-        best = np.arange(len(rows)) - first < kk
+        best = np.arange(len(rows)) - first < k
         yield rows[best] + start, cols[best], d[best]
 
 
@@ -291,30 +315,35 @@ def _finite(vec: str) -> Column:
     return F.col(vec).isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
-def knn_exact(items: DataFrame, id_col: str, vec_col: str, k: int = 10, block_rows: int = 4096,
+def knn_exact(items: DataFrame, id_col: str, vec_col: str, k: int = 10, block_rows: int | None = None,
               exclude_self: bool = True, queries: DataFrame | None = None) -> DataFrame:
     """Exact k nearest items (Euclidean) of every query (default: of every item).
 
-    Queries and items are hashed into blocks of about ``block_rows``.  Cell (q, i)
+    Queries and items are hashed into blocks of about ``block_rows`` (default: 16 MB of
+    doubles, so that copies and candidates, which fall with a block's rows, stay few).  Cell (q, i)
     holds query block q and item block i; a pandas task per cell multiplies the two
     blocks as matrices and keeps each query's k best; a final per-query step keeps
     the k best of its candidates.  Items are copied once per query block and queries
     once per item block: for a bounded query set that is linear in the items, for a
     full self-join it is the inherent quadratic work.  Vectors that are NULL or hold a
     NULL or non-finite component take no part; vectors of unequal length raise."""
-    base = items.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")) \
-        .filter(_finite("_v"))
-    asked = base if queries is None else queries.select(
-        F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).filter(_finite("_v"))
+    def vectors(df: DataFrame) -> DataFrame:
+        # floats are copied as they are and widened in the task
+        v = F.col(vec_col) if dict(df.dtypes)[vec_col] == "array<float>" else F.col(vec_col).cast("array<double>")
+        return df.select(F.col(id_col).alias("_id"), v.alias("_v")).filter(_finite("_v"))
+
+    base = vectors(items)
+    asked = base if queries is None else vectors(queries)
     sizes = [df.agg(F.count("*").alias("n"), F.min(F.size("_v")).alias("lo"), F.max(F.size("_v")).alias("hi")).first()
              for df in ([base] if queries is None else [base, asked])]
     if len({x for r in sizes for x in (r["lo"], r["hi"]) if x is not None}) > 1:
         raise ValueError(f"{vec_col} holds vectors of unequal length")
     n_items, n_queries = sizes[0]["n"], sizes[-1]["n"]
-    # at least as many cells as task slots, so small inputs still fan out
-    slots = items.sparkSession.sparkContext.defaultParallelism
-    item_blocks = max(1, math.ceil(n_items / block_rows), math.ceil(math.sqrt(slots)))
-    query_blocks = max(1, math.ceil(n_queries / block_rows), math.ceil(math.sqrt(slots)))
+    block_rows = block_rows or max(1024, (16 << 20) // (8 * max(1, sizes[0]["hi"] or 1)))
+    # few item blocks, for few candidates; a few cells per task slot, so small inputs still fan out
+    item_blocks = max(1, math.ceil(n_items / block_rows))
+    cells = 3 * items.sparkSession.sparkContext.defaultParallelism
+    query_blocks = max(math.ceil(n_queries / block_rows), math.ceil(cells / item_blocks))
     h = F.abs(F.xxhash64("_id"))
     left = asked.select("_id", "_v", (h % query_blocks).alias("_q"),
                         F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)).cast("array<bigint>")).alias("_i"),
@@ -329,7 +358,8 @@ def knn_exact(items: DataFrame, id_col: str, vec_col: str, k: int = 10, block_ro
         if qd.empty or td.empty:
             return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
         qid, tid = qd["_id"].to_numpy(), td["_id"].to_numpy()
-        found = list(_nearest(np.stack(qd["_v"].to_numpy()), qid, np.stack(td["_v"].to_numpy()), tid, k, exclude_self))
+        qv, tv = (np.stack(d["_v"].to_numpy()).astype(np.float64, copy=False) for d in (qd, td))
+        found = list(_nearest(qv, qid, tv, tid, k, exclude_self))
         return pd.DataFrame({"query_id": np.concatenate([qid[r] for r, _, _ in found]),
                              "neighbor_id": np.concatenate([tid[c] for _, c, _ in found]),
                              "distance": np.concatenate([d for _, _, d in found])})
