@@ -100,7 +100,7 @@ def assign(distinct: DataFrame, cells: dict[int, np.ndarray], t: float = COSINE)
                 if rows:
                     yield g.iloc[np.concatenate(rows)].assign(cell=np.concatenate(cols), host=False)
 
-    schema = "label string, dim int, node long, m long, v array<double>, cell int, host boolean"
+    schema = f"label {dict(distinct.dtypes)['label']}, dim int, node long, m long, v array<double>, cell int, host boolean"
     return distinct.select("label", "dim", "node", "m", "v").mapInPandas(place, schema)
 
 
