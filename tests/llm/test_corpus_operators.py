@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,49 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, k, num, small_
     assert got == _join_truth(rows, k, num, 100)
 
 
+def _near_copies(m):
+    """Edits of one text, about half of the pairs linked at 0.8; and m // 20 farther ones."""
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(m):
+        w = list(base)
+        for at in r.sample(range(300), r.randint(2, 5) if i % 20 else 9):
+            w[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_candidates_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+    plain = jj._met
+
+    def counted(*args):
+        for batch in plain(*args):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(jj, "_met", counted)
+    count = []
+    for m in (40, 160):
+        rows, before = _near_copies(m), made.value
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jj.linked_documents(df, 5, 80, 100).collect())
+        assert got == sorted(_join_truth(rows, 5, 80, 100))
+        count.append(made.value - before)
+    assert 0 < count[1] < 7 * count[0], count
+
+
+def test_closest_of_another_component_is_named():
+    maps = [jj.parity_bitmap(np.arange(n, n + 100, dtype=np.int64) << 20) for n in (0, 1, 2, 4, 5)]
+    rows = pa.table({"member": [7] * 5, "i": [0] * 5, "j": [0] * 5, "block": [0] * 5, "sid": [10, 11, 12, 13, 14],
+                     "n": [100] * 5, "pos": [0] * 5, "comp": [1, 2, 1, 1, 3], "bitmap": maps})
+    pairs = lambda **kw: sorted((a, b) for x in jj._met(rows, 80, 100, None, **kw)
+                                for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist()))
+    assert pairs(closest=True) == [(10, 11), (13, 14)]
+    assert pairs() == [(10, 11), (10, 14), (11, 12), (11, 13), (11, 14), (12, 14), (13, 14)]
+
+
 def test_jaccard_of_odd_documents(spark, clashing, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in clashing.collect()]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jj.linked_documents(clashing, 3, 90, 100).collect()),

@@ -19,8 +19,9 @@ they share at least c(|A|, |B|) = ceil(num (|A| + |B|) / (num + den)) members.
 Pairs of a list pass exact filters (sizes; places in the order; a bitmap of
 parities whose differing bits bound the symmetric difference, first a short one,
 then one as wide as the set is large) before their sets are fetched and compared.  To keep groups of copies linear, a first round tries
-each list's entries against a few leaders; the second compares only entries whose
-components still differ.  Long lists are dealt into blocks, pairs of blocks being
+each list's entries against a few leaders; in the next ones an entry names only the
+closest of another component, until no such pair links; the last one compares all
+entries whose components still differ, with finer bitmaps.  Long lists are dealt into blocks, pairs of blocks being
 groups of bounded size; so are the candidates' sets when they are compared.
 Nothing is capped: every pair that can link is compared or already connected.
 """
@@ -28,6 +29,7 @@ Nothing is capped: every pair that can link is compared or already connected.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from itertools import combinations
 
@@ -99,14 +101,19 @@ def wide_bits(n: int) -> int:
 
 def differing_bits(a: bytes, b: bytes) -> int:
     """Differing parities of two bitmaps; the longer one is folded to the shorter."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    while len(x) > len(y):
-        x = x[:len(x) // 2] ^ x[len(x) // 2:]
-    while len(y) > len(x):
-        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    bits = 8 * min(len(a), len(b))
+    x, y = (np.frombuffer(folded(v, bits), dtype=np.uint64) for v in (a, b))
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def folded(bitmap: bytes, bits: int) -> bytes:
+    """The bitmap of so many bits, from a longer one."""
+    x = np.frombuffer(bitmap, dtype=np.uint64)
+    while len(x) * 64 > bits:
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return x.tobytes()
+
+
 def _ordered(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Rare members first, by hash within."""
     if not len(frequent):
@@ -191,9 +198,11 @@ def _light_links(sets: DataFrame, boundary: int, num: int, den: int) -> DataFram
         .select("a", F.col("sid").alias("b")).distinct()
 
 
-def _list_pairs(entries: DataFrame, num: int, den: int, leaders: int | None) -> DataFrame:
+def _list_pairs(entries: DataFrame, num: int, den: int, leaders: int | None = None,
+                closest: int | None = None) -> DataFrame:
     """Candidate pairs (a, b) of lists: each entry against the first ``leaders`` of
-    its list, or against all whose component differs."""
+    its list, or against the ``closest`` one of its block (the number deals the
+    blocks), or against all; only of differing components."""
     def meet(batches):
         held = None
         for batch in batches:
@@ -203,36 +212,52 @@ def _list_pairs(entries: DataFrame, num: int, den: int, leaders: int | None) ->
             change = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in key])) + 1
             if not len(change):
                 continue
-            yield from _met(held.slice(0, int(change[-1])), num, den, leaders)
+            yield from _met(held.slice(0, int(change[-1])), num, den, leaders, closest is not None)
             held = held.slice(int(change[-1]))
         if held is not None and held.num_rows:
-            yield from _met(held, num, den, leaders)
+            yield from _met(held, num, den, leaders, closest is not None)
 
-    block = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
+    block = F.pmod(F.xxhash64("sid", *([] if closest is None else [F.lit(closest)])), F.col("nb")).cast("int")
     dealt = entries.withColumn("nb", F.ceil(F.col("df") / LIST_BLOCK).cast("int")).withColumn("block", block)
     others = F.sequence(F.lit(0), F.col("nb") - 1)
     met = F.transform(others, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     if leaders is not None:        # leaders stand in the first block
         met = F.filter(met, lambda p: p["i"] == 0)
-    cols = ["member", "sid", "n", "pos", "comp", "bitmap", "block"]
+    elif closest is not None:      # no row is sent twice
+        met = F.filter(met, lambda p: p["i"] == p["j"])
+    cols = ["member", "sid", "n", "pos", "comp", "bitmap", "block"] + ["finer"] * ("finer" in entries.columns)
     spread = dealt.select(*cols, F.explode(met).alias("p")).select(*cols, "p.i", "p.j")
     ordered = spread.repartition("member", "i", "j").sortWithinPartitions("member", "i", "j", "block", "sid")
     return ordered.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _met(rows: pa.Table, num: int, den: int, leaders: int | None):
+def _met(rows: pa.Table, num: int, den: int, leaders: int | None, closest: bool = False):
     """Filtered pairs of complete lists (or pairs of blocks), as record batches."""
     member, i, j, block, sid, n, pos, comp = (
         rows.column(c).to_numpy() for c in ("member", "i", "j", "block", "sid", "n", "pos", "comp"))
     bitmap = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), dtype=np.uint64).reshape(-1, _BITMAP // 8)
+    finer = None
+    if "finer" in rows.column_names:   # null for the small sets, which need none
+        finer = np.frombuffer(b"".join(x or bytes(2 * _BITMAP) for x in rows.column("finer").to_pylist()),
+                              dtype=np.uint64).reshape(-1, _BITMAP // 4)
     total = len(sid)
     first = np.concatenate(([True], (member[1:] != member[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
     start = np.flatnonzero(first)
     stop = np.concatenate((start[1:], [total]))
     group = np.cumsum(first) - 1
-    ahead = stop[group] - np.arange(total) - 1
-    if leaders is not None:
-        ahead = np.where(np.arange(total) - start[group] < leaders, ahead, 0)
+    if leaders is None:                # by component: an entry meets those behind its component
+        order = np.lexsort((comp, group))
+        i, j, block, sid, n, pos, comp, bitmap = (x[order] for x in (i, j, block, sid, n, pos, comp, bitmap))
+        finer = None if finer is None else finer[order]
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (comp[1:] != comp[:-1])))
+        run = np.cumsum(new) - 1
+        behind = np.concatenate((np.flatnonzero(new)[1:], [total]))[run]
+        ahead = stop[group] - behind
+    else:
+        behind = np.arange(total) + 1
+        ahead = np.where(np.arange(total) - start[group] < leaders, stop[group] - behind, 0)
+    if closest:
+        best = np.full(total, np.iinfo(np.int64).max)
     upto = np.cumsum(ahead)
     at = 0
     while at < total:
@@ -240,7 +265,7 @@ def _met(rows: pa.Table, num: int, den: int, leaders: int | None):
         end = max(at + 1, int(np.searchsorted(upto, base + PAIR_SLICE, side="right")))
         k = ahead[at:end]
         a = np.repeat(np.arange(at, end), k)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+        b = np.repeat(behind[at:end], k) + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
         at = end
         ok = (comp[a] != comp[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
         a, b = a[ok], b[ok]
@@ -248,11 +273,30 @@ def _met(rows: pa.Table, num: int, den: int, leaders: int | None):
         need = overlap(na, nb, num, den)
         ok = (np.minimum(na, nb) >= need) & (np.minimum(na - pos[a], nb - pos[b]) >= need)
         a, b, spare = a[ok], b[ok], (na + nb - 2 * need)[ok]
-        ok = np.bitwise_count(bitmap[a] ^ bitmap[b]).sum(axis=1) <= spare
-        if ok.any():
-            low, high = np.minimum(sid[a[ok]], sid[b[ok]]), np.maximum(sid[a[ok]], sid[b[ok]])
-            found = np.unique(np.stack([low, high], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        over = np.bitwise_count(bitmap[a] ^ bitmap[b]).sum(axis=1).astype(np.int64) - spare
+        ok = over <= 0
+        if finer is not None:
+            a, b, spare = a[ok], b[ok], spare[ok]
+            ok = (np.bitwise_count(finer[a] ^ finer[b]).sum(axis=1) <= spare) | (np.minimum(n[a], n[b]) <= BITS // 2)
+        if closest:
+            far = (over[ok] + (1 << 31)) * total
+            np.minimum.at(best, a[ok], far + b[ok])
+            np.minimum.at(best, b[ok], far + a[ok])
+        elif ok.any():
+            yield _pair_batch(sid[a[ok]], sid[b[ok]])
+    if closest:
+        # every component but the largest of a list names its entries' closest
+        size = np.bincount(run)[run]
+        largest = np.zeros(len(start), dtype=np.int64)
+        np.maximum.at(largest, group, size * total + run)
+        named = np.flatnonzero((best != np.iinfo(np.int64).max) & (largest[group] % total != run))
+        if len(named):
+            yield _pair_batch(sid[named], sid[best[named] % total])
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -346,6 +390,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: i
     return stash(sent.unionByName(asked).groupBy("i", "j").applyInPandas(compare, "a long, b long"), "links")
 
 
+def _open_entries(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists with more than one component; ``comp`` is an entry's."""
+    comp = entries.drop("comp").join(roots.withColumnRenamed("node", "sid"), "sid", "left") \
+        .withColumn("comp", F.coalesce("root", "sid")).drop("root")
+    open_lists = comp.groupBy("member").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
+        .filter("lo < hi").select("member")
+    return comp.join(open_lists, "member")
+
+
+def _finer_maps(sets: DataFrame, entries: DataFrame) -> DataFrame:
+    """Bitmaps of the sets in ``entries``, and of twice the bits where a set needs them."""
+    @F.pandas_udf("binary")
+    def finer(wide: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None else folded(w, 2 * BITS) for w in wide], dtype=object)
+
+    return sets.join(entries.select("sid").distinct(), "sid", "left_semi") \
+        .select("sid", "bitmap", finer("wide").alias("finer"))
+
+
 def linked_documents(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """Per row: doc_id, ``digest`` of its set, ``n_shingles``, ``root`` (a number of
@@ -382,13 +445,19 @@ def linked_documents(docs: DataFrame, k: int, num: int, den: int, id_col: str =
     tried = _list_pairs(entries.withColumn("comp", F.col("sid")).join(maps, "sid"), num, den, LEADERS)
     links = stash(links.unionByName(_verified(tried, sets, rows, k, num, den)), "links")
     roots = connected_components(links)
-    comp = entries.join(roots.withColumnRenamed("node", "sid"), "sid", "left") \
-        .withColumn("comp", F.coalesce("root", "sid")).drop("root")
-    open_lists = comp.groupBy("member").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-        .filter("lo < hi").select("member")
-    rest = _list_pairs(comp.join(open_lists, "member").join(maps, "sid"), num, den, None)
-    links = links.unionByName(_verified(rest, sets, rows, k, num, den))
-    roots = connected_components(links)
+    entries = entries.filter(F.col("df") > LEADERS + 1)        # the leaders met all of a shorter list
+    for turn in itertools.count():
+        entries = stash(_open_entries(entries, roots), "open")
+        if entries.isEmpty():
+            break
+        found = _verified(_list_pairs(entries.join(maps, "sid"), num, den, closest=turn), sets, rows, k, num, den)
+        if found.isEmpty():
+            rest = _list_pairs(entries.join(_finer_maps(sets, entries), "sid"), num, den)
+            links = links.unionByName(_verified(rest, sets, rows, k, num, den))
+            roots = connected_components(links)
+            break
+        links = links.unionByName(found)
+        roots = connected_components(links)
 
     named = sets.select("sid", "digest", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left") \
         .withColumn("root", F.coalesce("root", "sid"))
