@@ -245,6 +245,40 @@ def test_closest_of_another_component_is_named():
     assert pairs() == [(10, 11), (10, 14), (11, 12), (11, 13), (11, 14), (12, 14), (13, 14)]
 
 
+def _tasks_of(spark, group, work):
+    """Tasks of all stages that ``work()`` ran."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """A small graph's rounds do not start a task for each of many shuffle partitions."""
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
+    r.shuffle(edges)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+        got = []
+        tasks = _tasks_of(spark, "few-edges", lambda: got.extend(connected_components(df).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)} | {200: 200, 201: 200}
+    assert {x["node"]: x["root"] for x in got} == want and len(got) == len(want)
+    assert tasks < 1500, tasks
+
+
 def test_jaccard_of_odd_documents(spark, clashing, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in clashing.collect()]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jj.linked_documents(clashing, 3, 90, 100).collect()),

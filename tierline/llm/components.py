@@ -6,7 +6,7 @@ to the smaller ones and to itself.  Repeated, every component becomes a star
 around its smallest vertex in a logarithmic number of rounds.  A round is two
 aggregations with map-side combine and two equi-joins, so a hub is split like any
 skewed join key; each round's edges are written to the shared scratch folder and
-only their number and checksum come to the driver.
+only their number, and that of the vertices not yet in a star, come to the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tierline.llm.frames import stash
+from tierline.llm.frames import dealer, stash
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,29 +24,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     no rows."""
     ends = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     now = stash(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    state = _state(now)
-    while state[0]:
+    deal = dealer(now.count())
+    while not _stars(now, deal):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = deal(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        # one row per edge: rows that repeat need no shuffle of their own
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = deal(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").select(
             F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")) \
             .select("e.u", "e.v").filter("u <> v").distinct()
-        now = stash(small, "cc")
-        after = _state(now)
-        if after == state:
-            break
-        state = after
+        now = stash(deal(small), "cc")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")) \
         .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number and order-free checksum of the edges."""
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _stars(edges: DataFrame, deal) -> bool:
+    """Whether every larger end of the edges (u > v) has one smaller end, which has none itself."""
+    ends = edges.select(F.col("u").alias("node"), "v", F.lit(False).alias("low")) \
+        .unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("v"), F.lit(True).alias("low")))
+    of_node = deal(ends.groupBy("node").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("low").alias("low")))
+    return of_node.filter("lo < hi OR (lo IS NOT NULL AND low)").agg(F.count("*")).first()[0] == 0
 
 
 class LocalForest:

@@ -22,6 +22,22 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of at most so many rows are dealt to fewer tasks than the session's shuffle
+#: partitions: so many rows each, but ``FEW_TASKS`` tasks at least.
+FEW_ROWS, TASK_ROWS, FEW_TASKS = 200_000, 5_000, 8
+
+
+def dealer(rows: int):
+    """A function that puts a DataFrame of about ``rows`` rows into few tasks behind a
+    shuffle; it leaves one of more than ``FEW_ROWS`` rows as it is.
+
+    Iterative operators make many small tables; with a task of each for every shuffle
+    partition the tasks' overhead would take most of the time.
+    """
+    tasks = max(FEW_TASKS, -(-rows // TASK_ROWS))
+    return (lambda df: df.coalesce(tasks)) if rows <= FEW_ROWS else (lambda df: df)
+
+
 _HELD: dict = {}
 
 

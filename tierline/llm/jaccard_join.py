@@ -20,9 +20,10 @@ Pairs of a list pass exact filters (sizes; places in the order; a bitmap of
 parities whose differing bits bound the symmetric difference, first a short one,
 then one as wide as the set is large) before their sets are fetched and compared.  To keep groups of copies linear, a first round tries
 each list's entries against a few leaders; in the next ones an entry names only the
-closest of another component, until no such pair links; the last one compares all
-entries whose components still differ, with finer bitmaps.  Long lists are dealt into blocks, pairs of blocks being
-groups of bounded size; so are the candidates' sets when they are compared.
+closest of another component, while a fair part of these pairs links; the last one
+compares all entries whose components still differ, with finer bitmaps.  Long lists
+are dealt into blocks, pairs of blocks being groups of bounded size; so are the
+candidates' sets when they are compared.
 Nothing is capped: every pair that can link is compared or already connected.
 """
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tierline.llm.components import connected_components
-from tierline.llm.frames import held, stash
+from tierline.llm.frames import FEW_TASKS, dealer, held, stash
 from tierline.llm.shingles import mix, shingle_sets
 
 #: Members listed more often are frequent; at most so many of them are told to all
@@ -51,6 +52,8 @@ MAX_LIGHT, LIST_BLOCK, LEADERS, CLUSTER_MEMBERS, BITS = 24, 2048, 4, 1_000_000,
 #: Rows of an id table up to which it is sent to all tasks instead of shuffling texts.
 SMALL_ROWS = 500_000
 PAIR_SLICE = 1 << 17
+#: Entries name their closest again while at least one of so many of these pairs links.
+NAMED_PER_LINK = 4
 
 _BITMAP = BITS // 8
 
@@ -198,11 +201,12 @@ def _light_links(sets: DataFrame, boundary: int, num: int, den: int) -> DataFram
         .select("a", F.col("sid").alias("b")).distinct()
 
 
-def _list_pairs(entries: DataFrame, num: int, den: int, leaders: int | None = None,
+def _list_pairs(entries: DataFrame, maps: DataFrame, deal, num: int, den: int, leaders: int | None = None,
                 closest: int | None = None) -> DataFrame:
     """Candidate pairs (a, b) of lists: each entry against the first ``leaders`` of
     its list, or against the ``closest`` one of its block (the number deals the
-    blocks), or against all; only of differing components."""
+    blocks), or against all; only of differing components.  ``maps`` has the
+    entries' bitmaps; ``deal`` puts as many rows as entries into tasks."""
     def meet(batches):
         held = None
         for batch in batches:
@@ -218,6 +222,7 @@ def _list_pairs(entries: DataFrame, num: int, den: int, leaders: int | None = No
             yield from _met(held, num, den, leaders, closest is not None)
 
     block = F.pmod(F.xxhash64("sid", *([] if closest is None else [F.lit(closest)])), F.col("nb")).cast("int")
+    entries = deal(entries.join(maps, "sid"))
     dealt = entries.withColumn("nb", F.ceil(F.col("df") / LIST_BLOCK).cast("int")).withColumn("block", block)
     others = F.sequence(F.lit(0), F.col("nb") - 1)
     met = F.transform(others, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
@@ -227,8 +232,8 @@ def _list_pairs(entries: DataFrame, num: int, den: int, leaders: int | None = No
         met = F.filter(met, lambda p: p["i"] == p["j"])
     cols = ["member", "sid", "n", "pos", "comp", "bitmap", "block"] + ["finer"] * ("finer" in entries.columns)
     spread = dealt.select(*cols, F.explode(met).alias("p")).select(*cols, "p.i", "p.j")
-    ordered = spread.repartition("member", "i", "j").sortWithinPartitions("member", "i", "j", "block", "sid")
-    return ordered.mapInArrow(meet, "a long, b long").distinct()
+    ordered = deal(spread.repartition("member", "i", "j")).sortWithinPartitions("member", "i", "j", "block", "sid")
+    return deal(ordered.mapInArrow(meet, "a long, b long").distinct())
 
 
 def _met(rows: pa.Table, num: int, den: int, leaders: int | None, closest: bool = False):
@@ -316,8 +321,8 @@ def _narrowed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         .filter(possible.asNondeterministic()("n_a", "n_b", "w_a", "w_b")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs that link, thinned within a task to a spanning forest.
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, int]:
+    """The pairs that link, thinned within a task to a spanning forest; and the number of all pairs.
 
     Sets are dealt into blocks of about ``CLUSTER_MEMBERS`` set members, next to
     their smallest partner (a star of a leader and its list is one block); a
@@ -326,27 +331,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: i
     each, and is fetched once.
     """
     spark = pairs.sparkSession
-    pairs = stash(_narrowed(stash(pairs, "met"), sets, num, den), "pairs")
+    met = stash(pairs, "met")
+    named = met.count()
+    deal = dealer(named)
+    pairs = stash(deal(_narrowed(met, sets, num, den)), "pairs")
     if pairs.isEmpty():
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "a long, b long"), named
     ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    wanted = stash(ends.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.col("sid")).alias("star"))
-                   .join(sets.select("sid", "rep", "digest", "n"), "sid"), "wanted")
+    wanted = stash(deal(deal(ends.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.col("sid")).alias("star")))
+                        .join(sets.select("sid", "rep", "digest", "n"), "sid")), "wanted")
     total = wanted.agg(F.sum("n")).first()[0]
     blocks = max(1, math.ceil(total / CLUSTER_MEMBERS))
-    stars = wanted.groupBy("star").agg(F.ceil(F.sum("n") / CLUSTER_MEMBERS).cast("int").alias("parts"))
+    stars = deal(wanted.groupBy("star").agg(F.ceil(F.sum("n") / CLUSTER_MEMBERS).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("sid"), F.col("parts"))
-    place = stash(wanted.join(stars, "star").withColumn(
+    place = stash(deal(wanted.join(stars, "star").withColumn(
         "block", F.pmod(F.xxhash64("star", part), F.lit(blocks)).cast("int"))
-        .select("sid", "rep", "digest", "block"), "placed")
+        .select("sid", "rep", "digest", "block")), "placed")
 
     of_a = place.select(F.col("sid").alias("a"), F.col("block").alias("x"))
     of_b = place.select(F.col("sid").alias("b"), F.col("block").alias("y"))
-    asked = stash(pairs.join(of_a, "a").join(of_b, "b").select(
-        F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "asked")
-    needed = stash(asked.select("i", "j", F.col("a").alias("sid"))
-                   .unionByName(asked.select("i", "j", F.col("b").alias("sid"))).distinct(), "needed")
-    asks = needed.groupBy("sid").agg(F.collect_list(F.struct("i", "j")).alias("groups")).join(place, "sid")
+    asked = stash(deal(pairs.join(of_a, "a").join(of_b, "b").select(
+        F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b")), "asked")
+    needed = stash(deal(asked.select("i", "j", F.col("a").alias("sid"))
+                        .unionByName(asked.select("i", "j", F.col("b").alias("sid"))).distinct()), "needed")
+    asks = deal(needed.groupBy("sid").agg(F.collect_list(F.struct("i", "j")).alias("groups"))).join(place, "sid")
     if needed.count() <= SMALL_ROWS:
         asks = F.broadcast(asks)
     fetched = docs.join(asks, F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -387,16 +395,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: i
                 out.append((a, b))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return stash(sent.unionByName(asked).groupBy("i", "j").applyInPandas(compare, "a long, b long"), "links")
+    found = sent.unionByName(asked).groupBy("i", "j").applyInPandas(compare, "a long, b long")
+    if blocks * (blocks + 1) // 2 <= FEW_TASKS:     # no more groups than tasks
+        found = found.coalesce(FEW_TASKS)
+    return stash(found, "links"), named
 
 
-def _open_entries(entries: DataFrame, roots: DataFrame) -> DataFrame:
+def _open_entries(entries: DataFrame, roots: DataFrame, deal) -> DataFrame:
     """The lists with more than one component; ``comp`` is an entry's."""
     comp = entries.drop("comp").join(roots.withColumnRenamed("node", "sid"), "sid", "left") \
         .withColumn("comp", F.coalesce("root", "sid")).drop("root")
-    open_lists = comp.groupBy("member").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-        .filter("lo < hi").select("member")
-    return comp.join(open_lists, "member")
+    open_lists = deal(comp.groupBy("member").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                      .filter("lo < hi").select("member"))
+    return deal(comp.join(open_lists, "member"))
 
 
 def _finer_maps(sets: DataFrame, entries: DataFrame) -> DataFrame:
@@ -442,22 +453,28 @@ def linked_documents(docs: DataFrame, k: int, num: int, den: int, id_col: str =
     entries = stash(entries.join(df, "member"), "entries")
     maps = sets.select("sid", "bitmap")
 
-    tried = _list_pairs(entries.withColumn("comp", F.col("sid")).join(maps, "sid"), num, den, LEADERS)
-    links = stash(links.unionByName(_verified(tried, sets, rows, k, num, den)), "links")
+    deal = dealer(entries.count())
+    tried = _list_pairs(entries.withColumn("comp", F.col("sid")), maps, deal, num, den, LEADERS)
+    links = stash(links.unionByName(_verified(tried, sets, rows, k, num, den)[0]), "links")
     roots = connected_components(links)
     entries = entries.filter(F.col("df") > LEADERS + 1)        # the leaders met all of a shorter list
+    pays = True
     for turn in itertools.count():
-        entries = stash(_open_entries(entries, roots), "open")
+        entries = stash(_open_entries(entries, roots, deal), "open")
         if entries.isEmpty():
             break
-        found = _verified(_list_pairs(entries.join(maps, "sid"), num, den, closest=turn), sets, rows, k, num, den)
-        if found.isEmpty():
-            rest = _list_pairs(entries.join(_finer_maps(sets, entries), "sid"), num, den)
-            links = links.unionByName(_verified(rest, sets, rows, k, num, den))
+        deal = dealer(entries.count())
+        if pays:
+            pairs = _list_pairs(entries, maps, deal, num, den, closest=turn)
+        else:
+            pairs = _list_pairs(entries, _finer_maps(sets, entries), deal, num, den)
+        found, named = _verified(pairs, sets, rows, k, num, den)
+        if not found.isEmpty():
+            links = links.unionByName(found)
             roots = connected_components(links)
+        if not pays:
             break
-        links = links.unionByName(found)
-        roots = connected_components(links)
+        pays = NAMED_PER_LINK * found.count() >= max(named, 1)
 
     named = sets.select("sid", "digest", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left") \
         .withColumn("root", F.coalesce("root", "sid"))
